@@ -12,8 +12,9 @@ from tallyframe.session import checkpoint
 def first_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int = 1) -> DataFrame:
     """The first k rows of every key.
 
-    Spark limits each partition to k rows per key before the shuffle, so a hot
-    key never reaches one task whole.
+    Spark limits each partition to k rows per key before the shuffle (for k up to
+    ``spark.sql.optimizer.windowGroupLimitThreshold``, 1000), so a hot key never
+    reaches one task whole.
     """
     ranked = df.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return ranked.where(F.col("__r") <= k).drop("__r")
@@ -93,7 +94,7 @@ def greedy_min_distance(
     order: list[str],
     coords: list[str],
     threshold: float,
-    chunk: int = 1024,
+    chunk: int = 1000,
 ) -> DataFrame:
     """Keep a row only if it lies at least ``threshold`` from every row kept before it in its clip.
 
@@ -112,7 +113,9 @@ def greedy_min_distance(
     kept_parts: list[DataFrame] = []
     while True:
         sizes = undecided.groupBy(*clip).agg(F.count("*").alias("__n"))
-        more = sizes.where(F.col("__n") > chunk).limit(1).count() > 0
+        more = not sizes.where(F.col("__n") > chunk).isEmpty()
+        if more and not kept_parts:
+            undecided = checkpoint(undecided)
         head = first_per_group(undecided, clip, [F.asc("__at")], chunk) if more else undecided
         kept = _fold(head, clip, axes, threshold)
         if not more:
@@ -170,3 +173,25 @@ def _far_from(rows: DataFrame, kept: DataFrame, clip: list[str], axes: list[str]
     for c in [*clip, *[f"__c{i}" for i in range(len(axes))]]:
         match = match & placed[c].eqNullSafe(around[c])
     return placed.join(around, match, "left_anti").drop(*[f"__c{i}" for i in range(len(axes))])
+
+
+def majority_label(
+    df: DataFrame, keys: list[str], label: str, order: list[str] | None = None, seen: str | None = None
+) -> DataFrame:
+    """Most frequent label per key with its count.
+
+    Ties follow the class list ``order`` (unlisted labels last), or the first
+    appearance by the position column ``seen``. Votes are counted before they
+    are shuffled, so a key with very many votes is no burden.
+    """
+    if order is not None:
+        place = F.array_position(F.array(*[F.lit(o) for o in order]), F.col(label))
+        rank = F.when(place == 0, F.lit(99)).otherwise(place).cast("long")
+        first = F.min(rank)
+    else:
+        first = F.min(seen) if seen else F.min(F.lit(0))
+    votes = df.where(F.col(label).isNotNull()).groupBy(*keys, label).agg(F.count("*").alias("n"), first.alias("__f"))
+    best = F.min(F.struct((-F.col("n")).alias("m"), F.col("__f").alias("f"), F.col(label).alias("label")))
+    return votes.groupBy(*keys).agg(best.alias("__b")).select(
+        *keys, F.col("__b.label").alias(label), (-F.col("__b.m")).alias("votes")
+    )
