@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-TOPICS = ["classify", "rank"]
+TOPICS = ["classify", "rank", "places", "chat"]
 
 
 def load():
