@@ -92,3 +92,10 @@ def iou(a: Column, b: Column) -> Column:
     shared = box_area(overlap)
     union = box_area(a) + box_area(b) - shared
     return F.when(union <= 0, F.lit(0.0)).otherwise(shared / union)
+
+
+def resolve_pair(pair: Column, items: Column) -> Column:
+    """The two items named by 1-based numbers in ``"i j"``; NULL when either is missing."""
+    numbers = F.transform(F.split(F.trim(pair), r"\s+"), lambda p: p.try_cast("int"))
+    at = lambda i: F.when(numbers[i] > 0, F.try_element_at(items, numbers[i]))
+    return F.when(at(0).isNotNull() & at(1).isNotNull(), F.array(at(0), at(1)))

@@ -157,3 +157,8 @@ def extract_box(messages: Column) -> Column:
         content.isNotNull(),
         F.array(*[F.regexp_extract(content, BOX_PATTERN, i).cast("double") for i in range(1, 5)]),
     )
+
+
+def answer_by_split(split: Column, single: Column, all_annotators: Column, train: str = "train") -> Column:
+    """Training rows carry one answer, the other splits the answers of all annotators."""
+    return F.when(split == train, single).otherwise(all_annotators)

@@ -104,10 +104,10 @@ def heatmap_auc_column(pred: Column, points: Column) -> Column:
             n_neg = positive.size - n_pos
             if n_pos == 0 or n_neg == 0:
                 return None
-            _, place = np.unique(heat(pred), return_inverse=True)
-            pos = np.bincount(place, weights=positive)
-            neg = np.bincount(place) - pos
-            wins = (pos * (np.cumsum(neg) - neg / 2)).sum()
+            scores = heat(pred)
+            rivals, hits = np.sort(scores[~positive]), scores[positive]
+            below = np.searchsorted(rivals, hits, "left")
+            wins = (below + np.searchsorted(rivals, hits, "right")).sum() / 2
             return float(wins / (n_pos * n_neg))
 
         return pd.Series([score(p, g) for p, g in zip(preds, gts)], dtype="float64")

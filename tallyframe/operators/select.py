@@ -195,3 +195,12 @@ def majority_label(
     return votes.groupBy(*keys).agg(best.alias("__b")).select(
         *keys, F.col("__b.label").alias(label), (-F.col("__b.m")).alias("votes")
     )
+
+
+def no_sentinel(value: Column, sentinel: float = -1) -> Column:
+    """The value is given and is not the mark for an invalid one."""
+    return value.isNotNull() & (value != sentinel)
+
+
+def no_sentinel_in(values: Column, sentinel: float = -1) -> Column:
+    return ~F.exists(values, lambda v: v == sentinel)
