@@ -23,7 +23,7 @@ def segments_in_windows(
     placed = (
         segments.join(clips.select("clip", "duration"), "clip")
         .where((F.floor("duration") >= size) & (first_touched <= last_touched))
-        .withColumn("win_start", F.explode(F.sequence(first_touched, last_touched)) * stride)
+        .withColumn("win_start", F.explode(F.sequence(first_touched * stride, last_touched * stride, F.lit(stride))))
     )
     return (
         placed.withColumns(

@@ -73,3 +73,36 @@ def sample_frames_with_anchor(onset: Column, apex: Column, offset: Column, n: in
             F.array().cast("array<int>")
         ),
     ).otherwise(sampled)
+
+
+def sweep_windows(
+    df: DataFrame, clip: list[str], strides: list[int], frame: str = "frame", size: int = 16, center: int = 8
+) -> DataFrame:
+    """Centre rows of the windows of several strides at once, one row per stride that hits the frame."""
+    lengths = df.groupBy(*clip).agg(F.count("*").alias("__length"))
+    start = F.col(frame) - center
+    hits = F.filter(F.array(*[F.lit(s) for s in strides]), lambda s: start % s == 0)
+    return (
+        df.where(start >= 0)
+        .join(lengths, clip)
+        .where(start + size <= F.col("__length"))
+        .withColumn("stride", F.explode(hits))
+        .drop("__length")
+    )
+
+
+def sweep_statistics(
+    swept: DataFrame, clips: DataFrame, clip: list[str], label: str, value: str, k: int = 5
+) -> DataFrame:
+    """Windows before and after the cap per label and the removal of equal values, per stride.
+
+    The cap keeps min(n, k) of each label, so counts replace ranking.
+    """
+    per_label = swept.groupBy("stride", *clip, label).agg(F.count("*").alias("__n"))
+    capped = per_label.groupBy("stride").agg(
+        F.sum("__n").alias("raw_windows"), F.sum(F.least("__n", F.lit(k))).alias("kept_capped")
+    )
+    distinct = swept.select("stride", *clip, value).distinct()
+    distinct = distinct.groupBy("stride").agg(F.count("*").alias("kept_distinct"))
+    n_clips = clips.select(*clip).distinct().agg(F.count("*")).scalar()
+    return capped.join(distinct, "stride").withColumn("kept_per_clip", F.col("kept_capped") / n_clips)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-TOPICS = ["classify", "rank", "places", "chat", "clips"]
+TOPICS = ["classify", "rank", "places", "chat", "clips", "speech"]
 
 
 def load():

@@ -126,20 +126,6 @@ def greedy_min_distance(spark, sf_dir):
 STRIDES = [4, 8, 16, 32, 64]
 
 
-def _sweep_rows(t: Tables):
-    """Centre frames of every stride; one pass over the frames for all strides."""
-    rows = frames(t)
-    lengths = rows.groupBy("clip").agg(F.count("*").alias("len"))
-    start = F.col("frame") - 8
-    strides = F.filter(F.array(*[F.lit(s) for s in STRIDES]), lambda s: start % s == 0)
-    return (
-        rows.where(start >= 0)
-        .join(lengths, "clip")
-        .where(start + 16 <= F.col("len"))
-        .withColumn("stride", F.explode(strides))
-    )
-
-
 @query(
     "stride_sweep",
     f"WITH {FRAMES}, s AS (SELECT unnest([4, 8, 16, 32, 64]) AS stride), lens AS (SELECT clip, count(*) AS len FROM frames GROUP BY clip), "
@@ -150,16 +136,10 @@ def _sweep_rows(t: Tables):
     "round(count(*) FILTER (WHERE k <= 2) / max(c), 6) AS kept_per_clip FROM capped CROSS JOIN n GROUP BY stride",
 )
 def stride_sweep(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    rows = _sweep_rows(t)
-    # Counts per label replace ranking: min(n, k) of every label is what the cap keeps.
-    per_label = rows.groupBy("stride", "clip", "event_type").agg(F.count("*").alias("n"))
-    capped = per_label.groupBy("stride").agg(
-        F.sum("n").alias("raw_windows"), F.sum(F.least("n", F.lit(2))).alias("kept_capped")
-    )
-    distinct = rows.select("stride", "clip", "props").distinct().groupBy("stride").agg(F.count("*").alias("kept_distinct"))
-    clips = t.events.agg(F.countDistinct("user_id").alias("n")).scalar()
-    return capped.join(distinct, "stride").withColumn("kept_per_clip", r6(F.col("kept_capped") / clips))
+    rows = frames(Tables(spark, sf_dir))
+    swept = windows.sweep_windows(rows, ["clip"], STRIDES)
+    counts = windows.sweep_statistics(swept, rows, ["clip"], "event_type", "props", k=2)
+    return counts.withColumn("kept_per_clip", r6(F.col("kept_per_clip")))
 
 
 @query(
