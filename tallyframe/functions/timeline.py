@@ -8,43 +8,83 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyframe.functions.binding import let
+
 SILENCE = "-"
 
 
-def speaking(timeline: Column) -> Column:
-    """(speaker, bin) for every character of every bin that is not silence."""
-    per_bin = F.transform(
-        timeline,
-        lambda label, i: F.when(label == SILENCE, F.array().cast("array<struct<who:string,at:int>>")).otherwise(
-            F.transform(
-                F.filter(F.split(label, ""), lambda c: c != ""),
-                lambda c: F.struct(c.alias("who"), i.cast("int").alias("at")),
-            )
-        ),
-    )
-    return F.flatten(per_bin)
+_SEGMENTS = "array<array<struct<s:int,e:int>>>"
+
+
+def _characters(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda c: c != "")
+
 
+def speakers(timeline: Column) -> Column:
+    """Distinct characters of the bins that are not silence."""
+    spoken = F.filter(timeline, lambda b: b != SILENCE)
+    return F.array_sort(F.array_distinct(_characters(F.array_join(spoken, ""))))
 
-def speakers(spoken: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.transform(spoken, lambda s: s["who"])))
 
+def segments(timeline: Column) -> Column:
+    """Segments per speaker, in bins: a speaker's adjoining bins form one segment.
 
-def segments(spoken: Column, who: Column) -> Column:
-    """Segments per speaker, in bins: a speaker's adjoining bins form one segment."""
+    A bin that names a speaker twice opens a second segment; such timelines take
+    the slower path that follows the bins one by one.
+    """
+    twice = F.exists(
+        timeline,
+        lambda b: (F.char_length(b) > 1) & (F.size(F.array_distinct(_characters(b))) < F.char_length(b)),
+    )
+    return F.when(twice, _segments_one_by_one(timeline)).otherwise(_segments_by_edges(timeline)).cast(_SEGMENTS)
+
+
+def _segments_by_edges(timeline: Column) -> Column:
+    def of(who: Column) -> Column:
+        bins = F.filter(
+            F.transform(timeline, lambda b, i: F.when((b != SILENCE) & F.contains(b, who), i.cast("int"))),
+            lambda i: i.isNotNull(),
+        )
+        return let(
+            bins,
+            lambda here: let(
+                F.transform(here, lambda i: i + 1),
+                lambda after: F.zip_with(
+                    F.array_except(here, after),
+                    F.array_except(after, here),
+                    lambda s, e: F.struct(s.alias("s"), e.alias("e")),
+                ),
+            ),
+        )
+
+    return F.transform(speakers(timeline), of)
+
+
+def _segments_one_by_one(timeline: Column) -> Column:
     empty = F.array().cast("array<struct<s:int,e:int>>")
 
-    def extend(acc: Column, s: Column) -> Column:
+    def extend(acc: Column, i: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))
-        grown = F.struct(last["s"].alias("s"), (s["at"] + 1).alias("e"))
-        fresh = F.struct(s["at"].alias("s"), (s["at"] + 1).alias("e"))
+        grown = F.struct(last["s"].alias("s"), (i + 1).alias("e"))
+        fresh = F.struct(i.alias("s"), (i + 1).alias("e"))
         return F.when(
-            F.coalesce(last["e"] == s["at"], F.lit(False)),
+            F.coalesce(last["e"] == i, F.lit(False)),
             F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(grown)),
         ).otherwise(F.concat(acc, F.array(fresh)))
 
-    return F.transform(
-        who, lambda w: F.aggregate(F.filter(spoken, lambda s: s["who"] == w), empty, extend)
-    )
+    def of(who: Column) -> Column:
+        bins = F.flatten(
+            F.transform(
+                timeline,
+                lambda b, i: F.when(
+                    b != SILENCE,
+                    F.transform(F.filter(_characters(b), lambda c: c == who), lambda _: i.cast("int")),
+                ).otherwise(F.array().cast("array<int>")),
+            )
+        )
+        return F.aggregate(bins, empty, extend)
+
+    return F.transform(speakers(timeline), of)
 
 
 def _overlap(a: Column, b: Column) -> Column:

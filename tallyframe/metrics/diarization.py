@@ -19,10 +19,8 @@ def der_columns(pairs: DataFrame) -> DataFrame:
     """Add the four error rates per row; NULL when the reference has no speech."""
     rows = pairs
     for side in ("gt", "pred"):
-        rows = rows.withColumn(f"__{side}_spoken", tl.speaking(F.col(side)))
-        rows = rows.withColumn(
-            f"__{side}_seg", tl.segments(F.col(f"__{side}_spoken"), tl.speakers(F.col(f"__{side}_spoken")))
-        ).withColumn(f"__{side}_all", F.flatten(f"__{side}_seg"))
+        rows = rows.withColumn(f"__{side}_seg", tl.segments(F.col(side)))
+        rows = rows.withColumn(f"__{side}_all", F.flatten(f"__{side}_seg"))
     rows = rows.withColumn("__matrix", tl.overlap_matrix(F.col("__gt_seg"), F.col("__pred_seg")))
     rows = rows.withColumns(
         {

@@ -116,8 +116,14 @@ def heatmap_auc_column(pred: Column, points: Column) -> Column:
 
 
 def heatmap_auc(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """Mean heatmap AUC of ``pred`` against the points ``gt``; rows without both classes are skipped."""
-    rows = pairs.withColumn("__auc", heatmap_auc_column(F.col("pred"), F.col("gt")))
+    """Mean heatmap AUC of ``pred`` against the points ``gt``; rows without both classes are skipped.
+
+    A row costs far more to score than to move, so the narrow rows are first
+    spread evenly over all tasks.
+    """
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = pairs.select(*by, "pred", "gt").repartition(tasks)
+    rows = rows.withColumn("__auc", heatmap_auc_column(F.col("pred"), F.col("gt")))
     value = F.when(~F.isnan("__auc"), F.col("__auc"))
     wide = rows.groupBy(*by).agg(
         F.coalesce(F.avg(value), F.lit(NAN)).alias("v"), F.count("*").alias("n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.timeline import SILENCE
@@ -37,16 +37,59 @@ def segments_in_windows(
     )
 
 
-def speaker_letters(placed: DataFrame, max_speakers: int = 26) -> DataFrame:
-    """Letters A, B, C ... by first appearance in the window; more than 26 speakers is an error."""
-    seen = placed.groupBy("clip", "win_start", "speaker").agg(
-        F.min(F.struct("rel_start", "start", "seq")).alias("first")
+def _active_bins(bin_sec: float, n_bins: int) -> Column:
+    """Bits of the bins that one segment covers by more than half.
+
+    The covered bins of a segment are neighbours: only the first and the last
+    touched bin can be covered too little.
+    """
+    start, end = F.col("rel_start"), F.col("rel_end")
+
+    def covered(i: Column) -> Column:
+        return F.least(end, (i + 1) * bin_sec) - F.greatest(start, i * bin_sec) > bin_sec / 2
+
+    first = F.floor(start / bin_sec)
+    last = F.least(F.lit(n_bins - 1), F.ceil(end / bin_sec) - 1)
+    low = F.when(covered(first), first).otherwise(first + 1).cast("int")
+    high = F.when(covered(last), last).otherwise(last - 1).cast("int")
+    one = F.lit(1).cast("long")
+    bits = F.call_function("shiftleft", one, high + 1) - F.call_function("shiftleft", one, low)
+    return F.when(low <= high, bits).otherwise(F.lit(0).cast("long"))
+
+
+def window_speakers(placed: DataFrame, bin_sec: float = 0.5, n_bins: int = 60) -> DataFrame:
+    """Per window: its speakers by first appearance, each with the bits of their active bins.
+
+    A speaker's segments are merged by a bitwise OR before the shuffle, so no row
+    is made per bin and a window holds one entry per speaker.
+    """
+    if n_bins > 62:
+        raise ValueError("at most 62 bins per window")
+    return (
+        placed.groupBy("clip", "win_start", "speaker")
+        .agg(
+            F.min(F.struct("rel_start", "start", "seq")).alias("first"),
+            F.bit_or(_active_bins(bin_sec, n_bins)).alias("bits"),
+        )
+        .groupBy("clip", "win_start")
+        .agg(
+            F.array_sort(F.collect_list(F.struct("first", "speaker", "bits"))).alias("speakers"),
+            F.bit_count(F.bit_or("bits")).alias("active_bins"),
+        )
     )
-    rank = F.row_number().over(Window.partitionBy("clip", "win_start").orderBy("first"))
-    letter = F.when(F.col("rank") <= max_speakers, F.char((F.col("rank") + 64).cast("long"))).otherwise(
+
+
+def letter_of(rank: Column) -> Column:
+    """A, B, C ... for ranks from 0; more than 26 speakers is an error."""
+    return F.when(rank < 26, F.char(rank.cast("long") + 65)).otherwise(
         F.raise_error(F.lit("more speakers than letters in one window")).cast("string")
     )
-    return seen.withColumn("rank", rank).select("clip", "win_start", "speaker", letter.alias("letter"))
+
+
+def speaker_letters(placed: DataFrame) -> DataFrame:
+    """Letters by first appearance in the window."""
+    ranked = window_speakers(placed).select("clip", "win_start", F.posexplode("speakers").alias("rank", "s"))
+    return ranked.select("clip", "win_start", F.col("s.speaker").alias("speaker"), letter_of(F.col("rank")).alias("letter"))
 
 
 def bin_timeline(
@@ -64,46 +107,29 @@ def bin_timeline(
     speakers counts every speaker of the window, also those that fill no bin.
     """
     n_bins = int(size / bin_sec)
-    placed = segments_in_windows(segments, clips, size, stride)
-    letters = speaker_letters(placed)
-    cover = F.least(F.col("rel_end"), (F.col("bin") + 1) * bin_sec) - F.greatest(
-        F.col("rel_start"), F.col("bin") * bin_sec
-    )
-    touched = F.sequence(
-        F.floor(F.col("rel_start") / bin_sec).cast("int"),
-        F.least(F.lit(n_bins - 1), F.ceil(F.col("rel_end") / bin_sec).cast("int")),
-    )
-    active = (
-        placed.withColumn("bin", F.explode(touched))
-        .where(cover > bin_sec / 2)
-        .select("clip", "win_start", "speaker", "bin")
-        .distinct()
-        .join(letters, ["clip", "win_start", "speaker"])
-        .groupBy("clip", "win_start", "bin")
-        .agg(F.array_join(F.array_sort(F.collect_list("letter")), "").alias("label"))
-        .groupBy("clip", "win_start")
-        .agg(F.map_from_entries(F.collect_list(F.struct("bin", "label"))).alias("labels"))
+    spoken = window_speakers(segments_in_windows(segments, clips, size, stride), bin_sec, n_bins)
+    if min_bins <= 0:
+        # Silent windows count too, but only in clips that have any segment.
+        heard = clips.join(segments.select("clip").distinct(), "clip", "left_semi")
+        spoken = sliding_seconds(heard, "duration", size, stride).select("clip", "win_start").join(
+            spoken, ["clip", "win_start"], "left"
+        )
+    lettered = F.transform(
+        "speakers", lambda s, i: F.struct(letter_of(i).alias("letter"), s["bits"].alias("bits"))
     )
-    counts = letters.groupBy("clip", "win_start").agg(F.count("*").alias("num_speakers"))
-    # Windows of clips without any segment are skipped; silent windows of the others have no letters.
-    windows = sliding_seconds(clips, "duration", size, stride)
-    if min_bins > 0:
-        windows = counts.select("clip", "win_start")
-    else:
-        windows = windows.join(segments.select("clip").distinct(), "clip", "left_semi").select("clip", "win_start")
-    bins = F.transform(
-        F.sequence(F.lit(0), F.lit(n_bins - 1)),
-        lambda i: F.coalesce(F.try_element_at("labels", i), F.lit(SILENCE)),
+    rows = spoken.where(F.coalesce("active_bins", F.lit(0)) >= min_bins).withColumn(
+        "lettered", F.coalesce(lettered, F.array().cast("array<struct<letter:string,bits:bigint>>"))
     )
-    return (
-        windows.join(active, ["clip", "win_start"], "left")
-        .join(counts, ["clip", "win_start"], "left")
-        .select(
-            "clip",
-            "win_start",
-            bins.alias("timeline"),
-            F.coalesce("num_speakers", F.lit(0)).alias("num_speakers"),
-            F.coalesce(F.size(F.map_keys("labels")), F.lit(0)).alias("active_bins"),
-        )
-        .where(F.col("active_bins") >= min_bins)
+
+    def label(i: Column) -> Column:
+        active = F.filter("lettered", lambda s: F.getbit(s["bits"], i) == 1)
+        text = F.array_join(F.transform(active, lambda s: s["letter"]), "")
+        return F.when(text == "", SILENCE).otherwise(text)
+
+    return rows.select(
+        "clip",
+        "win_start",
+        F.transform(F.sequence(F.lit(0), F.lit(n_bins - 1)), label).alias("timeline"),
+        F.size("lettered").cast("long").alias("num_speakers"),
+        F.coalesce("active_bins", F.lit(0)).alias("active_bins"),
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.functions.binding import let
 from tallyframe.functions.geometry import half_even
 
 
@@ -59,14 +60,26 @@ def sample_frames_with_anchor(onset: Column, apex: Column, offset: Column, n: in
     nearest sampled frame, the earlier one on a tie.
     """
     total = offset - onset + 1
-    even = F.transform(
-        F.sequence(F.lit(0), F.lit(n - 1)),
-        lambda k: (onset + half_even(k * (total - 1) / (n - 1)).cast("int")).cast("int"),
+
+    def evenly() -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(n - 1)),
+            lambda k: (onset + half_even(k * (total - 1) / (n - 1)).cast("int")).cast("int"),
+        )
+
+    def swap(even: Column) -> Column:
+        gaps = F.transform(even, lambda i: F.abs(i - apex))
+        nearest = let(gaps, lambda g: F.array_position(g, F.array_min(g)) - 1)
+        return let(
+            nearest,
+            lambda at: F.array_sort(
+                F.transform(even, lambda i, k: F.when(k == at, apex).otherwise(i).cast("int"))
+            ),
+        )
+
+    sampled = let(
+        evenly(), lambda even: F.when(F.array_contains(even, apex.cast("int")), even).otherwise(swap(even))
     )
-    gaps = F.transform(even, lambda i: F.abs(i - apex))
-    nearest = F.array_position(gaps, F.array_min(gaps)) - 1
-    swapped = F.array_sort(F.transform(even, lambda i, k: F.when(k == nearest, apex).otherwise(i).cast("int")))
-    sampled = F.when(F.array_contains(even, apex.cast("int")), even).otherwise(swapped)
     return F.when(
         total <= n,
         F.when(total > 0, F.sequence(onset.cast("int"), offset.cast("int"))).otherwise(

@@ -10,13 +10,13 @@ from tallyframe.operators.intervals import bin_timeline, segments_in_windows, sp
 from tallyframe.queries.base import FRAMES, Tables, frames, query, scores, unpivot
 
 
-def _segments(t: Tables, shift: float = 0.0, merge: bool = False):
+def _segments(rows, shift: float = 0.0, merge: bool = False):
     """A month squeezed to eleven minutes: each event is a segment of value/5 seconds."""
     micros = F.timestamp_diff("MICROSECOND", F.lit("2024-01-01").cast("timestamp_ntz"), F.col("ts"))
     start = F.floor(micros / 4_000_000).cast("double") / 1000 + shift
     who = F.col("event_type")
     who = F.when(who == "error", "view").otherwise(who) if merge else who
-    return frames(t).select(
+    return rows.select(
         "clip",
         F.col("frame").alias("seq"),
         start.alias("start"),
@@ -56,7 +56,7 @@ LETTERS = (
 )
 def speaker_rank(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return speaker_letters(segments_in_windows(_segments(t), _clips(t)))
+    return speaker_letters(segments_in_windows(_segments(frames(t)), _clips(t)))
 
 
 @query(
@@ -69,7 +69,7 @@ def speaker_rank(spark, sf_dir):
 )
 def bin_timeline_query(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return bin_timeline(_segments(t), _clips(t)).select(
+    return bin_timeline(_segments(frames(t)), _clips(t)).select(
         "clip",
         "win_start",
         F.array_join("timeline", ",").alias("timeline"),
@@ -106,8 +106,9 @@ DER = (
 
 
 def _timelines(t: Tables):
-    gt = bin_timeline(_segments(t), _clips(t)).select("clip", "win_start", F.col("timeline").alias("gt"))
-    pred = bin_timeline(_segments(t, 0.35, True), _clips(t)).select(
+    rows = frames(t)
+    gt = bin_timeline(_segments(rows), _clips(t)).select("clip", "win_start", F.col("timeline").alias("gt"))
+    pred = bin_timeline(_segments(rows, 0.35, True), _clips(t)).select(
         "clip", "win_start", F.col("timeline").alias("pred")
     )
     return gt.join(pred, ["clip", "win_start"])
@@ -131,12 +132,8 @@ def single_speaker_baseline(spark, sf_dir):
     from tallyframe.plans.baselines import single_speaker
 
     t = Tables(spark, sf_dir)
-    rows = bin_timeline(_segments(t), _clips(t)).withColumn("pred", single_speaker(F.col("timeline")))
-    for side, column in (("gt", "timeline"), ("pred", "pred")):
-        rows = rows.withColumn(f"{side}_spoken", tl.speaking(F.col(column)))
-        rows = rows.withColumn(
-            f"{side}_seg", tl.segments(F.col(f"{side}_spoken"), tl.speakers(F.col(f"{side}_spoken")))
-        )
+    rows = bin_timeline(_segments(frames(t)), _clips(t)).withColumn("pred", single_speaker(F.col("timeline")))
+    rows = rows.withColumns({"gt_seg": tl.segments(F.col("timeline")), "pred_seg": tl.segments(F.col("pred"))})
     return rows.select(
         "clip",
         "win_start",
