@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,19 +26,32 @@ def local_session(cores: str | int = "*", partitions: int = 8, **conf: str) -> S
     return spark
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder named in ``spark.checkpoint.dir``.
-
-    A temporary folder is used only on a local master, where there is no
-    executor to lose.
-    """
-    spark = df.sparkSession
+def _checkpoint_folder(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not context.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+            # A local master has no executor to lose.
             folder = tempfile.mkdtemp(prefix="tallyframe-")
         context.setCheckpointDir(folder)
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared folder named in ``spark.checkpoint.dir``."""
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def staged(df: DataFrame, partition_by: list[str]) -> DataFrame:
+    """Write a table to the shared checkpoint folder and read it back.
+
+    Later steps read only the partitions and columns they need, and a lost
+    executor costs no recomputation of what came before.
+    """
+    spark = df.sparkSession
+    _checkpoint_folder(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/staged-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
