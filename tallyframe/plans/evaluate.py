@@ -108,8 +108,11 @@ def evaluate(
         *RUN, F.try_parse_json("gt").alias("gt"), F.try_parse_json("pred").alias("pred"), "head"
     )
     results: DataFrame | None = None
-    for name in sorted({m for t in tasks.values() for m in t.metrics}):
-        users = [k for k, t in tasks.items() if name in t.metrics]
+    # At most one row per registered task.
+    present = {r["task"] for r in parsed.select("task").distinct().collect()}
+    scored_tasks = {k: t for k, t in tasks.items() if k in present} or tasks
+    for name in sorted({m for t in scored_tasks.values() for m in t.metrics}):
+        users = [k for k, t in scored_tasks.items() if name in t.metrics]
         scored = run_metric(name, rows.where(_known(users)), RUN, strict).withColumn("source", F.lit(name))
         results = scored if results is None else results.unionByName(scored)
     used = results.where(F.col("source").isin(*COUNTS_ROWS)).groupBy(*RUN).agg(F.min("n_used").alias("used"))
