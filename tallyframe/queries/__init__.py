@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-TOPICS = ["classify", "rank", "places", "chat", "clips", "speech", "scoring", "upkeep"]
+TOPICS = ["classify", "rank", "places", "chat", "clips", "speech", "scoring", "upkeep", "recipes"]
 
 
 def load():
