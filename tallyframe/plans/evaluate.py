@@ -149,10 +149,12 @@ def results_document(evaluation: Evaluation) -> DataFrame:
         "parse_failure_pct",
         "error",
     )
+    by_key = lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)
+    pair = F.struct(F.concat_ws("_", "task", "split").alias("k"), entry.alias("v"))
     tasks = (
         evaluation.summary.join(values, RUN, "left")
         .groupBy("model")
-        .agg(F.array_sort(F.collect_list(F.struct(F.concat_ws("_", "task", "split").alias("k"), entry.alias("v")))).alias("e"))
+        .agg(F.array_sort(F.collect_list(pair), by_key).alias("e"))
     )
     document = F.struct(
         F.struct(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("timestamp")).alias("metadata"),
