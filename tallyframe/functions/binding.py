@@ -1,4 +1,4 @@
-"""Name a value inside a column expression, so that it is worked out once per row."""
+"""Small helpers for column expressions."""
 
 from __future__ import annotations
 
@@ -11,3 +11,15 @@ from pyspark.sql import functions as F
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+# White space as Python strips it.
+SPACE = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
+def strip(text: Column) -> Column:
+    """Remove surrounding white space of any kind (``trim`` removes blanks only)."""
+    return F.btrim(text, F.lit(SPACE))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyframe.functions.binding import strip
+
 # All coordinates live on a 0..1000 grid.
 GRID = 1000
 
@@ -96,6 +98,6 @@ def iou(a: Column, b: Column) -> Column:
 
 def resolve_pair(pair: Column, items: Column) -> Column:
     """The two items named by 1-based numbers in ``"i j"``; NULL when either is missing."""
-    numbers = F.transform(F.split(F.trim(pair), r"\s+"), lambda p: p.try_cast("int"))
+    numbers = F.transform(F.split(strip(pair), r"\s+"), lambda p: p.try_cast("int"))
     at = lambda i: F.when(numbers[i] > 0, F.try_element_at(items, numbers[i]))
     return F.when(at(0).isNotNull() & at(1).isNotNull(), F.array(at(0), at(1)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyframe.functions.binding import strip
+
 
 def _map_literal(mapping: dict) -> Column:
     return F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
@@ -41,7 +43,7 @@ def to_indicator(labels: Column, classes: list[str]) -> Column:
 def parse_units(text: Column) -> Column:
     """``'6+12'`` to ``['AU6', 'AU12']``; unreadable parts are dropped, NULL gives []."""
     parts = F.split(F.coalesce(text.cast("string"), F.lit("")), r"\+")
-    numbers = F.transform(parts, lambda p: F.trim(p).try_cast("double").cast("long"))
+    numbers = F.transform(parts, lambda p: strip(p).try_cast("double").cast("long"))
     return F.transform(
         F.filter(numbers, lambda n: n.isNotNull()), lambda n: F.concat(F.lit("AU"), n.cast("string"))
     )
@@ -49,7 +51,7 @@ def parse_units(text: Column) -> Column:
 
 def units_phrase(text: Column) -> Column:
     """``'6+12'`` to ``'AU6+12'``; NULL or blank gives ``'none'``."""
-    trimmed = F.trim(text.cast("string"))
+    trimmed = strip(text.cast("string"))
     return F.when(trimmed.isNull() | (trimmed == ""), "none").otherwise(F.concat(F.lit("AU"), trimmed))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyframe.functions.binding import strip
+
 MESSAGES = "array<struct<role:string,content:string>>"
 
 # The reasoning block a trainer expects in front of an answer.
@@ -145,7 +147,7 @@ def answer_text(messages: Column, which: str = "last") -> Column:
     if which == "last":
         return F.try_element_at(turns, F.lit(-1))
     text = F.try_element_at(turns, F.lit(1))
-    after = F.trim(F.substring_index(text, "</think>", -1))
+    after = strip(F.substring_index(text, "</think>", -1))
     return F.when(F.contains(text, F.lit("<think>")), after).otherwise(text)
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyframe.functions.binding import strip
+
 # What counts as reasoning, a fenced object, a braced span and a flat object.
 THINK = r"(?s)<think>.*?</think>"
 FENCED = r"(?s)```(?:json)?\s*(\{.*?\})\s*```"
@@ -62,27 +64,30 @@ def _lenient(column: Column) -> Column:
     return F.pandas_udf(over_batch, T.StringType())(column)
 
 
+# How a JSON text other than an object may begin.
+OPENERS = list('"[-0123456789tfnNI')
+
+
 def strip_think(text: Column) -> Column:
     """Remove closed reasoning blocks and surrounding white space."""
-    return F.regexp_replace(F.regexp_replace(text, THINK, ""), r"^\s+|\s+$", "")
+    return strip(F.regexp_replace(text, THINK, ""))
 
 
 def parse_response(text: Column) -> Column:
     """JSON text of the value found in a response, or NULL.
 
-    A plain flat object, the usual answer, is decoded in the JVM; only the
-    other responses travel to Python, whose decoder defines the lenient rules.
+    The usual answer, one flat object with or without text around it, is decoded
+    in the JVM: every lenient rule would pick that object, unless the whole text
+    is some other JSON value. A text without any brace that cannot be JSON has
+    no answer. Only the other texts travel to Python, whose decoder defines the
+    rules.
     """
     body = strip_think(F.coalesce(text, F.lit("")))
-    flat = F.when(F.regexp_like(body, F.lit(r"^\{[^{}]*\}$")), F.to_json(F.try_parse_json(body)))
-    return F.coalesce(flat, _lenient(F.when(flat.isNull(), body)))
-
-
-def decode_strict(text: Column) -> Column:
-    """JSON text of a document without any search, or NULL."""
-    value = F.try_parse_json(text)
-    whole = F.regexp_like(text, F.lit(r"(?s)^\s*(\{[^{}]*\}|\[[^\[\]{}]*\])\s*$"))
-    return F.when(whole, F.to_json(value))
+    other_json = F.substring(body, 1, 1).isin(*OPENERS)
+    one_object = F.regexp_like(body, F.lit(r"^[^{}]*\{[^{}]*\}[^{}]*$")) & ~other_json
+    flat = F.when(one_object, F.to_json(F.try_parse_json(F.regexp_extract(body, FLAT, 0))))
+    hopeless = ~F.contains(body, F.lit("{")) & ~other_json
+    return F.coalesce(flat, _lenient(F.when(flat.isNull() & ~hopeless, body)))
 
 
 def is_object(json_text: Column) -> Column:
@@ -145,7 +150,7 @@ def coerce_number(value: Column) -> Column:
 def coerce_int(value: Column) -> Column:
     """A number cut to its whole part, true as 1, digits in text; else NULL."""
     number = F.try_variant_get(value, "$", "double")
-    digits = F.trim(as_text(value)).try_cast("long")
+    digits = strip(as_text(value)).try_cast("long")
     return F.when(is_text(value), digits).otherwise(
         F.coalesce(number.cast("long"), F.try_variant_get(value, "$", "boolean").cast("long"))
     )
@@ -158,7 +163,7 @@ NO = ["0", "false", "no", "not funny"]
 
 def coerce_binary(value: Column) -> Column:
     """Booleans and numbers as integers, known words as 1 or 0, else NULL."""
-    word = F.lower(F.trim(as_text(value)))
+    word = F.lower(strip(as_text(value)))
     spoken = F.when(word.isin(*YES), 1).when(word.isin(*NO), 0)
     return F.when(is_text(value), spoken).otherwise(coerce_int(value).cast("int"))
 
@@ -166,7 +171,7 @@ def coerce_binary(value: Column) -> Column:
 def coerce_label(value: Column, missing: str | None = None) -> Column:
     """Title-cased text of a label, or of the first label of a list."""
     first = F.when(is_list(value), F.try_variant_get(value, "$[0]", "string")).otherwise(as_text(value))
-    label = F.initcap(F.trim(first))
+    label = F.initcap(strip(first))
     return label if missing is None else F.coalesce(F.nullif(label, F.lit("")), F.lit(missing))
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import labels as lb
 from tallyframe.functions import parse as ps
+from tallyframe.functions.binding import strip
 from tallyframe.metrics import localization as loc
 from tallyframe.metrics.classification import classification_report
 from tallyframe.metrics.common import NAN, key_of
@@ -257,7 +258,7 @@ def _vocal_accuracy(rows: DataFrame, by: list[str]) -> DataFrame:
 
 def _float(side: Callable[[str], Column], key: str) -> Column:
     value = side(key)
-    text = F.when(ps.is_text(value), F.trim(_text(value)).try_cast("double"))
+    text = F.when(ps.is_text(value), strip(_text(value)).try_cast("double"))
     return F.coalesce(text, F.try_variant_get(value, "$", "double"))
 
 

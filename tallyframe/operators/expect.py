@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.functions.binding import strip
 from tallyframe.functions.parse import field
 
 ROLES = ["system", "user", "assistant"]
@@ -30,7 +31,7 @@ def user_mentions(messages: str, *needles: str) -> Column:
 def answer_of(messages: str) -> Column:
     """Third turn without its reasoning block, as VARIANT; NULL when it is not JSON."""
     content = F.get(F.col(messages), F.lit(2))["content"]
-    return F.try_parse_json(F.trim(F.element_at(F.split(content, "</think>"), -1)))
+    return F.try_parse_json(strip(F.element_at(F.split(content, "</think>"), -1)))
 
 
 def answer_has(answer: Column, key: str, kind: str | None = None) -> Column:

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.functions.binding import strip
 from tallyframe.functions.labels import decode_index, decode_label, onehot_to_labels, parse_units, units_phrase
 from tallyframe.functions.messages import json_object, number3, quoted, quoted_list, reasoning_block
 from tallyframe.metrics.registry import AU12, EXPRESSIONS, MACRO_EMOTIONS, MICRO_EMOTIONS
@@ -208,7 +209,7 @@ def mmew(
     ``stills``: ``subject, emotion, path`` of posed faces, used by ``apex_emotion``.
     """
     given = sheet.where("subject IS NOT NULL AND emotion IS NOT NULL")
-    rows = subject_split(given.withColumn("emotion", F.trim("emotion")), "subject", SUBJECTS)
+    rows = subject_split(given.withColumn("emotion", strip(F.col("emotion"))), "subject", SUBJECTS)
     emotion = json_object(emotion=quoted(F.col("emotion")))
     if task.startswith("apex"):
         apex = frames.select("filename", F.col("number").alias("apex"), "path")
@@ -238,7 +239,7 @@ def meview(sheet: DataFrame, clips: DataFrame) -> DataFrame:
 
     Adds the padded frame range and its seconds for the cutter.
     """
-    known = sheet.withColumn("emotion", decode_label(F.lower(F.trim("emotion")), CONCEALED_NAMES))
+    known = sheet.withColumn("emotion", decode_label(F.lower(strip(F.col("emotion"))), CONCEALED_NAMES))
     whole = F.col("subject").isNotNull() & F.col("clip_id").isNotNull() & F.col("onset").isNotNull() & F.col("offset").isNotNull()
     rows = known.where(whole & F.col("emotion").isNotNull()).withColumn(
         "path", F.format_string("sub%02d-%d.mp4", F.col("subject").cast("int"), F.col("clip_id").cast("int"))

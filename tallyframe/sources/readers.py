@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyframe.functions.binding import strip
 from tallyframe.functions.messages import read_messages
 from tallyframe.plans.tasks import TASKS, parse_source_name
 
@@ -111,7 +112,7 @@ def scan_jsonl(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
         return texts.map(ok)
 
-    lines = read_lines(spark, path).where(F.trim("value") != "")
+    lines = read_lines(spark, path).where(strip(F.col("value")) != "")
     flat = F.regexp_like("value", F.lit(r"^\s*\{[^{}]*\}\s*$")) & F.try_parse_json("value").isNotNull()
     decoded = F.pandas_udf(valid, T.BooleanType())(F.when(~flat, F.col("value")).otherwise("0"))
     return number_lines(lines.where(flat | decoded), "row_idx").select("file", "row_idx", "value")
@@ -160,8 +161,8 @@ def scan_delimited(
     ``fields`` maps a name to (position, type). Line numbers count all lines.
     """
     lines = number_lines(read_lines(spark, path))
-    parts = lines.select("file", "line_no", F.split(F.trim("value"), sep).alias("p")).where(F.size("p") >= min_fields)
-    read = {n: F.trim(F.col("p")[i]).try_cast(kind) for n, (i, kind) in fields.items()}
+    parts = lines.select("file", "line_no", F.split(strip(F.col("value")), sep).alias("p")).where(F.size("p") >= min_fields)
+    read = {n: strip(F.col("p")[i]).try_cast(kind) for n, (i, kind) in fields.items()}
     given = reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in fields])
     return parts.select("file", "line_no", *[c.alias(n) for n, c in read.items()]).where(given)
 
@@ -169,7 +170,7 @@ def scan_delimited(
 def scan_variable_arity(spark: SparkSession, path: str | list[str], fixed: int = 6, group: int = 4) -> DataFrame:
     """White-space separated integers: fixed fields, then as many whole groups as follow (at least one)."""
     lines = number_lines(read_lines(spark, path))
-    numbers = F.transform(F.split(F.trim("value"), r"\s+"), lambda p: p.try_cast("int"))
+    numbers = F.transform(F.split(strip(F.col("value")), r"\s+"), lambda p: p.try_cast("int"))
     rows = lines.select("file", "line_no", numbers.alias("p")).where(F.size("p") >= fixed + group)
     count = F.floor((F.size("p") - fixed) / group).cast("int")
     starts = F.sequence(F.lit(0), count - 1)
@@ -183,8 +184,8 @@ def scan_frame_annotations(spark: SparkSession, path: str | list[str], kind: str
     Kinds: ``int``, ``pair`` (two numbers), ``vector`` (integers). Blank and
     unreadable lines are dropped before numbering, so later frames move up.
     """
-    text = F.trim("value")
-    parts = F.transform(F.split(text, ","), lambda p: F.trim(p))
+    text = strip(F.col("value"))
+    parts = F.transform(F.split(text, ","), lambda p: strip(p))
     value = {
         "int": text.try_cast("int"),
         "pair": F.when(
@@ -201,8 +202,8 @@ def scan_frame_annotations(spark: SparkSession, path: str | list[str], kind: str
 
 def scan_rttm(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Speech segments ``clip, seq, start, end, speaker`` from lines that begin with SPEAKER."""
-    lines = number_lines(read_lines(spark, path), "seq").where(F.trim("value").startswith("SPEAKER"))
-    p = F.split(F.trim("value"), r"\s+")
+    lines = number_lines(read_lines(spark, path), "seq").where(strip(F.col("value")).startswith("SPEAKER"))
+    p = F.split(strip(F.col("value")), r"\s+")
     start = p[3].cast("double")
     return lines.select(
         stem(F.col("file")).alias("clip"),
