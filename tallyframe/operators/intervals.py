@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.timeline import SILENCE
+from tallyframe.operators.joins import lookup_join
 from tallyframe.operators.windows import sliding_seconds
 
 
@@ -21,7 +22,7 @@ def segments_in_windows(
     first_touched = F.greatest(F.lit(0), F.floor((F.col("start") - size) / stride) + 1)
     last_touched = F.least(last, F.floor(F.col("end") / stride))
     placed = (
-        segments.join(clips.select("clip", "duration"), "clip")
+        lookup_join(segments, clips.select("clip", "duration"), ["clip"])
         .where((F.floor("duration") >= size) & (first_touched <= last_touched))
         .withColumn("win_start", F.explode(F.sequence(first_touched * stride, last_touched * stride, F.lit(stride))))
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.operators.ordered import ordered_scan
+from tallyframe.operators.ordered import hot_keys, ordered_scan, row_limit
 
 
 def first_match(df: DataFrame, lookup: DataFrame, on: list[str], order: list[str]) -> DataFrame:
@@ -17,6 +17,20 @@ def first_match(df: DataFrame, lookup: DataFrame, on: list[str], order: list[str
     return df.join(best, on, "left").select(*df.columns, *[F.col(f"__first.{c}").alias(c) for c in rest])
 
 
+def lookup_join(df: DataFrame, lookup: DataFrame, on: list[str], max_rows: int | None = None) -> DataFrame:
+    """Inner join with a table of one row per key.
+
+    Keys with more than ``max_rows`` rows are joined apart: their few lookup rows
+    (one per hot key) are broadcast, so no such key gathers in one task.
+    """
+    hot = hot_keys(df, on, row_limit(df, max_rows))
+    if hot is None:
+        return df.join(lookup, on)
+    keys = F.broadcast(hot.select(*on))
+    few = F.broadcast(lookup.join(keys, on, "left_semi"))
+    return df.join(few, on).unionByName(df.join(keys, on, "left_anti").join(lookup, on))
+
+
 def present_in(df: DataFrame, listing: DataFrame, on: list[str]) -> DataFrame:
     """Rows whose file or key is listed."""
     return df.join(listing.select(*on), on, "left_semi")

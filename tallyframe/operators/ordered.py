@@ -14,12 +14,17 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Rows of one key that a single task may take; ``spark.tallyframe.maxRowsPerKey`` overrides it.
 MAX_ROWS = 2_000_000
 MAX_RANGES = 20_000
 
 _LOCAL = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
+def row_limit(df: DataFrame, max_rows: int | None) -> int:
+    return max_rows or int(df.sparkSession.conf.get("spark.tallyframe.maxRowsPerKey", str(MAX_ROWS)))
+
+
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     """Join condition that also matches NULL keys."""
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys], F.lit(True))
@@ -37,7 +42,7 @@ def hot_keys(df: DataFrame, keys: list[str], max_rows: int) -> DataFrame | None:
 
 
 def cut_ranges(
-    df: DataFrame, keys: list[str], order_value: Column, max_rows: int = MAX_ROWS
+    df: DataFrame, keys: list[str], order_value: Column, max_rows: int
 ) -> tuple[DataFrame, DataFrame | None]:
     """Add ``__part``: 0 for ordinary keys, a range number that rises with ``order_value`` for hot ones.
 
@@ -88,7 +93,7 @@ def ordered_scan(
     order column.
     """
     value = order_value if order_value is not None else F.col(order[0])
-    parted, hot = cut_ranges(df, keys, value, max_rows or MAX_ROWS)
+    parted, hot = cut_ranges(df, keys, value, row_limit(df, max_rows))
     direction = [F.desc(c) if reverse else F.asc(c) for c in order]
     group = [F.col(k) for k in keys]
     local = (

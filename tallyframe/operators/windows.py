@@ -19,18 +19,15 @@ def sliding_frames(
 ) -> DataFrame:
     """Keep the centre row of every full window and add its first frame as ``start``.
 
-    Whether a frame is a centre follows from its number and the clip length, so
-    rows only meet the clip lengths.
+    Frames are numbered without gaps, so a window is full when its last frame
+    exists. Only centre rows and last frames meet, on (clip, start): no clip,
+    however long, gathers in one task.
     """
-    lengths = df.groupBy(*clip).agg(F.count("*").alias("__length"))
     start = F.col(frame) - center
-    return (
-        df.where((start >= 0) & (start % stride == 0))
-        .join(lengths, clip)
-        .where(start + size <= F.col("__length"))
-        .withColumn("start", start)
-        .drop("__length")
-    )
+    centers = df.where((start >= 0) & (start % stride == 0)).withColumn("start", start)
+    last = F.col(frame) - (size - 1)
+    full = df.where((last >= 0) & (last % stride == 0)).select(*clip, last.alias("start"))
+    return centers.join(full, [*clip, "start"], "left_semi").select(*df.columns, "start")
 
 
 def sliding_seconds(
@@ -92,16 +89,11 @@ def sweep_windows(
     df: DataFrame, clip: list[str], strides: list[int], frame: str = "frame", size: int = 16, center: int = 8
 ) -> DataFrame:
     """Centre rows of the windows of several strides at once, one row per stride that hits the frame."""
-    lengths = df.groupBy(*clip).agg(F.count("*").alias("__length"))
     start = F.col(frame) - center
     hits = F.filter(F.array(*[F.lit(s) for s in strides]), lambda s: start % s == 0)
-    return (
-        df.where(start >= 0)
-        .join(lengths, clip)
-        .where(start + size <= F.col("__length"))
-        .withColumn("stride", F.explode(hits))
-        .drop("__length")
-    )
+    centers = df.where(start >= 0).withColumn("stride", F.explode(hits)).withColumn("start", start)
+    full = df.where(F.col(frame) >= size - 1).select(*clip, (F.col(frame) - (size - 1)).alias("start"))
+    return centers.join(full, [*clip, "start"], "left_semi").select(*df.columns, "stride")
 
 
 def sweep_statistics(

@@ -246,7 +246,7 @@ def recipe_affwild2_au(spark, sf_dir):
 
 @query(
     "recipe_affwild2_think",
-    f"WITH {FACE_SQL}, tr AS (SELECT DISTINCT clip FROM frames WHERE clip < (SELECT median(clip) FROM frames)), "
+    f"WITH {FACE_SQL}, tr AS (SELECT DISTINCT clip FROM frames WHERE clip < (SELECT (min(clip) + max(clip)) / 2 FROM frames)), "
     "lastt AS (SELECT clip FROM tr ORDER BY clip DESC LIMIT 20), "
     "sp AS (SELECT clip, CASE WHEN clip IN (SELECT clip FROM tr) AND clip NOT IN (SELECT clip FROM lastt) THEN 'train' ELSE 'val' END AS split FROM (SELECT DISTINCT clip FROM frames)), "
     f"p AS (SELECT *, CAST({VAL_SQL} AS DOUBLE) AS v, CAST({ARO_SQL} AS DOUBLE) AS a FROM w), "
@@ -256,7 +256,7 @@ def recipe_affwild2_au(spark, sf_dir):
 )
 def recipe_affwild2_think(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    middle = t.events.agg(F.median("user_id")).scalar()
+    middle = t.events.agg((F.min("user_id") + F.max("user_id")) / 2).scalar()
     kinds = {
         k: {
             "train": _face_frames(t, k).where(F.col("clip") < middle),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions.geometry import box_convert, norm1000, norm_box
 from tallyframe.functions.labels import index_to_time
 from tallyframe.functions.messages import json_object, nested_list, number_list, numbered_people, quoted, truth
-from tallyframe.operators.joins import absent_from, asof_next, gather
+from tallyframe.operators.joins import absent_from, asof_next, gather, lookup_join
 from tallyframe.operators.ordered import row_index
 from tallyframe.operators.select import balance_negatives, first_per_group, greedy_min_distance, sample_n, shuffle_key
 from tallyframe.recipes.common import box_line, existing, samples
@@ -120,7 +120,7 @@ def videoattentiontarget(
     """
     key = ["show", "clip", "seq"]
     w, h = F.col("width"), F.col("height")
-    rows = row_index(entries, key, ["line_no"], "position").join(sizes, ["show", "clip"])
+    rows = lookup_join(row_index(entries, key, ["line_no"], "position"), sizes, ["show", "clip"])
     outside = (F.col("gx") == -1) & (F.col("gy") == -1)
     rows = rows.withColumns(
         {

@@ -47,13 +47,9 @@ def number_lines(lines: DataFrame, out: str = "line_no") -> DataFrame:
 
 
 def drop_header(lines: DataFrame) -> DataFrame:
-    """Drop the first line of every file, whatever it holds."""
-    first = lines.groupBy("file").agg(F.min(F.struct("block", "place")).alias("first"))
-    return (
-        lines.join(first, "file")
-        .where(F.struct("block", "place") != F.col("first"))
-        .drop("first")
-    )
+    """Drop the first line of every file, whatever it holds: it opens the block that starts at 0."""
+    opening = F.min("place").over(Window.partitionBy("file", "block"))
+    return lines.withColumn("opening", opening).where("block > 0 OR place > opening").drop("opening")
 
 
 def stem(path: Column) -> Column:

@@ -76,7 +76,9 @@ def main(folder: str, only: list[str]) -> int:
     from __spark_entry__ import oracle_sql, queries
     from tallyframe.session import local_session
 
-    spark, db, bad = local_session(8), connect(folder), 0
+    limit = os.environ.get("MAX_ROWS_PER_KEY")
+    conf = {"spark__tallyframe__maxRowsPerKey": limit} if limit else {}
+    spark, db, bad = local_session(8, **conf), connect(folder), 0
     sqls = oracle_sql()
     for name, function in queries().items():
         if only and not any(o in name for o in only):

@@ -130,6 +130,15 @@ def test_hot_keys_are_limited_before_the_shuffle(skewed):
     assert "WindowGroupLimit" in plan
 
 
+@pytest.mark.parametrize("max_rows", [10**6, 25])
+def test_lookup_join(skewed, max_rows):
+    names = skewed.select("clip").distinct().withColumn("name", F.upper("clip")).where("clip <> 'c1'")
+    got = joins.lookup_join(skewed, names, ["clip"], max_rows).collect()
+    assert sorted((r.id, r.name) for r in got) == sorted(
+        (r.id, r.clip.upper()) for r in skewed.collect() if r.clip != "c1"
+    )
+
+
 def test_vote_ties(spark):
     df = spark.createDataFrame([("k", "b", 0), ("k", "a", 1), ("k", "a", 2), ("k", "b", 3)], "k string, v string, i int")
     assert select.majority_label(df, ["k"], "v", seen="i").first().v == "b"
