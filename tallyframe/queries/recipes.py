@@ -10,7 +10,10 @@ from tallyframe.queries.clips import WINDOWS
 from tallyframe.queries.speech import BASE, LETTERS, _clips, _seg_sql, _segments
 from tallyframe.recipes import faces, gaze, scenes, speech
 
-EID = F.col("event_id")
+
+
+def eid():
+    return F.col("event_id")
 
 
 def shown(df, *extra: str):
@@ -20,7 +23,7 @@ def shown(df, *extra: str):
 
 
 def _unit(factor: int, size: int = 1000):
-    return (EID * factor % size) / 1000
+    return (eid() * factor % size) / 1000
 
 
 def _u(factor: int, size: int = 1000) -> str:
@@ -43,8 +46,8 @@ GAZE_USER = "'<image>' || chr(10) || 'Person''s head bounding box: ' || box || c
 def _gaze(t: Tables, split: str):
     lines = t.events.select(
         F.format_string("img/%d.jpg", "user_id").alias("path"),
-        F.concat_ws("-", EID % 4, EID % 10).alias("idx"),
-        EID.alias("line_no"),
+        F.concat_ws("-", eid() % 4, eid() % 10).alias("idx"),
+        eid().alias("line_no"),
         _unit(13, 500).alias("x"),
         _unit(17, 500).alias("y"),
         _unit(29, 400).alias("w"),
@@ -92,7 +95,7 @@ TARGET_SQL = (
 
 
 def _target(t: Tables, variant: str):
-    size = lambda f, s: (EID * f % s).cast("int")
+    size = lambda f, s: (eid() * f % s).cast("int")
     outside = F.col("value") < 5
     rows = frames(t)
     entries = rows.select(
@@ -100,7 +103,7 @@ def _target(t: Tables, variant: str):
         "clip",
         F.lit("q").alias("seq"),
         F.col("frame").alias("line_no"),
-        EID.cast("string").alias("frame"),
+        eid().cast("string").alias("frame"),
         size(13, 640).alias("x1"),
         size(17, 480).alias("y1"),
         size(29, 640).alias("x2"),
@@ -147,14 +150,14 @@ PRESENT = "'<image>' || chr(10) || 'The following people are present in the imag
 
 def _shared(t: Tables, task: str):
     def box(factors):
-        return F.array(*[EID * f % s for f, s in zip(factors, (480, 320, 480, 320))])
+        return F.array(*[eid() * f % s for f, s in zip(factors, (480, 320, 480, 320))])
 
     rows = frames(t)
     two = F.array(box((37, 41, 43, 47)), box((53, 59, 61, 67)))
     events = rows.where(F.col("event_type").isin("click", "error")).select(
         F.col("clip").alias("video"),
         "frame",
-        EID.alias("line_no"),
+        eid().alias("line_no"),
         box((13, 17, 29, 31)).alias("target"),
         F.when(F.col("value") > 20, two).otherwise(F.slice(two, 1, 1)).alias("faces"),
     )
@@ -193,11 +196,11 @@ FACE_SQL = (
 
 def _face_frames(t: Tables, kind: str):
     rows = frames(t)
-    bits = F.array(*[F.shiftright(EID, i) % 2 for i in range(12)]).cast("array<int>")
+    bits = F.array(*[F.shiftright(eid(), i) % 2 for i in range(12)]).cast("array<int>")
     value = {
-        "expr": (EID % 9 - 1).cast("int"),
-        "va": F.array((EID * 37 % 221 - 110) / 100, (EID * 91 % 221 - 110) / 100),
-        "au": F.when(EID % 5 == 0, F.transform(bits, lambda _: F.lit(-1))).otherwise(bits),
+        "expr": (eid() % 9 - 1).cast("int"),
+        "va": F.array((eid() * 37 % 221 - 110) / 100, (eid() * 91 % 221 - 110) / 100),
+        "au": F.when(eid() % 5 == 0, F.transform(bits, lambda _: F.lit(-1))).otherwise(bits),
     }[kind]
     return rows.select("clip", "frame", value.alias("value"))
 
@@ -371,12 +374,12 @@ EMOTIC_USER = "'<image>' || chr(10) || 'Bounding box: ' || box || chr(10) || '{}
 
 def _emotic(t: Tables, task: str, split: str):
     def person(j: int):
-        box = F.array(EID * 13 % 640, EID * 17 % 480, (EID * 29 + j) % 640, EID * 31 % 480).cast("array<int>")
+        box = F.array(eid() * 13 % 640, eid() * 17 % 480, (eid() * 29 + j) % 640, eid() * 31 % 480).cast("array<int>")
         words = F.array(F.initcap("event_type"), F.lit("Peace"))
         first = F.when(F.col("value") > 10, words).otherwise(F.array().cast("array<string>"))
         categories = F.array(first, F.array(F.lit("Doubt/Confusion")))
         number = F.when(F.col("value") < 3, F.lit(float("nan"))).otherwise(F.floor(F.col("value") % 9 + 1).cast("double"))
-        vad = F.struct(number.alias("valence"), F.lit(4.0).alias("arousal"), (EID % 9 + 1).cast("double").alias("dominance"))
+        vad = F.struct(number.alias("valence"), F.lit(4.0).alias("arousal"), (eid() % 9 + 1).cast("double").alias("dominance"))
         fixed = F.struct(F.lit(5.0).alias("valence"), F.lit(5.0).alias("arousal"), F.lit(6.0).alias("dominance"))
         return F.struct(
             box.alias("body_bbox"),
@@ -388,7 +391,7 @@ def _emotic(t: Tables, task: str, split: str):
 
     images = t.events.select(
         F.lit("mscoco").alias("folder"),
-        F.concat(EID, F.lit(".jpg")).alias("filename"),
+        F.concat(eid(), F.lit(".jpg")).alias("filename"),
         F.lit(640).alias("width"),
         F.lit(480).alias("height"),
         F.array(person(0), person(1)).cast(scenes.PERSON).alias("person"),
@@ -469,11 +472,11 @@ def _contact_box(a: int, b: int, c: int, d: int) -> str:
 )
 def recipe_proxemics_skeleton(spark, sf_dir):
     events = Tables(spark, sf_dir).events
-    path = F.concat(F.lit("p/"), EID, F.lit(".jpg"))
-    points = lambda f: F.array(*[F.array((EID * f + i) % 224, (EID + i * 7) % 224) for i in range(10)])
-    vector = F.array((EID % 3 == 1).cast("int"), (EID % 3 == 2).cast("int"), *[F.lit(0)] * 3, (EID % 3 == 2).cast("int"))
+    path = F.concat(F.lit("p/"), eid(), F.lit(".jpg"))
+    points = lambda f: F.array(*[F.array((eid() * f + i) % 224, (eid() + i * 7) % 224) for i in range(10)])
+    vector = F.array((eid() % 3 == 1).cast("int"), (eid() % 3 == 2).cast("int"), *[F.lit(0)] * 3, (eid() % 3 == 2).cast("int"))
     labels = events.select(path.alias("path"), vector.alias("contacts"), points(3).alias("points0"), points(5).alias("points1"))
-    box = lambda *f: F.array(*[EID * x % 224 for x in f])
+    box = lambda *f: F.array(*[eid() * x % 224 for x in f])
     boxes = events.where("value > 5").select(path.alias("path"), box(13, 17, 29, 31).alias("p0"), box(37, 41, 43, 47).alias("p1"))
     return shown(scenes.proxemics(labels, boxes, True))
 
@@ -509,12 +512,12 @@ def recipe_meld(spark, sf_dir):
         F.lit(640).alias("width"),
         F.lit(480).alias("height"),
     )
-    corner = lambda f, s: (EID * f % s).cast("double")
+    corner = lambda f, s: (eid() * f % s).cast("double")
     found = t.events.select(
-        (EID % 15000).cast("int").alias("dialogue"),
-        (EID % 4 + 1).cast("int").alias("utterance"),
-        (EID % 7).cast("int").alias("frame"),
-        EID.alias("line_no"),
+        (eid() % 15000).cast("int").alias("dialogue"),
+        (eid() % 4 + 1).cast("int").alias("utterance"),
+        (eid() % 7).cast("int").alias("frame"),
+        eid().alias("line_no"),
         corner(13, 700).alias("x1"),
         corner(17, 500).alias("y1"),
         corner(29, 700).alias("x2"),
