@@ -286,9 +286,10 @@ def _norm(value: str) -> str:
     )
 
 
+# A corrected value of exactly 0 counts as missing.
 SCORES = (
     f"{ADJUSTED}, {AXES_SQL}, models AS (SELECT DISTINCT model FROM adj), "
-    f"axs AS (SELECT m.model, level, axis, sum(weight * {_norm('score')}) / sum(weight) AS score FROM models m CROSS JOIN axes a "
+    f"axs AS (SELECT m.model, level, axis, sum(weight * {_norm('(CASE WHEN adjusted AND score = 0 THEN NULL ELSE score END)')}) / sum(weight) AS score FROM models m CROSS JOIN axes a "
     "LEFT JOIN adj USING (model, task, metric) GROUP BY m.model, level, axis)"
 )
 
