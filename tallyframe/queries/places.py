@@ -164,7 +164,31 @@ def bbox_convert(spark, sf_dir):
     )
 
 
-@query("heatmap_auc")
+def _heat(x: str, y: str) -> str:
+    """Float-precision heat of a point at pixel (i, j)."""
+    dx, dy = f"(i - CAST({x} AS FLOAT))", f"(j - CAST({y} AS FLOAT))"
+    return f"CAST(exp(CAST(-({dx} * {dx} + {dy} * {dy}) / CAST(18.0 AS FLOAT) AS DOUBLE)) AS FLOAT)"
+
+
+def _pixel(value: str) -> str:
+    return f"CAST({value} / 1000 * 63 AS FLOAT)"
+
+
+HEAT_POINTS = ", ".join(f"{_pixel(_s(a))} AS gx{k}, {_pixel(_s(b))} AS gy{k}" for k, (a, b) in enumerate(GT))
+
+
+@query(
+    "heatmap_auc",
+    f"WITH p AS (SELECT event_id, event_type AS grp, CASE WHEN value >= 2 THEN {_pixel(f'(CASE WHEN value < 10 THEN {_s(13)} ELSE {_s(37)} END)')} END AS px, "
+    f"{_pixel(f'(CASE WHEN value < 10 THEN {_s(17)} ELSE {_s(91)} END)')} AS py, {HEAT_POINTS} FROM events), "
+    "g AS (SELECT CAST(i AS FLOAT) AS i, CAST(j AS FLOAT) AS j FROM range(64) a(i), range(64) b(j)), "
+    f"h AS (SELECT event_id, grp, coalesce({_heat('px', 'py')}, CAST(0 AS FLOAT)) AS s, {' + '.join(_heat(f'gx{k}', f'gy{k}') for k in range(3))} AS t FROM p, g), "
+    "m AS (SELECT event_id, max(t) AS peak FROM h GROUP BY event_id), "
+    "c AS (SELECT event_id, grp, s, count(*) FILTER (WHERE t / peak >= 0.5) AS pos, count(*) FILTER (WHERE t / peak < 0.5) AS neg FROM h JOIN m USING (event_id) GROUP BY event_id, grp, s), "
+    "r AS (SELECT *, sum(neg) OVER (PARTITION BY event_id ORDER BY s) AS cn FROM c), "
+    "a AS (SELECT event_id, grp, sum(pos * (cn - neg / 2)) / (sum(pos) * sum(neg)) AS auc FROM r GROUP BY event_id, grp), "
+    "wide AS (SELECT grp, avg(auc) AS v, count(*) AS n FROM a GROUP BY grp) " + unpivot("wide", ["grp"], {"auc": "v"}),
+)
 def heatmap_auc(spark, sf_dir):
     rows = _points(Tables(spark, sf_dir)).select("grp", "gt", F.col("pred"))
     return scores(loc.heatmap_auc(rows, ["grp"]))
