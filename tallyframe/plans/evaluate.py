@@ -17,7 +17,7 @@ from tallyframe.functions import messages as ms
 from tallyframe.functions import parse as ps
 from tallyframe.metrics.registry import COUNTS_ROWS, run_metric
 from tallyframe.plans.tasks import TASKS, Task, resolve_split
-from tallyframe.session import staged
+from tallyframe.session import checkpoint, staged
 
 RUN = ["model", "task", "split"]
 COMPLIANCE_FLOOR = 0.80
@@ -115,6 +115,8 @@ def evaluate(
         users = [k for k, t in scored_tasks.items() if name in t.metrics]
         scored = run_metric(name, rows.where(_known(users)), RUN, strict).withColumn("source", F.lit(name))
         results = scored if results is None else results.unionByName(scored)
+    # A few rows per run: computed once for the metrics and for the summary.
+    results = checkpoint(results)
     used = results.where(F.col("source").isin(*COUNTS_ROWS)).groupBy(*RUN).agg(F.min("n_used").alias("used"))
     counted = (
         format_compliance(parsed)
