@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.operators.select import majority_label
+from tallyframe.session import staged
 
 # The centre of the 0..1000 grid as a point and as a box.
 CENTER_POINT = [500, 500]
@@ -181,10 +182,14 @@ def baseline_report(truth: DataFrame) -> DataFrame:
         if shown:
             constant = F.when(F.col("baseline_key") == key, shown()).otherwise(constant)
     # One learnt answer per task: a table of at most as many rows as there are tasks.
-    rows = test.join(F.broadcast(learnt), "baseline_key", "left").withColumn(
-        "pred", F.try_parse_json(F.coalesce("answer", constant))
+    answered = test.join(F.broadcast(learnt), "baseline_key", "left").select(
+        "baseline_key", F.to_json("gt").alias("gt"), F.coalesce("answer", constant).alias("pred")
     )
-    rows = rows.where("pred IS NOT NULL").select("baseline_key", "gt", "pred")
+    kept = staged(answered.where("pred IS NOT NULL"), ["baseline_key"])
+    rows = kept.select("baseline_key", F.try_parse_json("gt").alias("gt"), F.try_parse_json("pred").alias("pred"))
+    # At most one row per task.
+    present = {r["baseline_key"] for r in kept.select("baseline_key").distinct().collect()}
+    plan = {k: s for k, s in plan.items() if k in present}
     report = spark.createDataFrame(
         [(k, m, v, 0) for (k, m), v in ANALYTIC.items()], "baseline_key string, metric string, value double, n_used long"
     )

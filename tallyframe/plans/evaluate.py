@@ -63,14 +63,14 @@ def pair_answers(
     answer = ms.answer_text(F.col("messages"), "last")
     parsed = paired.select(
         *RUN,
-        "row_idx",
+        align,
         ps.parse_response(response).alias("found"),
         fallback.alias("spoken"),
         ps.parse_response(answer).alias("gt"),
         F.when(needs_head, ms.extract_box(F.coalesce("asked", "messages"))).alias("head"),
     )
     return parsed.select(
-        *RUN, "row_idx", F.coalesce("found", "spoken").alias("pred"), "gt", "head"
+        *RUN, align, F.coalesce("found", "spoken").alias("pred"), "gt", "head"
     ).withColumns(
         {
             "parsed": ps.is_object(F.col("pred")),

@@ -149,6 +149,28 @@ def test_scoring_run(spark, run):
     assert (capped.n_samples, capped.n_valid) == (1, 1)
 
 
+def test_head_box_comes_from_the_prompt(spark):
+    def chat(box, answer):
+        return [("user", f"head {box}"), ("assistant", json.dumps(answer))]
+
+    truth = spark.createDataFrame(
+        [("gazefollow-vlm", "validation", "a", chat("[0, 0, 0, 0]", {"gaze_point": [0, 500]})),
+         ("gazefollow-vlm", "validation", "b", chat("none", {"gaze_point": [0, 500]})),
+         ("meview-omni", "test", "c", chat("", {"emotion": "fear"}))],
+        f"task string, split string, id string, messages {ms.MESSAGES}",
+    )
+    predictions = spark.createDataFrame(
+        [("m", "gazefollow-vlm", "val", "a", '{"gaze_point": [500, 500]}', None),
+         ("m", "gazefollow-vlm", "val", "b", '{"gaze_point": [0, 0]}', [("user", "at [0, 0, 0, 0]")]),
+         ("m", "meview-omni", "test", "c", "It shows Fear.", None)],
+        f"model string, task string, split string, id string, response string, messages {ms.MESSAGES}",
+    )
+    got = {(r.task, r.metric): r.value for r in evaluate(predictions, truth, align="id").metrics.collect()}
+    assert got["gazefollow-vlm", "min_angular_error"] == pytest.approx((45 + 90) / 2)
+    assert got["gazefollow-vlm", "avg_dist"] == pytest.approx(0.5)
+    assert got["meview-omni", "accuracy"] == 1.0
+
+
 def test_no_usable_answer_is_an_error(spark, run):
     _, root = run
     truth = rd.load_truth(spark, root, "mustard-omni_video-context", "test")
