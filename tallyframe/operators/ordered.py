@@ -8,6 +8,8 @@ that large, the plan is the plain window.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
@@ -41,39 +43,70 @@ def hot_keys(df: DataFrame, keys: list[str], max_rows: int) -> DataFrame | None:
     return df.sparkSession.createDataFrame(rows, counted.schema) if rows else None
 
 
+def _as_number(df: DataFrame, value: Column) -> Column:
+    """A double that never falls when ``value`` rises; NULL comes first."""
+    kind = df.select(value).dtypes[0][1]
+    if kind == "string":
+        first_bytes = F.substring(F.encode(value, "UTF-8"), 1, 6)
+        value = F.conv(F.rpad(F.hex(first_bytes), 12, "0"), 16, 10)
+    elif kind == "timestamp_ntz":
+        value = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), value)
+    elif kind == "date":
+        value = F.unix_date(value)
+    return F.coalesce(value.cast("double"), F.lit(float("-inf")))
+
+
+def _splits(rows: DataFrame, column: str, ranges: int) -> tuple[list[float], list[int]]:
+    """Range borders from quantiles, and the ranges that hold one frequent value only."""
+    found = rows.where(F.col(column) > F.lit(float("-inf")))
+    cuts = found.approxQuantile(column, [i / ranges for i in range(1, ranges)], 0.25 / ranges)
+    frequent = {c for c, n in Counter(cuts).items() if n > 1}
+    borders = sorted(set(cuts) | {math.nextafter(c, math.inf) for c in frequent})
+    splits = [float("-inf"), *borders, float("inf")]
+    return splits, [i for i, s in enumerate(splits[:-1]) if s in frequent]
+
+
+def _range_of(df: DataFrame, column: str, splits: list[float], out: str) -> DataFrame:
+    if len(splits) < 3:
+        return df.withColumn(out, F.lit(0.0))
+    return Bucketizer(splits=splits, inputCol=column, outputCol=out, handleInvalid="keep").transform(df)
+
+
 def cut_ranges(
-    df: DataFrame, keys: list[str], order_value: Column, max_rows: int
+    df: DataFrame, keys: list[str], order_values: list[Column], max_rows: int
 ) -> tuple[DataFrame, DataFrame | None]:
-    """Add ``__part``: 0 for ordinary keys, a range number that rises with ``order_value`` for hot ones.
+    """Add ``__part``: 0 for ordinary keys, a range number that rises with the order for hot ones.
 
+    Ranges follow the first order value. A value so frequent that it fills a
+    range of its own is cut further by the second order value.
     Returns the table and the hot keys, or None for them when there are none.
     """
     hot = hot_keys(df, keys, max_rows)
     if hot is None:
-        return df.withColumn("__part", F.lit(0)), None
+        return df.withColumn("__part", F.lit(0).cast("long")), None
     largest = hot.agg(F.max("__n")).first()[0]
     ranges = min(MAX_RANGES, 2 * -(-largest // max_rows))
-    if df.select(order_value).dtypes[0][1] == "timestamp_ntz":
-        epoch = F.lit("1970-01-01").cast("timestamp_ntz")
-        order_value = F.timestamp_diff("MICROSECOND", epoch, order_value)
-    value = F.coalesce(order_value.cast("double"), F.lit(float("-inf")))
-    valued = df.withColumn("__value", value)
+    names = [f"__value{i}" for i in range(min(2, len(order_values)))]
+    valued = df.withColumns({n: _as_number(df, v) for n, v in zip(names, order_values)})
     inside = valued.join(F.broadcast(hot), same_keys(valued, hot, keys), "left_semi") if keys else valued
-    probs = [i / ranges for i in range(1, ranges)]
-    cuts = inside.where("__value > double('-inf')").approxQuantile("__value", probs, 0.25 / ranges)
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    cut = Bucketizer(splits=splits, inputCol="__value", outputCol="__range", handleInvalid="keep")
-    marked = cut.transform(valued)
+    splits, frequent = _splits(inside, names[0], ranges)
+    marked = _range_of(valued, names[0], splits, "__range")
+    part = (F.col("__range") + 1).cast("long") * (4 * MAX_RANGES)
+    if frequent and len(names) > 1:
+        crowded = _range_of(inside, names[0], splits, "__range").where(F.col("__range").isin(frequent))
+        finer, _ = _splits(crowded, names[1], ranges)
+        marked = _range_of(marked, names[1], finer, "__finer")
+        part = part + F.when(F.col("__range").isin(frequent), F.col("__finer").cast("long")).otherwise(F.lit(0))
     if keys:
         flags = hot.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.lit(True).alias("__hot"))
         match = reduce(
             lambda a, b: a & b, [marked[k].eqNullSafe(flags[f"__k{i}"]) for i, k in enumerate(keys)]
         )
-        marked = marked.join(F.broadcast(flags), match, "left").drop(*[f"__k{i}" for i in range(len(keys))])
+        marked = marked.join(F.broadcast(flags), match, "left")
     else:
         marked = marked.withColumn("__hot", F.lit(True))
-    part = F.when(F.col("__hot"), F.col("__range").cast("int") + 1).otherwise(F.lit(0))
-    return marked.withColumn("__part", part).drop("__value", "__range", "__hot"), hot
+    marked = marked.withColumn("__part", F.when(F.col("__hot"), part).otherwise(F.lit(0)))
+    return marked.select(*df.columns, "__part"), hot
 
 
 def ordered_scan(
@@ -89,11 +122,11 @@ def ordered_scan(
     """Inclusive running ``sum`` / ``min`` / ``max`` per key, in the given order.
 
     ``order`` must be unique per key for a reproducible result. ``order_value``
-    is a number that never falls along ``order``; it defaults to the first
-    order column.
+    is a number that never falls along ``order``; without it the first two order
+    columns are used.
     """
-    value = order_value if order_value is not None else F.col(order[0])
-    parted, hot = cut_ranges(df, keys, value, row_limit(df, max_rows))
+    values = [order_value] if order_value is not None else [F.col(c) for c in order]
+    parted, hot = cut_ranges(df, keys, values, row_limit(df, max_rows))
     direction = [F.desc(c) if reverse else F.asc(c) for c in order]
     group = [F.col(k) for k in keys]
     local = (

@@ -60,6 +60,25 @@ def test_scan_of_the_whole_table(skewed):
     assert sorted(r.frame for r in got) == list(range(900))
 
 
+def test_frequent_order_values_are_cut_by_the_next_column(spark):
+    from tallyframe.operators.ordered import cut_ranges
+
+    rows = [("hot", i % 3, f"n{i:04d}") for i in range(600)] + [("cold", 1, "x")]
+    df = spark.createDataFrame(rows, "clip string, t int, name string").repartition(5)
+    parted, _ = cut_ranges(df, ["clip"], [F.col("t"), F.col("name")], 20)
+    sizes = parted.where("clip = 'hot'").groupBy("__part").count()
+    assert sizes.agg(F.max("count")).first()[0] < 60
+    got = row_index(df, ["clip"], ["t", "name"], max_rows=20).where("clip = 'hot'").orderBy("frame").collect()
+    assert [(r.t, r.name) for r in got] == sorted((t, n) for c, t, n in rows if c == "hot")
+    assert [r.frame for r in got] == list(range(600))
+
+
+def test_one_order_value_for_all_rows(spark):
+    df = spark.range(50).select(F.lit("k").alias("k"), F.lit(None).cast("int").alias("t"), "id")
+    got = row_index(df, ["k"], ["t", "id"], max_rows=10).orderBy("id").collect()
+    assert [r.frame for r in got] == list(range(50))
+
+
 def test_null_keys_are_a_group(spark):
     df = spark.createDataFrame([(None, i) for i in range(30)] + [("a", i) for i in range(5)], "k string, t int")
     got = row_index(df, ["k"], ["t"], max_rows=4).collect()
