@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.functions.binding import let
 from tallyframe.functions.timeline import SILENCE
 from tallyframe.operators.joins import lookup_join
 from tallyframe.operators.windows import sliding_seconds
@@ -123,9 +124,9 @@ def bin_timeline(
     )
 
     def label(i: Column) -> Column:
-        active = F.filter("lettered", lambda s: F.getbit(s["bits"], i) == 1)
-        text = F.array_join(F.transform(active, lambda s: s["letter"]), "")
-        return F.when(text == "", SILENCE).otherwise(text)
+        # Speakers that are not active give NULL, which the join of texts leaves out.
+        active = F.transform("lettered", lambda s: F.when(F.getbit(s["bits"], i) == 1, s["letter"]))
+        return let(F.array_join(active, ""), lambda text: F.when(text == "", SILENCE).otherwise(text))
 
     return rows.select(
         "clip",
