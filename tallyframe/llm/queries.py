@@ -28,3 +28,62 @@ def op3_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     marked, out = contamination(docs, table(spark, folder, "benchmark"))
     fields = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     return marked.select("doc_id", *[F.col(out).getField(f).alias(f) for f in fields])
+
+
+@query
+def op1_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    from tallyframe.llm.mixture import mixture
+
+    return mixture(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op8_hilbert_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    from tallyframe.llm.sharding import shard
+
+    placed = shard(table(spark, folder, "documents"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve"
+    )
+
+
+@query
+def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    from tallyframe.llm.extract import extract
+
+    pages, out = extract(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", F.col(out).alias("text"), F.char_length(out).cast("long").alias("n_chars"))
+
+
+@query
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from tallyframe.llm.lines import dedup_lines
+
+    rows, out = dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", *[F.col(out).getField(f).alias(f) for f in ("n_lines", "n_dropped", "kept_sha256")])
+
+
+@query
+def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    from tallyframe.llm.common import crc_mod
+    from tallyframe.llm.quality import FOLD, FOLDS, THRESHOLD, score
+
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    rows, out = score(docs, table(spark, folder, "labels"))
+    fields = [F.col(out).getField(f).alias(f"{f}_score" if f != "score" else f) for f in ("own", "host", "path", "score")]
+    kept = (F.col(out).getField("score") >= THRESHOLD).alias("kept")
+    return rows.select("doc_id", (crc_mod("doc_id", FOLDS) == FOLD).alias("held_out"), *fields, kept)
+
+
+@query
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from tallyframe.llm.common import crc_mod
+    from tallyframe.llm.toxicity import FOLD, FOLDS, score
+
+    rows, out = score(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels"))
+    value = F.col(out).getField("score")
+    spans = F.col(out).getField("spans")
+    return rows.select(
+        "doc_id", (crc_mod("doc_id", FOLDS) == FOLD).alias("held_out"), value.alias("score"), (value >= 0.5).cast("int").alias("predicted"),
+        F.size(spans).cast("long").alias("n_spans"),
+    )
