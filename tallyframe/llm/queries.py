@@ -87,3 +87,17 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", (crc_mod("doc_id", FOLDS) == FOLD).alias("held_out"), value.alias("score"), (value >= 0.5).cast("int").alias("predicted"),
         F.size(spans).cast("long").alias("n_spans"),
     )
+
+
+@query
+def op2_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    from tallyframe.llm.fingerprint import compare
+
+    return compare(table(spark, folder, "documents"))
+
+
+@query
+def op4_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    from tallyframe.llm.similarity import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
