@@ -100,7 +100,7 @@ def id_ranges(docs: DataFrame, id_column: str) -> tuple[Column, list[tuple[int,
     wanted = int(min(RANGES, max(1, n // ROWS_PER_RANGE)))
     bounds: list[int] = []
     if wanted > 1:
-        shares = F.expr(f"transform(sequence(1, {wanted - 1}), i -> i / {float(wanted)}D)")
+        shares = F.expr("cast(split('%s', ',') as array<double>)" % ",".join(str(i / wanted) for i in range(1, wanted)))
         bounds = sorted(set(ids.agg(F.percentile_approx("id", shares, max(10_000, 10 * wanted))).first()[0] or ()))
     # Two steps, so that a row looks at about two times the root of the number of bounds.
     step = max(1, int(len(bounds) ** 0.5))
