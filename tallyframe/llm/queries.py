@@ -101,3 +101,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     from tallyframe.llm.similarity import near_duplicates
 
     return near_duplicates(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op6_katz_backoff_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    from tallyframe.llm.language_model import score
+
+    return score(table(spark, folder, "documents").select("doc_id", "text"))
