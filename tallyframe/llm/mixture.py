@@ -26,7 +26,7 @@ from tallyframe.llm.common import checkpoint, fresh, staged
 WORDS = r"[^\x20\x09-\x0D]+"
 CAP, SEED = 3, "mix-1"
 WEIGHTS = (1, 2, 3)
-#: Hex digits of the digest per level: 1024 slices would be 2.5 digits, so 3 digits (4096 slices) are taken.
+#: Hex digits of the digest that each level of slices adds: 4096 slices.
 SLICE = 3
 #: Rows of the source table are repeated so often, and rows of a source dealt over as many keys, to join a hot source.
 SALTS = 32
@@ -145,4 +145,5 @@ def mix(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", sourc
 
 def first_words(text: Column, n: Column) -> Column:
     """The text up to the end of its n-th word."""
-    return F.regexp_extract(text, F.concat(F.lit(r"^(?s:[\x20\x09-\x0D]*"), F.lit(WORDS), F.lit("){"), n.cast("string"), F.lit("}")), 0)
+    pieces = F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*{WORDS}"), F.lit(0))
+    return F.array_join(F.slice(pieces, 1, n), "")

@@ -7,8 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe.llm import oracles
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_source_mixing": oracles.OP1, "op3_benchmark_decontamination": oracles.OP3, "op4_ngram_jaccard_join": oracles.OP4,
+    "op5_line_dedup": oracles.OP5,
+}
 
 
 def query(function):
