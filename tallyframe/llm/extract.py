@@ -5,8 +5,8 @@ main text, learned from labelled pages: pages that mark their article themselves
 above zero, tags mostly below. One linear scan finds the contiguous run with the highest sum; inside it, elements that
 are never main text (menus, forms, scripts, notices, comments by readers) are left out, and the blocks are joined.
 
-The weights come from a bounded number of labelled pages (``train_pages``, in the order of a digest of the url), the
-extraction runs over whole pages. Defined cases: null and empty html give empty text; so does a page without a run above
+The weights come from a bounded number of labelled pages (``train_pages``, in the order of a digest of the url; pages
+that share the last url are all taken), the extraction runs over whole pages. Defined cases: null and empty html give empty text; so does a page without a run above
 zero. Broken markup (unclosed elements, cut-off pages and references) is read as far as it goes.
 """
 
@@ -107,8 +107,11 @@ def token_counts(page: str) -> dict[str, tuple[int, int]] | None:
 
 def learn_weights(pages: DataFrame, *, html_column: str = "html", order: str = "url", train_pages: int = TRAIN_PAGES) -> dict[str, float]:
     """The weight of each kind of token: word at most 1 and above zero, tags by their log-odds against words."""
-    picked = pages.where(F.contains(F.lower(html_column), F.lit("<article"))).select(html_column, F.md5(F.col(order).cast("string")).alias("_m"))
-    picked = picked.orderBy("_m").limit(train_pages).select(F.col(html_column).alias("h"))
+    digest = F.md5(F.coalesce(F.col(order).cast("string"), F.lit("")))
+    marked = pages.where(F.contains(F.lower(html_column), F.lit("<article"))).select(F.col(html_column).alias("h"), digest.alias("m"))
+    # Only digests are ordered; the pages up to the last of them are read where they lie.
+    last = marked.select("m").orderBy("m").limit(train_pages).agg(F.max("m")).first()[0]
+    picked = marked.where(F.col("m") <= F.lit(last)).select("h")
 
     def run(batches):
         for batch in batches:

@@ -15,12 +15,12 @@ WITH sized AS (
            CAST([1, 2, 3][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight
     FROM sized GROUP BY source
 ), steps AS (
-    SELECT *, 3.0::DOUBLE * source_size AS cap,
+    SELECT *, 3.0::DOUBLE * source_size AS cap, row_number() OVER (ORDER BY 3.0::DOUBLE * source_size / weight, source NULLS LAST) AS place,
            (sum(CAST(source_size AS DOUBLE)) OVER () - coalesce(sum(3.0::DOUBLE * source_size) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
     FROM sources
     WINDOW before AS (ORDER BY 3.0::DOUBLE * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), final AS (
-    SELECT coalesce(min(level) FILTER (WHERE level * weight <= cap), max(level)) AS level FROM steps
+    SELECT coalesce(arg_min(level, place) FILTER (WHERE level * weight <= cap), 1e300) AS level FROM steps
 ), plan AS (
     SELECT source, source_size, least(weight * final.level, cap) AS target,
            CASE WHEN source_size > 0 THEN CAST(floor(least(weight * final.level, cap) / source_size) AS BIGINT) ELSE 0 END AS whole
@@ -66,7 +66,7 @@ OP4 = f"""
 WITH RECURSIVE docs AS (
     SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents
 ), sets AS (
-    SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i : i + 4], ' ')))
+    SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')))
                         WHEN len(w) > 0 THEN [array_to_string(w, ' ') || ' ' || len(w)] ELSE [] END AS s FROM docs
 ), tokens AS (
     SELECT doc_id, len(s) AS n, unnest(s) AS token FROM sets
