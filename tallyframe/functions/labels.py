@@ -83,7 +83,7 @@ def annotator_vote(labels: Column, order: list[str] | None = None, empty: str |
     else:
         ordered = F.array(*[F.lit(o) for o in order])
         rank = lambda name: F.coalesce(
-            F.nullif(F.array_position(ordered, name), F.lit(0).cast("long")), F.lit(99).cast("long")
+            F.nullif(F.array_position(ordered, name), F.lit(0).cast("long")), F.lit(len(order) + 1).cast("long")
         )
     scored = F.transform(
         names,

@@ -39,8 +39,12 @@ def segments_in_windows(
     )
 
 
-def _active_bins(bin_sec: float, n_bins: int) -> Column:
-    """Bits of the bins that one segment covers by more than half.
+#: Bits used of each number; the bins of a window are spread over as many numbers as they need.
+WORD = 60
+
+
+def _active_bins(bin_sec: float, n_bins: int) -> list[Column]:
+    """Bits of the bins that one segment covers by more than half, ``WORD`` bins per number.
 
     The covered bins of a segment are neighbours: only the first and the last
     touched bin can be covered too little.
@@ -55,8 +59,12 @@ def _active_bins(bin_sec: float, n_bins: int) -> Column:
     low = F.when(covered(first), first).otherwise(first + 1).cast("int")
     high = F.when(covered(last), last).otherwise(last - 1).cast("int")
     one = F.lit(1).cast("long")
-    bits = F.call_function("shiftleft", one, high + 1) - F.call_function("shiftleft", one, low)
-    return F.when(low <= high, bits).otherwise(F.lit(0).cast("long"))
+    words = []
+    for base in range(0, n_bins, WORD):
+        a, b = F.greatest(low - base, F.lit(0)), F.least(high - base, F.lit(WORD - 1))
+        bits = F.call_function("shiftleft", one, b + 1) - F.call_function("shiftleft", one, a)
+        words.append(F.when(a <= b, bits).otherwise(F.lit(0).cast("long")))
+    return words
 
 
 def window_speakers(placed: DataFrame, bin_sec: float = 0.5, n_bins: int = 60) -> DataFrame:
@@ -65,18 +73,19 @@ def window_speakers(placed: DataFrame, bin_sec: float = 0.5, n_bins: int = 60) -
     A speaker's segments are merged by a bitwise OR before the shuffle, so no row
     is made per bin and a window holds one entry per speaker.
     """
-    if n_bins > 62:
-        raise ValueError("at most 62 bins per window")
+    words = _active_bins(bin_sec, n_bins)
+    names = [f"b{i}" for i in range(len(words))]
+    any_bits = [F.bit_count(F.bit_or(n)) for n in names]
+    total = any_bits[0]
+    for count in any_bits[1:]:
+        total = total + count
     return (
         placed.groupBy("clip", "win_start", "speaker")
-        .agg(
-            F.min(F.struct("rel_start", "start", "seq")).alias("first"),
-            F.bit_or(_active_bins(bin_sec, n_bins)).alias("bits"),
-        )
+        .agg(F.min(F.struct("rel_start", "start", "seq")).alias("first"), *[F.bit_or(w).alias(n) for n, w in zip(names, words)])
         .groupBy("clip", "win_start")
         .agg(
-            F.array_sort(F.collect_list(F.struct("first", "speaker", "bits"))).alias("speakers"),
-            F.bit_count(F.bit_or("bits")).alias("active_bins"),
+            F.array_sort(F.collect_list(F.struct("first", "speaker", F.array(*names).alias("bits")))).alias("speakers"),
+            total.alias("active_bins"),
         )
     )
 
@@ -120,12 +129,13 @@ def bin_timeline(
         "speakers", lambda s, i: F.struct(letter_of(i).alias("letter"), s["bits"].alias("bits"))
     )
     rows = spoken.where(F.coalesce("active_bins", F.lit(0)) >= min_bins).withColumn(
-        "lettered", F.coalesce(lettered, F.array().cast("array<struct<letter:string,bits:bigint>>"))
+        "lettered", F.coalesce(lettered, F.array().cast("array<struct<letter:string,bits:array<bigint>>>"))
     )
 
     def label(i: Column) -> Column:
         # Speakers that are not active give NULL, which the join of texts leaves out.
-        active = F.transform("lettered", lambda s: F.when(F.getbit(s["bits"], i) == 1, s["letter"]))
+        word, bit = F.floor(i / WORD).cast("int"), (i % WORD).cast("int")
+        active = F.transform("lettered", lambda s: F.when(F.getbit(F.get(s["bits"], word), bit) == 1, s["letter"]))
         return let(F.array_join(active, ""), lambda text: F.when(text == "", SILENCE).otherwise(text))
 
     return rows.select(

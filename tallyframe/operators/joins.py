@@ -40,24 +40,15 @@ def absent_from(df: DataFrame, listing: DataFrame, on: list[str]) -> DataFrame:
     return df.join(listing.select(*on), on, "left_anti")
 
 
-def gather(
-    df: DataFrame, keys: list[str], order: list[str], item: Column, out: str, max_items: int = 100_000
-) -> DataFrame:
-    """Collect the items of each key into one ordered array.
+def gather(df: DataFrame, keys: list[str], order: list[str], item: Column, out: str) -> DataFrame:
+    """Collect the items of each key into one ordered array, one row per key.
 
-    Keys above ``max_items`` continue in further rows numbered by ``part``, so
-    no row or task holds an unbounded group; ordinary keys have one row with
-    part 0.
+    The array is the answer itself, so it must fit into a row; a larger one
+    fails. Every input partition collects its own part before the shuffle.
+    Where only a few items of a key are used, number the rows and join instead.
     """
-    numbered = ordered_scan(df, keys, order, {"__i": ("sum", F.lit(1).cast("long"))}, max_rows=max_items)
-    numbered = numbered.withColumn("part", F.floor((F.col("__i") - 1) / max_items).cast("int"))
-    pairs = F.array_sort(F.collect_list(F.struct(F.col("__i"), item.alias("item"))))
-    return (
-        numbered.groupBy(*keys, "part")
-        .agg(pairs.alias("__pairs"))
-        .withColumn(out, F.transform("__pairs", lambda p: p["item"]))
-        .drop("__pairs")
-    )
+    pairs = F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("at"), item.alias("item"))))
+    return df.groupBy(*keys).agg(F.transform(pairs, lambda p: p["item"]).alias(out))
 
 
 def asof_next(

@@ -8,17 +8,16 @@ that large, the plan is the plain window.
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Rows of one key that a single task may take; ``spark.tallyframe.maxRowsPerKey`` overrides it.
 MAX_ROWS = 2_000_000
 MAX_RANGES = 20_000
+# Rows looked at for each range border.
+SAMPLED = 16
 
 _LOCAL = {"sum": F.sum, "min": F.min, "max": F.max}
 
@@ -43,60 +42,36 @@ def hot_keys(df: DataFrame, keys: list[str], max_rows: int) -> DataFrame | None:
     return df.sparkSession.createDataFrame(rows, counted.schema) if rows else None
 
 
-def _as_number(df: DataFrame, value: Column) -> Column:
-    """A double that never falls when ``value`` rises; NULL comes first."""
-    kind = df.select(value).dtypes[0][1]
-    if kind == "string":
-        first_bytes = F.substring(F.encode(value, "UTF-8"), 1, 6)
-        value = F.conv(F.rpad(F.hex(first_bytes), 12, "0"), 16, 10)
-    elif kind == "timestamp_ntz":
-        value = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), value)
-    elif kind == "date":
-        value = F.unix_date(value)
-    return F.coalesce(value.cast("double"), F.lit(float("-inf")))
-
-
-def _splits(rows: DataFrame, column: str, ranges: int) -> tuple[list[float], list[int]]:
-    """Range borders from quantiles, and the ranges that hold one frequent value only."""
-    found = rows.where(F.col(column) > F.lit(float("-inf")))
-    cuts = found.approxQuantile(column, [i / ranges for i in range(1, ranges)], 0.25 / ranges)
-    frequent = {c for c, n in Counter(cuts).items() if n > 1}
-    borders = sorted(set(cuts) | {math.nextafter(c, math.inf) for c in frequent})
-    splits = [float("-inf"), *borders, float("inf")]
-    return splits, [i for i, s in enumerate(splits[:-1]) if s in frequent]
-
-
-def _range_of(df: DataFrame, column: str, splits: list[float], out: str) -> DataFrame:
-    if len(splits) < 3:
-        return df.withColumn(out, F.lit(0.0))
-    return Bucketizer(splits=splits, inputCol=column, outputCol=out, handleInvalid="keep").transform(df)
-
-
 def cut_ranges(
     df: DataFrame, keys: list[str], order_values: list[Column], max_rows: int
 ) -> tuple[DataFrame, DataFrame | None]:
     """Add ``__part``: 0 for ordinary keys, a range number that rises with the order for hot ones.
 
-    Ranges follow the first order value. A value so frequent that it fills a
-    range of its own is cut further by the second order value.
+    Ranges are cut at values that rows of the hot keys have: all order values
+    together, so rows stay in one range only if they agree in every one.
     Returns the table and the hot keys, or None for them when there are none.
     """
     hot = hot_keys(df, keys, max_rows)
     if hot is None:
         return df.withColumn("__part", F.lit(0).cast("long")), None
-    largest = hot.agg(F.max("__n")).first()[0]
-    ranges = min(MAX_RANGES, 2 * -(-largest // max_rows))
-    names = [f"__value{i}" for i in range(min(2, len(order_values)))]
-    valued = df.withColumns({n: _as_number(df, v) for n, v in zip(names, order_values)})
+    ranges = min(MAX_RANGES, 2 * -(-hot.agg(F.sum("__n")).first()[0] // max_rows))
+    at = F.struct(*[v.alias(f"v{i}") for i, v in enumerate(order_values)])
+    valued = df.withColumn("__at", at)
     inside = valued.join(F.broadcast(hot), same_keys(valued, hot, keys), "left_semi") if keys else valued
-    splits, frequent = _splits(inside, names[0], ranges)
-    marked = _range_of(valued, names[0], splits, "__range")
-    part = (F.col("__range") + 1).cast("long") * (4 * MAX_RANGES)
-    if frequent and len(names) > 1:
-        crowded = _range_of(inside, names[0], splits, "__range").where(F.col("__range").isin(frequent))
-        finer, _ = _splits(crowded, names[1], ranges)
-        marked = _range_of(marked, names[1], finer, "__finer")
-        part = part + F.when(F.col("__range").isin(frequent), F.col("__finer").cast("long")).otherwise(F.lit(0))
+    # An even sample, the same on every run: the rows with the least hashes.
+    sampled = inside.select("__at").orderBy(F.xxhash64("__at"), "__at").limit(SAMPLED * ranges)
+    sampled = sampled.agg(F.array_sort(F.collect_list("__at")).alias("all"))
+    every = F.filter("all", lambda c, i: i % SAMPLED == SAMPLED - 1)
+    cuts = sampled.select(F.array_distinct(every).alias("__cuts"))
+    steps = F.array(*[F.lit(1 << i) for i in range(MAX_RANGES.bit_length(), -1, -1)])
+    below = F.aggregate(
+        steps,
+        F.lit(0),
+        lambda n, step: n + F.when(F.get("__cuts", n + step - 1) <= F.col("__at"), step).otherwise(0),
+    )
+    # One row of at most MAX_RANGES values.
+    marked = valued.crossJoin(F.broadcast(cuts))
+    part = (below + 1).cast("long")
     if keys:
         flags = hot.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.lit(True).alias("__hot"))
         match = reduce(
@@ -122,8 +97,8 @@ def ordered_scan(
     """Inclusive running ``sum`` / ``min`` / ``max`` per key, in the given order.
 
     ``order`` must be unique per key for a reproducible result. ``order_value``
-    is a number that never falls along ``order``; without it the first two order
-    columns are used.
+    is a value that never falls along ``order``; without it all order columns
+    are used.
     """
     values = [order_value] if order_value is not None else [F.col(c) for c in order]
     parted, hot = cut_ranges(df, keys, values, row_limit(df, max_rows))

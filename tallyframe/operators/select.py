@@ -186,7 +186,7 @@ def majority_label(
     """
     if order is not None:
         place = F.array_position(F.array(*[F.lit(o) for o in order]), F.col(label))
-        rank = F.when(place == 0, F.lit(99)).otherwise(place).cast("long")
+        rank = F.when(place == 0, F.lit(len(order) + 1)).otherwise(place).cast("long")
         first = F.min(rank)
     else:
         first = F.min(seen) if seen else F.min(F.lit(0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyframe.operators import joins, select, split, windows
-from tallyframe.operators.ordered import hash_order
+from tallyframe.operators.ordered import hash_order, row_index
 from tallyframe.queries.base import FRAMES, TYPES, Tables, frames, query, r6
 
 WINDOWS = (
@@ -316,8 +316,6 @@ def present_in(spark, sf_dir):
     "WHERE a.event_type = 'click' AND a.value >= 1 AND c.value >= 1",
 )
 def three_way_frames(spark, sf_dir):
-    from tallyframe.operators.ordered import row_index
-
     events = Tables(spark, sf_dir).events.withColumnRenamed("user_id", "clip")
     streams = row_index(events, ["clip", "event_type"], ["ts", "event_id"], "i")
     stream = lambda kind, column, name: streams.where(F.col("event_type") == kind).select(
@@ -339,22 +337,15 @@ def three_way_frames(spark, sf_dir):
     "SELECT o_orderkey, x.l_partkey AS first_part, y.l_partkey AS second_part FROM p JOIN o x ON x.l_orderkey = o_orderkey AND x.i = a JOIN o y ON y.l_orderkey = o_orderkey AND y.i = b",
 )
 def explode_entities(spark, sf_dir):
-    from tallyframe.functions.geometry import resolve_pair
-
     t = Tables(spark, sf_dir)
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-    listed = joins.gather(t.lineitem, ["l_orderkey"], order, F.col("l_partkey"), "items").where("part = 0")
-    pairs = t.orders.select(
-        F.col("o_orderkey").alias("l_orderkey"),
-        F.concat_ws(" ", F.col("o_custkey") % 5 + 1, F.col("o_orderkey") % 4 + 1).alias("pair"),
-    )
-    found = resolve_pair(F.col("pair"), F.col("items"))
-    return (
-        listed.join(pairs, "l_orderkey")
-        .select(F.col("l_orderkey").alias("o_orderkey"), found.alias("found"))
-        .where("found IS NOT NULL")
-        .select("o_orderkey", F.col("found")[0].alias("first_part"), F.col("found")[1].alias("second_part"))
-    )
+    pairs = t.orders.select("o_orderkey", F.concat_ws(" ", F.col("o_custkey") % 5 + 1, F.col("o_orderkey") % 4 + 1).alias("pair"))
+    # Only two items of a list are used: they are joined by their numbers.
+    items = row_index(t.lineitem.withColumnRenamed("l_orderkey", "o_orderkey"), ["o_orderkey"], order, "i").select("o_orderkey", (F.col("i") + 1).alias("i"), "l_partkey")
+    for n, name in enumerate(("first_part", "second_part")):
+        pairs = pairs.withColumn("i", F.split("pair", " ")[n].cast("long")).join(items, ["o_orderkey", "i"]).drop("i")
+        pairs = pairs.withColumnRenamed("l_partkey", name)
+    return pairs.drop("pair")
 
 
 @query(

@@ -222,7 +222,7 @@ def annotator_reduce(spark, sf_dir):
 
 @query(
     "collect_annotators",
-    f"WITH {LINES} SELECT l_orderkey, CAST(0 AS INTEGER) AS part, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY i) AS points, "
+    f"WITH {LINES} SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY i) AS points, "
     "arg_min(l_suppkey, i) AS head FROM lines GROUP BY l_orderkey",
 )
 def collect_annotators(spark, sf_dir):
@@ -231,5 +231,5 @@ def collect_annotators(spark, sf_dir):
     heads = t.lineitem.groupBy("l_orderkey").agg(F.min_by("l_suppkey", order).alias("head"))
     listed = gather(t.lineitem, ["l_orderkey"], LINE_ORDER, F.col("l_partkey").cast("string"), "points")
     return listed.join(heads, "l_orderkey").select(
-        "l_orderkey", "part", F.array_join("points", ",").alias("points"), "head"
+        "l_orderkey", F.array_join("points", ",").alias("points"), "head"
     )

@@ -97,7 +97,7 @@ def gazefollow(lines: DataFrame, split: str, listing: DataFrame | None = None) -
         rows = points.join(heads, keys).withColumns(
             {
                 "answer": json_object(gaze_points=nested_list(F.col("points"), number_list)),
-                "id": F.concat_ws("|", *keys, F.nullif("part", F.lit(0)).cast("string")),
+                "id": F.concat_ws("|", *keys),
             }
         )
     user = F.concat(box_line("<image>\nPerson's head bounding box: ", F.col("box")), F.lit("\nWhere is this person looking?"))

@@ -273,9 +273,8 @@ def msppodcast(consensus: DataFrame, detailed: DataFrame, task: str, listing: Da
             )
         )
     answer = answer_by_split(F.col("split"), single, every)
-    sample_id = F.concat_ws("|", "file", F.nullif("part", F.lit(0)).cast("string"))
     return samples(
-        rows, "msppodcast", task, F.col("split"), sample_id, PODCAST_SYSTEM[task], PODCAST_USER[task], answer, F.col("file")
+        rows, "msppodcast", task, F.col("split"), F.col("file"), PODCAST_SYSTEM[task], PODCAST_USER[task], answer, F.col("file")
     )
 
 

@@ -121,13 +121,31 @@ def test_balanced_negatives(skewed, max_rows):
         assert len(got.get(clip, [])) == min(len(rows), n_neg.get(clip, 0))
 
 
-def test_gather_splits_hot_keys_without_losing_items(skewed):
-    got = joins.gather(skewed, ["clip"], ["t", "id"], F.col("id"), "ids", max_items=50).collect()
-    assert max(len(r.ids) for r in got) <= 50
-    whole = {}
-    for r in sorted(got, key=lambda r: r.part):
-        whole.setdefault(r.clip, []).extend(r.ids)
-    assert whole == {k: [r.id for r in v] for k, v in groups(skewed.collect()).items()}
+def test_gather_keeps_a_key_in_one_row(skewed):
+    got = joins.gather(skewed, ["clip"], ["t", "id"], F.col("id"), "ids").collect()
+    assert {r.clip: r.ids for r in got} == {k: [r.id for r in v] for k, v in groups(skewed.collect()).items()}
+    assert len(got) == len(groups(skewed.collect()))
+
+
+def test_texts_with_one_beginning_are_cut(spark):
+    from tallyframe.operators.ordered import cut_ranges
+
+    rows = [("hot", f"media/images/frame-{i:06d}.jpg") for i in range(1000)]
+    df = spark.createDataFrame(rows, "clip string, path string").repartition(6)
+    parted, _ = cut_ranges(df, ["clip"], [F.col("path")], 100)
+    assert max(r["count"] for r in parted.groupBy("__part").count().collect()) < 200
+    got = row_index(df, ["clip"], ["path"], max_rows=100).collect()
+    assert all(r.frame == int(r.path[19:25]) for r in got)
+
+
+def test_more_bins_than_bits(spark):
+    from tallyframe.operators.intervals import bin_timeline
+
+    segments = spark.createDataFrame([("c", 0, 0.0, 10.0, "x"), ("c", 1, 25.0, 31.0, "y"), ("c", 2, 58.0, 60.0, "x")], "clip string, seq int, start double, end double, speaker string")
+    clips = spark.createDataFrame([("c", 60.0)], "clip string, duration double")
+    (row,) = bin_timeline(segments, clips, size=60, stride=60).collect()
+    want = ["A"] * 20 + ["-"] * 30 + ["B"] * 12 + ["-"] * 54 + ["A"] * 4
+    assert row.timeline == want and row.active_bins == 36 and row.num_speakers == 2
 
 
 def test_hash_split_is_exact_and_stable(skewed):
