@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,15 +26,11 @@ def local_session(cores: str | int = "*", partitions: int = 8, **conf: str) -> S
 
 
 def _checkpoint_folder(spark: SparkSession) -> None:
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, one beside the warehouse, which is shared too."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-            # A local master has no executor to lose.
-            folder = tempfile.mkdtemp(prefix="tallyframe-")
-        context.setCheckpointDir(folder)
+        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        context.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
