@@ -99,9 +99,16 @@ def evaluate(
     max_samples: int | None = None,
     align: str = "row_idx",
     strict: bool = False,
+    runs: DataFrame | None = None,
 ) -> Evaluation:
-    """Parse once, keep the parsed rows by task, then one aggregation per metric over all runs."""
-    unknown = predictions.where(~_known(tasks)).select(*RUN).distinct()
+    """Parse once, keep the parsed rows by task, then one aggregation per metric over all runs.
+
+    Every run among the predictions, and in ``runs`` (model, task, split; for files without a readable line), has a
+    row in the summary; those that cannot be scored say why in ``error``.
+    """
+    listed = predictions.select(*RUN)
+    listed = (listed if runs is None else listed.unionByName(runs.select(*RUN))).distinct()
+    unknown = listed.where(~_known(tasks))
     paired = pair_answers(predictions.where(_known(tasks)), truth, tasks, max_samples, align)
     parsed = staged(paired, ["task"])
     rows = parsed.where("valid").select(
@@ -119,14 +126,18 @@ def evaluate(
     results = checkpoint(results)
     used = results.where(F.col("source").isin(*COUNTS_ROWS)).groupBy(*RUN).agg(F.min("n_used").alias("used"))
     counted = (
-        format_compliance(parsed)
+        listed.where(_known(tasks))
+        .join(format_compliance(parsed), RUN, "left")
+        .fillna(0, ["n_samples", "n_valid", "n_parse_failures"])
         .join(used, RUN, "left")
         .withColumn("n_metric_valid", F.coalesce("used", "n_valid"))
         .withColumns(
             {
-                "format_compliance_rate": F.round(F.col("n_metric_valid") / F.col("n_samples"), 4),
-                "parse_failure_pct": F.round(100 * F.col("n_parse_failures") / F.col("n_samples"), 1),
-                "error": F.when(F.col("n_valid") == 0, "no valid samples after parsing"),
+                "format_compliance_rate": F.round(F.try_divide("n_metric_valid", "n_samples"), 4),
+                "parse_failure_pct": F.round(F.try_divide(100 * F.col("n_parse_failures"), F.col("n_samples")), 1),
+                "error": F.when(F.col("n_samples") == 0, "no answers to compare with the truth").when(
+                    F.col("n_valid") == 0, "no valid samples after parsing"
+                ),
             }
         )
         .withColumn("below_floor", F.col("format_compliance_rate") < COMPLIANCE_FLOOR)
