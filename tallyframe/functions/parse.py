@@ -59,7 +59,8 @@ def _lenient(column: Column) -> Column:
     decode = lenient_decoder()
 
     def over_batch(texts: pd.Series) -> pd.Series:
-        return texts.map(decode)
+        # Texts that the JVM has decided are NULL here.
+        return texts.map(decode, na_action="ignore")
 
     return F.pandas_udf(over_batch, T.StringType())(column)
 

@@ -106,12 +106,12 @@ def scan_jsonl(spark: SparkSession, path: str | list[str]) -> DataFrame:
             except (ValueError, RecursionError):
                 return False
 
-        return texts.map(ok)
+        return texts.map(ok, na_action="ignore")
 
     lines = read_lines(spark, path).where(strip(F.col("value")) != "")
     flat = F.regexp_like("value", F.lit(r"^\s*\{[^{}]*\}\s*$")) & F.try_parse_json("value").isNotNull()
-    decoded = F.pandas_udf(valid, T.BooleanType())(F.when(~flat, F.col("value")).otherwise("0"))
-    return number_lines(lines.where(flat | decoded), "row_idx").select("file", "row_idx", "value")
+    decoded = F.pandas_udf(valid, T.BooleanType())(F.when(~flat, F.col("value")))
+    return number_lines(lines.where(flat | F.coalesce(decoded, F.lit(False))), "row_idx").select("file", "row_idx", "value")
 
 
 def scan_predictions(spark: SparkSession, path: str | list[str], model: Column | None = None) -> DataFrame:
