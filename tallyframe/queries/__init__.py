@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-TOPICS = ["classify", "rank", "places", "chat", "clips", "speech", "scoring", "scored", "upkeep", "recipes"]
+TOPICS = ["classify", "rank", "places", "chat", "clips", "speech", "scoring", "scored", "lines", "upkeep", "recipes"]
 
 
 def load():

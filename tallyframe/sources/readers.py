@@ -95,6 +95,11 @@ def load_truth(spark: SparkSession, root: str, task: str, split: str) -> DataFra
 
 def scan_jsonl(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """JSON lines numbered after blank and undecodable lines are dropped: ``file, row_idx, value``."""
+    return parse_jsonl(read_lines(spark, path))
+
+
+def parse_jsonl(lines: DataFrame) -> DataFrame:
+    """The same of a table of lines ``file, block, place, value``. Usual lines are decided in the JVM."""
 
     def valid(texts: pd.Series) -> pd.Series:
         import json
@@ -108,7 +113,7 @@ def scan_jsonl(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
         return texts.map(ok, na_action="ignore")
 
-    lines = read_lines(spark, path).where(strip(F.col("value")) != "")
+    lines = lines.where(strip(F.col("value")) != "")
     flat = F.regexp_like("value", F.lit(r"^\s*\{[^{}]*\}\s*$")) & F.try_parse_json("value").isNotNull()
     decoded = F.pandas_udf(valid, T.BooleanType())(F.when(~flat, F.col("value")))
     return number_lines(lines.where(flat | F.coalesce(decoded, F.lit(False))), "row_idx").select("file", "row_idx", "value")
@@ -136,7 +141,14 @@ def scan_predictions(spark: SparkSession, path: str | list[str], model: Column |
 
 def scan_keyed_json(spark: SparkSession, path: str, value_type: str, keyed: bool = True) -> DataFrame:
     """One JSON document per file: an object keyed by id (``key, value``) or an array (``value``)."""
-    documents = spark.read.text(path, wholetext=True)
+    return parse_keyed_json(spark.read.text(path, wholetext=True), value_type, keyed)
+
+
+def parse_keyed_json(documents: DataFrame, value_type: str, keyed: bool = True) -> DataFrame:
+    """The same of a table with one document per row in ``value``, whose other columns are dropped.
+
+    A document is one cell (at most 2 GB); larger collections belong into JSON lines.
+    """
     if keyed:
         return documents.select(F.explode(F.from_json("value", f"map<string,{value_type}>")).alias("key", "value"))
     return documents.select(F.posexplode(F.from_json("value", f"array<{value_type}>")).alias("position", "value"))
@@ -156,7 +168,11 @@ def scan_delimited(
 
     ``fields`` maps a name to (position, type). Line numbers count all lines.
     """
-    lines = number_lines(read_lines(spark, path))
+    return parse_delimited(number_lines(read_lines(spark, path)), fields, sep, min_fields)
+
+
+def parse_delimited(lines: DataFrame, fields: dict[str, tuple[int, str]], sep: str = ",", min_fields: int = 1) -> DataFrame:
+    """The same of a table of numbered lines ``file, line_no, value``."""
     parts = lines.select("file", "line_no", F.split(strip(F.col("value")), sep).alias("p")).where(F.size("p") >= min_fields)
     read = {n: strip(F.col("p")[i]).try_cast(kind) for n, (i, kind) in fields.items()}
     given = reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in fields])
@@ -165,7 +181,11 @@ def scan_delimited(
 
 def scan_variable_arity(spark: SparkSession, path: str | list[str], fixed: int = 6, group: int = 4) -> DataFrame:
     """White-space separated integers: fixed fields, then as many whole groups as follow (at least one)."""
-    lines = number_lines(read_lines(spark, path))
+    return parse_variable_arity(number_lines(read_lines(spark, path)), fixed, group)
+
+
+def parse_variable_arity(lines: DataFrame, fixed: int = 6, group: int = 4) -> DataFrame:
+    """The same of a table of numbered lines ``file, line_no, value``."""
     numbers = F.transform(F.split(strip(F.col("value")), r"\s+"), lambda p: p.try_cast("int"))
     rows = lines.select("file", "line_no", numbers.alias("p")).where(F.size("p") >= fixed + group)
     count = F.floor((F.size("p") - fixed) / group).cast("int")
@@ -180,6 +200,11 @@ def scan_frame_annotations(spark: SparkSession, path: str | list[str], kind: str
     Kinds: ``int``, ``pair`` (two numbers), ``vector`` (integers). Blank and
     unreadable lines are dropped before numbering, so later frames move up.
     """
+    return parse_frame_annotations(read_lines(spark, path), kind)
+
+
+def parse_frame_annotations(lines: DataFrame, kind: str) -> DataFrame:
+    """The same of a table of lines ``file, block, place, value``."""
     text = strip(F.col("value"))
     parts = F.transform(F.split(text, ","), lambda p: strip(p))
     value = {
@@ -192,13 +217,18 @@ def scan_frame_annotations(spark: SparkSession, path: str | list[str], kind: str
             ~F.exists(parts, lambda p: p.try_cast("int").isNull()), F.transform(parts, lambda p: p.try_cast("int"))
         ),
     }[kind]
-    rows = drop_header(read_lines(spark, path)).withColumn("value", value).where("value IS NOT NULL")
+    rows = drop_header(lines).withColumn("value", value).where("value IS NOT NULL")
     return number_lines(rows, "frame").select(stem(F.col("file")).alias("clip"), "frame", "value")
 
 
 def scan_rttm(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Speech segments ``clip, seq, start, end, speaker`` from lines that begin with SPEAKER."""
-    lines = number_lines(read_lines(spark, path), "seq").where(strip(F.col("value")).startswith("SPEAKER"))
+    return parse_rttm(number_lines(read_lines(spark, path), "seq"))
+
+
+def parse_rttm(lines: DataFrame) -> DataFrame:
+    """The same of a table of numbered lines ``file, seq, value``."""
+    lines = lines.where(strip(F.col("value")).startswith("SPEAKER"))
     p = F.split(strip(F.col("value")), r"\s+")
     start = p[3].cast("double")
     return lines.select(
