@@ -645,3 +645,73 @@ def metric_gazefollow_distance(spark, sf_dir):
 
     pred = lambda: _cases({0: F.lit("{}"), 1: F.lit('{"gaze_point": [5]}')}, F.concat(F.lit('{"gaze_point": '), _point_text(67, 71), F.lit("}")))
     return _scored(spark, sf_dir, "gazefollow_distance", gt, pred)
+
+
+# Naive baselines of several tasks in one report ---------------------------------
+
+TRAINING = "md5('42|' || event_id) < 'c'"
+UNIT = lambda i: f"(event_id // {i + 1}) % 3 {'< 2' if i % 2 == 0 else '= 0'}"
+
+
+def _mode_sql(value: str) -> str:
+    return f"(SELECT v FROM (SELECT {value} AS v, count(*) AS n, min(event_id) AS f FROM events WHERE {TRAINING} GROUP BY 1) ORDER BY n DESC, f LIMIT 1)"
+
+
+def _report_sql() -> str:
+    test = f"NOT {TRAINING}"
+    flag = "CASE WHEN event_id % 3 = 0 THEN '1' ELSE '0' END"
+    outputs = {
+        "accuracy": ACCURACY, "weighted_f1": "sum(f1 * sup) / sum(sup)", "macro_f1": "avg(f1)", "precision": _one("1", "prec"), "recall": _one("1", "rec"),
+    }
+    parts = [label_sql(f"SELECT 'mustard_context' AS baseline_key, {flag} AS gt, {_mode_sql(flag)} AS pred FROM events WHERE {test}", ["baseline_key"], outputs)]
+    count = _mode_sql("event_id % 5")
+    parts.append(
+        f"WITH wide AS (SELECT 'voxconverse_speaker' AS baseline_key, count(*) AS n, avg(abs(event_id % 5 - {count})) AS m, avg(CASE WHEN event_id % 5 = {count} THEN 1.0 ELSE 0.0 END) AS x "
+        f"FROM events WHERE {test}) " + unpivot("wide", ["baseline_key"], {"mae": "m", "exact_accuracy": "x"})
+    )
+    gap = "sqrt((0.5 - event_id * 41 % 1001 / 1000.0) ** 2 + (0.5 - event_id * 43 % 1001 / 1000.0) ** 2)"
+    parts.append(
+        f"WITH wide AS (SELECT 'gazefollow' AS baseline_key, count(*) AS n, avg({gap}) AS d FROM events WHERE {test}) " + unpivot("wide", ["baseline_key"], {"min_dist": "d", "avg_dist": "d"})
+    )
+    touch = ", ".join(f"sum(CASE WHEN {_member_sql(i, 1)} THEN 1 ELSE 0 END) AS s{i}" for i in range(len(TOUCH)))
+    ap, f1 = "CASE WHEN s{0} > 0 THEN s{0} / n END", "CASE WHEN s{0} > 0 THEN 2 * s{0} / (s{0} + n) END"
+    values = {f"ap_{key_of(c)}": ap.format(i) for i, c in enumerate(TOUCH)} | {f"f1_{key_of(c)}": f1.format(i) for i, c in enumerate(TOUCH)}
+    values["mAP"] = f"list_avg(list_filter([{', '.join(ap.format(i) for i in range(len(TOUCH)))}], lambda x: x IS NOT NULL))"
+    parts.append(f"WITH wide AS (SELECT 'proxemics_skel' AS baseline_key, count(*) AS n, {touch} FROM events WHERE {test}) " + unpivot("wide", ["baseline_key"], values))
+    error = {d: f"abs({_near_sql(GIVEN[d])} - (SELECT avg({_near_sql(GIVEN[d])}) FROM events WHERE {TRAINING}))" for d in ORDER}
+    sums = ", ".join(f"avg({error[d]}) AS m{i}" for i, d in enumerate(ORDER))
+    values = {f"aae_{d}": f"m{i}" for i, d in enumerate(ORDER)} | {"aae_mean": "(m0 + m1 + m2) / 3"}
+    parts.append(f"WITH wide AS (SELECT 'emotic_vad' AS baseline_key, count(*) AS n, {sums} FROM events WHERE {test}) " + unpivot("wide", ["baseline_key"], values))
+    often = ", ".join(
+        f"(SELECT avg(CASE WHEN {UNIT(i)} THEN 1.0 ELSE 0.0 END) > 0.5 FROM events WHERE {TRAINING}) AS o{i}, sum(CASE WHEN {UNIT(i)} THEN 1 ELSE 0 END) AS s{i}" for i in range(len(rg.AU12))
+    )
+    score = "CASE WHEN s{0} > 0 THEN CASE WHEN o{0} THEN 2 * s{0} / (s{0} + n) ELSE 0 END END"
+    values = {f"f1_{c}": score.format(i) for i, c in enumerate(rg.AU12)}
+    values["macro_au_f1"] = f"list_avg(list_filter([{', '.join(score.format(i) for i in range(len(rg.AU12)))}], lambda x: x IS NOT NULL))"
+    parts.append(f"WITH wide AS (SELECT 'affwild2_au' AS baseline_key, count(*) AS n, {often} FROM events WHERE {test}) " + unpivot("wide", ["baseline_key"], values))
+    parts.append("SELECT 'meview' AS baseline_key, 'uar' AS metric, round(1 / 6, 6) AS value, CAST(0 AS BIGINT) AS n_used")
+    return " UNION ALL ".join(f"SELECT baseline_key, metric, value, n_used FROM ({p})" for p in parts)
+
+
+@query("baseline_report", _report_sql())
+def baseline_report(spark, sf_dir):
+    from tallyframe.functions import messages as ms
+    from tallyframe.operators.ordered import hash_order
+    from tallyframe.plans import baselines as bl
+
+    units = F.array_compact(F.array(*[F.when((F.floor(_id() / (i + 1)) % 3 < 2) if i % 2 == 0 else (F.floor(_id() / (i + 1)) % 3 == 0), c) for i, c in enumerate(rg.AU12)]))
+    answers = {
+        "mustard-omni_video-context": F.concat(F.lit('{"sarcasm": '), (_id() % 3 == 0).cast("string"), F.lit("}")),
+        "voxconverse-omni_speaker-count": _object(_number("num_speakers", _id() % 5)),
+        "gazefollow-vlm": F.concat(F.lit('{"gaze_point": '), _point_text(41, 43), F.lit("}")),
+        "proxemics-vlm_skeleton": _touching(),
+        "emotic-vlm_vad": _object(*[_number(d, _near(GIVEN[d])) for d in ORDER]),
+        "affwild2-omni_au": F.concat(F.lit('{"action_units": '), _list_text(units), F.lit("}")),
+        "nothing known": F.lit("{}"),
+    }
+    events = Tables(spark, sf_dir).events
+    split = F.when(hash_order(42, "event_id") < "c", "train").otherwise("test")
+    tasks = F.inline(F.array(*[F.struct(F.lit(t).alias("task"), a.alias("answer")) for t, a in answers.items()]))
+    rows = events.select(split.alias("split"), _id().alias("row_idx"), tasks)
+    truth = rows.select("task", "split", "row_idx", ms.build_messages("judge", "now", F.col("answer")).alias("messages"))
+    return scores(bl.baseline_report(truth))
