@@ -2,17 +2,19 @@
 
 1. Each whole text becomes the set of its shingles' 64-bit hashes. Equal sets are one node from here on, so a group of
    copies of any size is one row.
-2. Tokens have one global order (their hash). Two sets that reach the threshold share a token among the first
-   n - ceil(t * n) + 1 of each; among so many and e more, they share at least 1 + e. Those prefixes are exploded and their
-   tokens counted (with map-side combine).
-3. A token that few prefixes hold is indexed by itself. Frequent tokens fall into classes by their hash, about eight of a
+2. Tokens have one global order: the low ones that few sets hold, by hash; the low ones that many hold; all others ("low"
+   is a hash below a fixed bound). Two sets that reach the threshold share a token among the first n - ceil(t * n) + 1 of
+   each; among so many and e more, they share at least 1 + e. The texts are packed into batches, and each batch asks once
+   for each token it holds how many sets hold it, so a token that a third of all sets share is one question per batch.
+3. A token that few sets hold is indexed by itself. Frequent tokens fall into classes by their hash, about eight of a
    prefix in each; the prefix is extended by one for every class it meets, and the class's pairs of tokens are indexed: of
    1 + e shared tokens in e classes, two are in the same class, unless a rare one is shared. Pairs are far rarer than
    their tokens. The number of classes depends on the size band of the smaller set; the larger one writes its pairs for
    both bands it can be joined in.
 4. Sets that share an index entry are candidates and verified on their full sets. In an entry of many sets not all pairs
-   are needed for components: first all are compared with a few pivots, and only pairs that are still in different
-   components are compared after that, until none is left. No link between different components can be missed.
+   are needed for components: first all are compared with one pivot, then those still apart with a few more, and at last
+   all pairs that are in different components and that the distances to the pivot leave open (1 - Jaccard is a metric).
+   No link between different components can be missed.
 
 Defined cases: a text of fewer than five words is one shingle; null and empty texts, and white space, have the empty set,
 which links with nothing, not even its equals. A null id is less than every other: a component that holds one has a null
@@ -29,10 +31,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import checkpoint, staged
+from tallyframe.llm.common import staged
 from tallyframe.llm.components import components
 
 #: Jaccard similarity as a fraction.
@@ -40,8 +43,11 @@ THRESHOLD = (3, 4)
 SHINGLE = 5
 #: Prefixes that may hold a token before it is frequent; frequent tokens of a prefix in one class.
 RARE, PER_CLASS = 16, 8
-#: Entries of at most so many sets are compared pair by pair at once; pivots of the rounds after.
-SMALL, PIVOTS = 4, (1, 4)
+#: Entries of at most so many sets are compared pair by pair at once; larger ones with one pivot, then with so many more.
+SMALL, PIVOTS = 4, 4
+#: Hashes below LOW (of 2**64) are low; sets and tokens of a batch; tokens that a bucket is meant to answer for.
+LOW = int(0.45 * 2**64)
+BATCH_SETS, BATCH_TOKENS, BUCKET_TOKENS = 8_000, 2_000_000, 4_000_000
 FILTER_BITS = 26
 LEAST = -(2**63)
 EMPTY = 0
@@ -114,6 +120,10 @@ class Bands:
         """The tokens that any prefix of such a set may need."""
         return min(n, prefix_length(n, self.t) + self.classes[self.of(n)])
 
+    def listed(self, tokens: np.ndarray) -> np.ndarray:
+        """The tokens, of a set in the order of hashes, among which every prefix lies: the low ones, and enough."""
+        return tokens[: max(int(np.searchsorted(tokens, np.uint64(LOW))), self.longest(len(tokens)))]
+
     def entries(self, n: int, places: list[int], tokens: list[int], frequent: list[bool]) -> set[int]:
         """Index entries of a set, from the tokens of its prefix that others have too (in order, with their places)."""
         base, band, out = prefix_length(n, self.t), self.of(n), set()
@@ -144,90 +154,156 @@ def signed(values) -> np.ndarray:
     return np.array(values, np.uint64).view(np.int64)
 
 
-def nodes(docs: DataFrame, text: str, id_column: str, t: tuple[int, int], prefixes: bool) -> DataFrame:
-    """(id, node, n) of every row; or, with ``prefixes``, one row per node and batch with the start of its set."""
+def batches(docs: DataFrame, text: str, id_column: str, t: tuple[int, int]) -> DataFrame:
+    """One row per batch: ids, nodes and sizes of its rows; sizes and listed tokens of its distinct sets (``first``: their rows)."""
     rows = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(LEAST)).alias("id"), F.col(text).cast("binary").alias("t"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, bands = WordHashes(), Bands(t)
-        for batch in batches:
-            found, sizes, starts, seen = [], [], [], set()
-            for value in batch.column(1).to_pylist():
-                tokens = shingle_set(value, hashes)
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, bands, number = WordHashes(), Bands(t), TaskContext.get().partitionId() << 32
+        ids, found, sizes, first, lists, seen, total = [], [], [], [], [], set(), 0
+
+        def done() -> pa.RecordBatch:
+            flat = np.concatenate(lists) if lists else np.zeros(0, np.uint64)
+            columns = [flat.tobytes(), np.array([len(x) for x in lists], np.uint32).tobytes(), np.array(first, np.uint32).tobytes()]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([number], pa.int64()), *[pa.array([v], pa.list_(pa.int64())) for v in (ids, found, sizes)], *[pa.array([c], pa.binary()) for c in columns], pa.array([total], pa.int64())],
+                names=["batch", "ids", "nodes", "sizes", "tokens", "lengths", "first", "total"],
+            )
+
+        for part in parts:
+            for i, value in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                tokens = shingle_set(value.as_py(), hashes)
                 node = digest(tokens)
-                if prefixes:
-                    if node in seen or node == EMPTY:
-                        continue
+                if node != EMPTY and node not in seen:
                     seen.add(node)
-                    starts.append(tokens[: bands.longest(len(tokens))].view(np.int64))
+                    first.append(len(ids))
+                    lists.append(bands.listed(tokens))
+                    total += len(lists[-1])
+                ids.append(i)
                 found.append(node)
                 sizes.append(len(tokens))
-            arrays = [pa.array(found, pa.int64()), pa.array(sizes, pa.int64())]
-            if prefixes:
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(starts, pa.list_(pa.int64()))], names=["node", "n", "tokens"])
-            else:
-                yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["id", "node", "n"])
-
-    return rows.mapInArrow(run, "node long, n long, tokens array<bigint>" if prefixes else "id long, node long, n long")
-
-
-def index_entries(sets: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """(entry, node, n) from the starts of the sets."""
-    # Size and place share a number, so that a row is three numbers.
-    tokens = sets.select("node", "n", F.posexplode("tokens").alias("place", "token")).select("token", "node", (F.shiftleft("n", 32) + F.col("place")).alias("at"))
-    counts = tokens.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
-    shared = tokens.join(counts, "token")
-    # A set's own prefix: at most as long as the document.
-    per_set = shared.groupBy("node").agg(F.collect_list(F.struct("at", "token", (F.col("held") > RARE).alias("often"))).alias("x"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                if len(ids) >= BATCH_SETS or total >= BATCH_TOKENS:
+                    yield done()
+                    number += 1
+                    ids, found, sizes, first, lists, seen, total = [], [], [], [], [], set(), 0
+        if ids:
+            yield done()
+
+    schema = "batch long, ids array<bigint>, nodes array<bigint>, sizes array<bigint>, tokens binary, lengths binary, first binary, total long"
+    return rows.mapInArrow(run, schema)
+
+
+def by_bucket(tokens: np.ndarray, n_buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(bucket, distinct tokens, how many of the batch's sets hold each): buckets are ranges of hashes."""
+    distinct, counts = np.unique(tokens, return_counts=True)
+    cuts = np.searchsorted(distinct, np.array([(b << 64) // n_buckets for b in range(1, n_buckets)], dtype=np.uint64))
+    edges = [0, *cuts.tolist(), len(distinct)]
+    for b in range(n_buckets):
+        if edges[b] < edges[b + 1]:
+            yield b, distinct[edges[b] : edges[b + 1]], counts[edges[b] : edges[b + 1]]
+
+
+def ask(packed: DataFrame, n_buckets: int) -> DataFrame:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for batch, blob in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                out = [(b, batch, x.tobytes(), n.astype(np.uint32).tobytes()) for b, x, n in by_bucket(np.frombuffer(blob, np.uint64), n_buckets)]
+                kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=["bucket", "batch", "tokens", "counts"])
+
+    return packed.select("batch", "tokens").mapInArrow(run, "bucket int, batch long, tokens binary, counts binary")
+
+
+def answer(rows: pa.Table) -> pa.Table:
+    """For each batch the places, in its question, of the tokens that more than one set holds, and which are frequent."""
+    asked = [np.frombuffer(x, np.uint64) for x in rows.column("tokens").to_pylist()]
+    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in rows.column("counts").to_pylist()])
+    distinct, place = np.unique(np.concatenate(asked), return_inverse=True)
+    held = np.bincount(place, weights=counts, minlength=len(distinct))[place]
+    out, at = [], 0
+    for x in asked:
+        mine = held[at : at + len(x)]
+        at += len(x)
+        shared = np.flatnonzero(mine > 1)
+        out.append((shared.astype(np.uint32).tobytes(), (mine[shared] > RARE).tobytes()))
+    return pa.table({"bucket": rows.column("bucket"), "batch": rows.column("batch"), "places": pa.array([o[0] for o in out], pa.binary()), "often": pa.array([o[1] for o in out], pa.binary())})
+
+
+def write_entries(n_buckets: int, t: tuple[int, int]):
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         bands = Bands(t)
-        for batch in batches:
-            entries, repeats, sizes = [], [], []
-            for x in batch.column(1).to_pylist():
-                x.sort(key=lambda s: s["at"])
-                n = x[0]["at"] >> 32
-                mine = bands.entries(n, [s["at"] & 0xFFFFFFFF for s in x], [s["token"] % 2**64 for s in x], [s["often"] for s in x])
-                entries.extend(mine)
-                repeats.append(len(mine))
-                sizes.append(n)
-            arrays = [pa.array(signed(entries)), pa.array(np.repeat(batch.column(0).to_numpy(), repeats)), pa.array(np.repeat(np.array(sizes, np.int64), repeats))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["entry", "node", "n"])
-
-    return per_set.mapInArrow(run, "entry long, node long, n long")
-
-
-def bit_filter(ids: DataFrame) -> list[tuple[int, bytes]]:
-    """A bit per hash value of the ids: at most 2**FILTER_BITS bits, whatever the number of ids."""
-    bit = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
-    parts = ids.groupBy(F.bitmap_bucket_number(bit + 1).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit + 1)).alias("bits"))
-    return [(r.k, bytes(r.bits)) for r in parts.collect()]
+        answers = {r["bucket"]: r for r in right.to_pylist()}
+        entries, nodes, sizes = [], [], []
+        for row in left.to_pylist():
+            tokens = np.frombuffer(row["tokens"], np.uint64)
+            shared, often = [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
+            for b, distinct, _ in by_bucket(tokens, n_buckets):
+                shared.append(distinct[np.frombuffer(answers[b]["places"], np.uint32)])
+                often.append(np.frombuffer(answers[b]["often"], bool))
+            shared, often = np.concatenate(shared), np.concatenate(often)  # buckets are ranges: still in order
+            at = np.searchsorted(shared, tokens).clip(max=max(len(shared) - 1, 0))
+            known = shared[at] == tokens if len(shared) else np.zeros(len(tokens), bool)
+            frequent = known & often[at] if len(shared) else known
+            begin = 0
+            for first, length in zip(np.frombuffer(row["first"], np.uint32).tolist(), np.frombuffer(row["lengths"], np.uint32).tolist(), strict=True):
+                mine = slice(begin, begin + length)
+                begin += length
+                n = row["sizes"][first]
+                if not known[mine].any():
+                    continue
+                # The global order: low and rare, low and frequent, all others; each by hash.
+                last = np.where(tokens[mine] < np.uint64(LOW), frequent[mine], 2)
+                order = np.argsort(last, kind="stable")[: bands.longest(n)]
+                kept = np.flatnonzero(known[mine][order])
+                found = bands.entries(n, kept.tolist(), tokens[mine][order][kept].tolist(), frequent[mine][order][kept].tolist())
+                entries.extend(found)
+                nodes.extend([row["nodes"][first]] * len(found))
+                sizes.extend([n] * len(found))
+        return pa.table({"entry": pa.array(signed(entries)), "node": pa.array(nodes, pa.int64()), "n": pa.array(sizes, pa.int64())})
+
+    return run
+
+
+def index_entries(packed: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """(entry, node, n): every index entry of every node once."""
+    total = packed.agg(F.sum("total")).first()[0] or 0
+    n_buckets = max(1, -(-total // BUCKET_TOKENS))
+    answers = staged(ask(packed, n_buckets).groupBy("bucket").applyInArrow(answer, "bucket int, batch long, places binary, often binary"))
+    sets = packed.select("batch", "nodes", "sizes", "tokens", "lengths", "first")
+    found = sets.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(write_entries(n_buckets, t), "entry long, node long, n long")
+    return found.distinct()
+
+
+def with_bit(rows: DataFrame) -> DataFrame:
+    """Add the place of an id in a bitmap of 2**FILTER_BITS bits: a part and a bit in it."""
+    bit = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)) + 1
+    return rows.withColumn("part", F.bitmap_bucket_number(bit)).withColumn("bit", F.bitmap_bit_position(bit))
 
 
 def full_sets(docs: DataFrame, text: str, id_column: str, wanted: DataFrame) -> DataFrame:
     """(node, tokens) of the documents ``wanted`` (id); some others may come too. Only those texts are read by Python."""
-    bits = docs.sparkSession.sparkContext.broadcast(dict(bit_filter(wanted)))
+    parts = with_bit(wanted).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
     rows = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(LEAST)).alias("id"), F.col(text).cast("binary").alias("t"))
-    rows = rows.withColumn("bit", F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)))
+    # The bitmap has at most 2**FILTER_BITS bits, 8 MB, whatever the number of ids.
+    rows = with_bit(rows).join(F.broadcast(staged(parts)), "part")
+    byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    rows = rows.where(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (F.col("bit") % 8).cast("int"))) != 0).select("t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        parts = {k: np.unpackbits(np.frombuffer(b, np.uint8), bitorder="little") for k, b in bits.value.items()}
         for batch in batches:
             found, sets = [], []
-            for i, bit in enumerate(batch.column(2).to_pylist()):
-                part = parts.get(bit // 32768 + 1)
-                if part is not None and part[bit % 32768]:
-                    tokens = shingle_set(batch.column(1)[i].as_py(), hashes)
-                    found.append(digest(tokens))
-                    sets.append(tokens.tobytes())
+            for value in batch.column(0):
+                tokens = shingle_set(value.as_py(), hashes)
+                found.append(digest(tokens))
+                sets.append(tokens.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(sets, pa.binary())], names=["node", "tokens"])
 
     return rows.mapInArrow(run, "node long, tokens binary")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, text: str, id_column: str, owners: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets reach the threshold."""
+    """(a, b, linked, distance) of pairs of nodes: whether their sets reach the threshold, and 1 - similarity."""
     used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     sets = full_sets(docs, text, id_column, used.join(owners, "node").select("id"))
     # Copies that pass the filter by chance would only repeat a pair.
@@ -236,14 +312,16 @@ def verify(pairs: DataFrame, docs: DataFrame, text: str, id_column: str, owners:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            linked, distance = [], []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 u, v = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                common = len(u) + len(v) - len(np.unique(np.concatenate([u, v])))
-                keep.append(t[1] * common >= t[0] * (len(u) + len(v) - common))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+                union = len(np.unique(np.concatenate([u, v])))
+                common = len(u) + len(v) - union
+                linked.append(t[1] * common >= t[0] * union)
+                distance.append(1 - common / union)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(distance, pa.float64())], names=["a", "b", "linked", "distance"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, "a long, b long, linked boolean, distance double").dropDuplicates(["a", "b"])
 
 
 def close_in_size(n: Column, m: Column, t: tuple[int, int]) -> Column:
@@ -254,36 +332,41 @@ def ordered_pairs(left: str, right: str) -> list[Column]:
     return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
 
 
-def linked_nodes(docs: DataFrame, text: str, id_column: str, owners: DataFrame, t: tuple[int, int]) -> DataFrame:
+def may_link(t: tuple[int, int], n: str = "k", distance: str = "e") -> Column:
+    """What the sizes and the distances to one common pivot leave open: the distance 1 - Jaccard is a metric."""
+    apart = F.abs(F.col("distance") - F.col(distance)) > (1 - t[0] / t[1]) + 1e-9
+    return close_in_size(F.col("n"), F.col(n), t) & ~F.coalesce(apart, F.lit(False))
+
+
+def linked_nodes(docs: DataFrame, text: str, id_column: str, packed: DataFrame, owners: DataFrame, t: tuple[int, int]) -> DataFrame:
     """(node, root) of all nodes that have a link; root is the same for a whole component."""
-    sets = nodes(docs, text, id_column, t, prefixes=True).groupBy("node").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    entries = staged(index_entries(sets, t))
-    counts = entries.groupBy("entry").agg(F.count("*").alias("held")).where("held > 1")
-    entries = staged(entries.join(counts, "entry"))
+    entries = staged(index_entries(packed, t))
+    pivot = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("m"), F.col("n").alias("k")))
+    counts = entries.groupBy("entry").agg(F.count("*").alias("held"), pivot.alias("p")).where("held > 1")
+    entries = staged(entries.join(counts, "entry").select("entry", "node", "n", "held", "p.m", "p.k"))
     small, large = entries.where(F.col("held") <= SMALL), entries.where(F.col("held") > SMALL)
     other = small.select("entry", F.col("node").alias("m"), F.col("n").alias("k"))
-    close = small.join(other, "entry").where(F.col("node") < F.col("m")).where(close_in_size(F.col("n"), F.col("k"), t))
-    pairs = close.select(F.col("node").alias("a"), F.col("m").alias("b"))
-    edges, done, roots = None, None, None
-    for rounds, n_pivots in enumerate((*PIVOTS, None)):
-        open_entries = large if roots is None else unsettled(large, roots)
+    close = small.drop("m", "k").join(other, "entry").where(F.col("node") < F.col("m")).unionByName(large.where("node <> m"), allowMissingColumns=True)
+    pairs = staged(close.where(close_in_size(F.col("n"), F.col("k"), t)).select(*ordered_pairs("node", "m")).distinct())
+    done = staged(verify(pairs, docs, text, id_column, owners, t))
+    # What remains of the large entries: each row with its distance to the entry's pivot.
+    known = done.select(*[F.col(c).alias(f"_{c}") for c in ("a", "b")], "distance")
+    rows = large.join(known, (F.least("node", "m") == F.col("_a")) & (F.greatest("node", "m") == F.col("_b")), "left")
+    rows = staged(rows.select("entry", "node", "n", F.when(F.col("node") == F.col("m"), 0.0).otherwise(F.col("distance")).alias("distance")))
+    for n_pivots in (PIVOTS, None):
+        roots = components(done.where("linked"))
+        rows = unsettled(rows.drop("root"), roots)
         if n_pivots is None:
-            other = open_entries.select("entry", F.col("node").alias("m"), F.col("n").alias("k"), F.col("root").alias("r"))
-            more = open_entries.join(other, "entry").where("node < m and root <> r")
+            other = rows.select("entry", *[F.col(c).alias(x) for c, x in (("node", "m"), ("n", "k"), ("root", "r"), ("distance", "e"))])
+            more = rows.join(other, "entry").where(F.col("node") < F.col("m"))
         else:
-            more = with_pivots(open_entries, rounds, n_pivots)
-        more = more.where(close_in_size(F.col("n"), F.col("k"), t)).select(*ordered_pairs("node", "m"))
-        pairs = (pairs.unionByName(more) if rounds == 0 else more).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = staged(pairs)
-        if rounds and pairs.isEmpty():
-            break
-        found = checkpoint(verify(pairs, docs, text, id_column, owners, t).distinct())
-        edges = found if edges is None else edges.unionByName(found)
-        done = pairs if done is None else done.unionByName(pairs)
-        roots = components(edges)
-    return roots
+            more = with_pivots(rows, n_pivots)
+        more = more.where(F.col("root") != F.col("r")).where(may_link(t)).select(*ordered_pairs("node", "m")).distinct()
+        pairs = staged(more.join(done, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            return roots
+        done = done.unionByName(staged(verify(pairs, docs, text, id_column, owners, t)))
+    return components(done.where("linked"))
 
 
 def unsettled(entries: DataFrame, roots: DataFrame) -> DataFrame:
@@ -293,20 +376,20 @@ def unsettled(entries: DataFrame, roots: DataFrame) -> DataFrame:
     return staged(rooted.join(ends, "entry"))
 
 
-def with_pivots(entries: DataFrame, seed: int, n_pivots: int) -> DataFrame:
-    """Each row with each pivot of its entry (m, k), where they are not known to be in one component."""
-    first = lambda j: F.min(F.struct(F.xxhash64("node", F.lit(seed * 100 + j)).alias("h"), F.col("node").alias("m"), F.col("n").alias("k"), F.col("root").alias("r")))
-    rooted = entries if "root" in entries.columns else entries.withColumn("root", F.col("node"))
-    pivots = rooted.groupBy("entry").agg(*[first(j).alias(f"p{j}") for j in range(n_pivots)])
-    rows = rooted.join(pivots, "entry").withColumn("p", F.explode(F.array(*[f"p{j}" for j in range(n_pivots)])))
-    return rows.select("node", "n", "root", "p.m", "p.k", "p.r").where("root <> r")
+def with_pivots(rows: DataFrame, n_pivots: int) -> DataFrame:
+    """Each row with each of several pivots of its entry: m, and its size k, root r and distance e."""
+    first = lambda j: F.min(F.struct(F.xxhash64("node", F.lit(j)).alias("h"), F.col("node").alias("m"), F.col("n").alias("k"), F.col("root").alias("r"), F.col("distance").alias("e")))
+    pivots = rows.groupBy("entry").agg(*[first(j).alias(f"p{j}") for j in range(n_pivots)])
+    each = rows.join(pivots, "entry").withColumn("p", F.explode(F.array(*[f"p{j}" for j in range(n_pivots)])))
+    return each.select("node", "n", "root", "distance", "p.m", "p.k", "p.r", "p.e")
 
 
 def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """One row per document: id, n_shingles, component_id (the least id that links reach), node (equal sets share it)."""
-    members = staged(nodes(docs, text, id_column, threshold, prefixes=False))
+    packed = staged(batches(docs, text, id_column, threshold))
+    members = packed.select(F.explode(F.arrays_zip("ids", "nodes", "sizes")).alias("x")).select(F.col("x.ids").alias("id"), F.col("x.nodes").alias("node"), F.col("x.sizes").alias("n"))
     owners = staged(members.where(F.col("node") != EMPTY).groupBy("node").agg(F.min("id").alias("id")))
-    roots = linked_nodes(docs, text, id_column, owners, threshold)
+    roots = linked_nodes(docs, text, id_column, packed, owners, threshold)
     rooted = owners.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
     classes = staged(rooted.join(least, "root").select("node", "component_id"))
