@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from tallyframe.metrics import registry as rg
 from tallyframe.metrics.common import key_of
-from tallyframe.queries.base import Tables, query, scores, unpivot
+from tallyframe.queries.base import ORACLES, Tables, query, scores, unpivot
 from tallyframe.queries.classify import _in, _one, label_sql
+from tallyframe.queries.places import _points
+from tallyframe.queries.rank import AP_SQL
+from tallyframe.queries.speech import _timelines
 
 
 def _scored(spark, folder: str, name: str, gt, pred) -> DataFrame:
@@ -715,3 +718,79 @@ def baseline_report(spark, sf_dir):
     rows = events.select(split.alias("split"), _id().alias("row_idx"), tasks)
     truth = rows.select("task", "split", "row_idx", ms.build_messages("judge", "now", F.col("answer")).alias("messages"))
     return scores(bl.baseline_report(truth))
+
+
+# Points and boxes that other queries compare without JSON: the same rows as answers.
+
+
+def _points_scored(spark, folder: str, name: str) -> DataFrame:
+    rows = _points(Tables(spark, folder)).select(
+        "grp",
+        F.try_parse_json(F.to_json(F.struct(F.col("gt").alias("gaze_points")))).alias("gt"),
+        F.try_parse_json(F.to_json(F.struct(F.col("pred").alias("gaze_point")))).alias("pred"),
+        "head",
+    )
+    return scores(rg.run_metric(name, rows, ["grp"]))
+
+
+@query("metric_gazefollow_angular_error", ORACLES["gaze_angle"])
+def metric_gazefollow_angular_error(spark, sf_dir):
+    return _points_scored(spark, sf_dir, "gazefollow_angular_error")
+
+
+@query("metric_gazefollow_auc", ORACLES["heatmap_auc"])
+def metric_gazefollow_auc(spark, sf_dir):
+    return _points_scored(spark, sf_dir, "gazefollow_auc")
+
+
+@query("metric_videocoattention_localization_iou", ORACLES["bbox_iou"].replace("AS g3 FROM events)", "AS g3 FROM events WHERE event_id % 11 <> 0)"))
+def metric_videocoattention_localization_iou(spark, sf_dir):
+    at = lambda a: (_id() * a % 1001).cast("string")
+    low, high = (lambda a, b, f=f: f(_id() * a % 1001, _id() * b % 1001).cast("string") for f in (F.least, F.greatest))
+    box = lambda *v: F.concat(F.lit('{"bbox": ['), F.concat_ws(", ", *v), F.lit("]}"))
+    gt = lambda: box(low(41, 97), low(43, 89), high(41, 97), high(43, 89))
+    pred = lambda: _cases({0: box(at(13), at(17), at(29))}, box(at(13), at(17), at(29), at(31)))
+    return _scored(spark, sf_dir, "videocoattention_localization_iou", gt, pred)
+
+
+@query(
+    "metric_videoattentiontarget_distance",
+    f"WITH wide AS (SELECT event_type AS grp, count(*) AS n, avg({_gap(41, 43)}) AS d FROM events WHERE event_id % 5 <> 0 AND event_id % 11 NOT IN (0, 1, 2) GROUP BY grp) "
+    + unpivot("wide", ["grp"], {"dist": "d"}),
+)
+def metric_videoattentiontarget_distance(spark, sf_dir):
+    out = F.when(_id() % 5 == 0, '"out_of_frame": true, ').otherwise("")
+    point = F.concat(F.lit('"gaze_point": '), _point_text(67, 71), F.lit("}"))
+    cases = {
+        0: F.concat(F.lit('{"out_of_frame": 1, '), point), 1: F.lit('{"gaze_point": [1, 2, 3]}'), 2: F.lit("{}"),
+        3: F.concat(F.lit('{"out_of_frame": false, '), point),
+    }
+    gt = lambda: F.concat(F.lit("{"), out, F.lit('"gaze_point": '), _point_text(41, 43), F.lit("}"))
+    return _scored(spark, sf_dir, "videoattentiontarget_distance", gt, lambda: _cases(cases, F.concat(F.lit("{"), point)))
+
+
+OUTSIDE = (
+    "SELECT event_type AS grp, CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END AS gt, CASE WHEN value > 30 THEN 1 ELSE 0 END AS flag, "
+    f"CASE WHEN event_id % 11 IN (0, 1) THEN CASE WHEN value > 30 THEN 1.0 ELSE 0.0 END ELSE {_near_sql(41)} END AS score FROM events"
+)
+
+
+@query(
+    "metric_videoattentiontarget_out_of_frame_ap",
+    AP_SQL.format(pairs=OUTSIDE, by="grp") + unpivot("wide", ["grp"], {"out_of_frame_ap": "v"})
+    + f" UNION ALL SELECT grp, 'out_of_frame_f1' AS metric, round(2.0 * sum(gt * flag) / (sum(gt) + sum(flag)), 6) AS value, CAST(count(*) AS BIGINT) AS n_used FROM ({OUTSIDE}) GROUP BY grp HAVING sum(gt) > 0",
+)
+def metric_videoattentiontarget_out_of_frame_ap(spark, sf_dir):
+    flag = (F.col("value") > 30).cast("string")
+    bare = F.concat(F.lit('{"out_of_frame": '), flag, F.lit("}"))
+    given = F.concat(F.lit('{"out_of_frame": '), flag, F.lit(', "out_of_frame_score": '), _near(41).cast("string"), F.lit("}"))
+    unset = F.when(F.col("value") > 30, '{"out_of_frame": "yes"}').otherwise('{"out_of_frame": ""}')
+    gt = lambda: F.when(_id() % 5 == 0, '{"out_of_frame": true}').otherwise("{}")
+    return _scored(spark, sf_dir, "videoattentiontarget_out_of_frame_ap", gt, lambda: _cases({0: bare, 1: unset}, given))
+
+
+@query("metric_voxconverse_der", ORACLES["der"])
+def metric_voxconverse_der(spark, sf_dir):
+    rows = _timelines(Tables(spark, sf_dir))
+    sides = {s: F.try_parse_json(F.to_json(F.struct(F.col(s).alias("timeline")))) for s in ("gt", "pred")}
+    return scores(rg.run_metric("voxconverse_der", rows.select("clip", *[c.alias(s) for s, c in sides.items()]), ["clip"]))
