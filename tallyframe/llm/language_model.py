@@ -39,27 +39,31 @@ BATCH_TOKENS = 1_000_000
 #: Distinct words or pairs that a bucket is meant to hold, before the same ones of several batches meet.
 BUCKET_ROWS = 2_000_000
 MAX_DISCOUNTED = 5
-END, BEGIN = 1, 2
+END = 1
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound. END and BEGIN are no word's."""
+    """64-bit hashes of words, remembered up to a bound. END is no word's."""
 
     LIMIT = 1_000_000
 
     def __missing__(self, word: bytes) -> int:
-        value = max(xxhash.xxh3_64_intdigest(word), 3)
+        value = max(xxhash.xxh3_64_intdigest(word), 2)
         if len(self) < self.LIMIT:
             self[word] = value
         return value
 
 
 def pack(values: np.ndarray, kind: str) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype(kind)).tobytes())
+    """Compressed numbers, the bytes of equal weight beside each other."""
+    raw = np.ascontiguousarray(values, np.dtype(kind)).view(np.uint8).reshape(-1, np.dtype(kind).itemsize)
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(raw.T).tobytes())
 
 
 def unpack(blob: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
+    size = np.dtype(kind).itemsize
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(raw.T).view(kind).ravel()
 
 
 def discounts(counts: list[int]) -> list[float]:
@@ -106,8 +110,8 @@ def batches(docs: DataFrame, text: str, id_column: str, batch_tokens: int) -> Da
         def done() -> pa.RecordBatch:
             words, places = np.unique(np.concatenate(tokens), return_inverse=True)
             return pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int64()), pa.array([pack(words, "<u8")]), pa.array([pack(places, "<u4")]), pa.array([pack(np.array(lengths), "<u4")]),
-                 pa.array([pack(np.array(flags), "u1")]), pa.array([[i.as_py() for i in ids]], pa.list_(ids[0].type)), pa.array([total], pa.int64())], names=["batch", "words", "tokens", "lengths", "held", "ids", "n"],
+                [pa.array([number], pa.int64()), pa.array([pack(words, "<u8")]), pa.array([len(words)], pa.int64()), pa.array([pack(places, "<u4")]), pa.array([pack(np.array(lengths), "<u4")]),
+                 pa.array([pack(np.array(flags), "u1")]), pa.array([[i.as_py() for i in ids]], pa.list_(ids[0].type)), pa.array([total], pa.int64())], names=["batch", "words", "n_words", "tokens", "lengths", "held", "ids", "n"],
             )
 
         for part in parts:
@@ -126,37 +130,34 @@ def batches(docs: DataFrame, text: str, id_column: str, batch_tokens: int) -> Da
         if ids:
             yield done()
 
-    return rows.mapInArrow(run, f"batch long, words binary, tokens binary, lengths binary, held binary, ids array<{kind}>, n long")
+    return rows.mapInArrow(run, f"batch long, words binary, n_words long, tokens binary, lengths binary, held binary, ids array<{kind}>, n long")
 
 
 class Batch:
     """A batch read back, with what follows from it alone."""
 
     def __init__(self, row: dict):
-        self.words = unpack(row["words"], "<u8")
+        self.n_words = row["n_words"]
         self.tokens = unpack(row["tokens"], "<u4").astype(np.int64)
         self.lengths = unpack(row["lengths"], "<u4").astype(np.int64)
         self.held = unpack(row["held"], "u1").astype(bool)
         self.train = np.repeat(~self.held, self.lengths)
 
     def train_counts(self) -> np.ndarray:
-        return np.bincount(self.tokens[self.train], minlength=len(self.words))
+        return np.bincount(self.tokens[self.train], minlength=self.n_words)
 
     def contexts(self) -> np.ndarray:
-        """The word before each token as a place in ``words``; -1 at the beginning of a document."""
+        """The word before each token as a place among the words; -1 at the beginning of a document."""
         before = np.concatenate([[-1], self.tokens[:-1]])
         before[np.cumsum(self.lengths) - self.lengths] = -1
         return before
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct (context, word) pairs in order, training counts, and the pair of each token."""
-        keys = (self.contexts() + 1) * len(self.words) + self.tokens
+        keys = (self.contexts() + 1) * self.n_words + self.tokens
         distinct, place = np.unique(keys, return_inverse=True)
         counts = np.bincount(place[self.train], minlength=len(distinct))
-        return distinct // len(self.words) - 1, distinct % len(self.words), counts, place
-
-    def context_hashes(self, contexts: np.ndarray) -> np.ndarray:
-        return np.where(contexts < 0, np.uint64(BEGIN), self.words[contexts])
+        return distinct // self.n_words - 1, distinct % self.n_words, counts, place
 
 
 def scatter(buckets: np.ndarray, n_buckets: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -168,21 +169,20 @@ def scatter(buckets: np.ndarray, n_buckets: int) -> Iterator[tuple[int, np.ndarr
             yield b, order[cuts[b] : cuts[b + 1]]
 
 
-def bucket_of(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
-    return ((hashes >> np.uint64(17)) % np.uint64(n_buckets)).astype(np.int64)
-
-
 def ask_words(packed: DataFrame, n_buckets: int) -> DataFrame:
+    """Buckets are ranges of hashes, so that answers in the order of buckets are in the order of a batch's words."""
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        borders = np.array([(b << 64) // n_buckets for b in range(1, n_buckets)], dtype=np.uint64)
         for part in parts:
             for row in part.to_pylist():
-                batch = Batch(row)
-                counts = batch.train_counts()
-                out = [(b, row["batch"], pack(batch.words[at], "<u8"), pack(counts[at], "<u4")) for b, at in scatter(bucket_of(batch.words, n_buckets), n_buckets)]
+                words, counts = unpack(row["words"], "<u8"), Batch(row).train_counts()
+                edges = [0, *np.searchsorted(words, borders).tolist(), len(words)]
+                out = [(b, row["batch"], pack(words[i:j], "<u8"), pack(counts[i:j], "<u4")) for b, (i, j) in enumerate(zip(edges, edges[1:], strict=False)) if i < j]
                 kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["bucket", "batch", "words", "counts"])
 
-    return packed.select("batch", "words", "tokens", "lengths", "held").mapInArrow(run, "bucket int, batch long, words binary, counts binary")
+    return packed.select("batch", "words", "n_words", "tokens", "lengths", "held").mapInArrow(run, "bucket int, batch long, words binary, counts binary")
 
 
 def count_words(rows: pa.Table) -> pa.Table:
@@ -204,22 +204,25 @@ def count_words(rows: pa.Table) -> pa.Table:
     })
 
 
-def gather(batch: Batch, answers: list[dict], n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def gather(answers: list[dict], n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The count and the number of each word of a batch from the answers of all buckets."""
-    given = {r["bucket"]: r for r in answers}
-    counts, numbers = np.zeros(len(batch.words), np.int64), np.zeros(len(batch.words), np.int64)
-    for b, at in scatter(bucket_of(batch.words, n_buckets), n_buckets):
-        counts[at] = unpack(given[b]["counts"], "<u8")
-        numbers[at] = unpack(given[b]["ranks"], "<u8") * n_buckets + b
+    given = sorted(answers, key=lambda r: r["bucket"])
+    counts = np.concatenate([unpack(r["counts"], "<u8") for r in given]).astype(np.int64)
+    numbers = np.concatenate([unpack(r["ranks"], "<u8").astype(np.int64) * n_buckets + r["bucket"] for r in given])
     return counts, numbers
 
 
-def pair_buckets(batch: Batch, contexts: np.ndarray, n_buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(bucket, places of its pairs, hashes of its contexts, pairs of each) in one order for asking and reading answers."""
-    hashes = batch.context_hashes(contexts)
-    for b, at in scatter(bucket_of(hashes, n_buckets), n_buckets):
+def pair_buckets(contexts: np.ndarray, numbers: np.ndarray, n_buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bucket, places of its pairs, numbers of its contexts, pairs of each) in one order for asking and reading answers."""
+    ids = np.where(contexts < 0, 0, numbers[contexts] + 1)  # 0: the beginning of a document
+    for b, at in scatter(mixed(ids) % n_buckets, n_buckets):
         starts = np.flatnonzero(np.diff(contexts[at], prepend=-2))
-        yield b, at, hashes[at[starts]], np.diff(starts, append=len(at))
+        yield b, at, ids[at[starts]], np.diff(starts, append=len(at))
+
+
+def mixed(ids: np.ndarray) -> np.ndarray:
+    z = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (z >> np.uint64(33)).astype(np.int64)
 
 
 def ask_pairs(word_buckets: int, pair_bucket_count: int):
@@ -227,11 +230,11 @@ def ask_pairs(word_buckets: int, pair_bucket_count: int):
         out = []
         for row in left.to_pylist():
             batch = Batch(row)
-            counts, numbers = gather(batch, right.to_pylist(), word_buckets)
+            counts, numbers = gather(right.to_pylist(), word_buckets)
             contexts, words, seen, _ = batch.pairs()
-            for b, at, hashes, runs in pair_buckets(batch, contexts, pair_bucket_count):
+            for b, at, ids, runs in pair_buckets(contexts, numbers, pair_bucket_count):
                 w = words[at]
-                out.append((b, row["batch"], pack(hashes, "<u8"), pack(runs, "<u4"), pack(numbers[w], "<u8"), pack(counts[w], "<u8"), pack(seen[at], "<u4")))
+                out.append((b, row["batch"], pack(ids, "<u8"), pack(runs, "<u4"), pack(numbers[w], "<u8"), pack(counts[w], "<u8"), pack(seen[at], "<u4")))
         kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
         names = ["bucket", "batch", "contexts", "runs", "words", "word_counts", "counts"]
         return pa.table({n: pa.array([o[i] for o in out], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))})
@@ -297,11 +300,11 @@ def score_batch(unigrams: Unigrams, d: list[float], word_buckets: int, pair_buck
         answers = {r["bucket"]: r for r in given if r["totals"] is not None}
         for row in left.to_pylist():
             batch = Batch(row)
-            counts, _ = gather(batch, [r for r in given if r["totals"] is None], word_buckets)
+            counts, numbers = gather([r for r in given if r["totals"] is None], word_buckets)
             contexts, words, _, place = batch.pairs()
             lower = unigrams.p(counts)
             logs = np.empty(len(contexts))
-            for b, at, hashes, runs in pair_buckets(batch, contexts, pair_bucket_count):
+            for b, at, _, runs in pair_buckets(contexts, numbers, pair_bucket_count):
                 a = answers[b]
                 small = unpack(a["small"], "<u4").reshape(MAX_DISCOUNTED, -1).astype(float)
                 totals = unpack(a["totals"], "<u8").astype(np.int64)
@@ -336,7 +339,7 @@ def score(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", bat
     total, kinds, *counts, _ = summed(words, MAX_DISCOUNTED + 4)
     unigrams = Unigrams(total, kinds, counts)
     numbers = words.select("batch", "bucket", "counts", "ranks")
-    asked = packed.drop("ids", "n").groupBy("batch").cogroup(numbers.groupBy("batch")).applyInArrow(ask_pairs(word_buckets, pair_bucket_count), PAIRS)
+    asked = packed.drop("words", "ids", "n").groupBy("batch").cogroup(numbers.groupBy("batch")).applyInArrow(ask_pairs(word_buckets, pair_bucket_count), PAIRS)
     pairs = staged(asked.groupBy("bucket").applyInArrow(count_pairs(unigrams), ANSWERS))
     d = discounts(summed(pairs, MAX_DISCOUNTED + 1))
     none = F.lit(None).cast("binary")
@@ -345,5 +348,5 @@ def score(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", bat
     )
     kind = docs.schema[id_column].dataType.simpleString()
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    scored = packed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(score_batch(unigrams, d, word_buckets, pair_bucket_count), schema)
+    scored = packed.drop("words").groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(score_batch(unigrams, d, word_buckets, pair_bucket_count), schema)
     return scored.select(F.col("id").alias(id_column), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
