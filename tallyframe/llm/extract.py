@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from tallyframe.llm.common import field, fresh
 
 TRAIN_PAGES = 2000
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>|([^<]+|<)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>|<[/A-Za-z!?][^>]*\Z|([^<]+|<)", re.S)
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math"}
 #: Elements that are never main text, and words of class, id or role that say the same.
 OUTSIDE = RAW | {"nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu", "head", "figcaption", "object"}
@@ -46,8 +46,6 @@ def tokens(page: str) -> list[tuple[str, str, str]]:
     at, size = 0, len(page)
     while at < size:
         m = TOKEN.match(page, at)
-        if m is None:  # a tag that the page's end cuts off
-            break
         at = m.end()
         closing, name, attributes, text = m.groups()
         if text is not None:

@@ -144,7 +144,8 @@ def shard(
 
 def write_shards(docs: DataFrame, path: str, *, id_column: str = "doc_id", **options) -> None:
     """Write all rows of ``docs`` as Parquet below one folder per shard, each sorted along the curve. Ids must be unique."""
-    where = shard(docs, id_column=id_column, **options).select(F.col(id_column).alias("_id"), "shard", "slot", "curve")
-    number = fresh(docs, "shard")
-    rows = docs.join(where, F.col(id_column).eqNullSafe(F.col("_id"))).drop("_id").withColumnRenamed("shard", number)
-    rows.repartitionByRange(number, "slot").sortWithinPartitions(number, "slot").drop("slot", "curve").write.partitionBy(number).parquet(path)
+    key, number, slot = (fresh(docs, n) for n in ("_id", "shard", "slot"))
+    where = shard(docs, id_column=id_column, **options)
+    where = where.select(F.col(id_column).alias(key), F.col("shard").alias(number), F.col("slot").alias(slot))
+    rows = docs.join(where, F.col(id_column).eqNullSafe(F.col(key))).drop(key)
+    rows.repartitionByRange(number, slot).sortWithinPartitions(number, slot).drop(slot).write.partitionBy(number).parquet(path)
