@@ -207,13 +207,16 @@ def mmew(
     """``sheet``: ``subject, filename, onset, apex, offset, au_raw, emotion``; ``frames``: ``filename, number, path``.
 
     ``stills``: ``subject, emotion, path`` of posed faces, used by ``apex_emotion``.
+
+    Where ``frames`` has an ``emotion`` too, a file name is looked up below its emotion only.
     """
+    key = [c for c in ("emotion", "filename") if c in frames.columns]
     given = sheet.where("subject IS NOT NULL AND emotion IS NOT NULL")
     rows = subject_split(given.withColumn("emotion", strip(F.col("emotion"))), "subject", SUBJECTS)
     emotion = json_object(emotion=quoted(F.col("emotion")))
     if task.startswith("apex"):
-        apex = frames.select("filename", F.col("number").alias("apex"), "path")
-        rows = rows.join(apex, ["filename", "apex"])
+        apex = frames.select(*key, F.col("number").alias("apex"), "path")
+        rows = rows.join(apex, [*key, "apex"])
         if task == "apex_emotion" and stills is not None:
             posed = subject_split(stills.where(F.col("emotion").isin(MACRO_EMOTIONS)), "subject", SUBJECTS)
             rows = rows.unionByName(posed, allowMissingColumns=True)
@@ -221,9 +224,11 @@ def mmew(
         system = APEX_SYSTEM if task == "apex_emotion" else UNITS_SYSTEM
         return samples(rows, "mmew", task, F.col("split"), F.col("path"), system, MICRO_USER[task], answer, F.col("path"))
     wanted = sample_frames_with_anchor(F.col("onset"), F.col("apex"), F.col("offset"))
-    stored = rows.select("filename", F.explode(wanted).alias("number")).join(frames, ["filename", "number"], "left_semi")
-    enough = stored.groupBy("filename").agg(F.count("*").alias("n_frames")).where(F.col("n_frames") >= MIN_FRAMES)
-    rows = rows.join(enough, "filename")
+    # Frames are counted for each marked span: two sheet rows of one file do not add up.
+    span = [*key, "onset", "apex", "offset"]
+    stored = rows.select(*span).distinct().withColumn("number", F.explode(wanted)).join(frames, [*key, "number"], "left_semi")
+    enough = stored.groupBy(*span).agg(F.count("*").alias("n_frames")).where(F.col("n_frames") >= MIN_FRAMES)
+    rows = rows.join(enough, span)
     if task == "clip_emotion_think":
         story = F.concat(
             F.lit(SPOTTING + UNITS_LINE), units_phrase(F.col("au_raw")), F.lit(".\n" + DEDUCTION), F.col("emotion"), F.lit(".")
