@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -524,10 +525,14 @@ def run_metric(name: str, rows: DataFrame, by: list[str], strict: bool = False)
     ok = F.coalesce(needs, F.lit(False)) if needs is not None else F.lit(True)
     result = spec.compute(rows.where(ok) if needs is not None else rows, by)
     if spec.empty and by:
-        missing = rows.select(*by).distinct().join(result.select(*by).distinct(), by, "left_anti")
-        cells = [F.struct(F.lit(m).alias("metric"), F.lit(float(v)).alias("value")) for m, v in spec.empty.items()]
-        filled = missing.select(*by, F.inline(F.array(*cells))).withColumn("n_used", F.lit(0).cast("long"))
-        result = result.unionByName(filled)
+        # Joined with all groups, so that the scores are planned once.
+        groups = rows.select(*[F.col(b).alias(f"__{b}") for b in by]).distinct()
+        same = reduce(lambda a, b: a & b, [groups[f"__{b}"].eqNullSafe(result[b]) for b in by])
+        none = F.lit(0).cast("long").alias("n_used")
+        cells = [F.struct(F.lit(m).alias("metric"), F.lit(float(v)).alias("value"), none) for m, v in spec.empty.items()]
+        given = F.array(F.struct("metric", "value", "n_used"))
+        filled = F.inline(F.when(F.col("metric").isNull(), F.array(*cells)).otherwise(given))
+        result = groups.join(result, same, "left").select(*[F.col(f"__{b}").alias(b) for b in by], filled)
     if strict and needs is not None and name not in SKIPS_ROWS and by:
         broken = rows.where(~ok).select(*by).distinct()
         error = broken.select(
