@@ -47,7 +47,7 @@ RARE, PER_CLASS = 16, 8
 SMALL, PIVOTS = 4, 4
 #: Hashes below LOW (of 2**64) are low; sets and tokens of a batch; tokens that a bucket is meant to answer for.
 LOW = int(0.45 * 2**64)
-BATCH_SETS, BATCH_TOKENS, BUCKET_TOKENS = 8_000, 2_000_000, 4_000_000
+BATCH_SETS, BATCH_TOKENS, BUCKET_TOKENS = 4_000, 1_000_000, 1_000_000
 FILTER_BITS = 26
 LEAST = -(2**63)
 EMPTY = 0
@@ -56,7 +56,7 @@ EMPTY = 0
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
-    LIMIT = 1_000_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
