@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+CLEANUP, ARROW_BATCH = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch"
+ARROW_ROWS = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -26,16 +27,20 @@ def shared_folder(spark: SparkSession) -> str:
 def staged(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: a lost executor costs no recomputation of it.
 
-    Nothing else reads the shuffle files of the write, so Spark may delete them when it is over.
+    Nothing else reads the shuffle files of the write, so Spark may delete them when it is over. Python gets batches of
+    at most ARROW_ROWS rows meanwhile, because whole texts and sets are long rows.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    wanted = {CLEANUP: "true", ARROW_BATCH: str(min(ARROW_ROWS, int(spark.conf.get(ARROW_BATCH))))}
+    before = {k: spark.conf.get(k) for k in wanted}
     try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

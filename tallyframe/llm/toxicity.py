@@ -30,8 +30,8 @@ from tallyframe.llm.common import crc_mod, field, fresh
 
 TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+")
 TRAIN_ROWS, FOLDS, FOLD = 20_000, 5, 0
-#: Bytes of a word's beginning; rows of the lexicon; documents and tokens of each the field is fitted on.
-PREFIX, LEXICON, FIELD_DOCS, FIELD_TOKENS = 5, 20_000, 1_000, 400
+#: Bytes of a word's beginnings; rows of the lexicon; documents and tokens of each the field is fitted on.
+PREFIXES, LEXICON, FIELD_DOCS, FIELD_TOKENS = (4, 6), 20_000, 1_000, 400
 #: Pseudo-documents that shrink a log-odds, the least log-odds kept, and from where a token counts as labelled toxic.
 SHRINK, LEAST, STRONG = 10.0, 1.0, 2.5
 
@@ -44,15 +44,16 @@ class Model(NamedTuple):
 
 
 def token_features(texts: list[bytes | None], lexicon: dict[bytes, float]) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """Log-odds of the word and of its beginning for all tokens in a row, and the number of tokens of each text."""
+    """Log-odds of the word and the higher one of its beginnings for all tokens in a row, and the number of tokens of each text."""
     whole = {k[1:]: v for k, v in lexicon.items() if k[:1] == b"w"}.get
     begin = {k[1:]: v for k, v in lexicon.items() if k[:1] == b"p"}.get
     sizes, word, start = [], [], []
+    short, long = PREFIXES
     for t in texts:
         found = TOKEN.findall(t.lower()) if t else []
         sizes.append(len(found))
         word.extend([whole(w, 0.0) for w in found])
-        start.extend([begin(w[:PREFIX], 0.0) for w in found])
+        start.extend([max(begin(w[:short], 0.0), begin(w[:long], 0.0)) for w in found])
     return np.array(word), np.array(start), sizes
 
 
@@ -145,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text
             total: dict[bytes, list[int]] = {}
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = set(TOKEN.findall(t.lower())) if t else set()
-                for k in {b"w" + w for w in found} | {b"p" + w[:PREFIX] for w in found}:
+                for k in {b"w" + w for w in found} | {b"p" + w[:n] for w in found for n in PREFIXES}:
                     total.setdefault(k, [0, 0])[1 if y == 1 else 0] += 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(total), pa.binary()), pa.array([v[1] for v in total.values()], pa.int64()), pa.array([v[0] for v in total.values()], pa.int64())], names=["k", "a", "b"]
@@ -172,6 +173,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text
             )
 
     got = sample.mapInArrow(tag, "w binary, p binary, y int, m string").toPandas().sort_values(["m", "w"])
+    if (got["y"] == 1).nunique() < 2 or not got["w"].str.len().sum():
+        return None
     word = [np.frombuffer(b, np.float32).astype(float) for b in got["w"]]
     start = [np.frombuffer(b, np.float32).astype(float) for b in got["p"]]
     state = [((np.maximum(w, s) >= STRONG) & (y == 1)).astype(float) for w, s, y in zip(word, start, got["y"], strict=True)]
