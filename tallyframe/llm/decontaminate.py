@@ -35,50 +35,53 @@ def words(text: bytes | None) -> list[bytes]:
     return WORD.findall(text.lower()) if text else []
 
 
-class WindowSet:
-    """The distinct windows of some items by length, with the items that own each."""
-
-    def __init__(self, items: list[tuple[str | None, bytes | None]], window: int):
-        self.vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
-            size = min(window, len(ids))
-            for start in range(len(ids) - size + 1 if ids else 0):
-                owned = owners.setdefault(tuple(ids[start : start + size]), set())
-                if item is not None:
-                    owned.add(item)
-        self.tables = {}
-        for size in sorted({len(w) for w in owners}):
-            rows = [w for w in owners if len(w) == size]
-            matrix = np.array(rows, dtype=np.uint32)
-            seed = 0
-            while True:
-                # Another multiplier until no two windows share a hash.
-                factors = np.random.default_rng(seed).integers(1, 2**63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-                hashes = hash_windows(matrix.ravel(), factors)[::size] if size else None
-                order = np.argsort(hashes)
-                if (np.diff(hashes[order]) != 0).all():
-                    break
-                seed += 1
-            hashes = hashes[order]
-            seen = np.zeros(1 << FILTER_BITS, dtype=bool)
-            seen[hashes >> np.uint64(64 - FILTER_BITS)] = True
-            self.tables[size] = (factors, hashes, seen, matrix[order], [sorted(owners[rows[i]]) for i in order])
-
-    def scan(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, list[list[str]]]]:
-        """(length, starts, owners of each start's window) of all true occurrences in one array of word numbers."""
-        for size, (factors, hashes, seen, matrix, owners) in self.tables.items():
-            if len(ids) < size:
-                continue
-            found = hash_windows(ids, factors)
-            starts = np.flatnonzero(seen[found >> np.uint64(64 - FILTER_BITS)])
-            at = np.searchsorted(hashes, found[starts]).clip(max=len(hashes) - 1)
-            same = hashes[at] == found[starts]
-            starts, at = starts[same], at[same]
-            if len(starts):
-                same = (ids[starts[:, None] + np.arange(size)] == matrix[at]).all(axis=1)
-                yield size, starts[same], [owners[i] for i in at[same]]
+def window_tables(items: list[tuple[str | None, bytes | None]], window: int) -> tuple[dict, dict]:
+    """The numbers of the items' words and, by length, their distinct windows with the items that own each.
+
+    Plain values, so that executors need no copy of this module to read a broadcast.
+    """
+    vocabulary: dict[bytes, int] = {}
+    owners: dict[tuple[int, ...], set[str]] = {}
+    for item, text in items:
+        ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words(text)]
+        size = min(window, len(ids))
+        for start in range(len(ids) - size + 1 if ids else 0):
+            owned = owners.setdefault(tuple(ids[start : start + size]), set())
+            if item is not None:
+                owned.add(item)
+    tables = {}
+    for size in sorted({len(w) for w in owners}):
+        rows = [w for w in owners if len(w) == size]
+        matrix = np.array(rows, dtype=np.uint32)
+        seed = 0
+        while True:
+            # Another multiplier until no two windows share a hash.
+            factors = np.random.default_rng(seed).integers(1, 2**63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+            hashes = hash_windows(matrix.ravel(), factors)[::size]
+            order = np.argsort(hashes)
+            if (np.diff(hashes[order]) != 0).all():
+                break
+            seed += 1
+        hashes = hashes[order]
+        seen = np.zeros(1 << FILTER_BITS, dtype=bool)
+        seen[hashes >> np.uint64(64 - FILTER_BITS)] = True
+        tables[size] = (factors, hashes, seen, matrix[order], [sorted(owners[rows[i]]) for i in order])
+    return vocabulary, tables
+
+
+def occurrences(tables: dict, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, list[list[str]]]]:
+    """(length, starts, owners of each start's window) of all true occurrences in one array of word numbers."""
+    for size, (factors, hashes, seen, matrix, owners) in tables.items():
+        if len(ids) < size:
+            continue
+        found = hash_windows(ids, factors)
+        starts = np.flatnonzero(seen[found >> np.uint64(64 - FILTER_BITS)])
+        at = np.searchsorted(hashes, found[starts]).clip(max=len(hashes) - 1)
+        same = hashes[at] == found[starts]
+        starts, at = starts[same], at[same]
+        if len(starts):
+            same = (ids[starts[:, None] + np.arange(size)] == matrix[at]).all(axis=1)
+            yield size, starts[same], [owners[i] for i in at[same]]
 
 
 def hash_windows(ids: np.ndarray, factors: np.ndarray) -> np.ndarray:
@@ -118,9 +121,10 @@ ARROW_VERDICT = pa.struct([
 ])
 
 
-def look_up(texts: list[bytes | None], known: list[dict | None], index: WindowSet) -> list[dict]:
+def look_up(texts: list[bytes | None], known: list[dict | None], index: tuple[dict, dict]) -> list[dict]:
     """What is known of each text after one more block."""
-    number = index.vocabulary.get
+    vocabulary, tables = index
+    number = vocabulary.get
     parts, sizes = [], []
     for t in texts:
         found = words(t)
@@ -131,7 +135,7 @@ def look_up(texts: list[bytes | None], known: list[dict | None], index: WindowSe
     ends = np.cumsum(np.array(sizes) + 1)
     turns = np.zeros(len(ids) + 1, dtype=np.int32)
     items: dict[int, set[str]] = {}
-    for length, starts, owners in index.scan(ids):
+    for length, starts, owners in occurrences(tables, ids):
         np.add.at(turns, starts, 1)
         np.add.at(turns, starts + length, -1)
         for doc, owned in zip(np.searchsorted(ends, starts, side="right").tolist(), owners, strict=True):
@@ -210,7 +214,7 @@ def contamination(
     for block in blocks(benchmark, item_text, item, block_bytes):
         if held is not None:
             work = work.mapInArrow(step(held, False), work.schema)
-        held = context.broadcast(WindowSet(block, window))
+        held = context.broadcast(window_tables(block, window))
     return work.mapInArrow(step(held, True), T.StructType([*[field(docs, c) for c in kept], T.StructField(out, VERDICT)])), out
 
 

@@ -214,13 +214,14 @@ def score(docs: DataFrame, labels: DataFrame | None = None, *, model: Model | No
     highest probability in each).
     """
     model = model or train(docs, labels, text=text, **options)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain values: executors have no copy of this module to read a class from.
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(model) if model is not None else None)
     source, out, kept = fresh(docs, "_bytes"), fresh(docs, "toxicity"), docs.columns
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())])
     kind = pa.struct([("score", pa.float64()), ("spans", pa.list_(span))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = Model(*shared.value) if shared.value is not None else None
         for batch in batches:
             if not batch.num_rows:
                 continue
