@@ -6,8 +6,8 @@ t = floor(ln(weight) / r + b), the term with the least ln(c) - r * (t - b) - r i
 same sample with a probability equal to their generalised Jaccard similarity (sum of the lesser weights over the sum of
 the greater ones), so the share of equal samples estimates it. The least value itself stands for the pair (term, t).
 
-Neighbours in descending order of the id are found inside ranges of ids, cut by quantiles: the text is shuffled once,
-by range, and each range is also given the first document of the next one. All later groupings keep that partitioning.
+Neighbours in descending order of the id are found inside ranges of ids, cut by quantiles: the text is shuffled by
+range, and each range is also given the first document of the next one. All later groupings keep that partitioning.
 
 Defined cases: null and empty texts, and texts of white space, have no terms; their fingerprints are equal to each other
 and to no other's. A text of fewer than five words is one term. Null ids come last in descending order; rows with equal
@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyframe.llm.common import staged
+
 SAMPLES, SHINGLE = 16, 5
 #: Rounds that one row computes; more would make generated methods too long to be compiled.
 ROUNDS = 4
@@ -43,14 +45,17 @@ def unit(bits: Column) -> Column:
     return (bits + 0.5) / 2.0**32
 
 
-def draw(term: Column, number: Column, weights: list[Column]) -> list[Column]:
-    """The value of one round of a term for each of several weights; null where the weight is 0."""
+def draw(term: Column, number: Column, log_weights: list[Column]) -> list[Column]:
+    """The value of one round of a term for each of several weights; null where the logarithm is.
+
+    Without a condition around them, Spark computes r, b and ln(c) once for all weights.
+    """
     first, second, third = (F.xxhash64(term, number * 3 + j) for j in range(3))
     halves = [unit(h.bitwiseAND(0xFFFFFFFF)) * unit(F.shiftrightunsigned(h, 32)) for h in (first, second)]
     r, c = -F.ln(halves[0]), -F.ln(halves[1])
     b = unit(F.shiftrightunsigned(third, 32))
     log_c = F.ln(c)
-    return [F.when(w > 0, log_c - r * (F.floor(F.ln(w) / r + b) - b) - r) for w in weights]
+    return [log_c - r * (F.floor(w / r + b) - b) - r for w in log_weights]
 
 
 def signature(terms: DataFrame, keys: list[str], weights: list[str], samples: int = SAMPLES) -> DataFrame:
@@ -59,10 +64,12 @@ def signature(terms: DataFrame, keys: list[str], weights: list[str], samples: in
     ``terms``: keys, term (long) and one or more weights (0: the text does not have the term).
     """
     chunks = -(-samples // ROUNDS)
-    rows = terms.withColumn("_chunk", F.explode(F.array(*[F.lit(i) for i in range(chunks)])))
+    logs = [f"_ln_{w}" for w in weights]  # null for a weight of 0
+    rows = terms.select(*keys, "term", *[F.ln(w).alias(n) for w, n in zip(weights, logs, strict=True)])
+    rows = rows.withColumn("_chunk", F.explode(F.array(*[F.lit(i) for i in range(chunks)])))
     values = []
     for j in range(ROUNDS):
-        drawn = draw(F.col("term"), F.col("_chunk") * ROUNDS + j, [F.col(w) for w in weights])
+        drawn = draw(F.col("term"), F.col("_chunk") * ROUNDS + j, [F.col(n) for n in logs])
         values += [F.min(v).alias(f"_{w}{j}") for w, v in zip(weights, drawn, strict=True)]
     least = rows.groupBy(*keys, "_chunk").agg(*values)
     part = lambda c: F.lower(F.lpad(F.hex(F.shiftrightunsigned(F.xxhash64(c), 32)), 8, "0"))
@@ -128,8 +135,10 @@ def neighbours(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text"
     number, firsts = id_ranges(docs, id_column)
     own = rows.select(number.alias("range"), F.lit(0).alias("halo"), "id", "text")
     after = [(firsts[i][0], firsts[(i + 1) % len(firsts)][1]) for i in range(len(firsts))]
-    # One narrow row per range: at most RANGES + 1.
-    wanted = docs.sparkSession.createDataFrame(after, "range int, first long")
+    # One narrow row per range: at most RANGES + 1. An id that is null is an empty text here.
+    listed = F.explode(F.split(F.lit(",".join(f"{r}:{'' if first is None else first}" for r, first in after)), ",")).alias("x")
+    part = lambda i, kind: F.get(F.split("x", ":"), F.lit(i)).try_cast(kind)
+    wanted = docs.sparkSession.range(1).select(listed).select(part(0, "int").alias("range"), part(1, "long").alias("first"))
     halo = rows.join(F.broadcast(wanted), F.col("id").eqNullSafe(F.col("first"))).groupBy("range").agg(F.lit(1).alias("halo"), F.max("id").alias("id"), F.min("text").alias("text"))
     order = Window.partitionBy("range").orderBy("halo", F.col("id").desc_nulls_last(), "text")
     both = own.unionByName(halo.select("range", "halo", "id", "text"))
@@ -154,7 +163,8 @@ def compare(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", s
     found = signature(weights, keys, ["fingerprint", "edited_fingerprint"], samples)
     new = edited(F.col("text"), F.col("next"))
     facts = rows.select(*keys, "halo", "id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(new.cast("binary"), 256).alias("edited_sha256"))
-    joined = facts.join(found, keys, "left").withColumns({c: F.coalesce(c, no_terms(samples)) for c in ("fingerprint", "edited_fingerprint")})
+    # Written first, so that the texts are not on disk for both sides of the join at once.
+    joined = staged(facts).join(found, keys, "left").withColumns({c: F.coalesce(c, no_terms(samples)) for c in ("fingerprint", "edited_fingerprint")})
     following = F.lead("fingerprint").over(Window.partitionBy("range").orderBy("place"))
     joined = joined.withColumn("following", following).where("halo = 0")
     return joined.select(
