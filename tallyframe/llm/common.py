@@ -24,23 +24,26 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Let Python have at most ARROW_ROWS rows at once in this session: whole texts and sets are long rows."""
+    if not 0 < int(spark.conf.get(ARROW_BATCH)) <= ARROW_ROWS:
+        spark.conf.set(ARROW_BATCH, str(ARROW_ROWS))
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: a lost executor costs no recomputation of it.
 
-    Nothing else reads the shuffle files of the write, so Spark may delete them when it is over. Python gets batches of
-    at most ARROW_ROWS rows meanwhile, because whole texts and sets are long rows.
+    Nothing else reads the shuffle files of the write, so Spark may delete them when it is over.
     """
     spark = df.sparkSession
+    short_batches(spark)
     path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
-    wanted = {CLEANUP: "true", ARROW_BATCH: str(min(ARROW_ROWS, int(spark.conf.get(ARROW_BATCH))))}
-    before = {k: spark.conf.get(k) for k in wanted}
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
     try:
-        for k, v in wanted.items():
-            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

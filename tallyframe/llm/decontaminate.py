@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.llm.common import field, fresh
+from tallyframe.llm.common import field, fresh, short_batches
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 WINDOW = 13
@@ -186,6 +186,7 @@ def contamination(
     ids as text, sorted and joined by commas), contaminated (at least ``share`` of the words are hit), spans (code
     point offsets of the hit runs).
     """
+    short_batches(docs.sparkSession)
     source = fresh(docs, "_bytes")
     work = docs.withColumn(source, F.col(text).cast("binary"))
     state, out = fresh(work, "_known"), fresh(docs, "contamination")

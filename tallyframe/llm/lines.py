@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.llm.common import field, fresh, staged
+from tallyframe.llm.common import field, fresh, short_batches, staged
 
 SPACE = b" \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -195,6 +195,7 @@ def dedup_lines(
 
     Its fields: n_lines, n_dropped, kept_sha256 (of the text that stays). ``id_column`` holds whole numbers.
     """
+    short_batches(docs.sparkSession)
     lines = staged(recurring_lines(docs, text, id_column, min_chars, min_docs))
     index, n_shards = build_index(lines)
     size = index.agg(F.sum(F.octet_length("levels") + F.octet_length("prints") + F.octet_length("owners"))).first()[0] or 0

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.llm.common import crc_mod, field, fresh, staged
+from tallyframe.llm.common import crc_mod, field, fresh, short_batches, staged
 
 TRAIN_ROWS = 20_000
 FOLDS, FOLD = 5, 0
@@ -102,6 +102,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text
 
 def with_evidence(docs: DataFrame, weights: list[float], text: str, out: str) -> DataFrame:
     """Add the log-odds of each whole text; all columns and rows stay."""
+    short_batches(docs.sparkSession)
     source, kept = fresh(docs, "_bytes"), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.llm.common import field, fresh, staged
+from tallyframe.llm.common import field, fresh, short_batches, staged
 
 SHARDS, BITS = 8, 8
 #: Accuracy of the quantiles: places in error are at most rows / ACCURACY.
@@ -88,6 +88,7 @@ def place(value: Column, bounds: list[float], cuts: int) -> Column:
 
 
 def with_index(rows: DataFrame, names: list[str], bits: int, out: str) -> DataFrame:
+    short_batches(rows.sparkSession)
     kept = rows.columns
     numbers = [f"_d{i}" for i in range(len(names))]
 

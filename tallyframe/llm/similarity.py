@@ -47,7 +47,7 @@ RARE, PER_CLASS = 16, 8
 SMALL, PIVOTS = 4, 4
 #: Hashes below LOW (of 2**64) are low; sets and tokens of a batch; tokens that a bucket is meant to answer for.
 LOW = int(0.45 * 2**64)
-BATCH_SETS, BATCH_TOKENS, BUCKET_TOKENS = 4_000, 1_000_000, 1_000_000
+BATCH_SETS, BATCH_TOKENS, BUCKET_TOKENS = 1_000, 250_000, 500_000
 FILTER_BITS = 26
 LEAST = -(2**63)
 EMPTY = 0

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.llm.common import crc_mod, field, fresh
+from tallyframe.llm.common import crc_mod, field, fresh, short_batches
 
 TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+")
 TRAIN_ROWS, FOLDS, FOLD = 20_000, 5, 0
@@ -213,6 +213,7 @@ def score(docs: DataFrame, labels: DataFrame | None = None, *, model: Model | No
     Its fields: score (0 to 1) and spans (code point offsets of runs of tokens that are toxic with 0.5 or more, and the
     highest probability in each).
     """
+    short_batches(docs.sparkSession)
     model = model or train(docs, labels, text=text, **options)
     # Plain values: executors have no copy of this module to read a class from.
     shared = docs.sparkSession.sparkContext.broadcast(tuple(model) if model is not None else None)
