@@ -353,8 +353,9 @@ def linked_nodes(docs: DataFrame, text: str, id_column: str, packed: DataFrame,
     known = done.select(*[F.col(c).alias(f"_{c}") for c in ("a", "b")], "distance")
     rows = large.join(known, (F.least("node", "m") == F.col("_a")) & (F.greatest("node", "m") == F.col("_b")), "left")
     rows = staged(rows.select("entry", "node", "n", F.when(F.col("node") == F.col("m"), 0.0).otherwise(F.col("distance")).alias("distance")))
+    roots = components(done.where("linked"))
+    # Pivots say nothing of pairs of two others, so the last round is never left out.
     for n_pivots in (PIVOTS, None):
-        roots = components(done.where("linked"))
         rows = unsettled(rows.drop("root"), roots)
         if n_pivots is None:
             other = rows.select("entry", *[F.col(c).alias(x) for c, x in (("node", "m"), ("n", "k"), ("root", "r"), ("distance", "e"))])
@@ -363,10 +364,10 @@ def linked_nodes(docs: DataFrame, text: str, id_column: str, packed: DataFrame,
             more = with_pivots(rows, n_pivots)
         more = more.where(F.col("root") != F.col("r")).where(may_link(t)).select(*ordered_pairs("node", "m")).distinct()
         pairs = staged(more.join(done, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            return roots
-        done = done.unionByName(staged(verify(pairs, docs, text, id_column, owners, t)))
-    return components(done.where("linked"))
+        if not pairs.isEmpty():
+            done = done.unionByName(staged(verify(pairs, docs, text, id_column, owners, t)))
+            roots = components(done.where("linked"))
+    return roots
 
 
 def unsettled(entries: DataFrame, roots: DataFrame) -> DataFrame:

@@ -61,6 +61,23 @@ def test_against_all_pairs(spark, seed, monkeypatch):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == plain(data)
 
 
+def test_pairs_that_no_pivot_reaches(spark, monkeypatch):
+    """One entry alone: its pivots are near each other, and two near copies are far from all of them."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(8))
+    base = [word() for _ in range(100)]
+    far = base[:60] + [word() for _ in range(40)]
+    texts = [far, [*far[:-1], word()]]
+    for i in range(40):
+        texts.append([*base[:i], word(), *base[i + 1 :]])
+    data = [(i, " ".join(t), "en", "a", 0, None, None, None) for i, t in enumerate(texts)]
+    everything = lambda packed, t: packed.selectExpr("explode(arrays_zip(nodes, sizes)) as x").selectExpr("1L as entry", "x.nodes as node", "x.sizes as n")
+    monkeypatch.setattr(similarity, "index_entries", everything)
+    got = near_duplicates(cases.table(spark, data)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain(data)
+    assert {r.doc_id: r.component_id for r in got}[1] == 0
+
+
 def test_entries_meet_for_every_pair_at_the_threshold():
     bands, rng = similarity.Bands((3, 4)), random.Random(3)
     for _ in range(3000):
