@@ -34,8 +34,9 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallyframe.llm.common import staged
+from tallyframe.llm.common import field, fresh, staged
 from tallyframe.llm.components import components
 
 #: Jaccard similarity as a fraction.
@@ -385,13 +386,18 @@ def with_pivots(rows: DataFrame, n_pivots: int) -> DataFrame:
     return each.select("node", "n", "root", "distance", "p.m", "p.k", "p.r", "p.e")
 
 
-def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """One row per document: id, n_shingles, component_id (the least id that links reach), node (equal sets share it)."""
-    packed = staged(batches(docs, text, id_column, threshold))
+def rooted_nodes(docs: DataFrame, text: str, id_column: str, t: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """(id, node, n) of every row, null ids as LEAST; (node, id, root) of every node but EMPTY, with its least id."""
+    packed = staged(batches(docs, text, id_column, t))
     members = packed.select(F.explode(F.arrays_zip("ids", "nodes", "sizes")).alias("x")).select(F.col("x.ids").alias("id"), F.col("x.nodes").alias("node"), F.col("x.sizes").alias("n"))
     owners = staged(members.where(F.col("node") != EMPTY).groupBy("node").agg(F.min("id").alias("id")))
-    roots = linked_nodes(docs, text, id_column, packed, owners, threshold)
-    rooted = owners.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = linked_nodes(docs, text, id_column, packed, owners, t)
+    return members, owners.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """One row per document: id, n_shingles, component_id (the least id that links reach), node (equal sets share it)."""
+    members, rooted = rooted_nodes(docs, text, id_column, threshold)
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
     classes = staged(rooted.join(least, "root").select("node", "component_id"))
     # The nodes of single documents need no join to answer for a copy group; hot nodes are narrow rows here.
@@ -401,8 +407,38 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text: str = "
     return joined.select(value(F.col("id")).alias(id_column), F.col("n").alias("n_shingles"), value(component).alias("component_id"), "node")
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` with the least id of their component; of rows that share it, and of copies, one stays."""
-    found = near_duplicates(docs, id_column=id_column, **options)
-    kept = staged(found.where(F.col(id_column).eqNullSafe(F.col("component_id"))).select(F.col(id_column).alias("_id"), "node").distinct())
-    return docs.join(kept.select("_id").distinct(), F.col(id_column).eqNullSafe(F.col("_id")), "left_semi")
+def with_nodes(docs: DataFrame, text: str, out: str) -> DataFrame:
+    """All columns of ``docs`` and the node of each row's text."""
+    wide, kept, blob = docs.withColumn(out, F.col(text).cast("binary")), docs.columns, out
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for part in parts:
+            found = [digest(shingle_set(value.as_py(), hashes)) for value in part.column(blob)]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(found, pa.int64())], names=[*kept, out])
+
+    return wide.mapInArrow(run, T.StructType([*[field(docs, c) for c in kept], T.StructField(out, T.LongType())]))
+
+
+def drop_near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """One row of each component, with its least id; of rows that share that id, and of copies, one stays.
+
+    Rows of the empty set, which are components of their own, all stay.
+    """
+    members, rooted = rooted_nodes(docs, text, id_column, threshold)
+    best = rooted.groupBy("root").agg(F.min(F.struct("id", "node")).alias("k")).select("k.id", "k.node")
+    best = staged(best.unionByName(members.where(F.col("node") == EMPTY).select("id", "node").distinct()))
+    rows = members.groupBy("id").agg(F.count("*").alias("rows"))
+    key, node = fresh(docs, "_id"), fresh(docs, "_node")
+    ids = staged(best.select("id").distinct().join(rows, "id").select(F.col("id").alias(key), "rows"))
+    own, shared = F.coalesce(F.col(id_column).cast("long"), F.lit(LEAST)), ids.where("rows > 1")
+    single = docs.join(ids.where("rows = 1").select(key), own == F.col(key), "left_semi")
+    if shared.isEmpty():
+        return single
+    # An id of several rows does not tell which of them is meant: their texts do. One row of each (id, node) is picked
+    # before the join, in part where the rows lie, so that a pair of many rows is few of them afterwards.
+    several = with_nodes(docs.join(shared.select(key), own == F.col(key), "left_semi"), text, node)
+    apart = fresh(docs, "_apart")
+    several = several.withColumn(key, own).withColumn(apart, F.when(F.col(node) == EMPTY, F.monotonically_increasing_id()))
+    one = several.dropDuplicates([key, node, apart]).join(best.withColumnsRenamed({"id": key, "node": node}), [key, node], "left_semi")
+    return single.unionByName(one.select(*docs.columns))

@@ -103,6 +103,33 @@ def test_one_of_each_group_stays(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in plain(data)})
 
 
+def test_one_row_of_each_component_stays(spark):
+    """Repeated rows, null ids of one and of several components, and two texts under one id."""
+    rng = random.Random(4)
+    one, two, three, four = (cases.prose(rng, 40) for _ in range(4))
+    more = [(None, one), (None, one), (None, two), (None, ""), (3000, three), (3000, three), (3000, four), (3001, four), (3002, one)]
+    data = [*cases.rows(), *[(i, t, "en", "a", 0, None, None, None) for i, t in more]]
+    docs = cases.table(spark, data)
+    kept = [(r.doc_id, r.text) for r in drop_near_duplicates(docs).collect()]
+    whole = plain(data)
+    alone = Counter(r[0] for r in data if not shingle_set(r[1]))
+    sets, found = [shingle_set(r[1]) for r in data], Counter()
+    left = set(range(len(data)))
+    while left:
+        group, todo = set(), [left.pop()]
+        while todo:
+            i = todo.pop()
+            group.add(i)
+            near = {j for j in left if (c := len(sets[i] & sets[j])) and 4 * c >= 3 * (len(sets[i]) + len(sets[j]) - c)}
+            left -= near
+            todo += near
+        ids = [data[i][0] for i in group]
+        found[None if None in ids else min(ids)] += 1
+    assert sum(alone.values()) == 4 and set(found) == {c for _, _, c in whole}
+    assert Counter(i for i, _ in kept) == found
+    assert (3000, three) in kept and (3000, four) in kept and (None, one) in kept and (None, two) in kept
+
+
 def test_empty_table(spark):
     assert near_duplicates(cases.table(spark, [])).count() == 0
     assert drop_near_duplicates(cases.table(spark, [])).count() == 0
