@@ -1,8 +1,8 @@
 """Sharding along a Hilbert curve, so that each shard covers a small box of several metadata dimensions.
 
-Each dimension becomes a number of ``bits`` bits by its quantiles over all rows (a text by its first six bytes read as a
-number). The numbers are turned into one curve index, the rows are sorted by it over the whole cluster, and the sorted sequence is cut into
-``shards`` runs. Rows one after the other share most of their metadata, so a reader can skip whole files by min and max.
+Each dimension becomes a number of ``bits`` bits by its quantiles over all rows (whole texts in the order of
+their bytes). The numbers are turned into one curve index, the rows are sorted by it over the whole cluster, and the
+sorted sequence is cut into ``shards`` runs. Rows one after the other share most of their metadata, so a reader can skip whole files by min and max.
 
 The law is ``rows``: shard sizes differ by one row at most. The sort is a range partition on (index, crc32 of the text,
 id), so a value that a third of all rows share is cut between its rows, and equal texts with equal metadata stay
@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tallyframe.llm.common import field, fresh, short_batches, staged
 
@@ -60,24 +61,37 @@ def hilbert_index(points: np.ndarray, bits: int) -> np.ndarray:
     return index.astype(np.int64)
 
 
-def quantised(rows: DataFrame, names: list[str], bits: int) -> list[Column]:
-    """A column of whole numbers below 2**bits for each dimension, from quantiles over all rows.
+def text_bounds(rows: DataFrame, name: str, cuts: int) -> list[str]:
+    """At most cuts - 1 whole texts, in the order of their bytes, that part the rows evenly: counted, not sampled."""
+    counts = rows.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("v")).agg(F.count("*").alias("n"))
+    ranged = staged(counts.repartitionByRange("v").select("v", "n", F.spark_partition_id().alias("p")))
+    total, offsets = 0, []
+    for p, n in sorted(ranged.groupBy("p").agg(F.sum("n").alias("n")).collect()):  # one number per range
+        offsets.append((p, total))
+        total += n
+    if not total:
+        return []
+    starts = rows.sparkSession.createDataFrame(offsets, "p int, start long")
+    upto = F.sum("n").over(Window.partitionBy("p").orderBy("v"))
+    ranked = ranged.withColumn("upto", upto).join(F.broadcast(starts), "p").withColumn("upto", F.col("start") + F.col("upto"))
+    share = lambda c: F.least(F.floor(c.cast("decimal(20,0)") * cuts / total), F.lit(cuts - 1))
+    return sorted((r.v for r in ranked.where(share(F.col("upto")) > share(F.col("upto") - F.col("n"))).select("v").collect()), key=str.encode)
 
-    A text counts by its first six bytes as a number; its quantiles, too, are taken over all rows.
-    """
-    numbers = {}
-    for n in names:
-        c = F.col(n)
-        if isinstance(rows.schema[n].dataType, T.StringType):
-            c = F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0"), 16, 10)
-        numbers[n] = c.cast("double")
+
+def quantised(rows: DataFrame, names: list[str], bits: int) -> list[Column]:
+    """A column of whole numbers below 2**bits for each dimension, from quantiles over all rows; texts count as a whole."""
     cuts = 1 << bits
-    shares = F.array(*[F.lit(i / cuts) for i in range(1, cuts)])
-    bounds = rows.agg(*[F.percentile_approx(numbers[n], shares, ACCURACY).alias(f"q{i}") for i, n in enumerate(names)]).first()
-    return [place(numbers[n], sorted(set(bounds[i] or [])), cuts) for i, n in enumerate(names)]
+    texts = [n for n in names if isinstance(rows.schema[n].dataType, T.StringType)]
+    numbers = {n: F.col(n).cast("double") for n in names if n not in texts}
+    bounds = {n: text_bounds(rows, n, cuts) for n in texts}
+    if numbers:
+        shares = F.array(*[F.lit(i / cuts) for i in range(1, cuts)])
+        found = rows.agg(*[F.percentile_approx(c, shares, ACCURACY).alias(f"q{i}") for i, c in enumerate(numbers.values())]).first()
+        bounds |= {n: sorted(set(found[i] or [])) for i, n in enumerate(numbers)}
+    return [place(numbers.get(n, F.col(n)), bounds[n], cuts) for n in names]
 
 
-def place(value: Column, bounds: list[float], cuts: int) -> Column:
+def place(value: Column, bounds: list[float] | list[str], cuts: int) -> Column:
     """How many bounds are not above the value; where bounds are few, spread over the whole range. Null: 0."""
     if not bounds:
         return F.lit(0).cast("long")

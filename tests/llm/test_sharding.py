@@ -7,7 +7,7 @@ import cases
 import numpy as np
 import pytest
 
-from tallyframe.llm.sharding import hilbert_index, shard, write_shards
+from tallyframe.llm.sharding import hilbert_index, shard, text_bounds, write_shards
 
 
 @pytest.mark.parametrize(("dimensions", "bits"), [(1, 5), (2, 1), (2, 4), (3, 3), (4, 2)])
@@ -43,6 +43,23 @@ def test_shards_prune_each_dimension(spark):
     assert area.max() <= 2 * 256
 
 
+def test_texts_with_a_common_beginning_part_the_shards(spark):
+    docs = spark.range(4096).selectExpr("id as doc_id", "'x' as text", "format_string('https://www.source_%02d', id % 64) as a", "id div 64 as b")
+    got = shard(docs, dimensions=("a", "b"), shards=16).toPandas()
+    box = got.assign(a=got["a"].str[-2:].astype(int)).groupby("shard").agg({"a": ["min", "max"], "b": ["min", "max"]})
+    area = (box["a"]["max"] - box["a"]["min"] + 1) * (box["b"]["max"] - box["b"]["min"] + 1)
+    assert area.max() <= 2 * 256
+
+
+def test_bounds_of_texts_against_sorting(spark):
+    texts = [None, "", *["same"] * 40, *[f"www.é{i}" for i in range(30)], *["z\U0001f600", "z\uffff"] * 9]
+    docs = spark.createDataFrame([(t,) for t in texts], "m string").repartition(7)
+    every = sorted(t.encode() for t in texts if t is not None)
+    for cuts in (1, 2, 8, 256):
+        want = sorted({every[-(-i * len(every) // cuts) - 1] for i in range(1, cuts)})
+        assert [t.encode() for t in text_bounds(docs, "m", cuts)] == want
+
+
 def test_few_and_no_rows(spark):
     assert [(r.shard, r.slot) for r in shard(cases.table(spark, cases.rows()[:1])).collect()] == [(0, 0)]
     assert shard(cases.table(spark, [])).count() == 0
