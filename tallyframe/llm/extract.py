@@ -26,17 +26,22 @@ from tallyframe.llm.common import field, fresh, short_batches
 
 TRAIN_PAGES = 2000
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>|<[/A-Za-z!?][^>]*\Z|([^<]+|<)", re.S)
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math"}
+RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg"}
 #: Elements that are never main text, and words of class, id or role that say the same.
-OUTSIDE = RAW | {"nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu", "head", "figcaption", "object"}
+OUTSIDE = RAW | {"nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu", "head"}
 MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|sponsor|sponsored|promo|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|header|footer|masthead|"
+    r"(?:ad|ads|advert|adverts|advertisement|sponsor|sponsored|promo|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|header|footer|masthead|"
     r"sidebar|aside|related|share|sharing|social|notice|notices|cookie|cookies|consent|banner|newsletter|subscribe|signup|popup|modal|comment|comments|disqus|"
-    r"respond|replies|contentinfo|complementary|search)(?:$|[\s_-])", re.I,
+    r"respond|replies|contentinfo|complementary|search)", re.I,
 )
+#: Elements that hold the whole page or its main text, whatever their class says.
+HOLDERS = {"html", "body", "main", "article"}
+#: What a tag costs at most, in words, and how often each kind is taken to have stood inside besides: a tag that the
+#: labelled articles happen not to have is no end of an article. The tags of an article itself are.
+TAG_COST, UNSEEN = 2.0, 20.0
 LABEL = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "b", "bdi", "bdo", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+INLINE = {"a", "abbr", "b", "bdi", "bdo", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "math", "mfrac", "mi", "mn", "mo", "mrow", "msqrt", "msub", "msup", "mtext", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 SPACES = re.compile(r"\s+")
 
 
@@ -61,28 +66,56 @@ def tokens(page: str) -> list[tuple[str, str, str]]:
             out.append((f"<{name}", "", ""))
             continue
         kind = ("/" if closing else "") + name
-        if not closing and any(MARKED.search(" ".join(filter(None, v))) for v in LABEL.findall(attributes)):
+        if not closing and name not in HOLDERS and any(MARKED.fullmatch(word) for v in LABEL.findall(attributes) for word in "".join(v).split()):
             kind = f"~{name}"
         out.append((kind, name, ""))
     return out
 
 
+def around_article(seq: list[tuple[str, str, str]]) -> set[int]:
+    """The places of the start tags around the article element with the most words; unclosed ones end with their parent."""
+    stack: list[tuple[str, int, int]] = []
+    words, best, found = 0, 0, set()
+
+    def closed(at: int) -> None:
+        nonlocal best, found
+        for i in range(len(stack) - 1, at - 1, -1):
+            name, _, before = stack[i]
+            if name == "article" and words - before > best:
+                best, found = words - before, {start for _, start, _ in stack[:i]}
+        del stack[at:]
+
+    for i, (kind, name, text) in enumerate(seq):
+        if kind == "word":
+            words += len(text.split())
+        elif name and kind[0] == "/":
+            at = next((j for j in range(len(stack) - 1, -1, -1) if stack[j][0] == name), None)
+            if at is not None:
+                closed(at)
+        elif name and name not in VOID:
+            if name == "p" and stack and stack[-1][0] == "p":
+                stack.pop()
+            stack.append((name, i, words))
+    closed(0)
+    return found
+
+
 def excluded(seq: list[tuple[str, str, str]]) -> list[bool]:
     """Whether each token stands in an element that is never main text; unclosed ones end with their parent."""
     stack: list[tuple[str, bool]] = []
-    out = []
-    for kind, name, _ in seq:
+    out, around = [], around_article(seq)
+    for i, (kind, name, _) in enumerate(seq):
         inside = bool(stack) and stack[-1][1]
         if name and kind[0] == "/":
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    inside = stack[i][1]
-                    del stack[i:]
+            for j in range(len(stack) - 1, -1, -1):
+                if stack[j][0] == name:
+                    inside = stack[j][1]
+                    del stack[j:]
                     break
         elif name and name not in VOID:
             if name == "p" and stack and stack[-1][0] == "p":
                 stack.pop()
-            inside = (bool(stack) and stack[-1][1]) or kind[0] == "~" or name in OUTSIDE
+            inside = (bool(stack) and stack[-1][1]) or (i not in around and (kind[0] == "~" or name in OUTSIDE))
             stack.append((name, inside))
         out.append(inside)
     return out
@@ -104,7 +137,7 @@ def token_counts(page: str) -> dict[str, tuple[int, int]] | None:
 
 
 def learn_weights(pages: DataFrame, *, html_column: str = "html", order: str = "url", train_pages: int = TRAIN_PAGES) -> dict[str, float]:
-    """The weight of each kind of token: word at most 1 and above zero, tags by their log-odds against words."""
+    """The weight of each kind of token: word at most 1 and above zero, tags by their log-odds against words, bounded."""
     digest = F.md5(F.coalesce(F.col(order).cast("string"), F.lit("")))
     marked = pages.where(F.contains(F.lower(html_column), F.lit("<article"))).select(F.col(html_column).alias("h"), digest.alias("m"))
     # Only digests are ordered; the pages up to the last of them are read where they lie.
@@ -131,8 +164,11 @@ def learn_weights(pages: DataFrame, *, html_column: str = "html", order: str = "
     weights = {"word": 1.0}
     for kind, (a, b) in counts.items():
         # Against the words: a tag is a plus only where it stands inside more often than words do.
-        weights[kind] = 4.0 * (math.log((a + 0.5) / (b + 0.5)) - max(prior, 0.0)) if a + b >= 5 else -1.0
+        seen = 0.5 if kind in ("article", "/article") else UNSEEN
+        weights[kind] = 4.0 * (math.log((a + seen) / (b + 0.5)) - max(prior, 0.0)) if a + b >= 5 else -1.0
         weights[kind] = min(weights[kind], -0.05) if a > b else min(weights[kind], -1.0)
+        if kind not in ("article", "/article"):
+            weights[kind] = max(weights[kind], -TAG_COST)
     return weights
 
 

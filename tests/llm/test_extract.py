@@ -45,6 +45,23 @@ def test_given_pages(spark):
         assert r[out] == "\n\n".join(b for b in blocks if b)
 
 
+def test_articles_with_links_lists_and_classes(spark):
+    """Weights of pages whose articles have no such elements, on an article that has them."""
+    weights = learn_weights(spark.read.parquet(f"{DATA}/pages.parquet"))
+    assert all(w >= -2 for k, w in weights.items() if "article" not in k)
+    text = "Ten words stand in each of the blocks of text"
+    page = (
+        "<html class='has-sidebar'><body class='has-sidebar menu'><nav><ul><li><a href=x>Menu</a></li></ul></nav>"
+        "<ul><li><a href=1>One</a></li><li><a href=2>Two</a></li><li><a href=3>Three</a></li></ul>"
+        "<form id=search><div class='content no-comments'><div class='related'><article class='post no-comments header'>"
+        f"<p>{text} <a href=x>with a link</a> in it.</p><ul><li>{text}</li><li><a href=y>{text}</a></li></ul>"
+        f"<figure><img><figcaption>{text}</figcaption></figure><p class='ad-hoc'>{text} <math><mi>x</mi></math></p><object><p>{text}</p></object>"
+        "<div class='box comments'><p>A reader says something</p></div></article></div></div></form>"
+        "<div class=related><article><p>Another page</p></article></div><footer>foot</footer></body></html>"
+    )
+    assert main_text(page, weights) == "\n\n".join([f"{text} with a link in it.", text, text, text, f"{text} x", text])
+
+
 def test_awkward_tables(spark):
     rows = [(1, None, None), (2, "u", ""), (2, "u", ""), (None, None, "<p>" + "word " * 200_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
