@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 from collections import Counter
 
 import cases
@@ -46,6 +47,26 @@ def test_equal_texts_and_empty_texts(spark):
     assert {r.doc_id: r.fingerprint for r in unique}.items() <= found.items()
 
 
+def test_error_of_the_registered_number_of_draws(spark):
+    """near_edited and near_next of whole documents against the exact generalised Jaccard."""
+    rng, texts = random.Random(6), []
+    for i in range(90):
+        words = cases.prose(rng, rng.randrange(30, 200)).split() if i % 3 == 0 else words
+        texts.append(" ".join(words))
+        words = [w if rng.random() < 0.97 else rng.choice(cases.WORDS) for w in words]
+    terms = lambda t: Counter(tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4))
+    rows = {r.doc_id: r for r in compare(cases.table(spark, [(i, t, None, None, 0, None, None, None) for i, t in enumerate(texts)])).collect()}
+    errors = []
+    for i, text in enumerate(texts):
+        after, third = texts[i - 1], len(text) // 3
+        for other, near in ((text[: len(text) - third] + after[:third], rows[i].near_edited), (after, rows[i].near_next)):
+            x, y = terms(text), terms(other)
+            exact = (x & y).total() / (x | y).total()
+            errors.append(near - exact)
+            assert abs(near - exact) <= 5 * (exact * (1 - exact) / 128) ** 0.5 + 1e-9
+    assert (sum(e * e for e in errors) / len(errors)) ** 0.5 <= 0.05
+
+
 def test_collision_rate_is_generalised_jaccard(spark):
     rng = np.random.default_rng(1)
     weights = rng.integers(0, 6, (2, 60))
