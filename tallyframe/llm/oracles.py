@@ -95,3 +95,50 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+#: crc32 of the decimal text of ``c`` in a column of that name; needs the table ``crc_table`` (one list of 256 numbers).
+CRC_TABLE = (
+    "crc_table AS (SELECT list(x ORDER BY i) AS crcs FROM (SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), "
+    "lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS x FROM range(256) t(i)))"
+)
+CRC = (
+    "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda d: ascii(d)::BIGINT)), "
+    "lambda a, b: xor(a >> 8, crcs[(xor(a, b) & 255) + 1])), 4294967295)"
+)
+OP13 = f"""
+WITH {CRC_TABLE},
+own AS (
+    SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text
+    FROM conversations WHERE conv_id IS NOT NULL
+),
+plan AS (
+    SELECT c, n, h, base, coalesce(held, 0) AS held, least(h, coalesce(held, 0)) AS lent FROM (
+        SELECT c, count(*) AS n FROM own GROUP BY c
+    ) JOIN (SELECT DISTINCT c, {CRC} % 9 AS h, c - ((c % 5) + 5) % 5 AS base FROM own, crc_table) USING (c)
+    LEFT JOIN (SELECT c AS base, count(*) AS held FROM own GROUP BY c) USING (base)
+),
+rebuilt AS (
+    SELECT p.c, o.pos, o.role, o.text FROM plan p JOIN own o ON o.c = p.base AND o.pos < p.h
+    UNION ALL SELECT p.c, o.pos - p.h + p.lent, o.role, o.text FROM plan p JOIN own o ON o.c = p.c AND o.pos >= p.h
+),
+prefixes AS (
+    SELECT c, pos + 1 AS depth, md5(string_agg(md5(role) || md5(text), '') OVER (PARTITION BY c ORDER BY pos)) AS path, strlen(text) AS bytes FROM rebuilt
+    UNION ALL SELECT c, 0, '', 0 FROM plan
+),
+lengths AS (SELECT c, max(depth) AS length FROM prefixes GROUP BY c),
+members AS (SELECT c, depth, path, bytes, lag(path) OVER (PARTITION BY c ORDER BY depth) AS above, length FROM prefixes JOIN lengths USING (c)),
+nodes AS (
+    SELECT depth, path, above, min(c) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes,
+        coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (depth = length), '') AS ends
+    FROM members GROUP BY depth, path, above
+),
+children AS (SELECT above AS path, count(*) AS n FROM nodes WHERE above IS NOT NULL GROUP BY above),
+below AS (SELECT DISTINCT a.path, b.path AS lower_path FROM members a JOIN members b ON a.c = b.c AND b.depth >= a.depth),
+sums AS (
+    SELECT b.path, count(*) FILTER (k.path IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.bytes) AS saved
+    FROM below b JOIN nodes n ON n.path = b.lower_path LEFT JOIN children k ON k.path = n.path GROUP BY b.path
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, s.n_leaves, s.saved::BIGINT AS saved_tokens,
+    sha256(n.ends) AS ends_sha256
+FROM nodes n LEFT JOIN nodes u ON u.path = n.above LEFT JOIN children k ON k.path = n.path JOIN sums s ON s.path = n.path
+"""

@@ -12,7 +12,7 @@ from tallyframe.llm import oracles
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {
     "op1_source_mixing": oracles.OP1, "op3_benchmark_decontamination": oracles.OP3, "op4_ngram_jaccard_join": oracles.OP4,
-    "op5_line_dedup": oracles.OP5,
+    "op5_line_dedup": oracles.OP5, "op13_conversation_prefix_trie": oracles.OP13,
 }
 
 
@@ -113,3 +113,16 @@ def op6_katz_backoff_scoring(spark: SparkSession, folder: str) -> DataFrame:
     from tallyframe.llm.language_model import score
 
     return score(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query
+def op13_conversation_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    from tallyframe.llm.common import staged
+    from tallyframe.llm.trie import end_digests, prefix_trie, shared_openings, turn_tokens
+
+    trie = prefix_trie(*shared_openings(staged(turn_tokens(table(spark, folder, "conversations")))))
+    rows = trie.nodes.join(end_digests(trie.ends), ["p1", "p2"], "left")
+    return rows.select(
+        F.col("conv").alias("conv_id"), "depth", F.col("parent_conv").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves",
+        F.col("saved_bytes").alias("saved_tokens"), F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256"),
+    )
