@@ -126,3 +126,19 @@ def op13_conversation_prefix_trie(spark: SparkSession, folder: str) -> DataFrame
         F.col("conv").alias("conv_id"), "depth", F.col("parent_conv").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves",
         F.col("saved_bytes").alias("saved_tokens"), F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256"),
     )
+
+
+@query
+def op12_bpe_encoding_decoding(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from tallyframe.llm.bpe import Vocabulary, decode, encode
+
+    vocabulary = Vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+    encoded = encode(table(spark, folder, "documents"), vocabulary).select(F.struct("doc_id", "ids").alias("row"), "ids")
+    rows = decode(encoded, vocabulary, id_column="row")
+    ids = F.col("row.ids")
+    return rows.select(
+        "row.doc_id", F.floor(F.octet_length(ids) / 4).alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
