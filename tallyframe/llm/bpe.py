@@ -23,6 +23,7 @@ import heapq
 import itertools
 import json
 import mmap
+import re
 import struct
 import unicodedata
 import uuid
@@ -40,9 +41,14 @@ from tallyframe.llm.common import shared_folder, short_batches
 #: Words of the transducer, and the bytes of the longest of them; both bound what comes to the driver.
 LEXICON, LONGEST = 100_000, 32
 #: Distinct words that a task counts before it hands them on; merged words that a worker remembers.
-COUNTED, REMEMBERED = 300_000, 300_000
+COUNTED, REMEMBERED = 300_000, 200_000
 #: Texts of more characters are cut piece by piece; bytes of a batch of results.
 LONG_TEXT, BATCH_BYTES = 1_000_000, 16 << 20
+#: Words of at most so many bytes are merged by plain search.
+SHORT = 24
+#: A pair of ids is one number: the first above so many bits of the second.
+SHIFT = 32
+SINGLE = [bytes([b]) for b in range(256)]
 MAGIC, HEADER = b"tfst0001", "<8s8Q"
 #: How this kind of vocabulary cuts texts into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -80,8 +86,14 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in added}
         self.bytes_of = [model["vocab"][c] for c, _ in sorted(letters.items(), key=lambda x: x[1])]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.merges = {(model["vocab"][a], model["vocab"][b]): (rank, model["vocab"][a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.ranks = {(model["vocab"][a], model["vocab"][b]): rank for rank, (a, b) in enumerate(pairs)}
+        self.made = [model["vocab"][a + b] for a, b in pairs]
         self.strangers = strangers(path)
+        #: What a Cutter needs.
+        self.cut = (list(self.special), self.strangers, spelled_out(self.strangers))
+
+    def merges(self) -> Merges:
+        return Merges(self.bytes_of, self.ranks, self.made)
 
 
 def strangers(path: str) -> list[int]:
@@ -92,9 +104,16 @@ def strangers(path: str) -> list[int]:
     from tokenizers import Tokenizer
 
     cut = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
-    ours = regex.compile(PATTERN)
-    unknown = (chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn")
-    return [ord(c) for c in unknown if len(cut(f"a{c}1{c}")) != len(ours.findall(f"a{c}1{c}"))]
+    unknown = "".join(chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn")
+    out, is_known = [], regex.compile(r"[\p{L}\p{N}]")
+    for i in range(0, len(unknown), 4096):
+        part = unknown[i : i + 4096]
+        listed = is_known.findall(part)
+        # What both take for neither letter nor number is one word.
+        if len(cut("!" + is_known.sub("", part))) == 1 or len(listed) == len(part):
+            part = listed
+        out += [ord(c) for c in part if len(cut(f"a{c}1{c}")) != len(regex.findall(PATTERN, f"a{c}1{c}"))]
+    return out
 
 
 def cutters(strange: list[int]) -> tuple[regex.Pattern, regex.Pattern, regex.Pattern | None]:
@@ -112,16 +131,33 @@ def cutters(strange: list[int]) -> tuple[regex.Pattern, regex.Pattern, regex.Pat
     return usual, regex.compile(exact), regex.compile(f"[{those}]")
 
 
+def spelled_out(strange: list[int]) -> str:
+    """The pattern with its classes as ranges of code points below U+10000, for texts that have no others."""
+    unlike, names = set(strange), {r"\p{L}": r"\p{L}", r"\p{N}": r"\p{N}", r"\s": r"\s"}
+    for name in names:
+        member = regex.compile(name).match
+        inside = [c for c in range(0x10000) if member(chr(c)) and c not in unlike]
+        ends = [(a, b) for a, b in itertools.pairwise([-2, *inside, 0x20000]) if b != a + 1]
+        names[name] = "".join(f"\\u{begin:04x}-\\u{end:04x}" for (_, begin), (end, _) in itertools.pairwise(ends))
+    letters, numbers, spaces = names.values()
+    out = PATTERN.replace(r"[^\s\p{L}\p{N}]", f"[^{spaces}{letters}{numbers}]").replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]")
+    return out.replace(r"\s", f"[{spaces}]").replace(r"\S", f"[^{spaces}]")
+
+
 class Cutter:
     """Cuts texts into words and special tokens."""
 
-    def __init__(self, special: Iterable[str], strange: list[int]):
-        self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+    def __init__(self, special: Iterable[str], strange: list[int], spelled: str):
+        self.tokens = sorted(special, key=len, reverse=True)
+        self.special = re.compile("(" + "|".join(map(re.escape, self.tokens)) + ")")
         self.usual, self.exact, self.strange = cutters(strange)
+        self.plain, self.others = re.compile(spelled), re.compile("[\U00010000-\U0010ffff]")
 
     def words(self, text: str) -> Iterator[list[str]]:
         """The words of a text without special tokens, in lists of bounded length."""
-        pattern = self.usual if text.isascii() or self.strange is None or not self.strange.search(text) else self.exact
+        pattern = self.plain
+        if not text.isascii() and self.others.search(text):
+            pattern = self.exact if self.strange and self.strange.search(text) else self.usual
         if len(text) <= LONG_TEXT:
             yield pattern.findall(text)
         else:
@@ -131,7 +167,7 @@ class Cutter:
 
     def parts(self, text: str) -> Iterator[tuple[bool, str]]:
         """(whether it is a special token, text) in turn."""
-        if self.special is None:
+        if not any(token in text for token in self.tokens):
             yield False, text
         else:
             for i, part in enumerate(self.special.split(text)):
@@ -139,28 +175,50 @@ class Cutter:
                     yield i % 2 == 1, part
 
 
-def merged(word: bytes, bytes_of: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """The ids of one word: the pair of least rank is merged first, the leftmost of equals."""
-    ids = [bytes_of[b] for b in word]
-    n = len(ids)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = [(merges[pair][0], i) for i, pair in enumerate(itertools.pairwise(ids)) if pair in merges]
-    heapq.heapify(heap)
-    while heap:
-        rank, i = heapq.heappop(heap)
-        j = after[i]
-        found = merges.get((ids[i], ids[j])) if j < n and ids[i] >= 0 else None
-        if found is None or found[0] != rank:
-            continue  # one of the two has been merged since
-        ids[i], ids[j] = found[1], -1
-        after[i] = k = after[j]
-        if k < n:
-            before[k] = i
-            if pair := merges.get((ids[i], ids[k])):
-                heapq.heappush(heap, (pair[0], i))
-        if (h := before[i]) >= 0 and (pair := merges.get((ids[h], ids[i]))):
-            heapq.heappush(heap, (pair[0], h))
-    return [i for i in ids if i >= 0]
+class Merges:
+    """Exact merging: of all neighbours the pair of least rank is merged first, the leftmost of equals."""
+
+    def __init__(self, bytes_of: list[int], ranks: dict[tuple[int, int], int], made: list[int]):
+        self.first = bytes_of
+        self.ranks = {a << SHIFT | b: rank for (a, b), rank in ranks.items()}
+        self.made = made
+
+    def __call__(self, word: bytes) -> list[int]:
+        """The ids of one word."""
+        ids = [self.first[b] for b in word]
+        if len(ids) > SHORT:
+            return self.with_heap(ids)
+        ranks, made, none = self.ranks.get, self.made, len(self.made)
+        # The rank of each id with the one after it; the last has none.
+        next_rank = [ranks(a << SHIFT | b, none) for a, b in itertools.pairwise(ids)] + [none]
+        while next_rank and (rank := min(next_rank)) < none:
+            i = next_rank.index(rank)
+            ids[i] = new = made[rank]
+            del ids[i + 1], next_rank[i]
+            next_rank[i] = ranks(new << SHIFT | ids[i + 1], none) if i + 1 < len(ids) else none
+            if i:
+                next_rank[i - 1] = ranks(ids[i - 1] << SHIFT | new, none)
+        return ids
+
+    def with_heap(self, ids: list[int]) -> list[int]:
+        """The same in n log n steps."""
+        ranks, n = self.ranks.get, len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(rank, i) for i, (a, b) in enumerate(itertools.pairwise(ids)) if (rank := ranks(a << SHIFT | b)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] < 0 or j >= n or ranks(ids[i] << SHIFT | ids[j]) != rank:
+                continue  # one of the two has been merged since
+            ids[i], ids[j] = self.made[rank], -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+            for left, right in ((before[i], i), (i, k)):
+                if left >= 0 and right < n and (found := ranks(ids[left] << SHIFT | ids[right])) is not None:
+                    heapq.heappush(heap, (found, left))
+        return [i for i in ids if i >= 0]
 
 
 def common_start(a, b) -> int:
@@ -249,15 +307,15 @@ class Transducer:
         self.starts, self.finals, self.targets, self.outputs, self.places, self.ids = arrays
 
     def lookup(self, word: bytes) -> list[int] | None:
-        state, found, out = self.first, self.data.find, []
-        for i in range(len(word)):
-            begin = self.labels
-            at = found(word[i : i + 1], begin + self.starts[state], begin + self.starts[state + 1]) - begin
+        state, find, begin, out = self.first, self.data.find, self.labels, []
+        starts, outputs, targets = self.starts, self.outputs, self.targets
+        for b in word:
+            at = find(SINGLE[b], begin + starts[state], begin + starts[state + 1]) - begin
             if at < 0:
                 return None
-            if output := self.outputs[at]:
+            if output := outputs[at]:
                 out.extend(self.ids[self.places[output] : self.places[output + 1]])
-            state = self.targets[at]
+            state = targets[at]
         final = self.finals[state]
         if not final:
             return None
@@ -271,29 +329,29 @@ def transducer(entries: Iterable[tuple[bytes, tuple[int, ...]]]) -> bytes:
     return builder.packed(builder.build(entries))
 
 
-class Coder:
-    """Packed ids of words: the transducer's, or exactly merged; short ones are remembered."""
+class Coder(dict):
+    """Packed ids by word: the transducer's, which are remembered, or exactly merged, remembered up to a bound."""
 
-    def __init__(self, lexicon: Transducer, bytes_of: list[int], merges: dict):
-        self.lexicon, self.bytes_of, self.merges, self.known = lexicon, bytes_of, merges, {}
+    def __init__(self, lexicon: Transducer, merges: Merges):
+        super().__init__()
+        self.lexicon, self.merges, self.rare = lexicon, merges, {}
 
     def pack(self, words: list[str]) -> bytes:
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            return b"".join([known.get(w) or self.find(w) for w in words])
+        return b"".join(map(self.__getitem__, words))
 
-    def find(self, word: str) -> bytes:
+    def __missing__(self, word: str) -> bytes:
+        if (packed := self.rare.get(word)) is not None:
+            return packed
         raw = word.encode()
         ids = self.lexicon.lookup(raw) if len(raw) <= LONGEST else None
+        kept = self.rare if ids is None else self
         if ids is None:
-            ids = merged(raw, self.bytes_of, self.merges)
+            ids = self.merges(raw)
         packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(raw) <= LONGEST:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[word] = packed
+            if kept is self.rare and len(kept) >= REMEMBERED:
+                kept.clear()
+            kept[word] = packed
         return packed
 
 
@@ -301,7 +359,7 @@ def decoded_text(value: bytes | None) -> str:
     return (value or b"").decode("utf-8", "replace")
 
 
-def word_counts(docs: DataFrame, text: str, cutter: tuple[list[str], list[int]]) -> DataFrame:
+def word_counts(docs: DataFrame, text: str, cutter: tuple[list[str], list[int], str]) -> DataFrame:
     """(word, n) of all words of at most LONGEST bytes in all texts; words may come in several parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,10 +399,11 @@ def lexicon_file(docs: DataFrame, vocabulary: Vocabulary, *, text: str = "text",
     """Compile the most frequent words of all texts into a transducer that every executor gets; returns its file's name."""
     spark = docs.sparkSession
     short_batches(spark)
-    counts = word_counts(docs, text, (list(vocabulary.special), vocabulary.strangers)).groupBy("word").agg(F.sum("n").alias("n"))
+    counts = word_counts(docs, text, vocabulary.cut).groupBy("word").agg(F.sum("n").alias("n"))
     # At most ``size`` words of at most LONGEST bytes.
     top = counts.where("n > 1").orderBy(F.desc("n"), "word").limit(size).select("word").toArrow().column("word").to_pylist()
-    path = write_shared(spark, transducer((w, tuple(merged(w, vocabulary.bytes_of, vocabulary.merges))) for w in sorted(top)))
+    merged = vocabulary.merges()
+    path = write_shared(spark, transducer((w, tuple(merged(w))) for w in sorted(top)))
     spark.sparkContext.addFile(path)
     return path.rsplit("/", 1)[-1]
 
@@ -365,16 +424,16 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *, id_column: str = "doc_id"
     spark = docs.sparkSession
     short_batches(spark)
     name = lexicon or lexicon_file(docs, vocabulary, text=text)
-    cutter = (list(vocabulary.special), vocabulary.strangers)
+    cutter = vocabulary.cut
     # Bounded by the vocabulary file.
-    shared = spark.sparkContext.broadcast((vocabulary.bytes_of, vocabulary.merges, vocabulary.special))
+    shared = spark.sparkContext.broadcast((vocabulary.bytes_of, vocabulary.ranks, vocabulary.made, vocabulary.special))
     rows = docs.select(quoted(id_column).alias("id"), quoted(text).cast("binary").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bytes_of, merges, special = shared.value
+        *merges, special = shared.value
         with open(SparkFiles.get(name), "rb") as file:
             words = Transducer(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ))
-        cut, coder = Cutter(*cutter), Coder(words, bytes_of, merges)
+        cut, coder = Cutter(*cutter), Coder(words, Merges(*merges))
         specials = {token: struct.pack("<I", i) for token, i in special.items()}
 
         def packed(value: bytes | None) -> bytes:
@@ -393,18 +452,19 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *, id_column: str = "doc_id"
 def decode(encoded: DataFrame, vocabulary: Vocabulary, *, id_column: str = "doc_id", ids: str = "ids") -> DataFrame:
     """One row per row: its id and ``text``, the bytes of its tokens as UTF-8; what is no UTF-8 becomes U+FFFD."""
     short_batches(encoded.sparkSession)
-    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary.tokens)  # bounded by the vocabulary file
+    # Bounded by the vocabulary file.
+    shared = encoded.sparkSession.sparkContext.broadcast([vocabulary.tokens.get(i, b"") for i in range(max(vocabulary.tokens) + 1)])
     rows = encoded.select(quoted(id_column).alias("id"), quoted(ids).alias("t"))
     step = 4 * LONG_TEXT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = shared.value
+        token = shared.value.__getitem__
 
         def text(value: bytes | None) -> str:
             utf8, out = codecs.getincrementaldecoder("utf-8")("replace"), []
             for i in range(0, len(value or b""), step):
                 piece = memoryview(value)[i : i + step].cast("I")
-                out.append(utf8.decode(b"".join([tokens[t] for t in piece])))
+                out.append(utf8.decode(b"".join(map(token, piece))))
             return "".join([*out, utf8.decode(b"", True)])
 
         for batch in batches:

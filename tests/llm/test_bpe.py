@@ -14,7 +14,7 @@ from conftest import DATA
 from tokenizers import Tokenizer
 
 from tallyframe.llm import bpe
-from tallyframe.llm.bpe import Builder, Cutter, Transducer, Vocabulary, decode, encode, merged, transducer
+from tallyframe.llm.bpe import Builder, Cutter, Transducer, Vocabulary, decode, encode, transducer
 from tallyframe.llm.queries import QUERIES
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -58,7 +58,7 @@ def data_pairs(data):
 
 
 def test_every_code_point_is_cut_as_the_library_does(vocabulary, library):
-    cut, letters = Cutter(vocabulary.special, vocabulary.strangers), {v: k for k, v in bpe.byte_letters().items()}
+    cut, letters = Cutter(*vocabulary.cut), {v: k for k, v in bpe.byte_letters().items()}
     for start in range(0, 0x110000, 97):
         for c in {chr(start), *map(chr, vocabulary.strangers[start // 97 :: 12_000])}:
             if not "\ud800" <= c <= "\udfff":
@@ -99,11 +99,11 @@ def test_transducer_shares_suffixes():
 def test_long_words_and_long_texts(vocabulary, library, monkeypatch):
     start = time.perf_counter()
     word = ("abcdefgh" * 40_000).encode()
-    assert merged(word, vocabulary.bytes_of, vocabulary.merges) == library.encode(word.decode(), add_special_tokens=False).ids
+    assert vocabulary.merges()(word) == library.encode(word.decode(), add_special_tokens=False).ids
     assert time.perf_counter() - start < 30
     monkeypatch.setattr(bpe, "LONG_TEXT", 50)
     text = "some words, more words " * 20
-    assert [w for part in Cutter([], []).words(text) for w in part] == [w for w in bpe.cutters([])[0].findall(text)]
+    assert [w for part in Cutter([], [], bpe.spelled_out([])).words(text) for w in part] == [w for w in bpe.cutters([])[0].findall(text)]
 
 
 def test_other_vocabularies_are_refused():
