@@ -142,3 +142,11 @@ def op12_bpe_encoding_decoding(spark: SparkSession, folder: str) -> DataFrame:
         "row.doc_id", F.floor(F.octet_length(ids) / 4).alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
         F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    from tallyframe.llm.whitening import whitened_components
+
+    rows = whitened_components(table(spark, folder, "embeddings"))
+    return rows.withColumn("deviation", F.col("deviation").try_cast("long"))
