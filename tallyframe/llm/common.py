@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -61,6 +63,35 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def plain_names(function):
+    """Let an operator that carries all columns of its table work on any names.
+
+    Columns whose names begin with an underscore, as the helper columns of operators do, or hold other characters than
+    letters, digits and underscores, are renamed before and get their names back in the result.
+    """
+
+    @functools.wraps(function)
+    def run(docs: DataFrame, *args, **options):
+        odd = [c for c in docs.columns if not re.fullmatch(r"[A-Za-z]\w*", c, re.ASCII)]
+        if not odd:
+            return function(docs, *args, **options)
+        taken, names = {c.lower() for c in docs.columns}, {}
+        for c in odd:
+            i = len(names)
+            while f"column{i}" in taken:
+                i += 1
+            names[c] = f"column{i}"
+            taken.add(names[c])
+        options = {k: names.get(v, v) if isinstance(v, str) else v for k, v in options.items()}
+        got = function(docs.toDF(*[names.get(c, c) for c in docs.columns]), *args, **options)
+        table, rest = (got[0], got[1:]) if isinstance(got, tuple) else (got, None)
+        given = {v: k for k, v in names.items()}
+        table = table.toDF(*[given.get(c, c) for c in table.columns])
+        return table if rest is None else (table, *rest)
+
+    return run
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(text, UPPER, LOWER)

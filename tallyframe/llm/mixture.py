@@ -10,8 +10,9 @@ anything is ordered, then per finer slice inside the one slice at the edge, and
 (a millionth of the source) are ordered.
 
 Defined cases: null texts have no words; a null source is a source of its own, the last in order; an empty text and a
-source without words take nothing. Rows that are equal in id and source share a digest and lie next to each other, so
-which of them is taken in part does not change the multiset of the result. An empty table gives an empty result.
+source without words take nothing. Rows that are equal in id and source share a digest and lie next to each other, the
+shorter text first; which of two equal rows is taken in part does not change the multiset of the result. An empty table
+gives an empty result. Targets are rounded to whole words, halves up.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tallyframe.llm.common import checkpoint, fresh, staged
+from tallyframe.llm.common import checkpoint, fresh, plain_names, staged
 
 WORDS = r"[^\x20\x09-\x0D]+"
 CAP, SEED = 3, "mix-1"
@@ -76,15 +77,19 @@ def per_source(rows: DataFrame, table: DataFrame, salt: Column) -> DataFrame:
 
 def mixture(
     docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", source: str = "source", cap: float = CAP,
-    weights: DataFrame | tuple[float, ...] = WEIGHTS, total: float | None = None, seed: str = SEED,
+    weights: DataFrame | tuple[float, ...] = WEIGHTS, total: float | None = None, seed: str = SEED, row: str | None = None,
 ) -> DataFrame:
     """One row per document: id, source, size, source_size, target (of its source), taken (words, repeats counted).
 
-    ``weights``: weights to repeat over the ordered sources, or a table (source, weight).
+    ``weights``: weights to repeat over the ordered sources, or a table (source, weight). ``row``: a column that tells
+    rows of one id apart, returned as well.
     """
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_column).cast("string"), F.lit(""))).cast("binary"))
     rows = staged(
-        docs.select(F.col(id_column).alias("id"), F.col(source).alias("source"), source_key(F.col(source)).alias("key"), n_words(F.col(text)).alias("size"), digest.alias("digest"))
+        docs.select(
+            F.col(id_column).alias("id"), F.col(source).alias("source"), source_key(F.col(source)).alias("key"), n_words(F.col(text)).alias("size"), digest.alias("digest"),
+            (F.col(row) if row else F.lit(None)).cast("long").alias("row"),
+        )
     )
     sizes = rows.groupBy("key").agg(F.sum("size").alias("size"))
     if isinstance(weights, tuple):
@@ -93,8 +98,10 @@ def mixture(
         weighted = sizes.join(weights.select(source_key(F.col("source")).alias("key"), F.col("weight").cast("double")), "key")
     plan = water_filling(weighted, cap, total)
     # Whole repetitions, and the words of one more repetition that are still missing.
-    plan = plan.withColumn("whole", F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(0))
-    plan = plan.withColumn("rest", F.floor(F.col("target") + 0.5).cast("long") - F.col("whole") * F.col("size")).withColumnRenamed("size", "source_size")
+    # Both follow from the target in whole words, so the missing part is always smaller than the source.
+    wanted = F.floor(F.col("target") + 0.5).cast("long")
+    plan = plan.withColumn("rest", F.when(F.col("size") > 0, wanted % F.col("size")).otherwise(0))
+    plan = plan.withColumn("whole", F.when(F.col("size") > 0, F.floor((wanted - F.col("rest")) / F.col("size"))).otherwise(0)).withColumnRenamed("size", "source_size")
     # Two rounds of slices: find the slice in which the missing words run out, then look only into that.
     edge = plan.select("key", "rest", F.lit("").alias("prefix"))
     inside = rows.select("key", "size", "digest")
@@ -114,28 +121,28 @@ def mixture(
     table = plan.join(edge.select("key", "prefix", F.col("rest").alias("left")), "key", "left")
     joined = per_source(rows, table, F.pmod(F.crc32("digest"), F.lit(SALTS)).cast("int"))
     head = F.substring("digest", 1, 2 * SLICE)
-    # Without an edge nothing is missing, or the whole source is (then the target is a whole number of repetitions).
+    # Without an edge nothing is missing: the source has no words.
     base = F.when(F.col("prefix").isNull() | (head > F.col("prefix")), 0).otherwise(F.col("size"))
     joined = joined.withColumn("part", F.when(F.col("prefix").isNotNull() & (head == F.col("prefix")), None).otherwise(base))
     done, open_rows = joined.where(F.col("part").isNotNull()), joined.where(F.col("part").isNull())
-    order = Window.partitionBy("key", "prefix").orderBy("digest", "size", "id")
+    order = Window.partitionBy("key", "prefix").orderBy("digest", "size", "id", "row")
     ahead = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     open_rows = open_rows.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - ahead)))
     taken = (F.col("whole") * F.col("size") + F.col("part")).cast("long")
     both = done.unionByName(open_rows)
-    return both.select(F.col("id").alias(id_column), "source", "size", "source_size", "target", taken.alias("taken"))
+    return both.select(F.col("id").alias(id_column), "source", "size", "source_size", "target", taken.alias("taken"), *([F.col("row").alias(row)] if row else []))
 
 
+@plain_names
 def mix(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The rows of ``docs`` repeated as the mixture says. A document taken in part is cut after so many words.
 
-    A document is found again by its id, so rows that share an id are repeated as the first of them.
+    Rows are numbered and written first, so that rows of one id (or of none) are told apart and each gets its own share.
     """
-    plan = mixture(docs, id_column=id_column, text=text, source=source, **options)
-    size, taken = fresh(docs, "_size"), fresh(docs, "_taken")
-    plan = plan.where(F.col("taken") > 0).select(F.col(id_column).alias("_id"), F.col("size").alias(size), F.col("taken").alias(taken))
-    plan = plan.groupBy("_id").agg(F.first(size).alias(size), F.first(taken).alias(taken))
-    rows = docs.join(plan, F.col(id_column).eqNullSafe(F.col("_id"))).drop("_id")
+    row, size, taken = (fresh(docs, c) for c in ("_row", "_size", "_taken"))
+    numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()))
+    plan = mixture(numbered, id_column=id_column, text=text, source=source, row=row, **options).where(F.col("taken") > 0)
+    rows = numbered.join(plan.select(row, F.col("size").alias(size), F.col("taken").alias(taken)), row).drop(row)
     n = fresh(rows, "_n")
     copies = F.ceil(F.col(taken) / F.col(size)).cast("int")
     rows = rows.withColumn(n, F.explode(F.sequence(F.lit(1), copies)))

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 from collections import defaultdict
 
 import cases
@@ -51,20 +52,54 @@ def test_against_plain_version(spark, cap):
         assert r.taken <= math.ceil(cap) * r.size
 
 
+def words_of(rows) -> dict:
+    taken = defaultdict(int)
+    for r in rows:
+        taken[r.doc_id] += len(cases.words(r.text))
+    return {k: v for k, v in taken.items() if v}
+
+
 def test_rows_are_repeated_and_cut(spark):
-    data = [r for r in cases.rows() if r[0] is not None]
-    plan = {}
+    data = [*cases.rows(), (9, "another text under this id", "en", "hot", 1, None, None, None), (None, "two words", "en", "hot", 1, None, None, None)]
+    plan = defaultdict(int)
     for r in mixture(cases.table(spark, data)).collect():
-        plan[r.doc_id] = r.taken
+        plan[r.doc_id] += r.taken
     out = mix(cases.table(spark, data))
     assert out.columns == [f.name for f in cases.SCHEMA]
-    taken = defaultdict(int)
-    whole = {r[0]: r[1] for r in data}
-    for r in out.collect():
-        taken[r.doc_id] += len(cases.words(r.text))
-        assert whole[r.doc_id].startswith(r.text)
-    repeated = 9  # this row is in the table twice
-    assert {k: v for k, v in taken.items() if k != repeated} == {k: v for k, v in plan.items() if v and k != repeated}
+    rows = out.collect()
+    assert words_of(rows) == {k: v for k, v in plan.items() if v}
+    whole = defaultdict(list)
+    for r in data:
+        whole[r[0]].append(r[1] or "")
+    assert all(any(t.startswith(r.text) for t in whole[r.doc_id]) for r in rows)
+
+
+def test_ids_of_several_rows_meet_their_target(spark):
+    data = [(1, "w " * 2, "en", "a", 0, None, None, None), (1, "v " * 50, "en", "a", 0, None, None, None), (2, "u " * 10, "en", "b", 0, None, None, None)]
+    weights = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "source string, weight double")
+    got = words_of(mix(cases.table(spark, data), weights=weights, total=54.0).collect())
+    assert got == {1: 27, 2: 27}
+
+
+def sources(spark, sizes: list[int]):
+    return cases.table(spark, [(i, "w " * n, "en", f"s{i:03d}", 0, None, None, None) for i, n in enumerate(sizes)])
+
+
+def test_targets_just_below_whole_repetitions(spark):
+    """Sources of 100 and 201 words: 200.67 of 201 wanted. Sources that are exactly 1, 2 and 3 times taken."""
+    assert [r.taken for r in mixture(sources(spark, [100, 201])).orderBy("doc_id").collect()] == [100, 201]
+    docs = sources(spark, [100, 100, 100])
+    for n in (1, 2, 3):
+        weights = spark.createDataFrame([("s000", float(n)), ("s001", 0.1), ("s002", 0.1)], "source string, weight double")
+        taken = mixture(docs, weights=weights, total=n * 100 * (1 + 0.2 / n)).where("doc_id = 0").first().taken
+        assert taken == n * 100
+
+
+def test_many_small_sources_meet_their_targets(spark):
+    rng = random.Random(5)
+    for r in mixture(sources(spark, [rng.randrange(0, 60) for _ in range(200)])).collect():
+        assert abs(r.taken - r.target) <= 0.5
+        assert r.taken <= 3 * r.size
 
 
 def test_own_weights(spark):
