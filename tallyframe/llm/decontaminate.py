@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.llm.common import field, fresh, short_batches
+from tallyframe.llm.common import field, fresh, plain_names, short_batches
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 WINDOW = 13
@@ -176,6 +176,7 @@ def spans(text: bytes, covered: np.ndarray) -> list[dict[str, int]]:
     return [{"start": a, "end": b} for a, b in zip(chars[::2], chars[1::2], strict=True)]
 
 
+@plain_names
 def contamination(
     docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text",
     window: int = WINDOW, share: tuple[int, int] = (1, 20), block_bytes: int = BLOCK_BYTES,
@@ -219,6 +220,7 @@ def contamination(
     return work.mapInArrow(step(held, True), T.StructType([*[field(docs, c) for c in kept], T.StructField(out, VERDICT)])), out
 
 
+@plain_names
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, action: str = "drop", text: str = "text", **options) -> DataFrame:
     """``docs`` without contaminated documents (``drop``), or with the hit words cut out of those (``cut``)."""
     marked, out = contamination(docs, benchmark, text=text, **options)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.llm.common import field, fresh, short_batches
+from tallyframe.llm.common import field, fresh, plain_names, short_batches
 
 TRAIN_PAGES = 2000
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>|<[/A-Za-z!?][^>]*\Z|([^<]+|<)", re.S)
@@ -216,6 +216,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     return "\n\n".join(b for b in clean if b)
 
 
+@plain_names
 def extract(pages: DataFrame, *, html_column: str = "html", weights: dict[str, float] | None = None, **options) -> tuple[DataFrame, str]:
     """All rows and columns of ``pages`` and the main text, whose column name is returned too."""
     short_batches(pages.sparkSession)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.llm.common import field, fresh, short_batches, staged
+from tallyframe.llm.common import field, fresh, plain_names, short_batches, staged
 
 SPACE = b" \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -187,6 +187,7 @@ def build_index(lines: DataFrame, keys_per_shard: int = KEYS_PER_SHARD) -> tuple
     return staged(rows.groupBy("shard").applyInArrow(build_shard, SHARD)), n_shards
 
 
+@plain_names
 def dedup_lines(
     docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
     index_bytes: int = INDEX_BYTES,

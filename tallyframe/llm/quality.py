@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.llm.common import crc_mod, field, fresh, short_batches, staged
+from tallyframe.llm.common import crc_mod, field, fresh, plain_names, short_batches, staged
 
 TRAIN_ROWS = 20_000
 FOLDS, FOLD = 5, 0
@@ -158,6 +158,7 @@ def site_posteriors(evidence: DataFrame) -> tuple[DataFrame, float, float]:
     return staged(both.select("host", "path", "n", "s", "host_mean")), beta, mean
 
 
+@plain_names
 def score(
     docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text: str = "text", host: str | Column = "source", path: str | Column = "lang",
     label: str = "quality", train_rows: int = TRAIN_ROWS,
@@ -187,6 +188,7 @@ def score(
     return rows.withColumn(out, parts).select(*docs.columns, out), out
 
 
+@plain_names
 def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, **options) -> DataFrame:
     """The rows of ``docs`` that score at least ``threshold``."""
     scored, out = score(docs, labels, **options)

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.llm.common import field, fresh, staged
+from tallyframe.llm.common import field, fresh, plain_names, staged
 from tallyframe.llm.components import components
 
 #: Jaccard similarity as a fraction.
@@ -407,6 +407,7 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text: str = "
     return joined.select(value(F.col("id")).alias(id_column), F.col("n").alias("n_shingles"), value(component).alias("component_id"), "node")
 
 
+@plain_names
 def with_nodes(docs: DataFrame, text: str, out: str) -> DataFrame:
     """All columns of ``docs`` and the node of each row's text."""
     wide, kept, blob = docs.withColumn(out, F.col(text).cast("binary")), docs.columns, out
@@ -420,6 +421,7 @@ def with_nodes(docs: DataFrame, text: str, out: str) -> DataFrame:
     return wide.mapInArrow(run, T.StructType([*[field(docs, c) for c in kept], T.StructField(out, T.LongType())]))
 
 
+@plain_names
 def drop_near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """One row of each component, with its least id; of rows that share that id, and of copies, one stays.
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.llm.common import crc_mod, field, fresh, short_batches
+from tallyframe.llm.common import crc_mod, field, fresh, plain_names, short_batches
 
 TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+")
 TRAIN_ROWS, FOLDS, FOLD = 20_000, 5, 0
@@ -207,6 +207,7 @@ def calibrate(x: np.ndarray, y: np.ndarray, rate: float, rounds: int = 50) -> tu
     return float(w[0]), float(max(w[1], 0.0))
 
 
+@plain_names
 def score(docs: DataFrame, labels: DataFrame | None = None, *, model: Model | None = None, text: str = "text", **options) -> tuple[DataFrame, str]:
     """All rows and columns of ``docs`` and one struct column more, whose name is returned too.
 
