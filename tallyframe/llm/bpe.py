@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from tallyframe.llm.common import shared_folder, short_batches
 
 #: Words of the transducer, and the bytes of the longest of them; both bound what comes to the driver.
-LEXICON, LONGEST = 100_000, 32
+LEXICON, LONGEST = 300_000, 32
 #: Distinct words that a task counts before it hands them on; merged words that a worker remembers.
 COUNTED, REMEMBERED = 300_000, 200_000
 #: Texts of more characters are cut piece by piece; bytes of a batch of results.
@@ -425,15 +425,17 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *, id_column: str = "doc_id"
     short_batches(spark)
     name = lexicon or lexicon_file(docs, vocabulary, text=text)
     cutter = vocabulary.cut
-    # Bounded by the vocabulary file.
-    shared = spark.sparkContext.broadcast((vocabulary.bytes_of, vocabulary.ranks, vocabulary.made, vocabulary.special))
+    # Bounded by the vocabulary file. The last part is empty: each worker keeps its coder there from task to task.
+    shared = spark.sparkContext.broadcast((vocabulary.bytes_of, vocabulary.ranks, vocabulary.made, vocabulary.special, {}))
     rows = docs.select(quoted(id_column).alias("id"), quoted(text).cast("binary").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        *merges, special = shared.value
-        with open(SparkFiles.get(name), "rb") as file:
-            words = Transducer(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ))
-        cut, coder = Cutter(*cutter), Coder(words, Merges(*merges))
+        *merges, special, kept = shared.value
+        if name not in kept:
+            with open(SparkFiles.get(name), "rb") as file:
+                words = Transducer(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ))
+            kept[name] = Coder(words, Merges(*merges))
+        cut, coder = Cutter(*cutter), kept[name]
         specials = {token: struct.pack("<I", i) for token, i in special.items()}
 
         def packed(value: bytes | None) -> bytes:
