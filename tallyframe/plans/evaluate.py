@@ -8,15 +8,17 @@ truth
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tallyframe.functions import messages as ms
 from tallyframe.functions import parse as ps
 from tallyframe.metrics.registry import COUNTS_ROWS, run_metric
-from tallyframe.plans.tasks import TASKS, Task, resolve_split
+from tallyframe.plans.tasks import TASKS, Task, ensure_text_parsers, resolve_split
 from tallyframe.session import checkpoint, staged
 
 RUN = ["model", "task", "split"]
@@ -25,10 +27,11 @@ COMPLIANCE_FLOOR = 0.80
 
 @dataclass(frozen=True)
 class Evaluation:
-    """Counters per run and metric values in long form."""
+    """Counters per run, metric values in long form, and why a metric of a run failed (``<name>_error`` rows)."""
 
     summary: DataFrame
     metrics: DataFrame
+    errors: DataFrame
 
 
 def pair_answers(
@@ -54,11 +57,13 @@ def pair_answers(
     stored = truth.select("task", F.col("split").alias("stored"), align, "messages")
     paired = asked.join(stored, ["task", "stored", align]).drop("stored")
     response = F.coalesce("response", F.lit(""))
+    ensure_text_parsers(predictions.sparkSession, tasks)
     fallback = F.lit(None).cast("string")
     for name, task in tasks.items():
-        if task.text_classes:
-            spoken = ps.parse_free_text(response, list(task.text_classes), task.text_key)
-            fallback = F.when(F.col("task") == name, spoken).otherwise(fallback)
+        if task.text_parser:
+            # The function is called on texts of its own task without an answer only.
+            unread = F.when(F.col("task") == name, response)
+            fallback = F.when(F.col("task") == name, F.call_function(task.text_parser, unread)).otherwise(fallback)
     needs_head = F.col("task").isin(*[n for n, t in tasks.items() if t.needs_head] or [""])
     answer = ms.answer_text(F.col("messages"), "last")
     parsed = paired.select(
@@ -92,6 +97,56 @@ def _known(names) -> Column:
     return F.col("task").isin(*names)
 
 
+def _first_line(error: Exception) -> str:
+    text = str(error).strip() or type(error).__name__
+    return text.splitlines()[0][:300]
+
+
+def _contained(scored: dict[str, Callable[[DataFrame], DataFrame]], rows: dict[str, DataFrame]) -> DataFrame:
+    """All metrics of all runs as (RUN, metric, value, n_used, source, error), whatever fails.
+
+    One job computes everything. Only if that fails, each metric is computed by itself, and one that fails again by halves
+    of its runs, until the failing runs stand alone; those get one ``<name>_error`` row with the first line of the message.
+    """
+
+    def attempt(parts: list[tuple[str, DataFrame]]) -> DataFrame | Exception:
+        made = None
+        try:
+            for name, part in parts:
+                one = scored[name](part).select(*RUN, "metric", "value", "n_used", F.lit(name).alias("source"), F.lit(None).cast("string").alias("error"))
+                made = one if made is None else made.unionByName(one)
+            # A few rows per run: computed once for the metrics and for the summary.
+            return checkpoint(made)
+        except Exception as error:  # noqa: BLE001 - any failure of a metric is its result
+            if rows[parts[0][0]].sparkSession.sparkContext._jsc.sc().isStopped():
+                raise
+            return error
+
+    def by_halves(name: str, runs: list[Row], error: Exception) -> list[DataFrame]:
+        spark = rows[name].sparkSession
+        if len(runs) == 1:
+            message = F.lit(_first_line(error)).alias("error")
+            given = [F.lit(runs[0][c]).cast("string").alias(c) for c in RUN]
+            none = [F.lit(f"{name}_error").alias("metric"), F.lit(None).cast("double").alias("value"), F.lit(0).cast("long").alias("n_used")]
+            return [spark.range(1).select(*given, *none, F.lit(name).alias("source"), message)]
+        out = []
+        for half in (runs[: len(runs) // 2], runs[len(runs) // 2 :]):
+            wanted = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(r[c])) for c in RUN]) for r in half])
+            got = attempt([(name, rows[name].where(wanted))])
+            out += by_halves(name, half, got) if isinstance(got, Exception) else [got]
+        return out
+
+    whole = attempt(list(rows.items()))
+    if not isinstance(whole, Exception):
+        return whole
+    parts = []
+    for name, part in rows.items():
+        got = attempt([(name, part)])
+        # At most one row per run.
+        parts += by_halves(name, part.select(*RUN).distinct().orderBy(*RUN).collect(), got) if isinstance(got, Exception) else [got]
+    return checkpoint(reduce(DataFrame.unionByName, parts))
+
+
 def evaluate(
     predictions: DataFrame,
     truth: DataFrame,
@@ -114,17 +169,14 @@ def evaluate(
     rows = parsed.where("valid").select(
         *RUN, F.try_parse_json("gt").alias("gt"), F.try_parse_json("pred").alias("pred"), "head"
     )
-    results: DataFrame | None = None
     # At most one row per registered task.
     present = {r["task"] for r in parsed.select("task").distinct().collect()}
     scored_tasks = {k: t for k, t in tasks.items() if k in present} or tasks
-    for name in sorted({m for t in scored_tasks.values() for m in t.metrics}):
-        users = [k for k, t in scored_tasks.items() if name in t.metrics]
-        scored = run_metric(name, rows.where(_known(users)), RUN, strict).withColumn("source", F.lit(name))
-        results = scored if results is None else results.unionByName(scored)
-    # A few rows per run: computed once for the metrics and for the summary.
-    results = checkpoint(results)
-    used = results.where(F.col("source").isin(*COUNTS_ROWS)).groupBy(*RUN).agg(F.min("n_used").alias("used"))
+    names = sorted({m for t in scored_tasks.values() for m in t.metrics})
+    users = {name: rows.where(_known([k for k, t in scored_tasks.items() if name in t.metrics])) for name in names}
+    results = _contained({name: lambda part, name=name: run_metric(name, part, RUN, strict) for name in names}, users)
+    counting = F.col("source").isin(*COUNTS_ROWS) & F.col("error").isNull()
+    used = results.where(counting).groupBy(*RUN).agg(F.min("n_used").alias("used"))
     counted = (
         listed.where(_known(tasks))
         .join(format_compliance(parsed), RUN, "left")
@@ -144,14 +196,16 @@ def evaluate(
         .drop("used")
     )
     failed = unknown.withColumn("error", F.concat(F.lit("unknown dataset key: "), F.col("task")))
-    return Evaluation(counted.unionByName(failed, allowMissingColumns=True), results)
+    errors = results.where("error IS NOT NULL").select(*RUN, "metric", "error")
+    return Evaluation(counted.unionByName(failed, allowMissingColumns=True), results.drop("error"), errors)
 
 
 def results_document(evaluation: Evaluation) -> DataFrame:
     """One JSON document per model: metadata and ``results[task_split]``."""
-    values = evaluation.metrics.groupBy(*RUN).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("metrics")
-    )
+    cell = F.coalesce(F.col("error").cast("variant"), F.col("value").cast("variant"))
+    by_name = lambda a, b: F.when(a["metric"] < b["metric"], -1).when(a["metric"] > b["metric"], 1).otherwise(0)
+    told = evaluation.metrics.join(evaluation.errors, [*RUN, "metric"], "left").select(*RUN, F.struct("metric", cell.alias("value")).alias("c"))
+    values = told.groupBy(*RUN).agg(F.map_from_entries(F.array_sort(F.collect_list("c"), by_name)).alias("metrics"))
     entry = F.struct(
         "n_samples",
         "n_valid",

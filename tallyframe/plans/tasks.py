@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,6 +16,9 @@ class Task:
     prefix: str | None = None
     split_alias: dict[str, str] = field(default_factory=dict)
     needs_head: bool = False
+    #: SQL function (text) -> JSON text or NULL for responses without a JSON answer; with ``text_classes`` it is made
+    #: here, otherwise it is one that the user has registered.
+    text_parser: str | None = None
     text_classes: tuple[str, ...] = ()
     text_key: str = ""
 
@@ -107,6 +110,7 @@ TASKS: dict[str, Task] = {
         ("meview_uar",),
         "meview",
         prefix="meview_recognition",
+        text_parser="concealed_emotion_of",
         text_classes=("anger", "contempt", "disgust", "fear", "happy", "surprise"),
         text_key="emotion",
     ),
@@ -116,6 +120,27 @@ TASKS: dict[str, Task] = {
 SPLITS = ["train", "test", "val", "validation", "dev"]
 
 
+def register_text_parser(spark: SparkSession, name: str, classes: list[str] | tuple[str, ...], key: str) -> None:
+    """Make the SQL function ``name``: a JSON object with the last quoted class word of a text, else the last bare one.
+
+    It is a temporary function of the session that any query may call; plans contain its expression, not a call.
+    """
+    words = "|".join(classes)
+    found = [f"regexp_extract_all(response, r'{pattern}', 1)" for pattern in (rf"(?i)[\x22\x27]({words})[\x22\x27]", rf"(?i)\b({words})\b")]
+    last = "lower(coalesce(" + ", ".join(f"try_element_at({f}, -1)" for f in found) + "))"
+    body = f"CASE WHEN {last} IS NOT NULL THEN to_json(named_struct('{key}', {last})) END"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(response STRING) RETURNS STRING RETURN {body}")
+
+
+def ensure_text_parsers(spark: SparkSession, tasks: dict[str, Task]) -> None:
+    """Make the parsers of the tasks that are described by classes; those already in the session stay as they are."""
+    for key, task in tasks.items():
+        if task.text_parser and not spark.catalog.functionExists(task.text_parser):
+            if not task.text_classes:
+                raise ValueError(f"{key}: no function {task.text_parser} in this session")
+            register_text_parser(spark, task.text_parser, task.text_classes, task.text_key)
+
+
 def parse_source_name(path: Column) -> tuple[Column, Column]:
     """Task key and split of ``PRED_{key}_{split}.jsonl``; without a known split it is ``test``."""
     stem = F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)

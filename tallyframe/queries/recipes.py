@@ -9,6 +9,7 @@ from tallyframe.queries.base import FRAMES, Tables, frames, query
 from tallyframe.queries.clips import WINDOWS
 from tallyframe.queries.speech import BASE, LETTERS, _clips, _seg_sql, _segments
 from tallyframe.recipes import faces, gaze, scenes, speech
+from tallyframe.recipes.common import counting_skips
 
 
 
@@ -337,6 +338,16 @@ def recipe_mmew_clip_think(spark, sf_dir):
     return _micro(Tables(spark, sf_dir), "clip_emotion_think")
 
 
+@query(
+    "recipe_mmew_clip_emotion",
+    f"WITH {SHEET}, n AS (SELECT filename FROM fr WHERE number BETWEEN 1 AND 7 GROUP BY filename HAVING count(*) >= 4) "
+    "SELECT CAST(filename AS VARCHAR) AS sample_id, split, '<video>' || chr(10) || 'What micro-expression emotion is shown in this clip?' AS user_text, "
+    "'{\"emotion\": \"' || emotion || '\"}' AS answer FROM good SEMI JOIN n USING (filename)",
+)
+def recipe_mmew_clip_emotion(spark, sf_dir):
+    return _micro(Tables(spark, sf_dir), "clip_emotion")
+
+
 @query(
     "recipe_meview",
     "WITH s AS (SELECT o_orderkey, o_custkey % 30 AS subject, o_orderkey % 40 AS clip_id, o_orderkey % 50 + 1 AS onset, o_orderkey % 50 + 1 + o_custkey % 20 AS offs, "
@@ -461,42 +472,55 @@ def _contact_box(a: int, b: int, c: int, d: int) -> str:
     return "'[' || " + " || ', ' || ".join(_grid224(f"event_id * {f} % 224") for f in (c, a, d, b)) + " || ']'"
 
 
-@query(
-    "recipe_proxemics_skeleton",
+PROXEMICS_SQL = (
     "WITH both_ AS (SELECT event_id, 'p/' || event_id || '.jpg' AS path FROM events WHERE value > 5), "
     "cut AS (SELECT event_id, path, row_number() OVER (ORDER BY md5('42|' || path)) <= floor(count(*) OVER () * 0.8) AS tr FROM both_) "
     f"SELECT path AS sample_id, CASE WHEN tr THEN 'train' ELSE 'test' END AS split, '<image>' || chr(10) || 'Here are the bounding boxes of the 2 persons:' || chr(10) || 'Person 1 bounding box: ' || {_contact_box(13, 17, 29, 31)} || chr(10) || "
-    f"'Person 2 bounding box: ' || {_contact_box(37, 41, 43, 47)} || chr(10) || chr(10) || 'Person 1 skeleton:' || chr(10) || array_to_string({POINTS_SQL.format(names=KEYPOINTS_SQL, f=3)}, chr(10)) || chr(10) || chr(10) || "
-    f"'Person 2 skeleton:' || chr(10) || array_to_string({POINTS_SQL.format(names=KEYPOINTS_SQL, f=5)}, chr(10)) || chr(10) || chr(10) || 'Evaluate which body parts are touching between Person 1 and Person 2.' AS user_text, "
-    "'{\"touching\": [' || CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN '\"Hand touch hand\"' ELSE '\"Hand touch shoulder\", \"Hand touch torso\"' END || ']}' AS answer FROM cut",
+    f"'Person 2 bounding box: ' || {_contact_box(37, 41, 43, 47)} || chr(10) || chr(10) || @skeleton || 'Evaluate which body parts are touching between Person 1 and Person 2.' AS user_text, "
+    "'{\"touching\": [' || CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN '\"Hand touch hand\"' ELSE '\"Hand touch shoulder\", \"Hand touch torso\"' END || ']}' AS answer FROM cut"
 )
-def recipe_proxemics_skeleton(spark, sf_dir):
-    events = Tables(spark, sf_dir).events
+SKELETON_SQL = (
+    f"'Person 1 skeleton:' || chr(10) || array_to_string({POINTS_SQL.format(names=KEYPOINTS_SQL, f=3)}, chr(10)) || chr(10) || chr(10) || "
+    f"'Person 2 skeleton:' || chr(10) || array_to_string({POINTS_SQL.format(names=KEYPOINTS_SQL, f=5)}, chr(10)) || chr(10) || chr(10)"
+)
+
+
+def _proxemics(t: Tables, skeleton: bool):
     path = F.concat(F.lit("p/"), eid(), F.lit(".jpg"))
     points = lambda f: F.array(*[F.array((eid() * f + i) % 224, (eid() + i * 7) % 224) for i in range(10)])
     vector = F.array((eid() % 3 == 1).cast("int"), (eid() % 3 == 2).cast("int"), *[F.lit(0)] * 3, (eid() % 3 == 2).cast("int"))
-    labels = events.select(path.alias("path"), vector.alias("contacts"), points(3).alias("points0"), points(5).alias("points1"))
+    labels = t.events.select(path.alias("path"), vector.alias("contacts"), points(3).alias("points0"), points(5).alias("points1"))
     box = lambda *f: F.array(*[eid() * x % 224 for x in f])
-    boxes = events.where("value > 5").select(path.alias("path"), box(13, 17, 29, 31).alias("p0"), box(37, 41, 43, 47).alias("p1"))
-    return shown(scenes.proxemics(labels, boxes, True))
+    boxes = t.events.where("value > 5").select(path.alias("path"), box(13, 17, 29, 31).alias("p0"), box(37, 41, 43, 47).alias("p1"))
+    return shown(scenes.proxemics(labels, boxes, skeleton))
+
+
+@query("recipe_proxemics_skeleton", PROXEMICS_SQL.replace("@skeleton", SKELETON_SQL))
+def recipe_proxemics_skeleton(spark, sf_dir):
+    return _proxemics(Tables(spark, sf_dir), True)
+
+
+@query("recipe_proxemics_no_skeleton", PROXEMICS_SQL.replace("@skeleton", "''"))
+def recipe_proxemics_no_skeleton(spark, sf_dir):
+    return _proxemics(Tables(spark, sf_dir), False)
 
 
 def _trunc(expr: str, size: int) -> str:
     return f"greatest(0, least(1000, CAST(trunc(CAST({expr} AS DOUBLE) / {size} * 1000) AS INTEGER)))"
 
 
-@query(
-    "recipe_meld",
+MELD_SQL = (
     "WITH u AS (SELECT l_orderkey AS d, l_linenumber AS n, l_returnflag AS e, l_partkey FROM lineitem), "
     "v AS (SELECT o_orderkey AS d, CAST(unnest([1, 2, 3, 4]) AS INTEGER) AS n, o_custkey AS c FROM orders), "
     "f AS (SELECT event_id % 15000 AS d, CAST(event_id % 4 + 1 AS INTEGER) AS n, event_id % 7 AS frame, event_id FROM events), "
     "ff AS (SELECT d, n, frame, min(event_id) AS event_id FROM f GROUP BY ALL), "
     f"j AS (SELECT u.*, CASE WHEN ff.event_id IS NULL THEN '' ELSE 'Speaker face bounding box: [' || {_trunc('ff.event_id * 13 % 700', 640)} || ', ' || {_trunc('ff.event_id * 17 % 500', 480)} || ', ' || {_trunc('ff.event_id * 29 % 700', 640)} || ', ' || {_trunc('ff.event_id * 31 % 500', 480)} || ']' || chr(10) END AS box "
     "FROM u JOIN v USING (d, n) LEFT JOIN ff ON ff.d = u.d AND ff.n = u.n AND c % 14 > 0 AND ff.frame = (c % 14) // 2) "
-    "SELECT d || '|' || n AS sample_id, 'test' AS split, '<video>' || chr(10) || box || 'Transcript: \"part ' || l_partkey || '\"' || chr(10) || 'What is the emotion of the speaker?' AS user_text, '{\"emotion\": \"' || e || '\"}' AS answer FROM j",
+    "SELECT d || '|' || n AS sample_id, 'test' AS split, @user || 'What is the emotion of the speaker?' AS user_text, '{\"emotion\": \"' || e || '\"}' AS answer FROM j"
 )
-def recipe_meld(spark, sf_dir):
-    t = Tables(spark, sf_dir)
+
+
+def _meld(t: Tables, modality: str):
     utterances = t.lineitem.select(
         F.col("l_orderkey").cast("string").alias("Corrected Dialogue_ID"),
         F.lit("0").alias("Dialogue_ID"),
@@ -523,41 +547,81 @@ def recipe_meld(spark, sf_dir):
         corner(29, 700).alias("x2"),
         corner(31, 500).alias("y2"),
     )
-    return shown(speech.meld(utterances, "video_transcript", "test", videos, videos, found))
+    return shown(speech.meld(utterances, modality, "test", videos, videos, found))
+
+
+@query("recipe_meld", MELD_SQL.replace("@user", "'<video>' || chr(10) || box || 'Transcript: \"part ' || l_partkey || '\"' || chr(10)"))
+def recipe_meld(spark, sf_dir):
+    return _meld(Tables(spark, sf_dir), "video_transcript")
+
+
+@query("recipe_meld_video_audio", MELD_SQL.replace("@user", "'<video>' || chr(10) || box || '<audio>' || chr(10)"))
+def recipe_meld_video_audio(spark, sf_dir):
+    return _meld(Tables(spark, sf_dir), "video_audio")
+
+
+@query("recipe_meld_audio_only", MELD_SQL.replace("@user", "'<audio>' || chr(10)"))
+def recipe_meld_audio_only(spark, sf_dir):
+    return _meld(Tables(spark, sf_dir), "audio_only")
 
 
 SPLIT_DOC = "row_number() OVER (ORDER BY md5('42|' || doc_id)) <= floor(count(*) OVER () * 0.8)"
 
 
-@query(
-    "recipe_mustard",
+MUSTARD_SQL = (
     f"WITH s AS (SELECT *, {SPLIT_DOC} AS tr FROM documents) SELECT CAST(doc_id AS VARCHAR) AS sample_id, CASE WHEN tr THEN 'train' ELSE 'test' END AS split, "
-    "'<video>' || chr(10) || 'Dialogue context:' || chr(10) || '  - ' || lang || ': \"' || text || '\"' || chr(10) || '  - ' || source || ': \"' || n_chars || '\"' || chr(10) || 'Is the speaker being sarcastic?' AS user_text, "
-    "'{\"sarcasm\": ' || CASE WHEN n_chars > 500 THEN 'true' ELSE 'false' END || '}' AS answer FROM s",
+    "'<video>' || chr(10) || @context || 'Is the speaker being sarcastic?' AS user_text, "
+    "'{\"sarcasm\": ' || CASE WHEN n_chars > 500 THEN 'true' ELSE 'false' END || '}' AS answer FROM s"
 )
-def recipe_mustard(spark, sf_dir):
-    entries = Tables(spark, sf_dir).documents.select(
+MUSTARD_CONTEXT = (
+    "'Dialogue context:' || chr(10) || '  - ' || lang || ': \"' || text || '\"' || chr(10) || '  - ' || source || ': \"' || n_chars || '\"' || chr(10)"
+)
+
+
+def _mustard(t: Tables, modality: str):
+    entries = t.documents.select(
         F.col("doc_id").alias("key"),
         (F.col("n_chars") > 500).alias("sarcasm"),
         F.array("text", F.col("n_chars").cast("string"), F.lit("unused")).alias("context"),
         F.array("lang", "source").alias("context_speakers"),
     )
-    return shown(speech.mustard(entries, "video_context"))
+    return shown(speech.mustard(entries, modality))
 
 
-@query(
-    "recipe_urfunny",
-    "SELECT CAST(d.doc_id AS VARCHAR) AS sample_id, lang AS split, '<video>' || chr(10) || 'Context:' || chr(10) || CASE WHEN n_chars > 200 THEN '  - \"' || source || '\"' || chr(10) || '  - \"' || n_chars || '\"' ELSE '' END || chr(10) || 'Is the punchline funny?' AS user_text, "
-    "'{\"funny\": ' || quality || '}' AS answer FROM documents d JOIN labels USING (doc_id)",
+@query("recipe_mustard", MUSTARD_SQL.replace("@context", MUSTARD_CONTEXT))
+def recipe_mustard(spark, sf_dir):
+    return _mustard(Tables(spark, sf_dir), "video_context")
+
+
+@query("recipe_mustard_no_context", MUSTARD_SQL.replace("@context", "''"))
+def recipe_mustard_no_context(spark, sf_dir):
+    return _mustard(Tables(spark, sf_dir), "video_no_context")
+
+
+FUNNY_SQL = (
+    "SELECT CAST(d.doc_id AS VARCHAR) AS sample_id, lang AS split, '<video>' || chr(10) || @context || 'Is the punchline funny?' AS user_text, "
+    "'{\"funny\": ' || quality || '}' AS answer FROM documents d JOIN labels USING (doc_id)"
 )
-def recipe_urfunny(spark, sf_dir):
-    t = Tables(spark, sf_dir)
+FUNNY_CONTEXT = "'Context:' || chr(10) || CASE WHEN n_chars > 200 THEN '  - \"' || source || '\"' || chr(10) || '  - \"' || n_chars || '\"' ELSE '' END || chr(10)"
+
+
+def _urfunny(t: Tables, modality: str):
     folds = t.documents.select(F.col("lang").alias("split"), F.col("doc_id").alias("id"))
     labels = t.labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("funny"))
     language = t.documents.where("n_chars > 200").select(
         F.col("doc_id").alias("id"), F.array("source", F.col("n_chars").cast("string")).alias("context_sentences")
     )
-    return shown(speech.urfunny(folds, labels, language, "video_context"))
+    return shown(speech.urfunny(folds, labels, language, modality))
+
+
+@query("recipe_urfunny", FUNNY_SQL.replace("@context", FUNNY_CONTEXT))
+def recipe_urfunny(spark, sf_dir):
+    return _urfunny(Tables(spark, sf_dir), "video_context")
+
+
+@query("recipe_urfunny_video_audio", FUNNY_SQL.replace("@context", "''"))
+def recipe_urfunny_video_audio(spark, sf_dir):
+    return _urfunny(Tables(spark, sf_dir), "video_audio")
 
 
 @query(
@@ -663,3 +727,41 @@ def recipe_voxconverse(spark, sf_dir):
 def recipe_voxconverse_count(spark, sf_dir):
     t = Tables(spark, sf_dir)
     return shown(speech.voxconverse(_segments(frames(t)), _clips(t), "speaker_count", "train"))
+
+
+COUNTED = [
+    recipe_gazefollow_train, recipe_meld, recipe_meview, recipe_mmew_clip_emotion, recipe_msppodcast_labels, recipe_proxemics_no_skeleton,
+    recipe_rldd, recipe_urfunny, recipe_vocalsound,
+]
+
+
+@query(
+    "skip_counters",
+    f"WITH {GAZE_SQL}, {SHEET}, n AS (SELECT filename FROM fr WHERE number BETWEEN 1 AND 7 GROUP BY filename HAVING count(*) >= 4), "
+    "v AS (SELECT o_orderkey AS d, unnest([1, 2, 3, 4]) AS i FROM orders), "
+    "s AS (SELECT 'sub' || printf('%02d', o_custkey % 30) || '-' || (o_orderkey % 40) || '.mp4' AS path FROM orders WHERE o_orderstatus IN ('F', 'O')), "
+    "c AS (SELECT DISTINCT 'sub' || printf('%02d', c_custkey % 30) || '-' || (c_custkey % 40) || '.mp4' AS path FROM customer) "
+    "SELECT 'recipe_gazefollow_train' AS recipe, 'missing file' AS reason, count(*) AS n_rows FROM events ANTI JOIN pics USING (user_id) "
+    "UNION ALL SELECT 'recipe_meld', 'bad id', 0 UNION ALL SELECT 'recipe_meld', 'missing video', count(*) FROM lineitem l ANTI JOIN v ON v.d = l_orderkey AND v.i = l_linenumber "
+    "UNION ALL SELECT 'recipe_meview', 'incomplete row', 0 UNION ALL SELECT 'recipe_meview', 'unknown emotion', count(*) FROM orders WHERE o_orderstatus NOT IN ('F', 'O') "
+    "UNION ALL SELECT 'recipe_meview', 'missing file', count(*) FROM s ANTI JOIN c USING (path) "
+    "UNION ALL SELECT 'recipe_mmew_clip_emotion', 'incomplete row', 0 UNION ALL SELECT 'recipe_mmew_clip_emotion', 'too few frames', count(*) FROM good ANTI JOIN n USING (filename) "
+    "UNION ALL SELECT 'recipe_msppodcast_labels', 'hidden split', count(*) FROM orders WHERE o_orderstatus NOT IN ('F', 'O') "
+    "UNION ALL SELECT 'recipe_msppodcast_labels', 'no agreement', count(*) FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 5 = 0 "
+    "UNION ALL SELECT 'recipe_msppodcast_labels', 'no annotator', count(*) FROM orders WHERE o_orderstatus = 'O' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 5) "
+    "UNION ALL SELECT 'recipe_proxemics_no_skeleton', 'no boxes', count(*) FROM events WHERE NOT coalesce(value > 5, FALSE) "
+    "UNION ALL SELECT 'recipe_rldd', 'no video', count(*) FROM orders WHERE o_orderpriority = '5-LOW' "
+    "UNION ALL SELECT 'recipe_rldd', 'unknown folder', count(*) FROM orders WHERE o_orderpriority <> '5-LOW' AND o_orderstatus NOT IN ('F', 'O') "
+    "UNION ALL SELECT 'recipe_urfunny', 'no label', count(*) FROM documents ANTI JOIN labels USING (doc_id) "
+    "UNION ALL SELECT 'recipe_vocalsound', 'unknown label', count(*) FROM part WHERE p_type = 'PROMO' "
+    "UNION ALL SELECT 'recipe_vocalsound', 'missing file', count(*) FROM part WHERE p_type <> 'PROMO' AND p_size <= 10",
+)
+def skip_counters(spark, sf_dir):
+    """What the recipes leave out, counted by the jobs that make their samples."""
+    found = []
+    for recipe in COUNTED:
+        with counting_skips() as skips:
+            made = recipe(spark, sf_dir)
+        made.write.format("noop").mode("overwrite").save()
+        found += [(recipe.__name__, reason, n) for reason, n in skips.counts().items()]
+    return spark.createDataFrame(found, "recipe string, reason string, n_rows long")

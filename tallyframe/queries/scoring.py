@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tallyframe.functions import messages as ms
 from tallyframe.metrics.classification import classification_report
+from tallyframe.metrics.registry import METRICS, Metric, register_metric
 from tallyframe.metrics.regression import aae
 from tallyframe.operators.joins import align
 from tallyframe.operators.ordered import row_index
 from tallyframe.operators.split import hash_split
 from tallyframe.plans import baselines as bl
 from tallyframe.plans import score as sc
-from tallyframe.plans.evaluate import evaluate
+from tallyframe.plans import documents as dc
+from tallyframe.plans.evaluate import RUN, Evaluation, evaluate, results_document
+from tallyframe.plans.tasks import TASKS
 from tallyframe.queries.base import FRAMES, TYPES, Tables, frames, query, r6, scores, unpivot
 from tallyframe.queries.chat import RESPONSES, responses
 from tallyframe.session import checkpoint
@@ -131,6 +136,45 @@ def align_positional(spark, sf_dir):
     )
 
 
+SPOKEN = RUNS.replace("SELECT * FROM runs WHERE form IN (0, 1, 2, 6) AND NOT lost", "SELECT model, task, split, form, lost, CASE WHEN form = 5 THEN '0' ELSE pred END AS pred, gt FROM runs WHERE (form IN (0, 1, 2, 6) OR (form = 5 AND task LIKE 'must%')) AND NOT lost")
+
+
+@query("text_parser_hook", _runs_sql().replace(RUNS, SPOKEN))
+def text_parser_hook(spark, sf_dir):
+    """One task reads answers without JSON through a function of the session."""
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION spoken_sarcasm(answer STRING) RETURNS STRING "
+        "RETURN CASE WHEN answer LIKE 'none%' THEN '{\"sarcasm\": false}' END"
+    )
+    key = "mustard-omni_video-context"
+    tasks = TASKS | {key: replace(TASKS[key], text_parser="spoken_sarcasm")}
+    return scores(evaluate(*_runs(Tables(spark, sf_dir)), tasks=tasks).metrics).drop("source")
+
+
+def _fragile(rows, by):
+    """The share of rows with an answer of one member; it fails on the runs of one model."""
+    given = F.when(F.col("model") == "shy", F.raise_error(F.lit("no score for shy"))).otherwise(1.0)
+    shares = rows.groupBy(*by).agg(F.avg(given).alias("value"), F.count("*").alias("n_used"))
+    return shares.select(*by, F.lit("answered").alias("metric"), "value", "n_used")
+
+
+@query(
+    "metric_containment",
+    f"WITH all_values AS ({_runs_sql()}) SELECT *, NULL AS error FROM all_values UNION ALL "
+    f"(WITH {RUNS} SELECT model, task, split, CASE model WHEN 'shy' THEN 'fragile_error' ELSE 'answered' END, CASE model WHEN 'shy' THEN NULL ELSE 1.0 END, "
+    "CASE model WHEN 'shy' THEN 0 ELSE count(*) END, CASE model WHEN 'shy' THEN 'no score for shy' END FROM runs WHERE task LIKE 'must%' AND form NOT IN (3, 5) AND NOT lost GROUP BY model, task, split)",
+)
+def metric_containment(spark, sf_dir):
+    """A metric that fails for one model leaves the other model's value and all other metrics."""
+    if "fragile" not in METRICS:
+        register_metric("fragile", Metric(_fragile))
+    key = "mustard-omni_video-context"
+    tasks = TASKS | {key: replace(TASKS[key], metrics=(*TASKS[key].metrics, "fragile"))}
+    run = evaluate(*_runs(Tables(spark, sf_dir)), tasks=tasks)
+    told = run.errors.withColumn("error", F.regexp_extract("error", "no score for [a-z]+", 0))
+    return scores(run.metrics.drop("source")).join(told, [*RUN, "metric"], "left")
+
+
 TRAIN = "md5('42|' || doc_id) < 'c'"
 
 
@@ -332,3 +376,60 @@ def level_scorecard(spark, sf_dir):
     shown = sc.choose_models(sc.axis_scores(adjusted, AXES), {"es": False})
     card = sc.level_scorecard(shown, ["en", "fr", "de"])
     return card.select("level", "axis", *[r6(F.col(m)).alias(m) for m in ("en", "fr", "de")])
+
+
+# The two label columns as two of the scored tasks.
+STORED = {"quality": "mustard-omni_video-context", "toxic": "urfunny-omni_video-audio"}
+
+
+def _documents(t: Tables):
+    """Raw result documents of four models and the document of the naive baselines."""
+    adjusted, naive = _adjusted(t)
+    names = F.create_map(*[F.lit(x) for pair in STORED.items() for x in pair])
+    runs = adjusted.withColumns({"task": names[F.col("task")], "split": F.lit("test")})
+    missing = F.col("n_samples") - F.col("n_valid")
+    summary = runs.select(*RUN, "n_samples", "n_valid", F.col("n_valid").alias("n_metric_valid"), missing.alias("n_parse_failures")).distinct()
+    summary = summary.withColumns(
+        {
+            "format_compliance_rate": F.round(F.col("n_valid") / F.col("n_samples"), 4),
+            "parse_failure_pct": F.round(100 * F.col("n_parse_failures") / F.col("n_samples"), 1),
+            "error": F.lit(None).cast("string"),
+        }
+    )
+    failed = summary.select("model", F.lit("nothing known").alias("task"), "split", F.lit("unknown dataset key").alias("error")).distinct()
+    metrics = runs.select(*RUN, "metric", "value")
+    none = metrics.select(*RUN, "metric", F.lit("").alias("error")).limit(0)
+    raw = results_document(Evaluation(summary.unionByName(failed, allowMissingColumns=True), metrics, none))
+    keys = F.create_map(*[F.lit(x) for k, v in STORED.items() for x in (k, TASKS[v].baseline)])
+    baselines = dc.baselines_document(naive.withColumn("baseline_key", keys[F.col("baseline_key")]))
+    return raw.withColumn("path", F.concat("model", F.lit("/metrics.json"))), baselines
+
+
+STORED_SQL = "CASE task WHEN 'quality' THEN 'mustard-omni_video-context_test' ELSE 'urfunny-omni_video-audio_test' END"
+
+
+@query(
+    "adjusted_documents",
+    f"WITH {ADJUSTED} SELECT model, {STORED_SQL} AS task, metric, adjusted, round(score, 6) AS score, n_samples, n_valid, n_samples - n_valid AS n_invalid, "
+    "round(n_valid / n_samples, 4) AS rate FROM adj UNION ALL SELECT DISTINCT model, 'nothing known_test', NULL, NULL, NULL, 0, 0, NULL, NULL FROM adj",
+)
+def adjusted_documents(spark, sf_dir):
+    """Raw documents, corrected and read again from their text."""
+    raw, baselines = _documents(Tables(spark, sf_dir))
+    stored = checkpoint(dc.adjusted_documents(raw, dc.baseline_values(baselines)))
+    rows = dc.entries(stored.withColumn("path", F.lit(""))).withColumnRenamed("result", "task")
+    values = dc.adjusted_values(stored)
+    n_invalid = F.try_variant_get("entry", "$.n_invalid", "long")
+    facts = rows.select("model", "task", "n_samples", "n_valid", n_invalid.alias("n_invalid"), F.col("format_compliance_rate").alias("rate"))
+    return facts.join(values, ["model", "task"], "left").withColumn("score", r6(F.col("score")))
+
+
+STORED_AXES = [(*a[:2], f"{STORED.get(a[2], a[2])}_test", *a[3:]) for a in AXES]
+
+
+@query("document_scorecard", f"WITH {SCORES} SELECT model, level, axis, round(score, 6) AS score FROM axs")
+def document_scorecard(spark, sf_dir):
+    """Raw documents to corrected ones to the scores of a card."""
+    raw, baselines = _documents(Tables(spark, sf_dir))
+    stored = checkpoint(dc.adjusted_documents(raw, dc.baseline_values(baselines)))
+    return dc.scorecard(stored, STORED_AXES).withColumn("score", r6(F.col("score")))

@@ -15,7 +15,7 @@ from tallyframe.operators.joins import present_in
 from tallyframe.operators.select import cap_per_label, dedupe_exact, greedy_min_distance, no_sentinel, no_sentinel_in
 from tallyframe.operators.split import borrow_last, common_keys, subject_split
 from tallyframe.operators.windows import sample_frames_with_anchor, sliding_frames, window_bounds
-from tallyframe.recipes.common import existing, samples
+from tallyframe.recipes.common import existing, keep, samples
 
 # Prompts and limits.
 FRAME_SYSTEM = {
@@ -159,8 +159,8 @@ def affwild2(
     count windows that were produced.
     """
     media = F.concat_ws("_", "clip", "start")
-    rows = sliding_frames(present_in(frames, videos, ["clip"]), ["clip"], stride=stride)
-    rows = existing(rows.where(_valid(task, F.col("value"))), clips, media)
+    rows = sliding_frames(keep(frames, lambda r: present_in(r, videos, ["clip"]), "missing video"), ["clip"], stride=stride)
+    rows = existing(keep(rows, _valid(task, F.col("value")), "invalid annotation"), clips, media)
     if task == "expr":
         rows = cap_per_label(rows, ["clip"], "value", ["frame"], MAX_PER_EXPRESSION)
     elif task == "va":
@@ -191,10 +191,11 @@ def affwild2_think(
         return val.join(train.select("clip").distinct(), "clip", "left_anti")
 
     rows = of("expr", "e").join(of("va", "va"), ["clip", "frame"]).join(of("au", "au"), ["clip", "frame"])
-    rows = sliding_frames(present_in(rows, videos, ["clip"]), ["clip"], stride=stride).join(splits, "clip")
+    rows = keep(rows, lambda r: present_in(r, videos, ["clip"]), "missing video")
+    rows = sliding_frames(rows, ["clip"], stride=stride).join(splits, "clip")
     media = F.concat_ws("_", "clip", "start")
     ok = _valid("expr", F.col("e")) & _valid("va", F.col("va")) & _valid("au", F.col("au"))
-    rows = cap_per_label(existing(rows.where(ok), clips, media), ["clip"], "e", ["frame"], MAX_PER_EXPRESSION)
+    rows = cap_per_label(existing(keep(rows, ok, "invalid annotation"), clips, media), ["clip"], "e", ["frame"], MAX_PER_EXPRESSION)
     content = F.concat(_answer("va", F.col("va")), F.lit("\n"), _answer("au", F.col("au")))
     answer = reasoning_block(content, _answer("expr", F.col("e")))
     task = "expr_think"
@@ -211,12 +212,12 @@ def mmew(
     Where ``frames`` has an ``emotion`` too, a file name is looked up below its emotion only.
     """
     key = [c for c in ("emotion", "filename") if c in frames.columns]
-    given = sheet.where("subject IS NOT NULL AND emotion IS NOT NULL")
+    given = keep(sheet, F.col("subject").isNotNull() & F.col("emotion").isNotNull(), "incomplete row")
     rows = subject_split(given.withColumn("emotion", strip(F.col("emotion"))), "subject", SUBJECTS)
     emotion = json_object(emotion=quoted(F.col("emotion")))
     if task.startswith("apex"):
         apex = frames.select(*key, F.col("number").alias("apex"), "path")
-        rows = rows.join(apex, [*key, "apex"])
+        rows = keep(rows, lambda r: r.join(apex, [*key, "apex"]), "missing apex frame")
         if task == "apex_emotion" and stills is not None:
             posed = subject_split(stills.where(F.col("emotion").isin(MACRO_EMOTIONS)), "subject", SUBJECTS)
             rows = rows.unionByName(posed, allowMissingColumns=True)
@@ -228,7 +229,7 @@ def mmew(
     span = [*key, "onset", "apex", "offset"]
     stored = rows.select(*span).distinct().withColumn("number", F.explode(wanted)).join(frames, [*key, "number"], "left_semi")
     enough = stored.groupBy(*span).agg(F.count("*").alias("n_frames")).where(F.col("n_frames") >= MIN_FRAMES)
-    rows = rows.join(enough, span)
+    rows = keep(rows, lambda r: r.join(enough, span), "too few frames")
     if task == "clip_emotion_think":
         story = F.concat(
             F.lit(SPOTTING + UNITS_LINE), units_phrase(F.col("au_raw")), F.lit(".\n" + DEDUCTION), F.col("emotion"), F.lit(".")
@@ -246,10 +247,10 @@ def meview(sheet: DataFrame, clips: DataFrame) -> DataFrame:
     """
     known = sheet.withColumn("emotion", decode_label(F.lower(strip(F.col("emotion"))), CONCEALED_NAMES))
     whole = F.col("subject").isNotNull() & F.col("clip_id").isNotNull() & F.col("onset").isNotNull() & F.col("offset").isNotNull()
-    rows = known.where(whole & F.col("emotion").isNotNull()).withColumn(
+    rows = keep(keep(known, whole, "incomplete row"), F.col("emotion").isNotNull(), "unknown emotion").withColumn(
         "path", F.format_string("sub%02d-%d.mp4", F.col("subject").cast("int"), F.col("clip_id").cast("int"))
     )
-    rows = rows.join(clips, "path")
+    rows = keep(rows, lambda r: r.join(clips, "path"), "missing file")
     rows = rows.withColumns(window_bounds(F.col("onset"), F.col("offset"), F.col("total_frames")))
     answer = json_object(emotion=quoted(F.col("emotion")))
     sample_id = F.concat_ws("|", "path", "onset")

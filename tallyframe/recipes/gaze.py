@@ -11,7 +11,7 @@ from tallyframe.functions.messages import json_object, nested_list, number_list,
 from tallyframe.operators.joins import absent_from, asof_next, gather, lookup_join
 from tallyframe.operators.ordered import row_index
 from tallyframe.operators.select import balance_negatives, first_per_group, greedy_min_distance, sample_n, shuffle_key
-from tallyframe.recipes.common import box_line, existing, samples
+from tallyframe.recipes.common import box_line, existing, keep, samples
 
 # Prompts.
 GAZE_SYSTEM = (
@@ -120,7 +120,8 @@ def videoattentiontarget(
     """
     key = ["show", "clip", "seq"]
     w, h = F.col("width"), F.col("height")
-    rows = lookup_join(row_index(entries, key, ["line_no"], "position"), sizes, ["show", "clip"])
+    rows = row_index(entries, key, ["line_no"], "position")
+    rows = keep(rows, lambda r: lookup_join(r, sizes, ["show", "clip"]), "unknown size")
     outside = (F.col("gx") == -1) & (F.col("gy") == -1)
     rows = rows.withColumns(
         {
@@ -159,12 +160,12 @@ def videocoattention(
     """
     boxes = F.transform("faces", lambda b: norm_box(b, *SHARED_SIZE, mode="round"))
     if task == "localization":
-        rows = events.join(frames, ["video", "frame"])
+        rows = keep(events, lambda r: r.join(frames, ["video", "frame"]), "missing file")
         answer = json_object(bbox=number_list(norm_box(F.col("target"), *SHARED_SIZE, mode="round")))
         rows = rows.withColumns({"boxes": boxes, "answer": answer, "id": F.concat_ws("|", "video", "frame", "line_no")})
     else:
         first = first_per_group(events, ["video", "frame"], [F.asc("line_no")])
-        positives = first.join(frames, ["video", "frame"]).select("video", "frame", "path", "faces")
+        positives = keep(first, lambda r: r.join(frames, ["video", "frame"]), "missing file").select("video", "frame", "path", "faces")
         bare = absent_from(frames, events, ["video", "frame"])
         chosen = balance_negatives(positives, bare, ["video"], ["video", "frame"], seed, max_rows)
         negatives = asof_next(

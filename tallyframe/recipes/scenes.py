@@ -17,7 +17,7 @@ from tallyframe.functions.messages import (
 )
 from tallyframe.metrics.registry import CONTACTS, EMOTION_CATEGORIES
 from tallyframe.operators.split import hash_split
-from tallyframe.recipes.common import box_line, existing, samples
+from tallyframe.recipes.common import box_line, existing, keep, samples
 
 # Prompts, labels and sizes.
 EMOTION_SYSTEM = {
@@ -97,7 +97,7 @@ def emotic(images: DataFrame, task: str, split: str, listing: DataFrame | None =
         single = _vad_text(first)
         every = json_object(vad_per_annotator=nested_list(given, _vad_text))
     enough = first.isNotNull() if split == "train" else F.size(given) > 0
-    rows = rows.where(F.coalesce(enough, F.lit(False)))
+    rows = keep(rows, enough, "no annotation")
     user = F.concat(
         box_line("<image>\nBounding box: ", norm_box(F.col("p.body_bbox"), F.col("width"), F.col("height"))),
         F.lit("\n" + EMOTION_ASK[task]),
@@ -114,11 +114,12 @@ def pisc(
 ) -> DataFrame:
     """``images``: ``id, width, height, boxes``; ``relations``: ``id, pairs`` map of ``"i j"`` to label; ``ids``: ``id``."""
     path = F.format_string("%05d.jpg", F.col("id").cast("int"))
-    rows = ids.join(images, "id").join(relations, "id")
+    rows = keep(ids, lambda r: r.join(images, "id"), "unknown image")
+    rows = keep(rows, lambda r: r.join(relations, "id"), "no relation")
     rows = existing(rows, listing, path)
     boxes = F.transform("boxes", lambda b: norm_box(b, F.col("width"), F.col("height"), "round"))
     rows = rows.select("id", path.alias("path"), boxes.alias("boxes"), F.explode("pairs").alias("pair", "label"))
-    rows = rows.withColumn("two", resolve_pair(F.col("pair"), F.col("boxes"))).where("two IS NOT NULL")
+    rows = keep(rows.withColumn("two", resolve_pair(F.col("pair"), F.col("boxes"))), F.col("two").isNotNull(), "unknown person")
     user = F.concat(
         F.lit("<image>\nTwo individuals are visible in this image.\n"),
         box_line("Person 1 bounding box: ", F.col("two")[0]),
@@ -137,7 +138,8 @@ def proxemics(
 
     Split 80/20 over the images that have both.
     """
-    rows = existing(hash_split(labels.join(boxes, "path"), "path", 0.8, seed), listing, F.col("path"))
+    both = keep(labels, lambda r: r.join(boxes, "path"), "no boxes")
+    rows = existing(hash_split(both, "path", 0.8, seed), listing, F.col("path"))
 
     def grid(value: Column) -> Column:
         return norm1000(value, CONTACT_SIZE, "round")

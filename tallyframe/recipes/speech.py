@@ -24,7 +24,7 @@ from tallyframe.metrics.registry import DIALOGUE_EMOTIONS, SPEECH_EMOTIONS, VOCA
 from tallyframe.operators.intervals import bin_timeline
 from tallyframe.operators.joins import first_match, gather, present_in
 from tallyframe.operators.split import hash_split, split_filter
-from tallyframe.recipes.common import existing, samples
+from tallyframe.recipes.common import existing, keep, samples
 
 # Prompts, labels and codes.
 DIALOGUE_SYSTEM = {
@@ -165,18 +165,19 @@ def meld(
     frame, line_no, x1, y1, x2, y2``. The box is that of the middle frame.
     """
     key = ["dialogue", "utterance"]
-    rows = utterances.select(
+    given = utterances.select(
         prefer_corrected(utterances, "Corrected Dialogue_ID", "Dialogue_ID").alias("dialogue"),
         prefer_corrected(utterances, "Corrected Utterance_ID", "Utterance_ID").alias("utterance"),
         F.col("Emotion").alias("emotion"),
         F.col("Utterance").alias("said"),
-    ).where("dialogue IS NOT NULL AND utterance IS NOT NULL")
+    )
+    rows = keep(given, F.col("dialogue").isNotNull() & F.col("utterance").isNotNull(), "bad id")
     if modality != "video_transcript":
-        rows = rows.join(audios.select(*key, F.col("path").alias("audio")), key)
+        rows = keep(rows, lambda r: r.join(audios.select(*key, F.col("path").alias("audio")), key), "missing audio")
     if modality == "audio_only":
         user, media = F.lit("<audio>\nWhat is the emotion of the speaker?"), F.col("audio")
     else:
-        rows = rows.join(videos, key).withColumn(
+        rows = keep(rows, lambda r: r.join(videos, key), "missing video").withColumn(
             "frame", F.when(F.col("total_frames") > 0, F.floor(F.col("total_frames") / 2).cast("int"))
         )
         boxes = faces.select(*key, "frame", "line_no", "x1", "y1", "x2", "y2")
@@ -215,7 +216,7 @@ def urfunny(
 ) -> DataFrame:
     """``folds``: ``split, id``; ``labels``: ``id, funny``; ``language``: ``id, context_sentences``."""
     media = F.concat(F.col("id").cast("string"), F.lit(".mp4"))
-    rows = existing(folds, listing, media).join(labels, "id").join(language, "id", "left")
+    rows = keep(existing(folds, listing, media), lambda r: r.join(labels, "id"), "no label").join(language, "id", "left")
     sentences = F.coalesce("context_sentences", F.array().cast("array<string>"))
     context = F.concat(F.lit("Context:\n"), dialogue_lines(sentences), F.lit("\n"))
     middle = context if modality == "video_context" else F.lit("")
@@ -227,9 +228,8 @@ def urfunny(
 def rldd(listing: DataFrame, seed: int = 42) -> DataFrame:
     """``listing``: ``path`` of clips; the label is the folder name in lower case."""
     folder = F.lower(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1))
-    clips = listing.select("path", folder.alias("label")).where(
-        F.col("label").isin("deceptive", "truthful") & F.col("path").endswith(".mp4")
-    )
+    clips = keep(listing.select("path", folder.alias("label")), F.col("path").endswith(".mp4"), "no video")
+    clips = keep(clips, F.col("label").isin("deceptive", "truthful"), "unknown folder")
     rows = hash_split(clips, "path", 0.8, seed)
     answer = json_object(label=quoted(F.col("label")))
     return samples(
@@ -240,7 +240,7 @@ def rldd(listing: DataFrame, seed: int = 42) -> DataFrame:
 def vocalsound(entries: DataFrame, split: str, listing: DataFrame | None = None) -> DataFrame:
     """``entries``: ``wav, labels``; only the file name of ``wav`` counts. Unknown codes are dropped."""
     rows = entries.select(F.substring_index("wav", "/", -1).alias("path"), decode_label(F.col("labels"), VOCAL_CODES).alias("sound"))
-    rows = existing(rows.where("sound IS NOT NULL"), listing, F.col("path"))
+    rows = existing(keep(rows, F.col("sound").isNotNull(), "unknown label"), listing, F.col("path"))
     answer = json_object(vocal_sound=quoted(F.col("sound")))
     return samples(rows, "vocalsound", "sound", split, F.col("path"), VOCAL_SYSTEM, VOCAL_USER, answer, F.col("path"))
 
@@ -252,14 +252,14 @@ def msppodcast(consensus: DataFrame, detailed: DataFrame, task: str, listing: Da
     every number. Rows of the hidden test set are dropped.
     """
     scores = ["arousal", "valence", "dominance"]
-    known = split_filter(consensus, F.col("split_set"), PODCAST_SPLITS)
+    known = keep(consensus, lambda r: split_filter(r, F.col("split_set"), PODCAST_SPLITS), "hidden split")
     rows = known.withColumn("agreed", decode_label(F.col("emotion"), EMOTION_CODES))
     whole = detailed.dropna(subset=scores).withColumn("emotion", fold_prefix(F.col("emotion"), "other", "Other"))
     votes = gather(whole, ["file"], ["line_no"], F.struct("emotion", *scores), "votes")
     train = rows.where("split = 'train'")
     if task == "labels":
-        train = train.where("agreed IS NOT NULL")
-    listed = rows.where("split <> 'train'").join(votes, "file")
+        train = keep(train, F.col("agreed").isNotNull(), "no agreement")
+    listed = keep(rows.where("split <> 'train'"), lambda r: r.join(votes, "file"), "no annotator")
     rows = train.unionByName(listed, allowMissingColumns=True)
     rows = existing(rows, listing, F.col("file"))
     if task == "labels":
@@ -282,7 +282,7 @@ def voxconverse(
     segments: DataFrame, clips: DataFrame, task: str, split: str, windows: DataFrame | None = None
 ) -> DataFrame:
     """``segments``: ``clip, seq, start, end, speaker``; ``clips``: ``clip, duration``; ``windows``: cut audio ``path``."""
-    rows = bin_timeline(present_in(segments, clips, ["clip"]), clips)
+    rows = bin_timeline(keep(segments, lambda r: present_in(r, clips, ["clip"]), "unknown clip"), clips)
     media = F.concat_ws("_", "clip", "win_start", (F.col("win_start") + 30).cast("string"))
     rows = existing(rows, windows, media)
     if task == "diarization":
