@@ -2,10 +2,13 @@
 
 1. Each whole text becomes the set of its shingles' 64-bit hashes. Equal sets are one node from here on, so a group of
    copies of any size is one row.
-2. Tokens have one global order: the low ones that few sets hold, by hash; the low ones that many hold; all others ("low"
-   is a hash below a fixed bound). Two sets that reach the threshold share a token among the first n - ceil(t * n) + 1 of
-   each; among so many and e more, they share at least 1 + e. The texts are packed into batches, and each batch asks once
-   for each token it holds how many sets hold it, so a token that a third of all sets share is one question per batch.
+2. Tokens have one global order: the low ones that few sets hold; all others that few sets hold; those that many hold;
+   each by hash ("low" is a hash below a fixed bound). Two sets that reach the threshold share a token among the first
+   n - ceil(t * n) + 1 of each; among so many and e more, they share at least 1 + e. The texts are packed into batches, and
+   each batch asks once for each low token it holds how many sets hold it, so a token that a third of all sets share is
+   one question per batch. Most sets have enough rare low tokens for their whole prefix. Only the sets that have not (short
+   ones, and those that are to a good part made of common passages) are packed again with all their tokens, and ask for
+   the others among themselves; so a common token is used only by sets that consist of common tokens by three quarters.
 3. A token that few sets hold is indexed by itself. Frequent tokens fall into classes by their hash, about eight of a
    prefix in each; the prefix is extended by one for every class it meets, and the class's pairs of tokens are indexed: of
    1 + e shared tokens in e classes, two are in the same class, unless a rare one is shared. Pairs are far rarer than
@@ -13,8 +16,8 @@
    both bands it can be joined in.
 4. Sets that share an index entry are candidates and verified on their full sets. In an entry of many sets not all pairs
    are needed for components: first all are compared with one pivot, then those still apart with a few more, and at last
-   all pairs that are in different components and that the distances to the pivot leave open (1 - Jaccard is a metric).
-   No link between different components can be missed.
+   all pairs that are in different components and that sizes and the distances to the pivot leave open (1 - Jaccard is a
+   metric); bands of both are keys of that join. No link between different components can be missed.
 
 Defined cases: a text of fewer than five words is one shingle; null and empty texts, and white space, have the empty set,
 which links with nothing, not even its equals. A null id is less than every other: a component that holds one has a null
@@ -122,8 +125,8 @@ class Bands:
         return min(n, prefix_length(n, self.t) + self.classes[self.of(n)])
 
     def listed(self, tokens: np.ndarray) -> np.ndarray:
-        """The tokens, of a set in the order of hashes, among which every prefix lies: the low ones, and enough."""
-        return tokens[: max(int(np.searchsorted(tokens, np.uint64(LOW))), self.longest(len(tokens)))]
+        """The low tokens of a set in the order of hashes."""
+        return tokens[: int(np.searchsorted(tokens, np.uint64(LOW)))]
 
     def entries(self, n: int, places: list[int], tokens: list[int], frequent: list[bool]) -> set[int]:
         """Index entries of a set, from the tokens of its prefix that others have too (in order, with their places)."""
@@ -230,49 +233,141 @@ def answer(rows: pa.Table) -> pa.Table:
     return pa.table({"bucket": rows.column("bucket"), "batch": rows.column("batch"), "places": pa.array([o[0] for o in out], pa.binary()), "often": pa.array([o[1] for o in out], pa.binary())})
 
 
+def looked_up(tokens: np.ndarray, n_buckets: int, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """For each token of a batch whether more than one set holds it, and whether it is frequent."""
+    known = {r["bucket"]: r for r in answers.to_pylist()}
+    shared, often = [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
+    for b, distinct, _ in by_bucket(tokens, n_buckets):
+        shared.append(distinct[np.frombuffer(known[b]["places"], np.uint32)])
+        often.append(np.frombuffer(known[b]["often"], bool))
+    shared, often = np.concatenate(shared), np.concatenate(often)  # buckets are ranges: still in order
+    if not len(shared):
+        return np.zeros(len(tokens), bool), np.zeros(len(tokens), bool)
+    at = np.searchsorted(shared, tokens).clip(max=len(shared) - 1)
+    found = shared[at] == tokens
+    return found, found & often[at]
+
+
+def slices(lengths: bytes) -> Iterator[slice]:
+    begin = 0
+    for length in np.frombuffer(lengths, np.uint32).tolist():
+        yield slice(begin, begin + length)
+        begin += length
+
+
+ENTRIES = "entry long, node long, n long, rare binary, frequent binary"
+
+
 def write_entries(n_buckets: int, t: tuple[int, int]):
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    """Entries of the sets whose prefix is rare low tokens; of the others their shared low tokens, rare and frequent."""
+
+    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        entries, nodes, sizes, rares, frequents = [], [], [], [], []
+        for row in left.to_pylist():
+            tokens = np.frombuffer(row["tokens"], np.uint64)
+            known, frequent = looked_up(tokens, n_buckets, right)
+            for first, mine in zip(np.frombuffer(row["first"], np.uint32).tolist(), slices(row["lengths"]), strict=True):
+                n, often = row["sizes"][first], frequent[mine]
+                places = np.flatnonzero(~often)[: prefix_length(n, t)]
+                if len(places) == prefix_length(n, t):
+                    found = signed(tokens[mine][places][known[mine][places]]).tolist()
+                    entries.extend(found)
+                    rares.extend([None] * len(found))
+                    frequents.extend([None] * len(found))
+                else:
+                    found = [None]
+                    entries.append(None)
+                    rares.append(tokens[mine][known[mine] & ~often].tobytes())
+                    frequents.append(tokens[mine][often].tobytes())
+                nodes.extend([row["nodes"][first]] * len(found))
+                sizes.extend([n] * len(found))
+        kinds = [pa.int64()] * 3 + [pa.binary()] * 2
+        return pa.table([pa.array(c, k) for c, k in zip((entries, nodes, sizes, rares, frequents), kinds, strict=True)], names=["entry", "node", "n", "rare", "frequent"])
+
+    return run
+
+
+def open_batches(sets: DataFrame) -> DataFrame:
+    """Batches of sets with all their tokens (``sets``: node, n, tokens, rare, frequent). ``others``: those that are not low."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, names = TaskContext.get().partitionId() << 32, ["batch", "nodes", "sizes", "tokens", "lengths", "known", "frequent", "others", "total"]
+        nodes, sizes, lists, known, frequent, total = [], [], [], [], [], 0
+
+        def done() -> pa.RecordBatch:
+            flat = np.concatenate(lists)
+            others = flat[flat >= np.uint64(LOW)]
+            blobs = [flat, np.array([len(x) for x in lists], np.uint32), np.concatenate(known), np.concatenate(frequent), others]
+            lists_of = [pa.array([v], pa.list_(pa.int64())) for v in (nodes, sizes)]
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *lists_of, *[pa.array([b.tobytes()], pa.binary()) for b in blobs], pa.array([len(others)], pa.int64())], names=names)
+
+        for part in parts:
+            for node, n, blob, rare, often in zip(*part.columns, strict=True):
+                tokens = np.frombuffer(blob.as_buffer(), np.uint64)
+                nodes.append(node.as_py())
+                sizes.append(n.as_py())
+                lists.append(tokens)
+                known.append(np.isin(tokens, np.frombuffer(rare.as_buffer(), np.uint64), assume_unique=True))
+                frequent.append(np.isin(tokens, np.frombuffer(often.as_buffer(), np.uint64), assume_unique=True))
+                total += len(tokens)
+                if len(nodes) >= BATCH_SETS or total >= BATCH_TOKENS:
+                    yield done()
+                    number += 1
+                    nodes, sizes, lists, known, frequent, total = [], [], [], [], [], 0
+        if nodes:
+            yield done()
+
+    schema = "batch long, nodes array<bigint>, sizes array<bigint>, tokens binary, lengths binary, known binary, frequent binary, others binary, total long"
+    return sets.select("node", "n", "tokens", "rare", "frequent").mapInArrow(run, schema)
+
+
+def write_open_entries(n_buckets: int, t: tuple[int, int]):
+    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         bands = Bands(t)
-        answers = {r["bucket"]: r for r in right.to_pylist()}
         entries, nodes, sizes = [], [], []
         for row in left.to_pylist():
             tokens = np.frombuffer(row["tokens"], np.uint64)
-            shared, often = [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
-            for b, distinct, _ in by_bucket(tokens, n_buckets):
-                shared.append(distinct[np.frombuffer(answers[b]["places"], np.uint32)])
-                often.append(np.frombuffer(answers[b]["often"], bool))
-            shared, often = np.concatenate(shared), np.concatenate(often)  # buckets are ranges: still in order
-            at = np.searchsorted(shared, tokens).clip(max=max(len(shared) - 1, 0))
-            known = shared[at] == tokens if len(shared) else np.zeros(len(tokens), bool)
-            frequent = known & often[at] if len(shared) else known
-            begin = 0
-            for first, length in zip(np.frombuffer(row["first"], np.uint32).tolist(), np.frombuffer(row["lengths"], np.uint32).tolist(), strict=True):
-                mine = slice(begin, begin + length)
-                begin += length
-                n = row["sizes"][first]
-                if not known[mine].any():
-                    continue
-                # The global order: low and rare, low and frequent, all others; each by hash.
-                last = np.where(tokens[mine] < np.uint64(LOW), frequent[mine], 2)
-                order = np.argsort(last, kind="stable")[: bands.longest(n)]
+            low = tokens < np.uint64(LOW)
+            held, often = looked_up(tokens[~low], n_buckets, right)
+            frequent = np.frombuffer(row["frequent"], bool).copy()
+            frequent[~low] = often
+            known = np.frombuffer(row["known"], bool) | frequent
+            known[~low] = held
+            rank = np.where(frequent, 2, np.where(low, 0, 1))
+            for node, n, mine in zip(row["nodes"], row["sizes"], slices(row["lengths"]), strict=True):
+                order = np.argsort(rank[mine], kind="stable")[: bands.longest(n)]
                 kept = np.flatnonzero(known[mine][order])
                 found = bands.entries(n, kept.tolist(), tokens[mine][order][kept].tolist(), frequent[mine][order][kept].tolist())
                 entries.extend(found)
-                nodes.extend([row["nodes"][first]] * len(found))
+                nodes.extend([node] * len(found))
                 sizes.extend([n] * len(found))
         return pa.table({"entry": pa.array(signed(entries)), "node": pa.array(nodes, pa.int64()), "n": pa.array(sizes, pa.int64())})
 
     return run
 
 
-def index_entries(packed: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """(entry, node, n): every index entry of every node once."""
+def answered(packed: DataFrame) -> tuple[DataFrame, int]:
+    """What the batches (batch, tokens, total) ask, answered by bucket and batch; the number of buckets."""
     total = packed.agg(F.sum("total")).first()[0] or 0
     n_buckets = max(1, -(-total // BUCKET_TOKENS))
-    answers = staged(ask(packed, n_buckets).groupBy("bucket").applyInArrow(answer, "bucket int, batch long, places binary, often binary"))
+    return staged(ask(packed, n_buckets).groupBy("bucket").applyInArrow(answer, "bucket int, batch long, places binary, often binary")), n_buckets
+
+
+def index_entries(docs: DataFrame, text: str, id_column: str, packed: DataFrame, owners: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """(entry, node, n): every index entry of every node once."""
+    answers, n_buckets = answered(packed)
     sets = packed.select("batch", "nodes", "sizes", "tokens", "lengths", "first")
-    found = sets.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(write_entries(n_buckets, t), "entry long, node long, n long")
-    return found.distinct()
+    found = staged(sets.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(write_entries(n_buckets, t), ENTRIES))
+    rare = found.where("frequent IS NULL").select("entry", "node", "n")
+    still_open = staged(found.where("frequent IS NOT NULL").drop("entry").dropDuplicates(["node"]))
+    wanted = still_open.select("node").join(owners, "node").select("id")
+    # One set per node: copies have been one row all the way, and what the filter lets through by chance finds no partner.
+    whole = full_sets(docs, text, id_column, wanted).join(still_open, "node").dropDuplicates(["node"])
+    again = staged(open_batches(whole))
+    answers, n_buckets = answered(again.select("batch", F.col("others").alias("tokens"), "total"))
+    by_batch = again.groupBy("batch").cogroup(answers.groupBy("batch"))
+    common = by_batch.applyInArrow(write_open_entries(n_buckets, t), "entry long, node long, n long")
+    return rare.unionByName(common).distinct()
 
 
 def with_bit(rows: DataFrame) -> DataFrame:
@@ -341,7 +436,7 @@ def may_link(t: tuple[int, int], n: str = "k", distance: str = "e") -> Column:
 
 def linked_nodes(docs: DataFrame, text: str, id_column: str, packed: DataFrame, owners: DataFrame, t: tuple[int, int]) -> DataFrame:
     """(node, root) of all nodes that have a link; root is the same for a whole component."""
-    entries = staged(index_entries(packed, t))
+    entries = staged(index_entries(docs, text, id_column, packed, owners, t))
     pivot = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("m"), F.col("n").alias("k")))
     counts = entries.groupBy("entry").agg(F.count("*").alias("held"), pivot.alias("p")).where("held > 1")
     entries = staged(entries.join(counts, "entry").select("entry", "node", "n", "held", "p.m", "p.k"))
@@ -360,7 +455,8 @@ def linked_nodes(docs: DataFrame, text: str, id_column: str, packed: DataFrame,
         rows = unsettled(rows.drop("root"), roots)
         if n_pivots is None:
             other = rows.select("entry", *[F.col(c).alias(x) for c, x in (("node", "m"), ("n", "k"), ("root", "r"), ("distance", "e"))])
-            more = rows.join(other, "entry").where(F.col("node") < F.col("m"))
+            left, right = banded(rows, "n", "distance", t, True), banded(other, "k", "e", t, False)
+            more = left.join(right, ["entry", "size", "far"]).where(F.col("node") != F.col("m"))
         else:
             more = with_pivots(rows, n_pivots)
         more = more.where(F.col("root") != F.col("r")).where(may_link(t)).select(*ordered_pairs("node", "m")).distinct()
@@ -371,6 +467,22 @@ def linked_nodes(docs: DataFrame, text: str, id_column: str, packed: DataFrame,
     return roots
 
 
+def banded(rows: DataFrame, n: str, distance: str, t: tuple[int, int], both: bool) -> DataFrame:
+    """Add bands of size and of the distance to the pivot: two rows that can link have one band, or bands side by side.
+
+    With ``both``, a row has its own bands and the next ones, so that it meets the larger and the farther ones of its
+    partners; each pair is met from at least one side. An unknown distance is in every band.
+    """
+    step, width = float(np.log(t[1] / t[0])) + 1e-9, 1 - t[0] / t[1] + 2e-9
+    size = F.floor(F.log(F.col(n)) / step)
+    far = F.floor(F.col(distance) / width)
+    every = F.sequence(F.lit(-1).cast("long"), F.lit(int(1 / width) + 2).cast("long"))
+    sizes = F.array(size, size + 1) if both else F.array(size)
+    spread = F.array(far - 1, far, far + 1) if both else F.array(far)
+    rows = rows.withColumn("size", F.explode(sizes))
+    return rows.withColumn("far", F.explode(F.when(far.isNull(), every).otherwise(spread)))
+
+
 def unsettled(entries: DataFrame, roots: DataFrame) -> DataFrame:
     """The rows of entries whose sets are not all in one component, with their roots."""
     rooted = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -71,7 +71,7 @@ def test_pairs_that_no_pivot_reaches(spark, monkeypatch):
     for i in range(40):
         texts.append([*base[:i], word(), *base[i + 1 :]])
     data = [(i, " ".join(t), "en", "a", 0, None, None, None) for i, t in enumerate(texts)]
-    everything = lambda packed, t: packed.selectExpr("explode(arrays_zip(nodes, sizes)) as x").selectExpr("1L as entry", "x.nodes as node", "x.sizes as n")
+    everything = lambda docs, text, id_column, packed, owners, t: packed.selectExpr("explode(arrays_zip(nodes, sizes)) as x").selectExpr("1L as entry", "x.nodes as node", "x.sizes as n")
     monkeypatch.setattr(similarity, "index_entries", everything)
     got = near_duplicates(cases.table(spark, data)).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain(data)
@@ -133,3 +133,20 @@ def test_one_row_of_each_component_stays(spark):
 def test_empty_table(spark):
     assert near_duplicates(cases.table(spark, [])).count() == 0
     assert drop_near_duplicates(cases.table(spark, [])).count() == 0
+
+
+def test_a_passage_that_a_third_shares(spark, monkeypatch):
+    """Documents that are half a common passage and half their own, beside copies that differ in a few words."""
+    monkeypatch.setattr(similarity, "RARE", 4)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    passage, other = [word() for _ in range(60)], [word() for _ in range(60)]
+    texts = []
+    for i in range(160):
+        own = [word() for _ in range(rng.randrange(10, 80))]
+        texts.append([*own, *(passage if i % 3 else other)][: rng.randrange(60, 140)])
+        if i % 20 == 0:
+            texts += [[*texts[-1][:-3], word()], [*passage, *other, word()], [*passage, word(), word()]]
+    data = [(i, " ".join(t), "en", "a", 0, None, None, None) for i, t in enumerate(texts)]
+    got = near_duplicates(cases.table(spark, data)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain(data)
