@@ -16,8 +16,10 @@
    both bands it can be joined in.
 4. Sets that share an index entry are candidates and verified on their full sets. In an entry of many sets not all pairs
    are needed for components: first all are compared with one pivot, then those still apart with a few more, and at last
-   all pairs that are in different components and that sizes and the distances to the pivot leave open (1 - Jaccard is a
-   metric); bands of both are keys of that join. No link between different components can be missed.
+   the pairs in different components that sizes, the distances to the pivot (1 - Jaccard is a metric) and parity maps
+   leave open. A parity map has a bit for each of 1024 classes of tokens: whether the set's number of them is odd. Maps of
+   two sets differ in at most as many bits as the sets differ in tokens, so a pair with too many different bits cannot
+   link. Neither of the rules loses a link between different components.
 
 Defined cases: a text of fewer than five words is one shingle; null and empty texts, and white space, have the empty set,
 which links with nothing, not even its equals. A null id is less than every other: a component that holds one has a null
@@ -47,10 +49,12 @@ THRESHOLD = (3, 4)
 SHINGLE = 5
 #: Prefixes that may hold a token before it is frequent; frequent tokens of a prefix in one class.
 RARE, PER_CLASS = 16, 8
-#: Entries of at most so many sets are compared pair by pair at once; larger ones with one pivot, then with so many more.
-SMALL, PIVOTS = 4, 4
+#: Entries of at most so many sets are compared pair by pair at once; larger ones with one pivot, then in rounds with so many more.
+SMALL, PIVOTS = 4, (4, 8)
+#: 64-bit words of the parity map of a set.
+WORDS = 16
 #: Hashes below LOW (of 2**64) are low; sets and tokens of a batch; tokens that a bucket is meant to answer for.
-LOW = int(0.45 * 2**64)
+LOW = int(0.36 * 2**64)
 BATCH_SETS, BATCH_TOKENS, BUCKET_TOKENS = 1_000, 250_000, 500_000
 FILTER_BITS = 26
 LEAST = -(2**63)
@@ -154,6 +158,12 @@ def hash_entry(label: int, a: int, b: int) -> int:
     return xxhash.xxh3_64_intdigest(b"%d,%d,%d" % (label, a, b))
 
 
+def parity_map(tokens: np.ndarray) -> bytes:
+    """One bit per class of tokens: whether the set has an odd number of them."""
+    classes = ((tokens >> np.uint64(17)) % np.uint64(64 * WORDS)).astype(np.int64)
+    return np.packbits(np.bincount(classes, minlength=64 * WORDS) & 1).tobytes()
+
+
 def signed(values) -> np.ndarray:
     return np.array(values, np.uint64).view(np.int64)
 
@@ -164,14 +174,14 @@ def batches(docs: DataFrame, text: str, id_column: str, t: tuple[int, int]) -> D
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, bands, number = WordHashes(), Bands(t), TaskContext.get().partitionId() << 32
-        ids, found, sizes, first, lists, seen, total = [], [], [], [], [], set(), 0
+        ids, found, sizes, first, lists, maps, seen, total = [], [], [], [], [], [], set(), 0
 
         def done() -> pa.RecordBatch:
             flat = np.concatenate(lists) if lists else np.zeros(0, np.uint64)
-            columns = [flat.tobytes(), np.array([len(x) for x in lists], np.uint32).tobytes(), np.array(first, np.uint32).tobytes()]
+            columns = [flat.tobytes(), np.array([len(x) for x in lists], np.uint32).tobytes(), np.array(first, np.uint32).tobytes(), b"".join(maps)]
             return pa.RecordBatch.from_arrays(
                 [pa.array([number], pa.int64()), *[pa.array([v], pa.list_(pa.int64())) for v in (ids, found, sizes)], *[pa.array([c], pa.binary()) for c in columns], pa.array([total], pa.int64())],
-                names=["batch", "ids", "nodes", "sizes", "tokens", "lengths", "first", "total"],
+                names=["batch", "ids", "nodes", "sizes", "tokens", "lengths", "first", "maps", "total"],
             )
 
         for part in parts:
@@ -182,6 +192,7 @@ def batches(docs: DataFrame, text: str, id_column: str, t: tuple[int, int]) -> D
                     seen.add(node)
                     first.append(len(ids))
                     lists.append(bands.listed(tokens))
+                    maps.append(parity_map(tokens))
                     total += len(lists[-1])
                 ids.append(i)
                 found.append(node)
@@ -189,14 +200,29 @@ def batches(docs: DataFrame, text: str, id_column: str, t: tuple[int, int]) -> D
                 if len(ids) >= BATCH_SETS or total >= BATCH_TOKENS:
                     yield done()
                     number += 1
-                    ids, found, sizes, first, lists, seen, total = [], [], [], [], [], set(), 0
+                    ids, found, sizes, first, lists, maps, seen, total = [], [], [], [], [], [], set(), 0
         if ids:
             yield done()
 
-    schema = "batch long, ids array<bigint>, nodes array<bigint>, sizes array<bigint>, tokens binary, lengths binary, first binary, total long"
+    schema = "batch long, ids array<bigint>, nodes array<bigint>, sizes array<bigint>, tokens binary, lengths binary, first binary, maps binary, total long"
     return rows.mapInArrow(run, schema)
 
 
+def parity_maps(packed: DataFrame) -> DataFrame:
+    """(node, m0, ..., m15) of every node; a node of several batches comes several times."""
+    names = [f"m{i}" for i in range(WORDS)]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for nodes, first, maps in zip(part.column(0), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                at = np.frombuffer(first, np.uint32)
+                words = np.frombuffer(maps, np.int64).reshape(len(at), WORDS)
+                own = nodes.values.to_numpy()[at]
+                yield pa.RecordBatch.from_arrays([pa.array(own), *[pa.array(np.ascontiguousarray(words[:, i])) for i in range(WORDS)]], names=["node", *names])
+
+    return packed.select("nodes", "first", "maps").mapInArrow(run, "node long, " + ", ".join(f"{n} long" for n in names))
+
+
 def by_bucket(tokens: np.ndarray, n_buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(bucket, distinct tokens, how many of the batch's sets hold each): buckets are ranges of hashes."""
     distinct, counts = np.unique(tokens, return_counts=True)
@@ -451,15 +477,13 @@ def linked_nodes(docs: DataFrame, text: str, id_column: str, packed: DataFrame,
     rows = staged(rows.select("entry", "node", "n", F.when(F.col("node") == F.col("m"), 0.0).otherwise(F.col("distance")).alias("distance")))
     roots = components(done.where("linked"))
     # Pivots say nothing of pairs of two others, so the last round is never left out.
-    for n_pivots in (PIVOTS, None):
+    for n_pivots in (*PIVOTS, None):
         rows = unsettled(rows.drop("root"), roots)
         if n_pivots is None:
-            other = rows.select("entry", *[F.col(c).alias(x) for c, x in (("node", "m"), ("n", "k"), ("root", "r"), ("distance", "e"))])
-            left, right = banded(rows, "n", "distance", t, True), banded(other, "k", "e", t, False)
-            more = left.join(right, ["entry", "size", "far"]).where(F.col("node") != F.col("m"))
+            more = still_open(rows, parity_maps(packed), t)
         else:
-            more = with_pivots(rows, n_pivots)
-        more = more.where(F.col("root") != F.col("r")).where(may_link(t)).select(*ordered_pairs("node", "m")).distinct()
+            more = with_pivots(rows, n_pivots).where(F.col("root") != F.col("r")).where(may_link(t))
+        more = more.select(*ordered_pairs("node", "m")).distinct()
         pairs = staged(more.join(done, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
             done = done.unionByName(staged(verify(pairs, docs, text, id_column, owners, t)))
@@ -467,20 +491,23 @@ def linked_nodes(docs: DataFrame, text: str, id_column: str, packed: DataFrame,
     return roots
 
 
-def banded(rows: DataFrame, n: str, distance: str, t: tuple[int, int], both: bool) -> DataFrame:
-    """Add bands of size and of the distance to the pivot: two rows that can link have one band, or bands side by side.
+def still_open(rows: DataFrame, maps: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """(node, m) of two sets of one entry that may link, by components, sizes, distances and parity maps; each once an entry.
 
-    With ``both``, a row has its own bands and the next ones, so that it meets the larger and the farther ones of its
-    partners; each pair is met from at least one side. An unknown distance is in every band.
+    Two sets that can link are in one band of sizes or in bands side by side, so the band is a key of the join.
     """
-    step, width = float(np.log(t[1] / t[0])) + 1e-9, 1 - t[0] / t[1] + 2e-9
-    size = F.floor(F.log(F.col(n)) / step)
-    far = F.floor(F.col(distance) / width)
-    every = F.sequence(F.lit(-1).cast("long"), F.lit(int(1 / width) + 2).cast("long"))
-    sizes = F.array(size, size + 1) if both else F.array(size)
-    spread = F.array(far - 1, far, far + 1) if both else F.array(far)
-    rows = rows.withColumn("size", F.explode(sizes))
-    return rows.withColumn("far", F.explode(F.when(far.isNull(), every).otherwise(spread)))
+    words = [f"m{i}" for i in range(WORDS)]
+    mapped = rows.join(maps.join(rows.select("node").distinct(), "node").dropDuplicates(["node"]), "node")
+    size = F.floor(F.log("n") / (float(np.log(t[1] / t[0])) + 1e-9))
+    mapped = staged(mapped.withColumn("size", size))
+    other = mapped.select(
+        "entry", F.col("size").alias("band"), *[F.col(c).alias(x) for c, x in (("node", "m"), ("n", "k"), ("root", "r"), ("distance", "e"), *((w, f"o{w}") for w in words))]
+    )
+    left = mapped.withColumn("band", F.explode(F.array("size", F.col("size") + 1)))
+    different = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"o{w}"))) for w in words), F.lit(0))
+    near = different * (t[0] + t[1]) <= (F.col("n") + F.col("k")) * (t[1] - t[0])
+    once = (F.col("size") != F.col("band")) | (F.col("node") < F.col("m"))
+    return left.join(other, ["entry", "band"]).where(once & (F.col("root") != F.col("r")) & may_link(t) & near).select("node", "m")
 
 
 def unsettled(entries: DataFrame, roots: DataFrame) -> DataFrame:

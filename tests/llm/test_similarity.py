@@ -150,3 +150,18 @@ def test_a_passage_that_a_third_shares(spark, monkeypatch):
     data = [(i, " ".join(t), "en", "a", 0, None, None, None) for i, t in enumerate(texts)]
     got = near_duplicates(cases.table(spark, data)).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain(data)
+
+
+def test_parity_maps_never_rule_out_a_link():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    count = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(similarity.parity_map(a), similarity.parity_map(b), strict=True))
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 2**64, rng.integers(1, 3000), dtype=np.uint64))
+        kept = a[rng.random(len(a)) < rng.choice([0.5, 0.8, 0.9, 1.0])]
+        b = np.unique(np.concatenate([kept, rng.integers(0, 2**64, rng.integers(0, 1 + len(a) // 3), dtype=np.uint64)]))
+        common = len(np.intersect1d(a, b))
+        assert count(a, b) <= len(a) + len(b) - 2 * common
+        if 4 * common >= 3 * (len(a) + len(b) - common):
+            assert count(a, b) * 7 <= len(a) + len(b)
