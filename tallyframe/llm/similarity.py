@@ -486,11 +486,23 @@ def linked_nodes(docs: DataFrame, text: str, id_column: str, packed: DataFrame,
         more = more.select(*ordered_pairs("node", "m")).distinct()
         pairs = staged(more.join(done, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
-            done = done.unionByName(staged(verify(pairs, docs, text, id_column, owners, t)))
-            roots = components(done.where("linked"))
+            checked = staged(verify(pairs, docs, text, id_column, owners, t))
+            done = done.unionByName(checked)
+            roots = merged_roots(roots, checked.where("linked"))
     return roots
 
 
+def merged_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after more links (a, b): only their ends' roots are a graph, and what they join is renamed."""
+    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    known = staged(roots.unionByName(ends.join(roots, "node", "left_anti").select("node", F.col("node").alias("root"))))
+    name = lambda end, out: known.select(F.col("node").alias(end), F.col("root").alias(out))
+    between = links.select("a", "b").join(name("a", "ra"), "a").join(name("b", "rb"), "b")
+    joined = components(between.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    new = joined.select(F.col("node").alias("root"), F.col("root").alias("least"))
+    return staged(known.join(new, "root", "left").select("node", F.coalesce("least", "root").alias("root")))
+
+
 def still_open(rows: DataFrame, maps: DataFrame, t: tuple[int, int]) -> DataFrame:
     """(node, m) of two sets of one entry that may link, by components, sizes, distances and parity maps; each once an entry.
 
