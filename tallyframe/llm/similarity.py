@@ -55,7 +55,7 @@ SMALL, PIVOTS = 4, (4, 8)
 WORDS = 16
 #: Hashes below LOW (of 2**64) are low; sets and tokens of a batch; tokens that a bucket is meant to answer for.
 LOW = int(0.36 * 2**64)
-BATCH_SETS, BATCH_TOKENS, BUCKET_TOKENS = 1_000, 250_000, 500_000
+BATCH_SETS, BATCH_TOKENS, BUCKET_TOKENS = 500, 120_000, 250_000
 FILTER_BITS = 26
 LEAST = -(2**63)
 EMPTY = 0
@@ -64,7 +64,7 @@ EMPTY = 0
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
-    LIMIT = 200_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
