@@ -111,3 +111,20 @@ def sweep_statistics(
     distinct = distinct.groupBy("stride").agg(F.count("*").alias("kept_distinct"))
     n_clips = clips.select(*clip).distinct().agg(F.count("*")).scalar()
     return capped.join(distinct, "stride").withColumn("kept_per_clip", F.col("kept_capped") / n_clips)
+
+
+def sweep_totals(
+    swept: DataFrame, clip: list[str], label: str, value: str, split: str = "split", k: int = 5
+) -> DataFrame:
+    """Windows and kept windows per stride, split and way of thinning, with all their totals in the same aggregation.
+
+    ``task`` is ``capped`` (at most k of each label in a clip) or ``distinct`` (each value once in a clip). Totals have NULL
+    in the columns they add up over; ``level`` is their grouping id (0 for single cells, 7 for the total of all). The
+    windows are counted per clip first, so the cube expands counts and not windows.
+    """
+    parts = []
+    for task, key, kept in (("capped", label, F.least("n", F.lit(k))), ("distinct", value, F.lit(1))):
+        counted = swept.groupBy("stride", split, *clip, key).agg(F.count("*").alias("n"))
+        parts.append(counted.groupBy("stride", split).agg(F.sum("n").alias("n"), F.sum(kept).alias("k")).withColumn("task", F.lit(task)))
+    cube = parts[0].unionByName(parts[1]).cube("stride", split, "task")
+    return cube.agg(F.sum("n").alias("raw_windows"), F.sum("k").alias("kept"), F.grouping_id().cast("long").alias("level"))

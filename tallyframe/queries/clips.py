@@ -142,6 +142,20 @@ def stride_sweep(spark, sf_dir):
     return counts.withColumn("kept_per_clip", r6(F.col("kept_per_clip")))
 
 
+@query(
+    "sweep_totals",
+    f"WITH {FRAMES}, s AS (SELECT unnest([4, 8, 16, 32, 64]) AS stride), lens AS (SELECT clip, count(*) AS len FROM frames GROUP BY clip), "
+    "w AS (SELECT stride, CASE WHEN clip % 5 = 0 THEN 'val' ELSE 'train' END AS split, f.* FROM frames f JOIN lens USING (clip) CROSS JOIN s WHERE frame >= 8 AND (frame - 8) % stride = 0 AND frame + 8 <= len), "
+    "r AS (SELECT stride, split, row_number() OVER (PARTITION BY stride, clip, event_type ORDER BY frame) <= 2 AS c, "
+    "row_number() OVER (PARTITION BY stride, clip, props ORDER BY frame) = 1 AS d FROM w), "
+    "t AS (SELECT stride, split, 'capped' AS task, c AS kept FROM r UNION ALL SELECT stride, split, 'distinct', d FROM r) "
+    "SELECT stride, split, task, count(*) AS raw_windows, count(*) FILTER (WHERE kept) AS kept, grouping(stride, split, task) AS level FROM t GROUP BY CUBE (stride, split, task)",
+)
+def sweep_totals(spark, sf_dir):
+    rows = frames(Tables(spark, sf_dir)).withColumn("split", F.when(F.col("clip") % 5 == 0, "val").otherwise("train"))
+    return windows.sweep_totals(windows.sweep_windows(rows, ["clip"], STRIDES), ["clip"], "event_type", "props", k=2)
+
+
 @query(
     "sample_n",
     "WITH r AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY md5('42|' || event_id), event_id) AS k FROM events) "
