@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.functions.binding import let
 from tallyframe.functions.timeline import SILENCE
 from tallyframe.operators.joins import lookup_join
 from tallyframe.operators.windows import sliding_seconds
@@ -103,6 +102,28 @@ def speaker_letters(placed: DataFrame) -> DataFrame:
     return ranked.select("clip", "win_start", F.col("s.speaker").alias("speaker"), letter_of(F.col("rank")).alias("letter"))
 
 
+def _lettered(letter: Column, bits: Column, n_bins: int) -> Column:
+    """A speaker's letter and their bins one by one: the letter where active, a blank elsewhere."""
+    digits = []
+    for w, base in enumerate(range(0, n_bins, WORD)):
+        width = min(WORD, n_bins - base)
+        digits.append(F.reverse(F.lpad(F.bin(F.get(bits, F.lit(w))), width, "0")))
+    text = F.concat(*digits)
+    marks = F.replace(F.replace(text, F.lit("0"), F.lit(" ")), F.lit("1"), letter)
+    return F.struct(letter.alias("letter"), F.split(marks, "", n_bins).alias("marks"))
+
+
+def _labels(lettered: Column, n_bins: int) -> Column:
+    """The letters active in each bin. Blanks and gaps are settled in one text of all bins, not bin by bin."""
+    empty = F.array_repeat(F.lit(""), n_bins)
+    marks = F.aggregate(lettered, empty, lambda acc, s: F.zip_with(acc, s["marks"], lambda a, b: F.concat(a, b)))
+    text = F.replace(F.concat(F.lit(","), F.array_join(marks, ","), F.lit(",")), F.lit(" "), F.lit(""))
+    # A gap between two commas may share them with the next gap, so the gaps are filled in two rounds.
+    for _ in range(2):
+        text = F.replace(text, F.lit(",,"), F.lit(f",{SILENCE},"))
+    return F.split(F.substring(text, F.lit(2), F.char_length(text) - 2), ",")
+
+
 def bin_timeline(
     segments: DataFrame,
     clips: DataFrame,
@@ -125,23 +146,14 @@ def bin_timeline(
         spoken = sliding_seconds(heard, "duration", size, stride).select("clip", "win_start").join(
             spoken, ["clip", "win_start"], "left"
         )
-    lettered = F.transform(
-        "speakers", lambda s, i: F.struct(letter_of(i).alias("letter"), s["bits"].alias("bits"))
-    )
-    rows = spoken.where(F.coalesce("active_bins", F.lit(0)) >= min_bins).withColumn(
-        "lettered", F.coalesce(lettered, F.array().cast("array<struct<letter:string,bits:array<bigint>>>"))
-    )
-
-    def label(i: Column) -> Column:
-        # Speakers that are not active give NULL, which the join of texts leaves out.
-        word, bit = F.floor(i / WORD).cast("int"), (i % WORD).cast("int")
-        active = F.transform("lettered", lambda s: F.when(F.getbit(F.get(s["bits"], word), bit) == 1, s["letter"]))
-        return let(F.array_join(active, ""), lambda text: F.when(text == "", SILENCE).otherwise(text))
-
+    rows = spoken.where(F.coalesce("active_bins", F.lit(0)) >= min_bins)
+    none = F.array().cast("array<struct<letter:string,marks:array<string>>>")
+    lettered = F.coalesce(F.transform("speakers", lambda s, i: _lettered(letter_of(i), s["bits"], n_bins)), none)
+    rows = rows.withColumn("lettered", lettered)
     return rows.select(
         "clip",
         "win_start",
-        F.transform(F.sequence(F.lit(0), F.lit(n_bins - 1)), label).alias("timeline"),
+        _labels(F.col("lettered"), n_bins).alias("timeline"),
         F.size("lettered").cast("long").alias("num_speakers"),
         F.coalesce("active_bins", F.lit(0)).alias("active_bins"),
     )

@@ -14,6 +14,8 @@ def local_session(cores: str | int = "*", partitions: int = 8, **conf: str) -> S
         .appName("tallyframe")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        # Merging shuffle partitions below 1 MB would leave most cores of one machine without work.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
