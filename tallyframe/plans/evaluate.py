@@ -155,11 +155,13 @@ def evaluate(
     align: str = "row_idx",
     strict: bool = False,
     runs: DataFrame | None = None,
+    missing: DataFrame | None = None,
 ) -> Evaluation:
     """Parse once, keep the parsed rows by task, then one aggregation per metric over all runs.
 
     Every run among the predictions, and in ``runs`` (model, task, split; for files without a readable line), has a
-    row in the summary; those that cannot be scored say why in ``error``.
+    row in the summary; those that cannot be scored say why in ``error``. ``missing`` (task, split, error) names the
+    truth tables that could not be read, with the stored split.
     """
     listed = predictions.select(*RUN)
     listed = (listed if runs is None else listed.unionByName(runs.select(*RUN))).distinct()
@@ -195,6 +197,11 @@ def evaluate(
         .withColumn("below_floor", F.col("format_compliance_rate") < COMPLIANCE_FLOOR)
         .drop("used")
     )
+    if missing is not None:
+        # At most one row per registered task and split.
+        absent = missing.select("task", F.col("split").alias("stored"), F.col("error").alias("absent"))
+        told = counted.withColumn("stored", resolve_split(F.col("task"), F.col("split"))).join(F.broadcast(absent), ["task", "stored"], "left")
+        counted = told.withColumn("error", F.coalesce("absent", "error")).select(*counted.columns)
     failed = unknown.withColumn("error", F.concat(F.lit("unknown dataset key: "), F.col("task")))
     errors = results.where("error IS NOT NULL").select(*RUN, "metric", "error")
     return Evaluation(counted.unionByName(failed, allowMissingColumns=True), results.drop("error"), errors)

@@ -10,8 +10,11 @@ from tallyframe.operators.joins import union_tagged
 from tallyframe.plans.tasks import parse_source_name, resolve_split
 from tallyframe.queries.base import Tables, query, r6
 from tallyframe.queries.chat import BUILT, _built
+from tallyframe.session import shared_path
+from tallyframe.sources.catalogue import read_catalogue
+from tallyframe.sources.media_store import append_blobs, stored_blobs
 from tallyframe.sources.readers import attach_media, prefer_extension
-from tallyframe.sources.writers import blob_table
+from tallyframe.sources.writers import blob_table, write_samples
 
 CHECKS = {
     "columns": "true",
@@ -129,6 +132,52 @@ def blob_dedupe(spark, sf_dir):
     return uses.join(sizes, "digest")
 
 
+@query(
+    "media_store",
+    "WITH d AS (SELECT md5(text) AS digest, strlen(text) AS bytes, lang FROM documents), "
+    "runs AS (SELECT 1 AS delivery, * FROM d WHERE lang = 'en' UNION ALL SELECT 2, * FROM d UNION ALL SELECT 3, * FROM d), "
+    "first AS (SELECT digest, min(delivery) AS delivery, max(bytes) AS bytes FROM runs WHERE digest IS NOT NULL GROUP BY digest), "
+    "new AS (SELECT delivery, count(*) AS n_stored, sum(bytes) AS bytes FROM first GROUP BY delivery) "
+    "SELECT CAST(delivery AS INTEGER) AS delivery, n_rows, coalesce(n_stored, 0) AS n_stored, CAST(coalesce(bytes, 0) AS BIGINT) AS stored_bytes "
+    "FROM (SELECT delivery, count(*) AS n_rows FROM runs GROUP BY delivery) LEFT JOIN new USING (delivery)",
+)
+def media_store(spark, sf_dir):
+    """Three deliveries to one store: the documents of one language, all documents, and all of them again."""
+    docs = Tables(spark, sf_dir).documents.select("doc_id", "lang", F.encode("text", "UTF-8").alias("content"))
+    root, told = shared_path(spark, "media"), None
+    for number, part in enumerate([docs.where("lang = 'en'"), docs, docs], 1):
+        done = append_blobs(part, root, "doc_id")
+        sizes = stored_blobs(spark, root).select("digest", F.octet_length("content").cast("long").alias("bytes"))
+        stored = done.new.select("digest").join(sizes, "digest").agg(F.count("*").alias("n_stored"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("stored_bytes"))
+        row = done.rows.agg(F.count("*").alias("n_rows")).crossJoin(stored).select(F.lit(number).alias("delivery"), "*")
+        told = row if told is None else told.unionByName(row)
+    return told
+
+
+@query(
+    "catalogue_merge",
+    "WITH s AS (SELECT doc_id, source AS dataset, CASE WHEN n_chars < 500 THEN 'short' ELSE 'long' END AS task, "
+    "CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split, lang, n_chars FROM documents), "
+    "status AS (SELECT dataset FROM s GROUP BY dataset HAVING count(*) FILTER (WHERE lang = 'de') > 0), "
+    "chosen AS (SELECT dataset, task FROM (SELECT dataset, task, row_number() OVER (PARTITION BY dataset ORDER BY count(*) DESC, task) AS k FROM s GROUP BY dataset, task) WHERE k = 1) "
+    "SELECT doc_id, dataset, task, split, CASE WHEN task = 'short' THEN lang END AS lang, CASE WHEN task = 'long' THEN n_chars END AS n_chars "
+    "FROM s SEMI JOIN status USING (dataset) SEMI JOIN chosen USING (dataset, task)",
+)
+def catalogue_merge(spark, sf_dir):
+    """Samples written by dataset, task and split; one task of each dataset that is ok, as one table."""
+    split = F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train")
+    task = F.when(F.col("n_chars") < 500, "short").otherwise("long")
+    docs = Tables(spark, sf_dir).documents.withColumns({"dataset": F.col("source"), "task": task, "split": split})
+    root = shared_path(spark, "catalogue")
+    write_samples(docs.where("task = 'short'").select("doc_id", "lang", "dataset", "task", "split"), root)
+    write_samples(docs.where("task = 'long'").select("doc_id", "n_chars", "dataset", "task", "split"), root, mode="append")
+    good = F.count_if(F.col("lang") == "de") > 0
+    status = docs.groupBy("dataset").agg(F.when(good, "ok").otherwise("skipped").alias("status"))
+    counts = docs.groupBy("dataset", "task").agg(F.count("*").alias("n"))
+    chosen = counts.groupBy("dataset").agg(F.min_by("task", F.struct(-F.col("n"), "task")).alias("task"))
+    return read_catalogue(spark, root, status, chosen)
+
+
 @query(
     "attach_media",
     "SELECT event_id, md5(html) AS digest, skipped FROM events JOIN pages ON page_id = event_id % 300, "

@@ -41,6 +41,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path not used before in the shared folder."""
+    _checkpoint_folder(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, partition_by: list[str]) -> DataFrame:
     """Write a table to the shared checkpoint folder and read it back.
 
@@ -48,7 +54,6 @@ def staged(df: DataFrame, partition_by: list[str]) -> DataFrame:
     executor costs no recomputation of what came before.
     """
     spark = df.sparkSession
-    _checkpoint_folder(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/staged-{uuid.uuid4().hex}"
+    path = shared_path(spark, "staged")
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -5,14 +5,17 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.functions.binding import strip
-from tallyframe.functions.messages import read_messages
+from tallyframe.functions.messages import MESSAGES, read_messages
 from tallyframe.plans.tasks import TASKS, parse_source_name
 
+TRUTH = f"task string, split string, row_idx long, messages {MESSAGES}"
+
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Lines with their file and position: ``file, block, place, value``.
@@ -93,6 +96,29 @@ def load_truth(spark: SparkSession, root: str, task: str, split: str) -> DataFra
     return rows.select(F.lit(task).alias("task"), F.lit(stored).alias("split"), "row_idx", "messages")
 
 
+def load_truths(spark: SparkSession, root: str, wanted: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
+    """Ground truth of several (task, split) and what is missing: ``task, split, error`` of those without a table.
+
+    Splits are the stored ones in both results; ``evaluate`` takes both.
+    """
+    truth, missing = spark.createDataFrame([], TRUTH), []
+    for task, split in dict.fromkeys(wanted):
+        stored = TASKS[task].split_alias.get(split, split) if task in TASKS else split
+        try:
+            if task not in TASKS:
+                raise KeyError(task)
+            turn = lambda m: F.struct(*[m[c].cast("string").alias(c) for c in ("role", "content")])
+            # Tables of different builders may carry further fields in a message.
+            truth = truth.unionByName(load_truth(spark, root, task, split).withColumn("messages", F.transform("messages", turn)))
+        except KeyError:
+            missing.append((task, stored, f"unknown dataset key: {task}"))
+        except AnalysisException as error:
+            if error.getCondition() not in {"PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"}:
+                raise
+            missing.append((task, stored, f"no truth table of split {stored} under {TASKS[task].folder}"))
+    return truth, spark.createDataFrame(missing, "task string, split string, error string")
+
+
 def scan_jsonl(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """JSON lines numbered after blank and undecodable lines are dropped: ``file, row_idx, value``."""
     return parse_jsonl(read_lines(spark, path))
