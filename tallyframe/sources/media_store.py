@@ -55,7 +55,8 @@ def _only_chosen(rows: DataFrame, chosen: DataFrame, n_chosen: int) -> DataFrame
     placed = rows.withColumns({"__part": part, "__bit": bit}).join(F.broadcast(bits), "__part")
     byte = F.conv(F.hex(F.substring("__bits", F.floor(F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     marked = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (F.col("__bit") % 8).cast("int"))) != 0
-    return placed.where(marked).drop("__part", "__bit", "__bits").join(chosen, ["digest", "__key"], "left_semi")
+    # Not a semi join, which would be done before the one with the map; a digest is chosen once.
+    return placed.where(marked).drop("__part", "__bit", "__bits").join(chosen, ["digest", "__key"])
 
 
 def append_blobs(df: DataFrame, root: str, key: str, content: str = "content") -> Delivery:
