@@ -2,10 +2,14 @@
 
 A text's terms are its shingles of five words, weighted by how often they occur. For each of ``samples`` rounds every
 term draws, from hashes of the term and the round, r and c from Gamma(2, 1) and b from [0, 1). With
-t = floor(ln(weight) / r + b), the term with the least ln(c) - r * (t - b) - r is the round's sample. Two texts have the
+t = floor(ln(weight) / r + b), the term with the least c * exp(-r * (t - b) - r) is the round's sample. Two texts have the
 same sample with a probability equal to their generalised Jaccard similarity (sum of the lesser weights over the sum of
 the greater ones), so the share of equal samples estimates it. The least value itself stands for the pair (term, t).
 
+r and b come from two uniform numbers u and v: -ln(u) and -ln(v) are independent exponentials, so their sum r is from
+Gamma(2, 1) and the share b = -ln(v) / r of the second is uniform and independent of r. The value is then
+c * u * (u * v) ** t, and since t is 0 at weight 1, the usual term takes two hashes and one logarithm a round.
+
 Neighbours in descending order of the id are found inside ranges of ids, cut by quantiles: the text is shuffled by
 range, and each range is also given the first document of the next one. All later groupings keep that partitioning.
 
@@ -25,7 +29,7 @@ from tallyframe.llm.common import staged
 #: Draws of a fingerprint: the standard error of a likeness s is sqrt(s * (1 - s) / SAMPLES), 0.044 at most with 128.
 SAMPLES, SHINGLE = 128, 5
 #: Rounds that one row computes; more would make generated methods too long to be compiled.
-ROUNDS = 4
+ROUNDS = 8
 ROWS_PER_RANGE, RANGES = 500, 65_536
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -46,17 +50,17 @@ def unit(bits: Column) -> Column:
     return (bits + 0.5) / 2.0**32
 
 
-def draw(term: Column, number: Column, log_weights: list[Column]) -> list[Column]:
-    """The value of one round of a term for each of several weights; null where the logarithm is.
+def draw(term: Column, number: Column) -> tuple[Column, Column, Column]:
+    """One round of a term: its value at weight 1, u and v; the last two are what other weights need."""
+    pair, other = F.xxhash64(term, number * 2), F.xxhash64(term, number * 2 + 1)
+    low, high = (lambda h: unit(h.bitwiseAND(0xFFFFFFFF))), (lambda h: unit(F.shiftrightunsigned(h, 32)))
+    return -F.ln(low(other) * high(other)) * low(pair), low(pair), high(pair)
 
-    Without a condition around them, Spark computes r, b and ln(c) once for all weights.
-    """
-    first, second, third = (F.xxhash64(term, number * 3 + j) for j in range(3))
-    halves = [unit(h.bitwiseAND(0xFFFFFFFF)) * unit(F.shiftrightunsigned(h, 32)) for h in (first, second)]
-    r, c = -F.ln(halves[0]), -F.ln(halves[1])
-    b = unit(F.shiftrightunsigned(third, 32))
-    log_c = F.ln(c)
-    return [log_c - r * (F.floor(w / r + b) - b) - r for w in log_weights]
+
+def value_at(weight: Column, at_one: Column, u: Column, v: Column) -> Column:
+    """The value of a round at an integer weight; null at 0."""
+    step = F.floor((F.ln(weight) - F.ln(v)) / -F.ln(u * v))
+    return F.when(weight == 1, at_one).when(weight > 1, at_one * F.pow(u * v, step))
 
 
 def signature(terms: DataFrame, keys: list[str], weights: list[str], samples: int = SAMPLES) -> DataFrame:
@@ -65,14 +69,21 @@ def signature(terms: DataFrame, keys: list[str], weights: list[str], samples: in
     ``terms``: keys, term (long) and one or more weights (0: the text does not have the term).
     """
     chunks = -(-samples // ROUNDS)
-    logs = [f"_ln_{w}" for w in weights]  # null for a weight of 0
-    rows = terms.select(*keys, "term", *[F.ln(w).alias(n) for w, n in zip(weights, logs, strict=True)])
-    rows = rows.withColumn("_chunk", F.explode(F.array(*[F.lit(i) for i in range(chunks)])))
-    values = []
-    for j in range(ROUNDS):
-        drawn = draw(F.col("term"), F.col("_chunk") * ROUNDS + j, [F.col(n) for n in logs])
-        values += [F.min(v).alias(f"_{w}{j}") for w, v in zip(weights, drawn, strict=True)]
-    least = rows.groupBy(*keys, "_chunk").agg(*values)
+    shared = len(weights)
+    # A term of one weight throughout is drawn once, in a set of its own; any other once for each weight.
+    once = F.array(F.struct(F.lit(shared).alias("set"), F.col(weights[0]).cast("long").alias("weight")))
+    each = F.array(*[F.struct(F.lit(i).alias("set"), F.col(w).cast("long").alias("weight")) for i, w in enumerate(weights)])
+    same = F.lit(True)
+    for w in weights[1:]:
+        same = same & (F.col(w) == F.col(weights[0]))
+    listed = terms.select(*keys, "term", F.inline(F.when(same, once).otherwise(each))).where("weight > 0")
+    rows = listed.select("*", F.explode(F.array(*[F.lit(i) for i in range(chunks)])).alias("_chunk"))
+    drawn = [draw(F.col("term"), F.col("_chunk") * ROUNDS + j) for j in range(ROUNDS)]
+    values = [F.min(value_at(F.col("weight"), *parts)).alias(f"_{j}") for j, parts in enumerate(drawn)]
+    by_set = rows.groupBy(*keys, "_chunk", "set").agg(*values)
+    least = by_set.groupBy(*keys, "_chunk").agg(
+        *[F.min(F.when(F.col("set").isin(i, shared), F.col(f"_{j}"))).alias(f"_{w}{j}") for j in range(ROUNDS) for i, w in enumerate(weights)]
+    )
     part = lambda c: F.lower(F.lpad(F.hex(F.shiftrightunsigned(F.xxhash64(c), 32)), 8, "0"))
     pieces = least.select(*keys, "_chunk", *[F.concat(*[part(F.col(f"_{w}{j}")) for j in range(ROUNDS)]).alias(w) for w in weights])
     whole = lambda w: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_chunk", w))), lambda s: s[w]), "")
