@@ -62,6 +62,26 @@ def random_rows(df: DataFrame, row_key: list[str], n: int = 1, seed: int = 42) -
     return df.orderBy(hash_order(seed, *row_key), *row_key).limit(n)
 
 
+def random_rows_of_block(table: DataFrame, row_key: list[str], n: int = 1, seed: int = 42) -> DataFrame:
+    """n random rows of one random block of a table read from files, for inspection; all of its rows if fewer.
+
+    A block is what Spark reads as one split: a row group or a few. The blocks are listed without reading a data
+    column; then only the file of the chosen block is opened. Its rows are found by their position in the file, since
+    fewer files may be split elsewhere. ``table`` must be the table as read, and its listing is a job of its own.
+    """
+    at = F.col("_metadata.row_index")
+    blocks = table.groupBy(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_name").alias("name"),
+        F.col("_metadata.file_block_start").alias("start"),
+    ).agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    block = blocks.orderBy(hash_order(seed, "name", "start"), "path", "start").first()
+    if block is None:
+        return table.limit(0)
+    inside = table.where((F.col("_metadata.file_path") == block.path) & at.between(block.first, block.last))
+    return inside.orderBy(hash_order(seed, *row_key), *row_key).limit(n)
+
+
 def consecutive_rows(df: DataFrame, block: list[str], index: str, n: int, seed: int = 42) -> DataFrame:
     """n neighbouring rows of one random block that has that many."""
     sizes = df.groupBy(*block).agg(F.min(index).alias("__lo"), F.max(index).alias("__hi"))

@@ -189,6 +189,25 @@ def random_rows(spark, sf_dir):
     return select.random_rows(Tables(spark, sf_dir).events, ["event_id"], 10).select("event_id", "event_type")
 
 
+@query(
+    "random_rows_of_block",
+    # Which block is drawn hangs on the files; that its rows are rows of the table, each once and of one file, does not.
+    "SELECT CAST(10 AS BIGINT) AS n_rows, CAST(10 AS BIGINT) AS n_distinct, count(*) AS n_found, CAST(1 AS BIGINT) AS n_files "
+    "FROM (SELECT event_id FROM events ORDER BY event_id LIMIT 10)",
+)
+def random_rows_of_block(spark, sf_dir):
+    events = Tables(spark, sf_dir).events
+    drawn = select.random_rows_of_block(events, ["event_id"], 10).select("event_id", "event_type", F.input_file_name().alias("file"))
+    known = events.select("event_id", F.col("event_type").alias("known"))
+    both = drawn.join(known, "event_id", "left")
+    return both.agg(
+        F.count("*").alias("n_rows"),
+        F.countDistinct("event_id").alias("n_distinct"),
+        F.count_if(F.col("event_type") == F.col("known")).alias("n_found"),
+        F.countDistinct("file").alias("n_files"),
+    )
+
+
 @query(
     "consecutive_rows",
     f"WITH {FRAMES}, s AS (SELECT clip, min(frame) AS lo, max(frame) AS hi FROM frames GROUP BY clip HAVING max(frame) - min(frame) + 1 >= 5), "

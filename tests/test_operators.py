@@ -98,6 +98,37 @@ def test_greedy_min_distance(skewed, chunk):
     assert {r.id for r in kept} == want
 
 
+def test_random_rows_of_block(spark, tmp_path):
+    folder = str(tmp_path / "blocks")
+    numbers = spark.range(5000).select("id", F.md5(F.col("id").cast("string")).alias("text"))
+    # Several row groups a file, and splits that hold a part of them.
+    numbers.repartitionByRange(5, "id").write.option("parquet.block.size", 8192).option("parquet.page.size", 1024).parquet(folder)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        table = spark.read.parquet(folder)
+        per_block = table.groupBy("_metadata.file_path", "_metadata.file_block_start").agg(F.collect_set("id").alias("ids")).collect()
+        assert len(per_block) > 5
+        drawn = set()
+        for seed in range(6):
+            rows = select.random_rows_of_block(table, ["id"], 7, seed)
+            ids = [r.id for r in rows.collect()]
+            block = [b for b in per_block if set(ids) <= set(b.ids)]
+            assert len(block) == 1 and len(set(ids)) == len(ids) == 7
+            assert ids == [r.id for r in select.random_rows_of_block(table, ["id"], 7, seed).collect()]
+            drawn.add((block[0].file_path, block[0].file_block_start))
+            every = select.random_rows_of_block(table, ["id"], 5001, seed).collect()
+            assert {r.id for r in every} == set(block[0].ids)
+        assert len(drawn) > 1
+        # The listing of files is cut by the path, not only the rows.
+        scan = select.random_rows_of_block(table, ["id"], 7)._jdf.queryExecution()
+        leaves = scan.sparkPlan().collectLeaves()
+        assert leaves.size() == 1 and leaves.head().selectedPartitions().totalNumberOfFiles() == 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert select.random_rows_of_block(table.where("id < 0"), ["id"]).count() == 0
+
+
 @pytest.mark.parametrize("max_rows", [None, 15])
 def test_asof_next(skewed, max_rows):
     left = skewed.select("clip", "t", "id")
