@@ -71,18 +71,18 @@ def signature(terms: DataFrame, keys: list[str], weights: list[str], samples: in
     chunks = -(-samples // ROUNDS)
     shared = len(weights)
     # A term of one weight throughout is drawn once, in a set of its own; any other once for each weight.
-    once = F.array(F.struct(F.lit(shared).alias("set"), F.col(weights[0]).cast("long").alias("weight")))
-    each = F.array(*[F.struct(F.lit(i).alias("set"), F.col(w).cast("long").alias("weight")) for i, w in enumerate(weights)])
+    once = F.array(F.struct(F.lit(shared).alias("_set"), F.col(weights[0]).cast("long").alias("_weight")))
+    each = F.array(*[F.struct(F.lit(i).alias("_set"), F.col(w).cast("long").alias("_weight")) for i, w in enumerate(weights)])
     same = F.lit(True)
     for w in weights[1:]:
         same = same & (F.col(w) == F.col(weights[0]))
-    listed = terms.select(*keys, "term", F.inline(F.when(same, once).otherwise(each))).where("weight > 0")
+    listed = terms.select(*keys, "term", F.inline(F.when(same, once).otherwise(each))).where("_weight > 0")
     rows = listed.select("*", F.explode(F.array(*[F.lit(i) for i in range(chunks)])).alias("_chunk"))
     drawn = [draw(F.col("term"), F.col("_chunk") * ROUNDS + j) for j in range(ROUNDS)]
-    values = [F.min(value_at(F.col("weight"), *parts)).alias(f"_{j}") for j, parts in enumerate(drawn)]
-    by_set = rows.groupBy(*keys, "_chunk", "set").agg(*values)
+    values = [F.min(value_at(F.col("_weight"), *parts)).alias(f"_{j}") for j, parts in enumerate(drawn)]
+    by_set = rows.groupBy(*keys, "_chunk", "_set").agg(*values)
     least = by_set.groupBy(*keys, "_chunk").agg(
-        *[F.min(F.when(F.col("set").isin(i, shared), F.col(f"_{j}"))).alias(f"_{w}{j}") for j in range(ROUNDS) for i, w in enumerate(weights)]
+        *[F.min(F.when(F.col("_set").isin(i, shared), F.col(f"_{j}"))).alias(f"_{w}{j}") for j in range(ROUNDS) for i, w in enumerate(weights)]
     )
     part = lambda c: F.lower(F.lpad(F.hex(F.shiftrightunsigned(F.xxhash64(c), 32)), 8, "0"))
     pieces = least.select(*keys, "_chunk", *[F.concat(*[part(F.col(f"_{w}{j}")) for j in range(ROUNDS)]).alias(w) for w in weights])
