@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import labels as lb
 from tallyframe.functions import parse as ps
-from tallyframe.functions.binding import strip
+from tallyframe.functions.binding import once, strip
 from tallyframe.metrics import localization as loc
 from tallyframe.metrics.classification import classification_report
 from tallyframe.metrics.common import NAN, key_of
@@ -523,7 +523,9 @@ def run_metric(name: str, rows: DataFrame, by: list[str], strict: bool = False)
     spec = METRICS[name]
     needs = spec.needs() if callable(spec.needs) else spec.needs
     ok = F.coalesce(needs, F.lit(False)) if needs is not None else F.lit(True)
-    result = spec.compute(rows.where(ok) if needs is not None else rows, by)
+    # Parsed once: answers are mentioned many times here.
+    parsed = once(rows)
+    result = spec.compute(parsed.where(ok) if needs is not None else parsed, by)
     if spec.empty and by:
         # Joined with all groups, so that the scores are planned once.
         groups = rows.select(*[F.col(b).alias(f"__{b}") for b in by]).distinct()
@@ -534,7 +536,7 @@ def run_metric(name: str, rows: DataFrame, by: list[str], strict: bool = False)
         filled = F.inline(F.when(F.col("metric").isNull(), F.array(*cells)).otherwise(given))
         result = groups.join(result, same, "left").select(*[F.col(f"__{b}").alias(b) for b in by], filled)
     if strict and needs is not None and name not in SKIPS_ROWS and by:
-        broken = rows.where(~ok).select(*by).distinct()
+        broken = parsed.where(~ok).select(*by).distinct()
         error = broken.select(
             *by,
             F.lit(f"{name}_error").alias("metric"),

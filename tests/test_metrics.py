@@ -308,3 +308,12 @@ def test_diarization(spark):
     assert clipped["speaker_confusion"] == pytest.approx((3 - 0 - 2) / 3)
     missing = score(spark, "voxconverse_der", [{"timeline": ["A"]}], [{"x": 1}])
     assert math.isnan(missing["der"])
+
+
+def test_run_metric_parses_each_answer_once(spark):
+    rows = spark.createDataFrame([("a", '{"valence": 1, "arousal": 2}')], "grp string, text string")
+    rows = rows.select("grp", F.try_parse_json("text").alias("gt"), F.try_parse_json("text").alias("pred"))
+    got = run_metric("affwild2_va_ccc", rows, ["grp"])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse_json") + plan.count("parseJson") in (1, 2)
+    assert {r.metric for r in got.collect()} == {"ccc_valence", "ccc_arousal", "ccc_mean"}
