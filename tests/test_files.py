@@ -273,3 +273,21 @@ def test_registry(spark):
     assert all(m in METRICS for t in TASKS.values() for m in t.metrics)
     files = spark.createDataFrame([("a", "x.json", True), ("b", "d/metrics.json", False)], "model string, path string, flat boolean")
     assert [r.model for r in sc.prefer_flat(files).collect()] == ["a"]
+
+
+def test_baseline_report_reads_its_answers_once(spark):
+    from tallyframe.plans import baselines as bl
+
+    seen = spark.sparkContext.accumulator(0)
+    rows = [("voxconverse-omni_speaker-count", "train" if i % 2 else "test", i, [("assistant", '{"num_speakers": %d}' % (i % 3))]) for i in range(12)]
+    schema = "task string, split string, row_idx long, messages array<struct<role:string,content:string>>"
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    truth = spark.createDataFrame(rows, schema).mapInPandas(count, schema)
+    got = {(r.baseline_key, r.metric): r.n_used for r in bl.baseline_report(truth).collect()}
+    assert got["voxconverse_speaker", "mae"] == 6
+    assert seen.value == 12
