@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyframe.functions.timeline import SILENCE
 from tallyframe.operators.joins import lookup_join
@@ -38,6 +44,9 @@ def segments_in_windows(
     )
 
 
+# Spark ships the helpers to executors that do not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Bits used of each number; the bins of a window are spread over as many numbers as they need.
 WORD = 60
 
@@ -102,26 +111,33 @@ def speaker_letters(placed: DataFrame) -> DataFrame:
     return ranked.select("clip", "win_start", F.col("s.speaker").alias("speaker"), letter_of(F.col("rank")).alias("letter"))
 
 
-def _lettered(letter: Column, bits: Column, n_bins: int) -> Column:
-    """A speaker's letter and their bins one by one: the letter where active, a blank elsewhere."""
-    digits = []
-    for w, base in enumerate(range(0, n_bins, WORD)):
-        width = min(WORD, n_bins - base)
-        digits.append(F.reverse(F.lpad(F.bin(F.get(bits, F.lit(w))), width, "0")))
-    text = F.concat(*digits)
-    marks = F.replace(F.replace(text, F.lit("0"), F.lit(" ")), F.lit("1"), letter)
-    return F.struct(letter.alias("letter"), F.split(marks, "", n_bins).alias("marks"))
+class _Names(dict):
+    """The letters of a set of ranks given as bits."""
+
+    def __missing__(self, ranks: int) -> str:
+        self[ranks] = "".join(chr(65 + r) for r in range(26) if ranks >> r & 1) or SILENCE
+        return self[ranks]
+
+
+def _labels(bits: Column, n_bins: int) -> Column:
+    """The letters active in each bin, from the bits of all speakers in one array, speaker by speaker."""
+    per_speaker = -(-n_bins // WORD)
 
+    def over_batch(given: pd.Series) -> pd.Series:
+        names = _Names()
+        sizes = given.map(len).to_numpy() // per_speaker
+        heard = np.flatnonzero(sizes)
+        labels = np.full(len(given), ",".join([SILENCE] * n_bins), dtype=object)
+        if len(heard):
+            words = np.concatenate([given.iloc[i] for i in heard]).astype(np.int64).reshape(-1, per_speaker)
+            starts = np.concatenate([[0], np.cumsum(sizes[heard])[:-1]])
+            ranks = np.arange(len(words)) - np.repeat(starts, sizes[heard])
+            active = [words[:, i // WORD] >> i % WORD & 1 for i in range(n_bins)]
+            sets = np.add.reduceat(np.stack(active, axis=1) << ranks[:, None], starts)
+            labels[heard] = [",".join([names[s] for s in row]) for row in sets.tolist()]
+        return pd.Series(labels, index=given.index)
 
-def _labels(lettered: Column, n_bins: int) -> Column:
-    """The letters active in each bin. Blanks and gaps are settled in one text of all bins, not bin by bin."""
-    empty = F.array_repeat(F.lit(""), n_bins)
-    marks = F.aggregate(lettered, empty, lambda acc, s: F.zip_with(acc, s["marks"], lambda a, b: F.concat(a, b)))
-    text = F.replace(F.concat(F.lit(","), F.array_join(marks, ","), F.lit(",")), F.lit(" "), F.lit(""))
-    # A gap between two commas may share them with the next gap, so the gaps are filled in two rounds.
-    for _ in range(2):
-        text = F.replace(text, F.lit(",,"), F.lit(f",{SILENCE},"))
-    return F.split(F.substring(text, F.lit(2), F.char_length(text) - 2), ",")
+    return F.split(F.pandas_udf(over_batch, T.StringType())(bits), ",")
 
 
 def bin_timeline(
@@ -147,13 +163,15 @@ def bin_timeline(
             spoken, ["clip", "win_start"], "left"
         )
     rows = spoken.where(F.coalesce("active_bins", F.lit(0)) >= min_bins)
-    none = F.array().cast("array<struct<letter:string,marks:array<string>>>")
-    lettered = F.coalesce(F.transform("speakers", lambda s, i: _lettered(letter_of(i), s["bits"], n_bins)), none)
-    rows = rows.withColumn("lettered", lettered)
+    none = F.array().cast("array<bigint>")
+    count = F.coalesce(F.size("speakers"), F.lit(0))
+    # Reading the letter of the last speaker fails where there are too many.
+    bits = F.when(letter_of(count - 1).isNotNull(), F.coalesce(F.flatten("speakers.bits"), none))
+    rows = rows.select("clip", "win_start", bits.alias("bits"), F.when(F.col("speakers").isNull(), 0).otherwise(count).alias("count"), "active_bins")
     return rows.select(
         "clip",
         "win_start",
-        _labels(F.col("lettered"), n_bins).alias("timeline"),
-        F.size("lettered").cast("long").alias("num_speakers"),
+        _labels(F.col("bits"), n_bins).alias("timeline"),
+        F.col("count").cast("long").alias("num_speakers"),
         F.coalesce("active_bins", F.lit(0)).alias("active_bins"),
     )

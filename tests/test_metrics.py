@@ -317,3 +317,26 @@ def test_run_metric_parses_each_answer_once(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parse_json") + plan.count("parseJson") in (1, 2)
     assert {r.metric for r in got.collect()} == {"ccc_valence", "ccc_arousal", "ccc_mean"}
+
+
+def test_timelines_as_bits_agree_with_their_segments(spark):
+    import random
+
+    from tallyframe.functions import timeline as tl
+    from tallyframe.metrics.diarization import PARTS, der_columns
+
+    draw = random.Random(5)
+
+    def line(names):
+        return ["".join(sorted(draw.sample(names, draw.randrange(len(names) + 1)))) or "-" for _ in range(draw.randrange(70))]
+
+    rows = [(i, line("ABCDE"), line("ABC")) for i in range(60)] + [(100, ["AA", "-"], ["A", "B"]), (101, None, ["A"]), (102, ["A1", None], ["1"])]
+    pairs = spark.createDataFrame(rows, "i int, gt array<string>, pred array<string>")
+    lengths = pairs.select("i", tl.lengths(F.col("gt"), F.col("pred")).alias("x")).orderBy("i").collect()
+    assert all(r.x.ref is not None for r in lengths[:60]) and all(r.x is None or r.x.ref is None for r in lengths[60:])
+    # A digit as one more speaker of both sides in a bin of its own keeps the path that follows the segments.
+    text = lambda c: F.transform(F.col(c), lambda b: F.translate(b, "ABCDE", "12345"))
+    slow = pairs.select("i", text("gt").alias("gt"), text("pred").alias("pred"))
+    read = lambda df: {r.i: tuple(r[p] for p in PARTS) for r in der_columns(df).collect()}
+    fast, followed = read(pairs), read(slow)
+    assert {i: fast[i] for i in range(60)} == {i: followed[i] for i in range(60)}
