@@ -16,6 +16,7 @@ from tallyframe.queries.classify import _in, _one, label_sql
 from tallyframe.queries.places import _points
 from tallyframe.queries.rank import AP_SQL
 from tallyframe.queries.speech import _timelines
+from tallyframe.session import staged
 
 
 def _scored(spark, folder: str, name: str, gt, pred) -> DataFrame:
@@ -791,6 +792,7 @@ def metric_videoattentiontarget_out_of_frame_ap(spark, sf_dir):
 
 @query("metric_voxconverse_der", ORACLES["der"])
 def metric_voxconverse_der(spark, sf_dir):
-    rows = _timelines(Tables(spark, sf_dir))
+    # Read for the groups and for the scores: written once.
+    rows = staged(_timelines(Tables(spark, sf_dir)), [])
     sides = {s: F.try_parse_json(F.to_json(F.struct(F.col(s).alias("timeline")))) for s in ("gt", "pred")}
     return scores(rg.run_metric("voxconverse_der", rows.select("clip", *[c.alias(s) for s, c in sides.items()]), ["clip"]))

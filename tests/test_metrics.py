@@ -340,3 +340,9 @@ def test_timelines_as_bits_agree_with_their_segments(spark):
     read = lambda df: {r.i: tuple(r[p] for p in PARTS) for r in der_columns(df).collect()}
     fast, followed = read(pairs), read(slow)
     assert {i: fast[i] for i in range(60)} == {i: followed[i] for i in range(60)}
+
+
+def test_voxconverse_der_writes_its_timelines_once(spark):
+    from tallyframe.queries.scored import metric_voxconverse_der
+
+    assert not [f for f in metric_voxconverse_der(spark, "/root/testdata/sf0.001").inputFiles() if "events.parquet" in f]
