@@ -81,3 +81,13 @@ def test_no_python_in_the_plan(spark, capsys):
     compare(spark.read.parquet(f"{DATA}/documents.parquet")).explain("formatted")
     plan = capsys.readouterr().out
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
+
+
+def test_likeness_cuts_each_fingerprint_once(spark):
+    from tallyframe.llm.fingerprint import likeness
+
+    a, b = "0123456789abcdef" * 2, "0123456700000000" * 2
+    rows = spark.createDataFrame([(a, b), (a, a), (a, None)], "a string, b string")
+    got = rows.select(likeness(F.col("a"), F.col("b"), 4).alias("x"))
+    assert [r.x for r in got.collect()] == [0.5, 1.0, None]
+    assert "substr" not in got._jdf.queryExecution().optimizedPlan().toString()
