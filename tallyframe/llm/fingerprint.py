@@ -8,7 +8,9 @@ the greater ones), so the share of equal samples estimates it. The least value i
 
 r and b come from two uniform numbers u and v: -ln(u) and -ln(v) are independent exponentials, so their sum r is from
 Gamma(2, 1) and the share b = -ln(v) / r of the second is uniform and independent of r. The value is then
-c * u * (u * v) ** t, and since t is 0 at weight 1, the usual term takes two hashes and one logarithm a round.
+c * u * (u * v) ** t, and t is 0 at weight 1. There it is e = c * u, which is exponential, and d = c - e is an exponential
+independent of e (the shares of a gamma variable are). So e and d are drawn, c = e + d and u = e / c. As e rises with
+the hash it comes from, the usual term is that hash, with no logarithm; a value at another t is put on the same scale.
 
 Neighbours in descending order of the id are found inside ranges of ids, cut by quantiles: the text is shuffled by
 range, and each range is also given the first document of the next one. All later groupings keep that partitioning.
@@ -28,8 +30,8 @@ from tallyframe.llm.common import staged
 
 #: Draws of a fingerprint: the standard error of a likeness s is sqrt(s * (1 - s) / SAMPLES), 0.044 at most with 128.
 SAMPLES, SHINGLE = 128, 5
-#: Rounds that one row computes; more would make generated methods too long to be compiled.
-ROUNDS = 8
+#: Rounds that one row computes; many more would make generated methods too long to be compiled.
+ROUNDS = 32
 ROWS_PER_RANGE, RANGES = 500, 65_536
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -50,42 +52,53 @@ def unit(bits: Column) -> Column:
     return (bits + 0.5) / 2.0**32
 
 
-def draw(term: Column, number: Column) -> tuple[Column, Column, Column]:
-    """One round of a term: its value at weight 1, u and v; the last two are what other weights need."""
-    pair, other = F.xxhash64(term, number * 2), F.xxhash64(term, number * 2 + 1)
-    low, high = (lambda h: unit(h.bitwiseAND(0xFFFFFFFF))), (lambda h: unit(F.shiftrightunsigned(h, 32)))
-    return -F.ln(low(other) * high(other)) * low(pair), low(pair), high(pair)
+def draw(term: Column, number: Column) -> Column:
+    """One round of a term at weight 1: the hash with which its value rises."""
+    return F.xxhash64(term.bitwiseXOR(F.xxhash64(number)))
 
 
-def value_at(weight: Column, at_one: Column, u: Column, v: Column) -> Column:
-    """The value of a round at an integer weight; null at 0."""
+def draw_at(weight: Column, term: Column, number: Column) -> Column:
+    """One round of a term at a greater integer weight, as a hash of the same value at weight 1."""
+    own = draw(term, number)
+    more = F.xxhash64(own, number)
+    # The last double below 1: a share of 1 would have no finite value.
+    share = lambda x: F.least(x, F.lit(1 - 2.0**-53))
+    e = -F.log1p(-share((own.cast("double") + 2.0**63 + 0.5) / 2.0**64))
+    u, v = e / (e - F.ln(unit(more.bitwiseAND(0xFFFFFFFF)))), unit(F.shiftrightunsigned(more, 32))
     step = F.floor((F.ln(weight) - F.ln(v)) / -F.ln(u * v))
-    return F.when(weight == 1, at_one).when(weight > 1, at_one * F.pow(u * v, step))
+    return F.when(step == 0, own).otherwise(F.floor(share(-F.expm1(-e * F.pow(u * v, step))) * 2.0**64 - 2.0**63))
 
 
 def signature(terms: DataFrame, keys: list[str], weights: list[str], samples: int = SAMPLES) -> DataFrame:
     """One fingerprint per ``keys`` and weight column, named as the weight: eight hex digits for each sample.
 
-    ``terms``: keys, term (long) and one or more weights (0: the text does not have the term).
+    ``terms``: keys, term (long) and one or more weights (0: the text does not have the term). A null term, of weight 0,
+    gives keys without terms a row.
     """
-    chunks = -(-samples // ROUNDS)
-    shared = len(weights)
+    chunks, shared = -(-samples // ROUNDS), len(weights)
     # A term of one weight throughout is drawn once, in a set of its own; any other once for each weight.
     once = F.array(F.struct(F.lit(shared).alias("_set"), F.col(weights[0]).cast("long").alias("_weight")))
     each = F.array(*[F.struct(F.lit(i).alias("_set"), F.col(w).cast("long").alias("_weight")) for i, w in enumerate(weights)])
     same = F.lit(True)
     for w in weights[1:]:
         same = same & (F.col(w) == F.col(weights[0]))
-    listed = terms.select(*keys, "term", F.inline(F.when(same, once).otherwise(each))).where("_weight > 0")
-    rows = listed.select("*", F.explode(F.array(*[F.lit(i) for i in range(chunks)])).alias("_chunk"))
-    drawn = [draw(F.col("term"), F.col("_chunk") * ROUNDS + j) for j in range(ROUNDS)]
-    values = [F.min(value_at(F.col("_weight"), *parts)).alias(f"_{j}") for j, parts in enumerate(drawn)]
-    by_set = rows.groupBy(*keys, "_chunk", "_set").agg(*values)
-    least = by_set.groupBy(*keys, "_chunk").agg(
-        *[F.min(F.when(F.col("_set").isin(i, shared), F.col(f"_{j}"))).alias(f"_{w}{j}") for j in range(ROUNDS) for i, w in enumerate(weights)]
-    )
+    listed = terms.select(*keys, "term", F.inline(F.when(same, once).otherwise(each))).where("_weight > 0 OR term IS NULL")
+    # Of weight 1, a row makes all rounds of a chunk; of more, which few terms are, the one round that it is for.
+    single, rounds = F.array(*[F.lit(i * ROUNDS) for i in range(chunks)]), F.sequence(F.lit(0), F.lit(chunks * ROUNDS - 1))
+    rows = listed.select("*", F.explode(F.when(F.col("_weight") > 1, rounds).otherwise(single)).alias("_round"))
+    place = F.pmod("_round", F.lit(ROUNDS))
+    rows = rows.withColumns({
+        "_chunk": F.col("_round") - place, "_place": place,
+        "_value": F.when(F.col("_weight") > 1, draw_at(F.col("_weight"), F.col("term"), F.col("_round"))),
+    })
+    value = lambda j: F.when(F.col("_weight") == 1, draw(F.col("term"), F.col("_chunk") + j)).when(F.col("_place") == j, F.col("_value"))
+    by_set = rows.groupBy(*keys, "_chunk", "_set").agg(*[F.min(value(j)).alias(f"_{j}") for j in range(ROUNDS)])
+    by_set = by_set.select(*keys, "_chunk", "_set", F.array(*[f"_{j}" for j in range(ROUNDS)]).alias("_least"))
+    least = by_set.groupBy(*keys, "_chunk").agg(*[F.max(F.when(F.col("_set") == i, F.col("_least"))).alias(f"_s{i}") for i in range(shared + 1)])
     part = lambda c: F.lower(F.lpad(F.hex(F.shiftrightunsigned(F.xxhash64(c), 32)), 8, "0"))
-    pieces = least.select(*keys, "_chunk", *[F.concat(*[part(F.col(f"_{w}{j}")) for j in range(ROUNDS)]).alias(w) for w in weights])
+    lesser = lambda i: F.coalesce(F.zip_with(f"_s{i}", f"_s{shared}", lambda x, y: F.least(x, y)), F.col(f"_s{i}"), F.col(f"_s{shared}"))
+    missing = F.array_repeat(F.lit(None).cast("long"), ROUNDS)
+    pieces = least.select(*keys, "_chunk", *[F.array_join(F.transform(F.coalesce(lesser(i), missing), part), "").alias(w) for i, w in enumerate(weights)])
     whole = lambda w: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_chunk", w))), lambda s: s[w]), "")
     return pieces.groupBy(*keys).agg(*[F.substring(whole(w), 1, samples * 8).alias(w) for w in weights])
 
@@ -172,17 +185,20 @@ def compare(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", s
     keys = ["range", "place"]
     texts = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.when(F.col("halo") == 0, edited(F.col("text"), F.col("next"))).alias("t")))
     split = rows.select(*keys, F.explode(texts).alias("x")).select(*keys, "x.kind", F.filter(F.split("x.t", SPACES), lambda w: w != "").alias("words"))
-    terms = split.select(*keys, "kind", F.explode(shingles(F.col("words"))).alias("term"))
-    weights = terms.groupBy(*keys, "term").agg(F.count(F.when(F.col("kind") == 0, 1)).alias("fingerprint"), F.count(F.when(F.col("kind") == 1, 1)).alias("edited_fingerprint"))
+    # A text without terms has one row with a null term, so that it is there as its neighbour's next one.
+    terms = split.select(*keys, "kind", F.explode_outer(shingles(F.col("words"))).alias("term"))
+    count = lambda kind: F.count(F.when(F.col("kind") == kind, F.col("term")))
+    weights = terms.groupBy(*keys, "term").agg(count(0).alias("fingerprint"), count(1).alias("edited_fingerprint"))
     found = signature(weights, keys, ["fingerprint", "edited_fingerprint"], samples)
-    new = edited(F.col("text"), F.col("next"))
-    facts = rows.select(*keys, "halo", "id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(new.cast("binary"), 256).alias("edited_sha256"))
-    # Written first, so that the texts are not on disk for both sides of the join at once.
-    joined = staged(facts).join(found, keys, "left").withColumns({c: F.coalesce(c, no_terms(samples)) for c in ("fingerprint", "edited_fingerprint")})
+    # Compared where they are made, by range: what the join deals anew is final.
     following = F.lead("fingerprint").over(Window.partitionBy("range").orderBy("place"))
-    joined = joined.withColumn("following", following).where("halo = 0")
-    return joined.select(
-        F.col("id").alias(id_column), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+    found = found.withColumn("following", following).select(
+        *keys, "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint"), samples).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("following"), samples).alias("near_next"),
     )
+    new = edited(F.col("text"), F.col("next"))
+    facts = rows.select(*keys, "halo", "id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(new.cast("binary"), 256).alias("edited_sha256"))
+    # Written first, so that the texts are not on disk for both sides of the join at once.
+    joined = staged(facts.where("halo = 0").drop("halo")).join(found, keys)
+    return joined.select(F.col("id").alias(id_column), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")

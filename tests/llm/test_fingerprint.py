@@ -91,3 +91,21 @@ def test_likeness_cuts_each_fingerprint_once(spark):
     got = rows.select(likeness(F.col("a"), F.col("b"), 4).alias("x"))
     assert [r.x for r in got.collect()] == [0.5, 1.0, None]
     assert "substr" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_heavier_terms_share_the_scale_of_weight_one(spark):
+    """One term at weights w and w + 1 has the same value in w of w + 1 rounds, whatever way either is drawn."""
+    from tallyframe.llm.fingerprint import draw, draw_at
+
+    n, at = 4000, lambda w: draw_at(F.lit(w), F.lit(12345), F.col("i")) if w > 1 else draw(F.lit(12345), F.col("i"))
+    rows = spark.range(n).select(F.col("id").cast("int").alias("i")).select(*[at(w).alias(f"w{w}") for w in range(1, 5)])
+    for w, r in ((w, rows.agg(F.avg((F.col(f"w{w}") == F.col(f"w{w + 1}")).cast("int")), F.min((F.col(f"w{w + 1}") <= F.col(f"w{w}")))).first()) for w in range(1, 4)):
+        share = w / (w + 1)
+        assert abs(r[0] - share) < 4 * (share * (1 - share) / n) ** 0.5 and r[1]
+
+
+def test_fingerprints_are_dealt_once(spark):
+    """Neighbours are compared before the join, so that fingerprints are not dealt by range again after it."""
+    docs = cases.table(spark, cases.rows())
+    plan = compare(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("lead(fingerprint")
