@@ -8,9 +8,7 @@ the greater ones), so the share of equal samples estimates it. The least value i
 
 r and b come from two uniform numbers u and v: -ln(u) and -ln(v) are independent exponentials, so their sum r is from
 Gamma(2, 1) and the share b = -ln(v) / r of the second is uniform and independent of r. The value is then
-c * u * (u * v) ** t, and t is 0 at weight 1. There it is e = c * u, which is exponential, and d = c - e is an exponential
-independent of e (the shares of a gamma variable are). So e and d are drawn, c = e + d and u = e / c. As e rises with
-the hash it comes from, the usual term is that hash, with no logarithm; a value at another t is put on the same scale.
+c * u * (u * v) ** t, and since t is 0 at weight 1, the usual term takes two hashes and one logarithm a round.
 
 Neighbours in descending order of the id are found inside ranges of ids, cut by quantiles: the text is shuffled by
 range, and each range is also given the first document of the next one. All later groupings keep that partitioning.
@@ -52,21 +50,17 @@ def unit(bits: Column) -> Column:
     return (bits + 0.5) / 2.0**32
 
 
-def draw(term: Column, number: Column) -> Column:
-    """One round of a term at weight 1: the hash with which its value rises."""
-    return F.xxhash64(term.bitwiseXOR(F.xxhash64(number)))
+def draw(term: Column, number: Column) -> tuple[Column, Column, Column]:
+    """One round of a term: its value at weight 1, u and v; the last two are what other weights need."""
+    pair, other = F.xxhash64(term, number * 2), F.xxhash64(term, number * 2 + 1)
+    low, high = (lambda h: unit(h.bitwiseAND(0xFFFFFFFF))), (lambda h: unit(F.shiftrightunsigned(h, 32)))
+    return -F.ln(low(other) * high(other)) * low(pair), low(pair), high(pair)
 
 
-def draw_at(weight: Column, term: Column, number: Column) -> Column:
-    """One round of a term at a greater integer weight, as a hash of the same value at weight 1."""
-    own = draw(term, number)
-    more = F.xxhash64(own, number)
-    # The last double below 1: a share of 1 would have no finite value.
-    share = lambda x: F.least(x, F.lit(1 - 2.0**-53))
-    e = -F.log1p(-share((own.cast("double") + 2.0**63 + 0.5) / 2.0**64))
-    u, v = e / (e - F.ln(unit(more.bitwiseAND(0xFFFFFFFF)))), unit(F.shiftrightunsigned(more, 32))
+def value_at(weight: Column, at_one: Column, u: Column, v: Column) -> Column:
+    """The value of a round at an integer weight; null at 0."""
     step = F.floor((F.ln(weight) - F.ln(v)) / -F.ln(u * v))
-    return F.when(step == 0, own).otherwise(F.floor(share(-F.expm1(-e * F.pow(u * v, step))) * 2.0**64 - 2.0**63))
+    return F.when(weight == 1, at_one).when(weight > 1, at_one * F.pow(u * v, step))
 
 
 def signature(terms: DataFrame, keys: list[str], weights: list[str], samples: int = SAMPLES) -> DataFrame:
@@ -87,17 +81,15 @@ def signature(terms: DataFrame, keys: list[str], weights: list[str], samples: in
     single, rounds = F.array(*[F.lit(i * ROUNDS) for i in range(chunks)]), F.sequence(F.lit(0), F.lit(chunks * ROUNDS - 1))
     rows = listed.select("*", F.explode(F.when(F.col("_weight") > 1, rounds).otherwise(single)).alias("_round"))
     place = F.pmod("_round", F.lit(ROUNDS))
-    rows = rows.withColumns({
-        "_chunk": F.col("_round") - place, "_place": place,
-        "_value": F.when(F.col("_weight") > 1, draw_at(F.col("_weight"), F.col("term"), F.col("_round"))),
-    })
-    value = lambda j: F.when(F.col("_weight") == 1, draw(F.col("term"), F.col("_chunk") + j)).when(F.col("_place") == j, F.col("_value"))
+    heavier = F.when(F.col("_weight") > 1, value_at(F.col("_weight"), *draw(F.col("term"), F.col("_round"))))
+    rows = rows.withColumns({"_chunk": F.col("_round") - place, "_place": place, "_value": heavier})
+    value = lambda j: F.when(F.col("_weight") == 1, draw(F.col("term"), F.col("_chunk") + j)[0]).when(F.col("_place") == j, F.col("_value"))
     by_set = rows.groupBy(*keys, "_chunk", "_set").agg(*[F.min(value(j)).alias(f"_{j}") for j in range(ROUNDS)])
     by_set = by_set.select(*keys, "_chunk", "_set", F.array(*[f"_{j}" for j in range(ROUNDS)]).alias("_least"))
     least = by_set.groupBy(*keys, "_chunk").agg(*[F.max(F.when(F.col("_set") == i, F.col("_least"))).alias(f"_s{i}") for i in range(shared + 1)])
     part = lambda c: F.lower(F.lpad(F.hex(F.shiftrightunsigned(F.xxhash64(c), 32)), 8, "0"))
     lesser = lambda i: F.coalesce(F.zip_with(f"_s{i}", f"_s{shared}", lambda x, y: F.least(x, y)), F.col(f"_s{i}"), F.col(f"_s{shared}"))
-    missing = F.array_repeat(F.lit(None).cast("long"), ROUNDS)
+    missing = F.array_repeat(F.lit(None).cast("double"), ROUNDS)
     pieces = least.select(*keys, "_chunk", *[F.array_join(F.transform(F.coalesce(lesser(i), missing), part), "").alias(w) for i, w in enumerate(weights)])
     whole = lambda w: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_chunk", w))), lambda s: s[w]), "")
     return pieces.groupBy(*keys).agg(*[F.substring(whole(w), 1, samples * 8).alias(w) for w in weights])

@@ -93,15 +93,17 @@ def test_likeness_cuts_each_fingerprint_once(spark):
     assert "substr" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_heavier_terms_share_the_scale_of_weight_one(spark):
-    """One term at weights w and w + 1 has the same value in w of w + 1 rounds, whatever way either is drawn."""
-    from tallyframe.llm.fingerprint import draw, draw_at
-
-    n, at = 4000, lambda w: draw_at(F.lit(w), F.lit(12345), F.col("i")) if w > 1 else draw(F.lit(12345), F.col("i"))
-    rows = spark.range(n).select(F.col("id").cast("int").alias("i")).select(*[at(w).alias(f"w{w}") for w in range(1, 5)])
-    for w, r in ((w, rows.agg(F.avg((F.col(f"w{w}") == F.col(f"w{w + 1}")).cast("int")), F.min((F.col(f"w{w + 1}") <= F.col(f"w{w}")))).first()) for w in range(1, 4)):
-        share = w / (w + 1)
-        assert abs(r[0] - share) < 4 * (share * (1 - share) / n) ** 0.5 and r[1]
+def test_least_values_of_all_weights(spark):
+    """Each sample is the least value of the round over all terms, whether a row makes a chunk of rounds or one."""
+    from tallyframe.llm.fingerprint import draw, value_at
+
+    n, terms = 100, spark.createDataFrame([(0, i * 7919 + 1, a, b) for i, (a, b) in enumerate([(1, 1), (3, 3), (1, 2), (0, 4), (7, 0), (1, 0), (2, 1)])], "id int, term long, a long, b long")
+    rounds = terms.crossJoin(spark.range(n).select(F.col("id").cast("int").alias("i")))
+    least = rounds.groupBy("i").agg(*[F.min(value_at(F.col(w), *draw(F.col("term"), F.col("i")))).alias(w) for w in ("a", "b")])
+    want = {r.i: (r.x, r.y) for r in least.select("i", F.hex(F.xxhash64("a")).alias("x"), F.hex(F.xxhash64("b")).alias("y")).collect()}
+    got = signature(terms, ["id"], ["a", "b"], n).first()
+    for k, text in enumerate((got.a, got.b)):
+        assert text == "".join(want[i][k].zfill(16)[:8].lower() for i in range(n))
 
 
 def test_fingerprints_are_dealt_once(spark):
