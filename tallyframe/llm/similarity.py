@@ -40,6 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tallyframe.llm.common import field, fresh, plain_names, staged
 from tallyframe.llm.components import components
@@ -53,6 +54,8 @@ RARE, PER_CLASS = 16, 8
 SMALL, PIVOTS = 4, (4, 8)
 #: 64-bit words of the parity map of a set.
 WORDS = 16
+#: Of the entries that a set has in the last round, so many tell whether a pair has met before.
+FIRST = 16
 #: Hashes below LOW (of 2**64) are low; sets and tokens of a batch; tokens that a bucket is meant to answer for.
 LOW = int(0.36 * 2**64)
 BATCH_SETS, BATCH_TOKENS, BUCKET_TOKENS = 500, 120_000, 250_000
@@ -504,22 +507,30 @@ def merged_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def still_open(rows: DataFrame, maps: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """(node, m) of two sets of one entry that may link, by components, sizes, distances and parity maps; each once an entry.
+    """(node, m) of two sets of one entry that may link, by components, sizes, distances and parity maps.
 
-    Two sets that can link are in one band of sizes or in bands side by side, so the band is a key of the join.
+    Two sets that can link are in one band of sizes or in bands side by side, so the band is a key of the join. Two sets
+    of an entry's largest component need not meet: only the others look for partners. A pair that shares many entries is
+    made at the first of them, and at a later one only if that first one is not among the ``FIRST`` least of both sets.
+    Where the distances rule a pair out at its first entry, it does not link, so nothing is lost by leaving out the rest.
     """
     words = [f"m{i}" for i in range(WORDS)]
-    mapped = rows.join(maps.join(rows.select("node").distinct(), "node").dropDuplicates(["node"]), "node")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("entry"))
+    least = rows.select("node", "entry", place.alias("place")).where(F.col("place") <= FIRST)
+    least = least.groupBy("node").agg(F.collect_list("entry").alias("least"))
+    held = rows.groupBy("entry", "root").agg(F.count("*").alias("held"))
+    largest = held.groupBy("entry").agg(F.max(F.struct("held", "root")).getField("root").alias("main"))
     size = F.floor(F.log("n") / (float(np.log(t[1] / t[0])) + 1e-9))
-    mapped = staged(mapped.withColumn("size", size))
-    other = mapped.select(
-        "entry", F.col("size").alias("band"), *[F.col(c).alias(x) for c, x in (("node", "m"), ("n", "k"), ("root", "r"), ("distance", "e"), *((w, f"o{w}") for w in words))]
-    )
-    left = mapped.withColumn("band", F.explode(F.array("size", F.col("size") + 1)))
+    mapped = rows.join(maps.join(least, "node").dropDuplicates(["node"]), "node").join(largest, "entry")
+    mapped = staged(mapped.select("entry", "node", "n", "root", "distance", "least", *words, size.alias("size"), (F.col("root") == F.col("main")).alias("inner")))
+    names = (("node", "m"), ("n", "k"), ("root", "r"), ("distance", "e"), ("least", "l"), ("inner", "i"), *((w, f"o{w}") for w in words))
+    other = mapped.select("entry", F.col("size").alias("band"), *[F.col(c).alias(x) for c, x in names])
+    left = mapped.where(~F.col("inner")).withColumn("band", F.explode(F.array(F.col("size") - 1, "size", F.col("size") + 1)))
     different = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"o{w}"))) for w in words), F.lit(0))
     near = different * (t[0] + t[1]) <= (F.col("n") + F.col("k")) * (t[1] - t[0])
-    once = (F.col("size") != F.col("band")) | (F.col("node") < F.col("m"))
-    return left.join(other, ["entry", "band"]).where(once & (F.col("root") != F.col("r")) & may_link(t) & near).select("node", "m")
+    once = F.col("i") | (F.col("size") < F.col("band")) | ((F.col("size") == F.col("band")) & (F.col("node") < F.col("m")))
+    before = F.coalesce(F.array_min(F.array_intersect("least", "l")) < F.col("entry"), F.lit(False))
+    return left.join(other, ["entry", "band"]).where(once & (F.col("root") != F.col("r")) & may_link(t) & near & ~before).select("node", "m")
 
 
 def unsettled(entries: DataFrame, roots: DataFrame) -> DataFrame:

@@ -165,3 +165,19 @@ def test_parity_maps_never_rule_out_a_link():
         assert count(a, b) <= len(a) + len(b) - 2 * common
         if 4 * common >= 3 * (len(a) + len(b) - common):
             assert count(a, b) * 7 <= len(a) + len(b)
+
+
+def test_pairs_of_many_entries_are_made_about_once(spark):
+    """Sets that share tens of entries: every pair of two components comes, and hardly one comes again."""
+    rng = random.Random(6)
+    root = {i: i if i < 30 else 30 for i in range(60)}
+    size = {i: rng.choice([60, 75, 79, 80, 81, 100]) for i in root}
+    held = {e: [i for i in root if rng.random() < 0.7] for e in range(-20, 40)} | {100: [1, 2], 101: [3, 40], 102: [41, 42]}
+    rows = [(e, i, size[i], root[i], None) for e, members in held.items() for i in members]
+    maps = spark.createDataFrame([(i, *[0] * similarity.WORDS) for i in root], ", ".join(["node long", *[f"m{i} long" for i in range(similarity.WORDS)]]))
+    table = spark.createDataFrame(rows, "entry long, node long, n long, root long, distance double")
+    got = [tuple(sorted(r)) for r in similarity.still_open(table, maps, (3, 4)).collect()]
+    near = lambda a, b: root[a] != root[b] and 4 * min(size[a], size[b]) >= 3 * max(size[a], size[b])
+    want = {(a, b) for members in held.values() for a in members for b in members if a < b and near(a, b)}
+    assert set(got) == want
+    assert len(got) < 1.5 * len(want)
